@@ -24,3 +24,148 @@ SELECT category, recalled,
        count(*) AS n_subjects
 FROM l3 GROUP BY category, recalled
 """
+
+TRIAL_LOG_LAGS = with_(WORDS, """
+rec AS (
+  SELECT *,
+         row_number() OVER (PARTITION BY subject, session, list, item ORDER BY mstime, serialpos) > 1 AS recall_repeat,
+         CAST(row_number() OVER (PARTITION BY subject, session, list ORDER BY mstime, serialpos) AS BIGINT) AS outpos
+  FROM words WHERE recalled = 1),
+firstrec AS (SELECT subject, session, list, item, outpos FROM rec WHERE NOT recall_repeat),
+w AS (SELECT w.*, f.outpos FROM words w LEFT JOIN firstrec f
+        ON w.subject = f.subject AND w.session = f.session AND w.list = f.list AND w.item = f.item)
+""") + """
+SELECT subject, session, list, serialpos, item, recalled, outpos,
+       coalesce(outpos = 1, false) AS first_recalled,
+       lag(item) OVER win AS prev_item, lag(serialpos) OVER win AS prev_serialpos,
+       lag(recalled) OVER win AS prev_recalled, lag(outpos) OVER win AS prev_outpos,
+       lag(category) OVER win AS prev_category
+FROM w WINDOW win AS (PARTITION BY subject, session, list ORDER BY serialpos)
+"""
+
+GAP_DIFF_FILTER = with_(EVENTS, """
+d AS (SELECT *, mstime - lag(mstime) OVER (PARTITION BY subject, session ORDER BY mstime, event_id) AS gap_ms
+      FROM evlog)
+""") + """
+SELECT event_id, subject, session, list, gap_ms, (gap_ms > 60000 AND gap_ms < 21600000) AS in_range
+FROM d WHERE gap_ms IS NOT NULL
+"""
+
+TIMING_ISSUE_LISTS = with_(EVENTS, """
+d AS (SELECT *, mstime - lag(mstime) OVER (PARTITION BY subject, session, list ORDER BY mstime, event_id) AS gap
+      FROM evlog)
+""") + """
+SELECT DISTINCT subject, session, list FROM d WHERE gap > 21600000 OR gap < 60000
+"""
+
+BACKFILL_VALUE = with_(EVENTS, """
+v AS (SELECT *, CASE WHEN type = 'error' THEN NULL ELSE value END AS v FROM evlog)
+""") + """
+SELECT event_id,
+       round(first_value(v IGNORE NULLS) OVER (PARTITION BY subject, session ORDER BY mstime, event_id
+             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) + 0.0 AS value_filled
+FROM v
+"""
+
+OCCURRENCE_DEDUPE = with_(EVENTS) + """
+SELECT event_id,
+       CASE WHEN item IS NULL THEN NULL ELSE
+         CAST(row_number() OVER (PARTITION BY subject, session, list, type, item ORDER BY mstime, event_id) AS BIGINT)
+       END AS rep_num,
+       CASE WHEN item IS NULL THEN NULL ELSE
+         row_number() OVER (PARTITION BY subject, session, list, type, item ORDER BY mstime, event_id) > 1
+       END AS is_repeat
+FROM evlog
+"""
+
+DUPLICATE_ALL = with_(EVENTS, """
+wr AS (SELECT * FROM evlog WHERE type IN ('view', 'purchase')),
+a AS (SELECT *, count(*) OVER (PARTITION BY subject, list, item, type) > 1 AS dup FROM wr),
+b AS (SELECT *, row_number() OVER (PARTITION BY subject, list, item, type ORDER BY mstime, event_id) > 1 AS dup
+      FROM wr),
+fa AS (SELECT subject, session, list, type FROM a GROUP BY subject, session, list, type
+       HAVING sum(CAST(dup AS BIGINT)) = count(item)),
+fb AS (SELECT subject, session, list, type FROM b GROUP BY subject, session, list, type
+       HAVING sum(CAST(dup AS BIGINT)) = count(item)),
+na AS (SELECT subject, session, list, count(DISTINCT type) AS n_types FROM fa GROUP BY subject, session, list),
+nb AS (SELECT subject, session, list, count(DISTINCT type) AS n_types FROM fb GROUP BY subject, session, list)
+""") + """
+SELECT DISTINCT fa.subject, fa.session, fa.list, 'duplicated_encoding' AS reason
+FROM fa JOIN na USING (subject, session, list) WHERE fa.type = 'view' AND na.n_types = 1
+UNION ALL
+SELECT DISTINCT fb.subject, fb.session, fb.list, 'duplicated_data' AS reason
+FROM fb JOIN nb USING (subject, session, list) WHERE fb.type = 'view' AND nb.n_types = 2
+"""
+
+SUBJECTS_MISSING_TYPE = with_(EVENTS) + """
+SELECT subject, session, count(DISTINCT type) AS n_types
+FROM evlog WHERE type IN ('view', 'purchase')
+GROUP BY subject, session HAVING count(DISTINCT type) <> 2
+"""
+
+RARE_ITEMS = with_(WORDS_NO_CAT, """
+per_item AS (SELECT item, count(DISTINCT subject) AS n FROM words GROUP BY item)
+""") + """
+SELECT DISTINCT subject FROM words WHERE item IN (SELECT item FROM per_item WHERE n < 25)
+"""
+
+WRONG_LENGTH_LISTS = with_(WORDS_NO_CAT) + """
+SELECT subject, session, list, count(*) AS n_items FROM words
+GROUP BY subject, session, list HAVING count(*) <> 4
+"""
+
+_MISMATCH = """
+recf AS (SELECT DISTINCT subject, session, list, item FROM words WHERE status = 'F'),
+mm AS (
+  SELECT DISTINCT w.subject, w.session, w.list
+  FROM words w LEFT JOIN recf r
+    ON w.subject = r.subject AND w.session = r.session AND w.list = r.list AND w.item = r.item
+  WHERE (w.recalled = 1 AND r.item IS NULL) OR (w.recalled = 0 AND r.item IS NOT NULL))"""
+
+RECALL_MISMATCH = with_(WORDS_NO_CAT, _MISMATCH) + "SELECT * FROM mm"
+
+BAD_LIST_UNION = with_(WORDS_NO_CAT, _MISMATCH, """
+rep AS (SELECT DISTINCT subject, session, list FROM (
+          SELECT *, row_number() OVER (PARTITION BY subject, session, list, item ORDER BY serialpos) AS rn
+          FROM words) WHERE rn > 1),
+wl AS (SELECT subject, session, list FROM words GROUP BY subject, session, list HAVING count(*) <> 4),
+tim AS (SELECT DISTINCT subject, session, list FROM (
+          SELECT *, mstime - lag(mstime) OVER (PARTITION BY subject, session, list ORDER BY serialpos) AS gap
+          FROM words) WHERE gap > 2592000000 OR gap < -2592000000)
+""") + """
+SELECT * FROM rep UNION SELECT * FROM mm UNION SELECT * FROM wl UNION SELECT * FROM tim
+"""
+
+_REPAIR = """
+cd AS (SELECT * FROM evlog WHERE type IN ('signup', 'error')),
+x1 AS (SELECT *, CAST(row_number() OVER (PARTITION BY subject, session, list, type ORDER BY mstime, event_id) - 1
+                      AS BIGINT) AS type_occurrence FROM cd),
+x2 AS (SELECT *, max(type_occurrence) OVER (PARTITION BY subject, session, list) AS max_occ FROM x1),
+x3 AS (SELECT *, coalesce(max_occ >= 2 OR (max_occ <> 0 AND list > 1), false) AS bad_list FROM x2),
+x4 AS (SELECT *, bool_or(bad_list) OVER (PARTITION BY subject, session, list) AS any_bad FROM x3),
+fix AS (SELECT DISTINCT subject, session FROM x4 WHERE type_occurrence = 1 AND list = 1),
+x5 AS (SELECT x4.*, fix.subject IS NOT NULL AS to_fix FROM x4
+       LEFT JOIN fix ON x4.subject = fix.subject AND x4.session = fix.session),
+fixed AS (
+  SELECT event_id, subject, session, list, type, type_occurrence, mstime,
+         CASE WHEN (type_occurrence = 1 AND list = 1 AND NOT any_bad) OR (to_fix AND list <> 1)
+              THEN list + 1 ELSE list END AS new_list
+  FROM x5 WHERE NOT bad_list)"""
+
+LIST_SHIFT_REPAIR = with_(EVENTS, _REPAIR) + """
+SELECT event_id, subject, session, list, type, type_occurrence, new_list FROM fixed
+"""
+
+GAP_STATS_TOPK = with_(EVENTS, _REPAIR, """
+g1 AS (SELECT event_id, subject, session, new_list AS list, mstime,
+              mstime - lag(mstime) OVER (PARTITION BY subject, session, new_list ORDER BY mstime, event_id) AS d
+       FROM fixed),
+g2 AS (SELECT *, first_value(d IGNORE NULLS) OVER (PARTITION BY subject, session, list ORDER BY mstime, event_id
+              ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS diff FROM g1),
+st AS (SELECT subject, session, avg(diff) AS diff_mean, stddev_samp(diff) AS diff_std
+       FROM g2 WHERE diff > 10000 GROUP BY subject, session)
+""") + """
+SELECT subject, session, round(diff_mean / 1000, 6) + 0.0 AS diff_mean_s, round(diff_std / 1000, 6) + 0.0 AS diff_std_s
+FROM st WHERE diff_std <> 0 AND diff_mean <> 0
+ORDER BY diff_std / 1000 DESC NULLS LAST, subject, session LIMIT 20
+"""

@@ -26,3 +26,148 @@ def within_subject_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         conditions=["category", "recalled"], out_prefix="value")
     return out.select("category", "recalled", r6("mean_value", 4).alias("mean_value"),
                       r6("se_value", 4).alias("se_value"), "n_subjects")
+
+
+# ---------------------------------------------------------------------------
+# trial log: recall order, lags, duplicates, gaps, back-fill
+# ---------------------------------------------------------------------------
+
+from trialspark.functions.nulls import eq_false, sentinel_to_null  # noqa: E402
+from trialspark.operators import ordered, quality  # noqa: E402
+
+LIST_KEYS = ["subject", "session", "list"]
+EV_ORDER = roles.EVENT_ORDER
+REC_ORDER = ["mstime", "serialpos"]
+# parameters of the event-log checks (ms)
+GAP_MIN_MS, GAP_MAX_MS = 60_000, 21_600_000
+COUNTDOWN_MIN_GAP_MS = 10_000
+WORD_TYPE, RECALL_TYPE = "view", "purchase"
+COUNTDOWN_TYPES = ["signup", "error"]
+EXPECTED_LIST_LEN = 4
+RARE_ITEM_MIN_SUBJECTS = 25
+SHIP_GAP_MIN_MS, SHIP_GAP_MAX_MS = -2_592_000_000, 2_592_000_000
+
+
+def recall_rows(words: DataFrame) -> DataFrame:
+    """Recall rows of the word log: recalled lines in ship order, with output position
+    (W2, repeats included) and a repeat flag (W11 keep-first)."""
+    rec = words.where(F.col("recalled") == 1)
+    rec = ordered.mark_later_duplicates(rec, [*LIST_KEYS, "item"], REC_ORDER, "recall_repeat")
+    return ordered.running_position(rec, LIST_KEYS, REC_ORDER, "outpos")
+
+
+def trial_log(words: DataFrame) -> DataFrame:
+    """words with first output position (J4), first_recalled (F9) and lags."""
+    rec = recall_rows(words)
+    first = rec.where(~F.col("recall_repeat")).select(*LIST_KEYS, "item", "outpos")
+    w = words.join(first, [*LIST_KEYS, "item"], "left")
+    w = w.withColumn("first_recalled", eq_false("outpos", 1))
+    return ordered.lag_columns(w, LIST_KEYS, ["serialpos"],
+                               ["item", "serialpos", "recalled", "outpos", "category"])
+
+
+@register("trial_log_lags", "W2,W7,W11,J4,F9,F10", oracle.TRIAL_LOG_LAGS)
+def trial_log_lags(spark, sf_dir):
+    t = trial_log(roles.trial_words(spark, sf_dir))
+    return t.select(*LIST_KEYS, "serialpos", "item", "recalled", "outpos", "first_recalled",
+                    "prev_item", "prev_serialpos", "prev_recalled", "prev_outpos", "prev_category")
+
+
+@register("gap_diff_filter", "W8,P26,Q6", oracle.GAP_DIFF_FILTER)
+def gap_diff_filter(spark, sf_dir):
+    ev = roles.event_log(spark, sf_dir)
+    d = ordered.diff(ev, ["subject", "session"], EV_ORDER, "mstime", "gap_ms")
+    d = d.where(F.col("gap_ms").isNotNull())
+    return d.select("event_id", *LIST_KEYS, "gap_ms",
+                    ((F.col("gap_ms") > GAP_MIN_MS) & (F.col("gap_ms") < GAP_MAX_MS)).alias("in_range"))
+
+
+@register("timing_issue_lists", "W8,Q6", oracle.TIMING_ISSUE_LISTS)
+def timing_issue_lists(spark, sf_dir):
+    ev = roles.event_log(spark, sf_dir)
+    return quality.timing_issue_lists(ev, EV_ORDER, GAP_MIN_MS, GAP_MAX_MS)
+
+
+@register("backfill_value", "P3,W9", oracle.BACKFILL_VALUE)
+def backfill_value(spark, sf_dir):
+    ev = roles.event_log(spark, sf_dir)
+    ev = ev.withColumn("value", F.when(F.col("type") == "error", F.lit(None)).otherwise(F.col("value")))
+    f = ordered.backward_fill(ev, ["subject", "session"], EV_ORDER, "value", "value_filled")
+    return f.select("event_id", r6("value_filled").alias("value_filled"))
+
+
+@register("occurrence_dedupe", "W1,W11,A18", oracle.OCCURRENCE_DEDUPE)
+def occurrence_dedupe(spark, sf_dir):
+    ev = roles.event_log(spark, sf_dir)
+    x = ordered.occurrence_number(ev, [*LIST_KEYS, "type"], EV_ORDER, "item", "rep_num")
+    return x.select("event_id", "rep_num", (F.col("rep_num") > 1).alias("is_repeat"))
+
+
+@register("duplicate_all", "W10,W11,A6,W5,Q7,Q8", oracle.DUPLICATE_ALL)
+def duplicate_all(spark, sf_dir):
+    ev = roles.event_log(spark, sf_dir)
+    q7, q8 = quality.duplicated_lists(ev, EV_ORDER, WORD_TYPE, RECALL_TYPE,
+                                      dup_keys=["subject", "list", "item", "type"])
+    return q7.withColumn("reason", F.lit("duplicated_encoding")).unionByName(
+        q8.withColumn("reason", F.lit("duplicated_data")))
+
+
+@register("subjects_missing_type", "A1,A2,Q1", oracle.SUBJECTS_MISSING_TYPE)
+def subjects_missing_type(spark, sf_dir):
+    ev = roles.event_log(spark, sf_dir)
+    return quality.subjects_missing_types(ev, [WORD_TYPE, RECALL_TYPE], ["subject", "session"])
+
+
+@register("rare_items", "A1,A3,J12,Q2", oracle.RARE_ITEMS)
+def rare_items(spark, sf_dir):
+    words = roles.trial_words(spark, sf_dir, with_category=False)
+    return quality.rare_item_subjects(words, RARE_ITEM_MIN_SUBJECTS)
+
+
+@register("wrong_length_lists", "A4,A5,Q5", oracle.WRONG_LENGTH_LISTS)
+def wrong_length_lists(spark, sf_dir):
+    words = roles.trial_words(spark, sf_dir, with_category=False)
+    return quality.wrong_length_lists(words, EXPECTED_LIST_LEN)
+
+
+@register("recall_mismatch", "J3,Q4", oracle.RECALL_MISMATCH)
+def recall_mismatch(spark, sf_dir):
+    words = roles.trial_words(spark, sf_dir, with_category=False)
+    recalls = words.where(F.col("status") == "F")
+    return quality.recall_mismatch(words, recalls)
+
+
+def word_bad_lists(words: DataFrame) -> list[DataFrame]:
+    recalls = words.where(F.col("status") == "F")
+    return [
+        quality.repeated_presentations(words, ["serialpos"]),
+        quality.recall_mismatch(words, recalls),
+        quality.wrong_length_lists(words, EXPECTED_LIST_LEN),
+        quality.timing_issue_lists(words, ["serialpos"], SHIP_GAP_MIN_MS, SHIP_GAP_MAX_MS),
+    ]
+
+
+@register("bad_list_union", "Q3,Q4,Q5,Q6,Q10,O4", oracle.BAD_LIST_UNION)
+def bad_list_union(spark, sf_dir):
+    words = roles.trial_words(spark, sf_dir, with_category=False)
+    _, bad = quality.remove_bad_lists(words, word_bad_lists(words))
+    return bad
+
+
+@register("list_shift_repair", "W3,W4,J5,P25,Q11", oracle.LIST_SHIFT_REPAIR)
+def list_shift_repair(spark, sf_dir):
+    ev = roles.event_log(spark, sf_dir).where(F.col("type").isin(COUNTDOWN_TYPES))
+    fixed = quality.countdown_list_repair(ev, EV_ORDER, file_col=None)
+    return fixed.select("event_id", *LIST_KEYS, "type", "type_occurrence", "new_list")
+
+
+@register("gap_stats_topk", "W8,W9,P26,A8,O2,Q13", oracle.GAP_STATS_TOPK)
+def gap_stats_topk(spark, sf_dir):
+    ev = roles.event_log(spark, sf_dir).where(F.col("type").isin(COUNTDOWN_TYPES))
+    fixed = quality.countdown_list_repair(ev, EV_ORDER, file_col=None)
+    fixed = fixed.withColumn("list", F.col("new_list")).drop("new_list")
+    gaps = quality.countdown_gaps(fixed, EV_ORDER).where(F.col("diff") > COUNTDOWN_MIN_GAP_MS)
+    st = quality.gap_stats(gaps).where((F.col("diff_std") != 0) & (F.col("diff_mean") != 0))
+    top = quality.top_by(st, "diff_std_s", 20, ["subject", "session"])
+    return top.select("subject", "session", r6("diff_mean_s").alias("diff_mean_s"),
+                      r6("diff_std_s").alias("diff_std_s"))

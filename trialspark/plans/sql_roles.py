@@ -15,7 +15,8 @@ words AS (
          l.l_partkey AS item,
          CAST(l.l_returnflag = 'R' AS BIGINT) AS recalled,
          l.l_extendedprice AS value,
-         epoch_ms(l.l_shipdate) AS mstime
+         CAST(floor(epoch_us(l.l_shipdate) / 1000) AS BIGINT) AS mstime,
+         l.l_linestatus AS status
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 )"""
 
@@ -29,9 +30,9 @@ evlog AS (
   SELECT event_id,
          user_id AS subject,
          CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS session,
-         CAST(hour(ts) + 1 AS BIGINT) AS list,
+         CAST(floor(hour(ts) / 6) + 1 AS BIGINT) AS list,
          event_type AS type,
-         epoch_ms(ts) AS mstime,
+         CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS mstime,
          CAST(json_extract_string(props, '$.k') AS BIGINT) AS item,
          value
   FROM events

@@ -8,8 +8,8 @@ position so that every query reads the full tables:
   year(o_orderdate), list = l_orderkey, serial position = rank of the line inside
   its order by a total five-column order, item = l_partkey, category = p_type,
   recalled = (l_returnflag = 'R'), value = l_extendedprice, mstime = ship time.
-* event log (events): subject = user_id, session = day number, list = hour of
-  day + 1, type = event_type, order = (ts, event_id), item = props.k.
+* event log (events): subject = user_id, session = day number, list = 6-hour
+  block of the day (1..4), type = event_type, order = (ts, event_id), item = props.k.
 * feature events (embeddings): each vector is one presented item; items are
   presented in vec_id order in lists of LIST_LEN, LISTS_PER_SESSION lists make a
   session and SESSIONS_PER_SUBJECT sessions a subject; category = label; label 0
@@ -31,11 +31,17 @@ SESSIONS_PER_SUBJECT = 2
 N_CHANNELS = 8
 N_FREQS = 8
 BASELINE_LABEL = 0
+EVENT_LIST_HOURS = 6
 
 # total order of lines inside an order ((l_orderkey, l_linenumber) is not unique)
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 
 
+def _ms(ts):
+    """Milliseconds since the epoch, truncated from microseconds (the same rule as the oracle)."""
+    return F.floor(F.unix_micros(ts.cast("timestamp")) / 1000).cast("bigint")
+
+
 def trial_words(spark: SparkSession, sf_dir: str, with_category: bool = True) -> DataFrame:
     """Presented items: one row per line item with its trial coordinates."""
     li = read_table(spark, sf_dir, "lineitem")
@@ -50,7 +56,8 @@ def trial_words(spark: SparkSession, sf_dir: str, with_category: bool = True) ->
         F.col("l_partkey").alias("item"),
         (F.col("l_returnflag") == "R").cast("bigint").alias("recalled"),
         F.col("l_extendedprice").alias("value"),
-        F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("mstime"),
+        _ms(F.col("l_shipdate")).alias("mstime"),
+        F.col("l_linestatus").alias("status"),
     )
     if with_category:
         p = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"),
@@ -66,9 +73,9 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id"),
         F.col("user_id").alias("subject"),
         F.unix_date(F.to_date("ts")).cast("bigint").alias("session"),
-        (F.hour("ts") + 1).cast("bigint").alias("list"),
+        (F.floor(F.hour("ts") / EVENT_LIST_HOURS) + 1).cast("bigint").alias("list"),
         F.col("event_type").alias("type"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("mstime"),
+        _ms(F.col("ts")).alias("mstime"),
         F.get_json_object("props", "$.k").cast("bigint").alias("item"),
         F.col("value"),
     )
