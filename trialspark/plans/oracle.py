@@ -169,3 +169,83 @@ SELECT subject, session, round(diff_mean / 1000, 6) + 0.0 AS diff_mean_s, round(
 FROM st WHERE diff_std <> 0 AND diff_mean <> 0
 ORDER BY diff_std / 1000 DESC NULLS LAST, subject, session LIMIT 20
 """
+
+_BSTATS = """
+bstats AS (SELECT subject, session, k, avg(x) AS mu, stddev_pop(x) AS sd FROM flong WHERE is_baseline
+           GROUP BY subject, session, k),
+z AS (SELECT f.event, f.subject, f.session, f.list, f.serialpos, f.category, f.k,
+             (f.x - b.mu) / nullif(b.sd, 0) AS z
+      FROM flong f LEFT JOIN bstats b ON f.subject = b.subject AND f.session = b.session AND f.k = b.k
+      WHERE NOT f.is_baseline)"""
+
+BASELINE_ZSCORE = with_(FEATURES, _BSTATS) + "SELECT event, k, round(z, 6) + 0.0 AS z FROM z"
+
+SELF_ZSCORE = with_(FEATURES, """
+sstats AS (SELECT subject, session, k, avg(x) AS mu, stddev_pop(x) AS sd FROM flong WHERE NOT is_baseline
+           GROUP BY subject, session, k)
+""") + """
+SELECT f.event, f.k, round((f.x - s.mu) / nullif(s.sd, 0), 6) + 0.0 AS z
+FROM flong f JOIN sstats s ON f.subject = s.subject AND f.session = s.session AND f.k = s.k
+WHERE NOT f.is_baseline
+"""
+
+_PAIRS_LONG = """
+pl AS (SELECT a.subject AS subject_encoding, a.session AS session_encoding, a.list AS list_encoding,
+              a.serialpos AS serialpos_encoding, b.serialpos AS serialpos_encoding2,
+              a.category AS category_encoding, b.category AS category_encoding2, a.k, a.z AS za, b.z AS zb
+       FROM z a JOIN z b ON a.subject = b.subject AND a.session = b.session AND a.list = b.list
+                        AND a.k = b.k AND b.serialpos > a.serialpos)"""
+
+_PAIR_KEYS = ("subject_encoding, session_encoding, list_encoding, serialpos_encoding, serialpos_encoding2, "
+              "category_encoding, category_encoding2")
+
+PAIRWISE_SIMILARITY = with_(FEATURES, _BSTATS, _PAIRS_LONG, f"""
+pr AS (SELECT {_PAIR_KEYS}, corr(zb, za) AS r FROM pl GROUP BY {_PAIR_KEYS})
+""") + f"""
+SELECT {_PAIR_KEYS}, round(r, 6) + 0.0 AS corr, round(atanh(r), 6) + 0.0 AS corr_z FROM pr
+"""
+
+LEAVE_ONE_FREQUENCY_OUT = with_(FEATURES, _BSTATS, _PAIRS_LONG, f"""
+d AS (SELECT CAST(range AS BIGINT) AS drop_freq FROM range(8)),
+pr AS (SELECT {_PAIR_KEYS}, d.drop_freq, corr(zb, za) AS r FROM pl JOIN d ON pl.k % 8 <> d.drop_freq
+       GROUP BY {_PAIR_KEYS}, d.drop_freq)
+""") + f"""
+SELECT {_PAIR_KEYS}, drop_freq, round(atanh(r), 6) + 0.0 AS corr_z FROM pr
+"""
+
+SIMILARITY_OVER_TIME = with_(FEATURES, _BSTATS, f"""
+zc AS (SELECT *, k // 8 AS c, k % 8 AS t FROM z),
+enc AS (SELECT event, subject, session, list, serialpos, category, c, avg(z) AS ze
+        FROM zc GROUP BY event, subject, session, list, serialpos, category, c),
+pt AS (SELECT a.subject AS subject_encoding, a.session AS session_encoding, a.list AS list_encoding,
+              a.serialpos AS serialpos_encoding, b.serialpos AS serialpos_encoding2,
+              a.category AS category_encoding, b.category AS category_encoding2, b.t,
+              corr(b.z, a.ze) AS r
+       FROM enc a JOIN zc b ON a.subject = b.subject AND a.session = b.session AND a.list = b.list
+                           AND a.c = b.c AND b.serialpos > a.serialpos
+       GROUP BY ALL)
+""") + f"""
+SELECT {_PAIR_KEYS}, round(avg(CASE WHEN isnan(atanh(r)) THEN NULL ELSE atanh(r) END), 6) + 0.0 AS corr_z
+FROM pt GROUP BY {_PAIR_KEYS}
+"""
+
+SIMILARITY_SUMMARY = with_(FEATURES, _BSTATS, _PAIRS_LONG, f"""
+pr AS (SELECT {_PAIR_KEYS}, atanh(corr(zb, za)) AS corr_z FROM pl GROUP BY {_PAIR_KEYS}),
+m AS (SELECT subject_encoding AS subject, session_encoding AS session, list_encoding AS list,
+             abs(serialpos_encoding - serialpos_encoding2) AS abs_serialpos_dist,
+             coalesce(category_encoding = category_encoding2, false) AS same_category, corr_z FROM pr),
+t1 AS (SELECT *, avg(corr_z) OVER (PARTITION BY subject, session, list) AS list_mean FROM m),
+t2 AS (SELECT *, avg(list_mean) OVER (PARTITION BY subject, session) AS sess_mean FROM t1),
+t3 AS (SELECT *, avg(sess_mean) OVER (PARTITION BY subject) AS sub_mean FROM t2),
+t4 AS (SELECT *, corr_z - list_mean + avg(sub_mean) OVER () AS adj FROM t3),
+l1 AS (SELECT subject, session, list, abs_serialpos_dist, same_category, avg(adj) AS a FROM t4
+       GROUP BY subject, session, list, abs_serialpos_dist, same_category),
+l2 AS (SELECT subject, session, abs_serialpos_dist, same_category, avg(a) AS a FROM l1
+       GROUP BY subject, session, abs_serialpos_dist, same_category),
+l3 AS (SELECT subject, abs_serialpos_dist, same_category, avg(a) AS a FROM l2
+       GROUP BY subject, abs_serialpos_dist, same_category)
+""") + """
+SELECT abs_serialpos_dist, same_category, round(avg(a), 6) + 0.0 AS mean_corr_z,
+       round(stddev_samp(a) / sqrt(count(*)), 6) + 0.0 AS se_corr_z, count(*) AS n_subjects
+FROM l3 GROUP BY abs_serialpos_dist, same_category
+"""

@@ -171,3 +171,84 @@ def gap_stats_topk(spark, sf_dir):
     top = quality.top_by(st, "diff_std_s", 20, ["subject", "session"])
     return top.select("subject", "session", r6("diff_mean_s").alias("diff_mean_s"),
                       r6("diff_std_s").alias("diff_std_s"))
+
+
+# ---------------------------------------------------------------------------
+# normalisation and similarity on the feature events
+# ---------------------------------------------------------------------------
+
+from trialspark.functions.nulls import cond_false  # noqa: E402
+from trialspark.operators import similarity  # noqa: E402
+
+SESSION_KEYS = ["subject", "session"]
+PAIR_OUT = ["subject_encoding", "session_encoding", "list_encoding", "serialpos_encoding",
+            "serialpos_encoding2", "category_encoding", "category_encoding2"]
+
+
+def normalised_features(spark, sf_dir, mode: str = "baseline") -> DataFrame:
+    ev = roles.feature_events(spark, sf_dir)
+    enc = ev.where(~F.col("is_baseline"))
+    if mode == "baseline":
+        return similarity.normalise_to_baseline(enc, ev.where(F.col("is_baseline")), SESSION_KEYS)
+    return similarity.normalise_to_self(enc, SESSION_KEYS)
+
+
+def encoding_pairs(spark, sf_dir) -> DataFrame:
+    """Encoding vs itself (suffix encoding2), within-list, later position."""
+    z = normalised_features(spark, sf_dir).select("event", *LIST_KEYS, "serialpos", "category", "z")
+    return similarity.within_list_pairs(z, z, LIST_KEYS, "encoding", "encoding2",
+                                        similarity.position_rule("encoding2"))
+
+
+def _z_long(df: DataFrame) -> DataFrame:
+    return df.select("event", F.posexplode("z").alias("k", "z")).select(
+        "event", F.col("k").cast("bigint").alias("k"), r6("z").alias("z"))
+
+
+@register("baseline_zscore", "T8,A11", oracle.BASELINE_ZSCORE)
+def baseline_zscore(spark, sf_dir):
+    return _z_long(normalised_features(spark, sf_dir, "baseline"))
+
+
+@register("self_zscore", "T9,A11", oracle.SELF_ZSCORE)
+def self_zscore(spark, sf_dir):
+    return _z_long(normalised_features(spark, sf_dir, "self"))
+
+
+@register("pairwise_similarity", "T10,T13,J9,P19,P20,A14", oracle.PAIRWISE_SIMILARITY)
+def pairwise_similarity(spark, sf_dir):
+    p = similarity.pairwise_similarity(encoding_pairs(spark, sf_dir), "z_encoding", "z_encoding2")
+    return p.select(*PAIR_OUT, r6("corr").alias("corr"), r6("corr_z").alias("corr_z"))
+
+
+@register("leave_one_frequency_out", "T12,J14", oracle.LEAVE_ONE_FREQUENCY_OUT)
+def leave_one_frequency_out(spark, sf_dir):
+    p = similarity.leave_one_frequency_out(encoding_pairs(spark, sf_dir), "z_encoding", "z_encoding2",
+                                           roles.N_FREQS)
+    return p.select(*PAIR_OUT, "drop_freq", r6("corr_z").alias("corr_z"))
+
+
+@register("similarity_over_time", "T11,A7", oracle.SIMILARITY_OVER_TIME)
+def similarity_over_time(spark, sf_dir):
+    p = similarity.similarity_over_time(encoding_pairs(spark, sf_dir), "z_encoding", "z_encoding2",
+                                        roles.N_CHANNELS, roles.N_FREQS)
+    return p.select(*PAIR_OUT, r6("corr_z").alias("corr_z"))
+
+
+def similarity_model_table(spark, sf_dir) -> DataFrame:
+    """Model table of the feature events: within-list similarity plus pair features."""
+    p = similarity.pairwise_similarity(encoding_pairs(spark, sf_dir), "z_encoding", "z_encoding2")
+    return p.withColumns({
+        "same_category": cond_false(F.col("category_encoding") == F.col("category_encoding2")),
+        "abs_serialpos_dist": F.abs(F.col("serialpos_encoding") - F.col("serialpos_encoding2")),
+    })
+
+
+@register("similarity_summary", "T8,T10,F2,F3,ST13", oracle.SIMILARITY_SUMMARY)
+def similarity_summary(spark, sf_dir):
+    m = similarity_model_table(spark, sf_dir)
+    out = summaries.within_subject_summary(
+        m, value="corr_z", subject="subject_encoding", session="session_encoding", lst="list_encoding",
+        conditions=["abs_serialpos_dist", "same_category"], out_prefix="corr_z")
+    return out.select("abs_serialpos_dist", "same_category", r6("mean_corr_z").alias("mean_corr_z"),
+                      r6("se_corr_z").alias("se_corr_z"), "n_subjects")
