@@ -249,3 +249,71 @@ SELECT abs_serialpos_dist, same_category, round(avg(a), 6) + 0.0 AS mean_corr_z,
        round(stddev_samp(a) / sqrt(count(*)), 6) + 0.0 AS se_corr_z, count(*) AS n_subjects
 FROM l3 GROUP BY abs_serialpos_dist, same_category
 """
+
+_TRIAL_LOG = """
+rec AS (
+  SELECT *,
+         row_number() OVER (PARTITION BY subject, session, list, item ORDER BY mstime, serialpos) > 1 AS recall_repeat,
+         CAST(row_number() OVER (PARTITION BY subject, session, list ORDER BY mstime, serialpos) AS BIGINT) AS outpos
+  FROM words WHERE recalled = 1),
+firstrec AS (SELECT subject, session, list, item, outpos FROM rec WHERE NOT recall_repeat),
+w0 AS (SELECT w.*, f.outpos FROM words w LEFT JOIN firstrec f
+        ON w.subject = f.subject AND w.session = f.session AND w.list = f.list AND w.item = f.item),
+tl AS (SELECT *, coalesce(outpos = 1, false) AS first_recalled,
+              lag(serialpos) OVER win AS prev_serialpos, lag(recalled) OVER win AS prev_recalled,
+              lag(outpos) OVER win AS prev_outpos, lag(category) OVER win AS prev_category
+       FROM w0 WINDOW win AS (PARTITION BY subject, session, list ORDER BY serialpos))"""
+
+PAIR_FEATURES = with_(WORDS, _TRIAL_LOG, """
+p AS (SELECT a.subject AS subject_encoding, a.session AS session_encoding, a.list AS list_encoding,
+             a.serialpos AS serialpos_encoding, b.serialpos AS serialpos_encoding2,
+             a.first_recalled AS item_first, CAST(a.recalled AS BOOLEAN) AS item_recalled,
+             coalesce(a.category = b.category, false) AS same_category,
+             a.serialpos - b.serialpos AS serialpos_dist,
+             abs(a.serialpos - b.serialpos) AS abs_serialpos_dist,
+             a.recalled + b.recalled AS pair_recalled,
+             a.outpos - b.outpos AS outpos_dist, abs(a.outpos - b.outpos) AS abs_outpos_dist,
+             coalesce(abs(a.outpos - b.outpos) = 1, false) AS recall_neighbor
+      FROM tl a JOIN tl b ON a.subject = b.subject AND a.session = b.session AND a.list = b.list
+                         AND b.serialpos > a.serialpos),
+c AS (SELECT *, abs_serialpos_dist - avg(abs_serialpos_dist) OVER () AS ctr FROM p)
+""") + """
+SELECT subject_encoding, session_encoding, list_encoding, serialpos_encoding, serialpos_encoding2,
+       item_first, item_recalled, same_category, serialpos_dist, abs_serialpos_dist, pair_recalled,
+       outpos_dist, abs_outpos_dist, recall_neighbor,
+       round(ctr, 6) + 0.0 AS abs_serialpos_dist_center,
+       round(ctr / max(ctr) OVER (), 6) + 0.0 AS abs_serialpos_dist_scale
+FROM c
+"""
+
+PAIR_FEATURES_ISI = with_(WORDS, _TRIAL_LOG, """
+p AS (SELECT a.subject AS subject_encoding, a.session AS session_encoding, a.list AS list_encoding,
+             a.serialpos AS serialpos_encoding, b.prev_serialpos AS prev_serialpos_encoding_isi,
+             a.first_recalled AS item_first, CAST(a.recalled AS BOOLEAN) AS item_recalled,
+             CAST(b.prev_recalled AS BOOLEAN) AS item_before_isi_recalled,
+             coalesce(a.category = b.prev_category, false) AS same_category,
+             a.serialpos - b.prev_serialpos AS serialpos_dist,
+             abs(a.serialpos - b.prev_serialpos) AS abs_serialpos_dist,
+             a.recalled + b.prev_recalled AS pair_recalled,
+             a.outpos - b.prev_outpos AS outpos_dist, abs(a.outpos - b.prev_outpos) AS abs_outpos_dist,
+             coalesce(abs(a.outpos - b.prev_outpos) = 1, false) AS recall_neighbor
+      FROM tl a JOIN tl b ON a.subject = b.subject AND a.session = b.session AND a.list = b.list
+                         AND b.prev_serialpos >= 7 AND a.serialpos <= 6),
+c AS (SELECT *, abs_serialpos_dist - avg(abs_serialpos_dist) OVER () AS ctr FROM p),
+s AS (SELECT *, ctr / max(ctr) OVER () AS scl FROM c)
+""") + """
+SELECT subject_encoding, session_encoding, list_encoding, serialpos_encoding, prev_serialpos_encoding_isi,
+       item_first, item_recalled, item_before_isi_recalled, same_category, serialpos_dist, abs_serialpos_dist,
+       pair_recalled, outpos_dist, abs_outpos_dist, recall_neighbor,
+       round(ctr, 6) + 0.0 AS abs_serialpos_dist_center, round(scl, 6) + 0.0 AS abs_serialpos_dist_scale
+FROM s WHERE (serialpos_encoding <> 5 AND abs_serialpos_dist > 2) OR abs_serialpos_dist > 3
+"""
+
+POSITION_SCALE = with_(WORDS_NO_CAT, """
+c AS (SELECT serialpos, 2.0 * (serialpos - avg(serialpos) OVER ()) AS ctr FROM words),
+s AS (SELECT serialpos, ctr, ctr / max(ctr) OVER () AS scl FROM c)
+""") + """
+SELECT serialpos, round(any_value(ctr), 6) + 0.0 AS serialpos_center, round(any_value(scl), 6) + 0.0 AS serialpos_scale,
+       count(*) AS n
+FROM s GROUP BY serialpos
+"""

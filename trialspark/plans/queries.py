@@ -252,3 +252,55 @@ def similarity_summary(spark, sf_dir):
         conditions=["abs_serialpos_dist", "same_category"], out_prefix="corr_z")
     return out.select("abs_serialpos_dist", "same_category", r6("mean_corr_z").alias("mean_corr_z"),
                       r6("se_corr_z").alias("se_corr_z"), "n_subjects")
+
+
+# ---------------------------------------------------------------------------
+# pair feature tables
+# ---------------------------------------------------------------------------
+
+from trialspark.operators import features  # noqa: E402
+
+PF_OUT = ["subject_encoding", "session_encoding", "list_encoding", "serialpos_encoding"]
+PF_FEATURES = ["same_category", "serialpos_dist", "abs_serialpos_dist", "pair_recalled",
+               "outpos_dist", "abs_outpos_dist", "recall_neighbor"]
+
+
+def _pf_select(df: DataFrame, extra: list[str]) -> DataFrame:
+    return df.select(*PF_OUT, *extra, *PF_FEATURES,
+                     r6("abs_serialpos_dist_center").alias("abs_serialpos_dist_center"),
+                     r6("abs_serialpos_dist_scale").alias("abs_serialpos_dist_scale"))
+
+
+@register("pair_features", "P13,P19,P20,F2,F3,F4,F5,F6,F8,F9", oracle.PAIR_FEATURES)
+def pair_features(spark, sf_dir):
+    log = trial_log(roles.trial_words(spark, sf_dir)).select(
+        *LIST_KEYS, "serialpos", "category", "recalled", "outpos", "first_recalled")
+    pairs = similarity.within_list_pairs(log, log, LIST_KEYS, "encoding", "encoding2",
+                                         similarity.position_rule("encoding2"))
+    f = features.rename_for_period(features.pair_features(pairs), "encoding", test="encoding2")
+    return _pf_select(f, ["serialpos_encoding2", "item_first", "item_recalled"])
+
+
+@register("pair_features_isi", "P19,P20,P21,F2-F6,F8", oracle.PAIR_FEATURES_ISI)
+def pair_features_isi(spark, sf_dir):
+    log = trial_log(roles.trial_words(spark, sf_dir))
+    enc = log.select(*LIST_KEYS, "serialpos", "category", "recalled", "outpos", "first_recalled")
+    test = log.select(*LIST_KEYS, "serialpos", "prev_serialpos", "prev_category", "prev_recalled",
+                      "prev_outpos")
+    pairs = similarity.within_list_pairs(
+        enc, test, LIST_KEYS, "encoding", "encoding_isi",
+        similarity.position_rule("encoding_isi", test_prefix="prev_"))
+    f = features.pair_features(pairs, test="encoding_isi", test_prefix="prev_")
+    f = features.balanced_pairs(features.rename_for_period(f, "encoding_isi"))
+    return _pf_select(f, ["prev_serialpos_encoding_isi", "item_first", "item_recalled",
+                          "item_before_isi_recalled"])
+
+
+@register("position_scale", "F7,A10", oracle.POSITION_SCALE)
+def position_scale(spark, sf_dir):
+    words = roles.trial_words(spark, sf_dir, with_category=False)
+    s = features.centre_scale(words, "serialpos", "serialpos_center", "serialpos_scale", factor=2.0)
+    return s.groupBy("serialpos").agg(
+        r6(F.first("serialpos_center")).alias("serialpos_center"),
+        r6(F.first("serialpos_scale")).alias("serialpos_scale"),
+        F.count(F.lit(1)).alias("n"))
