@@ -95,5 +95,14 @@ def null_to_sentinel(df: DataFrame, mapping: dict) -> DataFrame:
 
 
 def r6(c: str | Column, digits: int = 6) -> Column:
-    """Round for comparison output and turn -0.0 into 0.0."""
-    return F.round(col_(c), digits) + F.lit(0.0)
+    """Round the binary value half away from zero at ``digits`` decimals and turn -0.0 into 0.0.
+
+    ``F.round`` rounds the shortest decimal string HALF_UP, so an exact decimal tie
+    (common for money amounts) rounds up even when the stored double lies just below
+    it; rounding ``x * 10**digits`` as a double gives the conventional result.
+    """
+    x = col_(c).cast("double")
+    m = float(10 ** digits)
+    scaled = F.floor(F.abs(x) * m + F.lit(0.5)).cast("double") * F.signum(x) / F.lit(m)
+    safe = F.when(F.isnan(x) | (F.abs(x) >= F.lit(1e12)), x).otherwise(scaled)
+    return safe + F.lit(0.0)

@@ -317,3 +317,102 @@ SELECT serialpos, round(any_value(ctr), 6) + 0.0 AS serialpos_center, round(any_
        count(*) AS n
 FROM s GROUP BY serialpos
 """
+
+_ZWORDS = """
+z AS (SELECT *, (value - avg(value) OVER ()) / stddev_samp(value) OVER () AS y FROM words)"""
+
+STANDARDISED_FIT = with_(WORDS_NO_CAT, _ZWORDS, """
+c AS (SELECT recalled, urgent, count(*) AS n, avg(y) AS m, sum(y) AS s, sum(y * y) AS ss FROM z
+      GROUP BY recalled, urgent),
+s2 AS (SELECT sum(ss - s * s / n) / (sum(n) - 4) AS s2 FROM c),
+w AS (SELECT max(CASE WHEN recalled = 0 AND urgent = 0 THEN m END) AS m00,
+             max(CASE WHEN recalled = 1 AND urgent = 0 THEN m END) AS m10,
+             max(CASE WHEN recalled = 0 AND urgent = 1 THEN m END) AS m01,
+             max(CASE WHEN recalled = 1 AND urgent = 1 THEN m END) AS m11,
+             max(CASE WHEN recalled = 0 AND urgent = 0 THEN n END) AS n00,
+             max(CASE WHEN recalled = 1 AND urgent = 0 THEN n END) AS n10,
+             max(CASE WHEN recalled = 0 AND urgent = 1 THEN n END) AS n01,
+             max(CASE WHEN recalled = 1 AND urgent = 1 THEN n END) AS n11 FROM c),
+e AS (
+  SELECT '(Intercept)' AS term, m00 AS est, sqrt(s2 / n00) AS se FROM w, s2
+  UNION ALL SELECT 'recalled', m10 - m00, sqrt(s2 * (1.0 / n10 + 1.0 / n00)) FROM w, s2
+  UNION ALL SELECT 'urgent', m01 - m00, sqrt(s2 * (1.0 / n01 + 1.0 / n00)) FROM w, s2
+  UNION ALL SELECT 'recalled:urgent', m11 - m10 - m01 + m00,
+                   sqrt(s2 * (1.0 / n00 + 1.0 / n01 + 1.0 / n10 + 1.0 / n11)) FROM w, s2)
+""") + """
+SELECT term, round(est, 6) + 0.0 AS estimate, round(se, 6) + 0.0 AS se, round(est / se, 6) + 0.0 AS t FROM e
+"""
+
+_SLOPES = """
+g AS (SELECT subject, count(*) AS n, regr_intercept(ln(value), serialpos) AS b0,
+             regr_slope(ln(value), serialpos) AS b1
+      FROM words GROUP BY subject)"""
+
+PER_GROUP_SLOPES = with_(WORDS_NO_CAT, _SLOPES) + """
+SELECT subject, n, round(CASE WHEN isnan(b1) THEN NULL ELSE b0 END, 6) + 0.0 AS b_intercept,
+       round(CASE WHEN isnan(b1) THEN NULL ELSE b1 END, 6) + 0.0 AS b_serialpos,
+       CASE WHEN b1 IS NULL OR isnan(b1) THEN 'singular design' END AS reason
+FROM g
+"""
+
+PER_GROUP_SLOPE_SUMMARY = with_(WORDS_NO_CAT, _SLOPES, """
+b AS (SELECT CASE WHEN isnan(b1) THEN NULL ELSE b1 END AS b FROM g)
+""") + """
+SELECT round(avg(b), 6) + 0.0 AS mean_b_serialpos, round(stddev_samp(b) / sqrt(count(b)), 6) + 0.0 AS se_b_serialpos,
+       count(b) AS n_groups FROM b
+"""
+
+VARIANCE_BY_LEVEL = with_(WORDS_NO_CAT, _ZWORDS, """
+lm AS (SELECT subject, session, list, y,
+              avg(y) OVER (PARTITION BY subject, session, list) AS ml,
+              avg(y) OVER (PARTITION BY subject, session) AS ms,
+              avg(y) OVER (PARTITION BY subject) AS mu,
+              avg(y) OVER () AS m FROM z),
+cnt AS (SELECT count(*) AS n, count(DISTINCT (subject, session, list)) AS nl,
+               count(DISTINCT (subject, session)) AS ns, count(DISTINCT subject) AS nu FROM z)
+""") + """
+SELECT 'residual' AS level, CAST((SELECT n - nl FROM cnt) AS BIGINT) AS df, round(sum((y - ml) * (y - ml)), 4) + 0.0 AS ss FROM lm
+UNION ALL SELECT 'list', CAST((SELECT nl - ns FROM cnt) AS BIGINT), round(sum((ml - ms) * (ml - ms)), 4) + 0.0 FROM lm
+UNION ALL SELECT 'session', CAST((SELECT ns - nu FROM cnt) AS BIGINT), round(sum((ms - mu) * (ms - mu)), 4) + 0.0 FROM lm
+UNION ALL SELECT 'subject', CAST((SELECT nu - 1 FROM cnt) AS BIGINT), round(sum((mu - m) * (mu - m)), 4) + 0.0 FROM lm
+"""
+
+MARGINAL_MEANS = with_(WORDS, _ZWORDS, """
+cells AS (SELECT recalled, urgent, category, count(*) AS n, sum(y) AS s, sum(y * y) AS ss FROM z
+          GROUP BY recalled, urgent, category),
+s2 AS (SELECT sum(ss - s * s / n) / (sum(n) - count(*)) AS s2 FROM cells),
+sc AS (SELECT avg(value) AS mv, stddev_samp(value) AS sv FROM words),
+mm AS (SELECT urgent, recalled, sum(s) / sum(n) AS emmean, sqrt((SELECT s2 FROM s2) / sum(n)) AS se
+       FROM cells GROUP BY urgent, recalled),
+con AS (SELECT a.urgent, a.emmean - b.emmean AS est, sqrt(a.se * a.se + b.se * b.se) AS se
+        FROM mm a JOIN mm b ON a.urgent = b.urgent AND a.recalled = 1 AND b.recalled = 0)
+""") + """
+SELECT 'emmean' AS kind, urgent, recalled, round(emmean, 6) + 0.0 AS estimate,
+       round(emmean * sv + mv, 3) + 0.0 AS estimate_unscaled, round(se, 6) + 0.0 AS SE FROM mm, sc
+UNION ALL
+SELECT 'contrast', urgent, CAST(NULL AS BIGINT), round(est, 6) + 0.0, round(est * sv, 3) + 0.0, round(se, 6) + 0.0
+FROM con, sc
+"""
+
+DROP_FREQUENCY_SWEEP = with_(FEATURES, _BSTATS, _PAIRS_LONG, f"""
+d AS (SELECT CAST(range AS BIGINT) AS drop_freq FROM range(8)),
+pr AS (SELECT {_PAIR_KEYS}, d.drop_freq, atanh(corr(zb, za)) AS corr_z FROM pl JOIN d ON pl.k % 8 <> d.drop_freq
+       GROUP BY {_PAIR_KEYS}, d.drop_freq),
+p AS (SELECT drop_freq, coalesce(category_encoding = category_encoding2, false) AS same_category, corr_z
+      FROM pr WHERE corr_z IS NOT NULL),
+sc AS (SELECT drop_freq, avg(corr_z) AS m, stddev_samp(corr_z) AS s FROM p GROUP BY drop_freq),
+yy AS (SELECT p.drop_freq, same_category, (corr_z - m) / s AS y FROM p JOIN sc ON p.drop_freq = sc.drop_freq),
+cells AS (SELECT drop_freq, same_category, count(*) AS n, sum(y) AS s, sum(y * y) AS ss FROM yy
+          GROUP BY drop_freq, same_category),
+s2 AS (SELECT drop_freq, sum(ss - s * s / n) / (sum(n) - count(*)) AS s2 FROM cells GROUP BY drop_freq),
+mm AS (SELECT c.drop_freq, c.same_category, c.s / c.n AS emmean, sqrt(s2.s2 / c.n) AS se
+       FROM cells c JOIN s2 ON c.drop_freq = s2.drop_freq),
+con AS (SELECT a.drop_freq, a.emmean - b.emmean AS est, sqrt(a.se * a.se + b.se * b.se) AS se
+        FROM mm a JOIN mm b ON a.drop_freq = b.drop_freq AND a.same_category AND NOT b.same_category),
+hz AS (SELECT * FROM (VALUES (0, 3.0), (1, 5.4), (2, 9.7), (3, 17.3), (4, 31.1), (5, 55.9), (6, 100.3), (7, 180.0))
+       AS t(drop_freq, dropped_freq_hz))
+""") + """
+SELECT con.drop_freq, hz.dropped_freq_hz, round(est, 6) + 0.0 AS estimate, round(con.se, 6) + 0.0 AS se,
+       round(est * sc.s, 6) + 0.0 AS corr_z_diff_unscaled, round(con.se * sc.s, 6) + 0.0 AS corr_z_diff_unscaled_SE
+FROM con JOIN sc ON con.drop_freq = sc.drop_freq JOIN hz ON con.drop_freq = hz.drop_freq
+"""

@@ -16,6 +16,7 @@ from trialspark.operators import summaries
 from trialspark.plans import oracle
 from trialspark.plans.registry import register
 from trialspark.sources import roles
+from trialspark.sources.tables import DROPPED_FREQ_HZ_LABELS
 
 
 @register("within_subject_summary", "W12,W13,A15,A16,ST13", oracle.WITHIN_SUBJECT_SUMMARY)
@@ -304,3 +305,97 @@ def position_scale(spark, sf_dir):
         r6(F.first("serialpos_center")).alias("serialpos_center"),
         r6(F.first("serialpos_scale")).alias("serialpos_scale"),
         F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# statistics (ST1-ST12, ST14)
+# ---------------------------------------------------------------------------
+
+from trialspark.operators import stats  # noqa: E402
+
+
+def _standardised_words(spark, sf_dir, with_category=False) -> DataFrame:
+    return stats.standardise(roles.trial_words(spark, sf_dir, with_category), "value", "y")
+
+
+def _round_cols(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
+    return df.withColumns({c: r6(c, digits) for c in cols})
+
+
+@register("standardised_fit", "ST1,ST4,ST5", oracle.STANDARDISED_FIT)
+def standardised_fit(spark, sf_dir):
+    words = _standardised_words(spark, sf_dir)
+    res = stats.fit_fixed_effects(words, "y", stats.expand_interactions(["recalled", "urgent"]))
+    return _round_cols(res.select("term", "estimate", "se", "t"), ["estimate", "se", "t"])
+
+
+@register("per_group_slopes", "ST6", oracle.PER_GROUP_SLOPES)
+def per_group_slopes(spark, sf_dir):
+    words = roles.trial_words(spark, sf_dir, with_category=False).withColumn("y", F.log("value"))
+    res = stats.per_group_effects(words, ["subject"], "y", ["serialpos"])
+    return _round_cols(res, ["b_intercept", "b_serialpos"])
+
+
+@register("per_group_slope_summary", "ST6,A16", oracle.PER_GROUP_SLOPE_SUMMARY)
+def per_group_slope_summary(spark, sf_dir):
+    words = roles.trial_words(spark, sf_dir, with_category=False).withColumn("y", F.log("value"))
+    res = stats.per_group_effects(words, ["subject"], "y", ["serialpos"])
+    s = stats.mean_se(res, "b_serialpos")
+    return _round_cols(s, ["mean_b_serialpos", "se_b_serialpos"])
+
+
+@register("variance_by_level", "ST7", oracle.VARIANCE_BY_LEVEL)
+def variance_by_level(spark, sf_dir):
+    words = _standardised_words(spark, sf_dir)
+    res = stats.variance_by_level(words, "y", ["subject", "session", "list"])
+    return _round_cols(res, ["ss"], 4)
+
+
+@register("marginal_means", "ST9,ST10,ST11", oracle.MARGINAL_MEANS)
+def marginal_means(spark, sf_dir):
+    words = roles.trial_words(spark, sf_dir, with_category=True)
+    st = words.agg(F.struct(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))).scalar()
+    words = words.withColumn("y", (F.col("value") - st.getField("m")) / st.getField("s"))
+    mm = stats.marginal_means(words, "y", ["recalled", "urgent", "category"], "recalled", ["urgent"])
+    con = stats.revpairwise(mm, "recalled", 1, 0, ["urgent"])
+    em = mm.select(F.lit("emmean").alias("kind"), "urgent", "recalled", F.col("emmean").alias("estimate"), "se")
+    em = em.withColumn("estimate_unscaled", F.col("estimate") * st.getField("s") + st.getField("m"))
+    con = con.select(F.lit("contrast").alias("kind"), "urgent", F.lit(None).cast("bigint").alias("recalled"),
+                     "estimate", "se").withColumn("estimate_unscaled", F.col("estimate") * st.getField("s"))
+    out = em.unionByName(con).withColumnRenamed("se", "_se")
+    out = stats.comparison_bars(out.withColumns({"_lo": F.col("estimate") - F.col("_se"),
+                                                 "_hi": F.col("estimate") + F.col("_se")}),
+                                "estimate", "_lo", "_hi").drop("_lo", "_hi", "_se")
+    return _round_cols(out, ["estimate", "SE"]).withColumn("estimate_unscaled", r6("estimate_unscaled", 3))
+
+
+@register("drop_frequency_sweep", "ST1,ST9,ST11,ST12,T12", oracle.DROP_FREQUENCY_SWEEP)
+def drop_frequency_sweep(spark, sf_dir):
+    p = similarity.leave_one_frequency_out(encoding_pairs(spark, sf_dir), "z_encoding", "z_encoding2",
+                                           roles.N_FREQS)
+    p = p.withColumn("same_category", cond_false(F.col("category_encoding") == F.col("category_encoding2")))
+    p = p.where(F.col("corr_z").isNotNull())
+    # ST1 within each dropped frequency: 8 groups, a table bounded by the number of frequencies
+    sc = p.groupBy("drop_freq").agg(F.avg("corr_z").alias("_m"), F.stddev_samp("corr_z").alias("_s"))
+    p = p.join(F.broadcast(sc), "drop_freq").withColumn("y", (F.col("corr_z") - F.col("_m")) / F.col("_s"))
+    mm = stats.marginal_means(p, "y", ["same_category"], "same_category", [], extra_keys=["drop_freq"])
+    con = stats.revpairwise(mm, "same_category", True, False, [], keys=["drop_freq"])
+    con = con.join(F.broadcast(sc), "drop_freq").join(
+        stats.frequency_labels(spark, DROPPED_FREQ_HZ_LABELS), "drop_freq")
+    con = stats.unstandardise(con, {"estimate": "corr_z_diff_unscaled", "se": "corr_z_diff_unscaled_SE"},
+                              F.col("_m"), F.col("_s"), contrast=True)
+    return _round_cols(con.select("drop_freq", "dropped_freq_hz", "estimate", "se", "corr_z_diff_unscaled",
+                                  "corr_z_diff_unscaled_SE"),
+                       ["estimate", "se", "corr_z_diff_unscaled", "corr_z_diff_unscaled_SE"])
+
+
+@register("type3_tests", "ST8")
+def type3_tests(spark, sf_dir):
+    words = _standardised_words(spark, sf_dir)
+    return stats.type3_tests(words, "y", stats.expand_interactions(["recalled", "urgent"]))
+
+
+@register("logistic_fit", "ST14")
+def logistic_fit(spark, sf_dir):
+    words = roles.trial_words(spark, sf_dir, with_category=False).withColumn("value_k", F.col("value") / 10000)
+    return stats.logistic_fixed_effects(words, "recalled", ["urgent", "value_k"])

@@ -16,7 +16,8 @@ words AS (
          CAST(l.l_returnflag = 'R' AS BIGINT) AS recalled,
          l.l_extendedprice AS value,
          CAST(floor(epoch_us(l.l_shipdate) / 1000) AS BIGINT) AS mstime,
-         l.l_linestatus AS status
+         l.l_linestatus AS status,
+         CAST(o.o_orderpriority = '1-URGENT' AS BIGINT) AS urgent
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 )"""
 

@@ -45,7 +45,8 @@ def _ms(ts):
 def trial_words(spark: SparkSession, sf_dir: str, with_category: bool = True) -> DataFrame:
     """Presented items: one row per line item with its trial coordinates."""
     li = read_table(spark, sf_dir, "lineitem")
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate",
+                                                   "o_orderpriority")
     df = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     df = df.select(
@@ -58,6 +59,7 @@ def trial_words(spark: SparkSession, sf_dir: str, with_category: bool = True) ->
         F.col("l_extendedprice").alias("value"),
         _ms(F.col("l_shipdate")).alias("mstime"),
         F.col("l_linestatus").alias("status"),
+        (F.col("o_orderpriority") == "1-URGENT").cast("bigint").alias("urgent"),
     )
     if with_category:
         p = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"),
