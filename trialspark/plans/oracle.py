@@ -416,3 +416,100 @@ SELECT con.drop_freq, hz.dropped_freq_hz, round(est, 6) + 0.0 AS estimate, round
        round(est * sc.s, 6) + 0.0 AS corr_z_diff_unscaled, round(con.se * sc.s, 6) + 0.0 AS corr_z_diff_unscaled_SE
 FROM con JOIN sc ON con.drop_freq = sc.drop_freq JOIN hz ON con.drop_freq = hz.drop_freq
 """
+
+EPOCH_BINS = with_(EVENTS, """
+ons AS (SELECT event_id AS onset_id, subject, mstime AS t0 FROM evlog WHERE type = 'purchase'),
+ep AS (SELECT o.onset_id, s.mstime - o.t0 AS rel, s.value
+       FROM ons o JOIN evlog s ON s.subject = o.subject AND s.mstime BETWEEN o.t0 - 9000000 AND o.t0 + 1800000),
+dm AS (SELECT onset_id, rel, value - avg(value) OVER (PARTITION BY onset_id) AS v FROM ep),
+b AS (SELECT onset_id, CAST(-7200000 + (ceil((rel + 7200000) / 1800000.0) - 1) * 1800000 AS BIGINT) AS time_bin, v
+      FROM dm WHERE rel > -7200000 AND rel <= 0)
+""") + """
+SELECT onset_id, time_bin, round(avg(v), 6) + 0.0 AS value, count(*) AS n FROM b GROUP BY onset_id, time_bin
+"""
+
+PAIR_SCREEN = with_(WORDS_NO_CAT, r"""
+pr AS (SELECT session AS subject, urgent AS montage, list, serialpos, item AS contact_1,
+              lead(item) OVER (PARTITION BY subject, session, list ORDER BY serialpos) AS contact_2 FROM words),
+ct AS (SELECT p_partkey AS contact, p_brand AS label,
+              CASE WHEN p_size < 3 THEN 'uD' WHEN p_size <= 35 THEN 'D' ELSE 'S' END AS type,
+              CAST(p_size AS DOUBLE) AS vox_x, p_retailprice / 100 AS vox_y, CAST(length(p_name) AS DOUBLE) AS vox_z
+       FROM part),
+prs AS (SELECT pr.*, concat_ws('-', a.label, b.label) AS label, a.type AS type_1, b.type AS type_2
+        FROM pr JOIN ct a ON pr.contact_1 = a.contact JOIN ct b ON pr.contact_2 = b.contact
+        WHERE pr.contact_2 IS NOT NULL),
+f AS (SELECT * FROM prs WHERE type_1 IS DISTINCT FROM 'uD' AND type_1 IS NOT NULL AND type_1 = type_2),
+j AS (SELECT f.*, a.label AS label_1, b.label AS label_2,
+             sqrt((a.vox_x - b.vox_x) ^ 2 + (a.vox_y - b.vox_y) ^ 2 + (a.vox_z - b.vox_z) ^ 2) AS dist,
+             string_split(f.label, '-') AS parts
+      FROM f JOIN ct a ON f.contact_1 = a.contact JOIN ct b ON f.contact_2 = b.contact
+      WHERE a.vox_x IS NOT NULL AND a.vox_y IS NOT NULL AND a.vox_z IS NOT NULL
+        AND b.vox_x IS NOT NULL AND b.vox_y IS NOT NULL AND b.vox_z IS NOT NULL),
+two AS (SELECT * FROM j WHERE len(parts) = 2 AND label_1 = parts[1] AND label_2 = parts[2]
+          AND (abs(TRY_CAST(nullif(regexp_extract(parts[1], '(\d+)$', 1), '') AS INTEGER)
+                   - TRY_CAST(nullif(regexp_extract(parts[2], '(\d+)$', 1), '') AS INTEGER)) = 1
+               OR type_1 IS DISTINCT FROM 'D')
+          AND dist < 25),
+u AS (SELECT * FROM two UNION ALL SELECT * FROM j WHERE len(parts) > 2),
+c AS (SELECT *, count(label) OVER (PARTITION BY subject, montage) AS n_contacts FROM u)
+""") + """
+SELECT subject, montage, list, serialpos, contact_1, contact_2, label, round(dist, 6) + 0.0 AS dist, n_contacts
+FROM c WHERE n_contacts >= 10
+"""
+
+SAMPLE_SUMMARY = with_(WORDS_NO_CAT, """
+ns AS (SELECT subject, count(DISTINCT session) AS x FROM words GROUP BY subject),
+nl AS (SELECT subject, session, count(DISTINCT list) AS x FROM words GROUP BY subject, session),
+mp AS (SELECT subject, min(c) AS x FROM (SELECT subject, session, count(*) AS c FROM words GROUP BY subject, session)
+       GROUP BY subject)
+""") + """
+SELECT 'sessions_per_subject' AS measure, CAST(x AS BIGINT) AS bin, count(*) AS n FROM ns GROUP BY x
+UNION ALL SELECT 'lists_per_session', CAST(x AS BIGINT), count(*) FROM nl GROUP BY x
+UNION ALL SELECT 'min_pairs_per_subject', CAST(floor(x / 20) * 20 AS BIGINT), count(*) FROM mp GROUP BY floor(x / 20)
+"""
+
+REGION_COVERAGE = """
+WITH loc AS (
+  SELECT o.o_custkey AS subject,
+         CASE WHEN s.s_acctbal < 0 THEN ' Unknown ' ELSE '"' || sn.n_name || '"' END AS a1,
+         cn.n_name AS a2
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+       JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation sn ON s.s_nationkey = sn.n_nationkey
+       JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation cn ON c.c_nationkey = cn.n_nationkey),
+cl AS (SELECT subject, trim(lower(trim(a1)), '"') AS c1, trim(lower(trim(a2)), '"') AS c2 FROM loc),
+cl2 AS (SELECT subject,
+               coalesce(CASE WHEN c1 IN ('nan', 'unknown', 'none', '[]', 'left tc', '', ' ') THEN NULL ELSE c1 END,
+                        CASE WHEN c2 IN ('nan', 'unknown', 'none', '[]', 'left tc', '', ' ') THEN NULL ELSE c2 END) AS sub
+        FROM cl),
+lk AS (SELECT lower(n.n_name) AS subregion_original, r.r_name AS region
+       FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey),
+j AS (SELECT cl2.subject, lk.region FROM cl2 LEFT JOIN lk ON cl2.sub = lk.subregion_original WHERE cl2.sub IS NOT NULL),
+per AS (SELECT subject, region, count(*) AS n FROM j WHERE region IS NOT NULL GROUP BY subject, region)
+SELECT region, count(DISTINCT subject) AS n_subjects FROM per
+WHERE n > 0 AND region NOT IN ('Other', 'Other Cortex', 'Subcortical', 'Occipital') GROUP BY region
+UNION ALL SELECT 'Total Subjects', count(DISTINCT subject) FROM per
+"""
+
+QUALITY_REPORT = with_(WORDS_NO_CAT, """
+per_item AS (SELECT item, count(DISTINCT subject) AS n FROM words GROUP BY item),
+rare AS (SELECT DISTINCT subject FROM words WHERE item IN (SELECT item FROM per_item WHERE n < 25)),
+s1 AS (SELECT * FROM words WHERE subject NOT IN (SELECT subject FROM rare)),
+recf AS (SELECT DISTINCT subject, session, list, item FROM s1 WHERE status = 'F'),
+mm AS (SELECT DISTINCT w.subject, w.session, w.list FROM s1 w LEFT JOIN recf r
+         ON w.subject = r.subject AND w.session = r.session AND w.list = r.list AND w.item = r.item
+       WHERE (w.recalled = 1 AND r.item IS NULL) OR (w.recalled = 0 AND r.item IS NOT NULL)),
+rep AS (SELECT DISTINCT subject, session, list FROM (
+          SELECT *, row_number() OVER (PARTITION BY subject, session, list, item ORDER BY serialpos) AS rn FROM s1)
+        WHERE rn > 1),
+wl AS (SELECT subject, session, list FROM s1 GROUP BY subject, session, list HAVING count(*) <> 4),
+tim AS (SELECT DISTINCT subject, session, list FROM (
+          SELECT *, mstime - lag(mstime) OVER (PARTITION BY subject, session, list ORDER BY serialpos) AS gap FROM s1)
+        WHERE gap > 2592000000 OR gap < -2592000000),
+bad AS (SELECT * FROM rep UNION SELECT * FROM mm UNION SELECT * FROM wl UNION SELECT * FROM tim),
+s2 AS (SELECT s1.* FROM s1 ANTI JOIN bad ON s1.subject = bad.subject AND s1.session = bad.session AND s1.list = bad.list)
+""") + """
+SELECT CAST(0 AS BIGINT) AS step, 'raw' AS step_name, count(*) AS n_rows, count(DISTINCT subject) AS n_subjects,
+       count(DISTINCT (subject, session)) AS n_sessions FROM words
+UNION ALL SELECT 1, 'no_rare_item_subjects', count(*), count(DISTINCT subject), count(DISTINCT (subject, session)) FROM s1
+UNION ALL SELECT 2, 'no_bad_lists', count(*), count(DISTINCT subject), count(DISTINCT (subject, session)) FROM s2
+"""

@@ -8,7 +8,7 @@ BIGINT on both sides so the two can be compared by value hash.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialspark.functions.nulls import r6
@@ -399,3 +399,124 @@ def type3_tests(spark, sf_dir):
 def logistic_fit(spark, sf_dir):
     words = roles.trial_words(spark, sf_dir, with_category=False).withColumn("value_k", F.col("value") / 10000)
     return stats.logistic_fixed_effects(words, "recalled", ["urgent", "value_k"])
+
+
+# ---------------------------------------------------------------------------
+# epochs and spectral power
+# ---------------------------------------------------------------------------
+
+from trialspark.operators import epochs as ep_ops  # noqa: E402
+from trialspark.operators import spectral  # noqa: E402
+from trialspark.sources.tables import FREQ_MAX_HZ, FREQ_MIN_HZ, LINE_NOISE_HZ, N_FREQS, WAVELET_WIDTH  # noqa: E402
+
+# epoch parameters for the event log (ms): 2 h before each purchase, 30 min buffers, 30 min bins
+EPOCH_START_MS, EPOCH_END_MS, EPOCH_BUFFER_MS, EPOCH_BIN_MS = -7_200_000, 0, 1_800_000, 1_800_000
+ONSET_TYPE = "purchase"
+GRID_MS = 10_000  # regular grid of the power epochs (treated as the 1000 Hz resampled rate)
+
+
+def _event_epochs(spark, sf_dir) -> DataFrame:
+    ev = roles.event_log(spark, sf_dir)
+    on = ev.where(F.col("type") == ONSET_TYPE).select(F.col("event_id").alias("onset_id"), "subject", "mstime")
+    samples = ev.select("subject", "mstime", "value")
+    return ep_ops.epochs(on, samples, ["subject"], "mstime", "mstime",
+                         EPOCH_START_MS, EPOCH_END_MS, EPOCH_BUFFER_MS)
+
+
+@register("epoch_bins", "J13,T1,T2,T6,T7,A13", oracle.EPOCH_BINS)
+def epoch_bins(spark, sf_dir):
+    e = ep_ops.demean(_event_epochs(spark, sf_dir), "value")
+    e = ep_ops.time_bins(ep_ops.trim_buffer(e, EPOCH_START_MS, EPOCH_END_MS),
+                         EPOCH_START_MS, EPOCH_END_MS, EPOCH_BIN_MS)
+    out = ep_ops.binned_mean(e, "value", ["onset_id"])
+    return out.select("onset_id", "time_bin", r6("value").alias("value"), "n")
+
+
+@register("epoch_power", "T3,T4,T5,T6,A12")
+def epoch_power(spark, sf_dir):
+    e = _event_epochs(spark, sf_dir)
+    lo = EPOCH_START_MS - EPOCH_BUFFER_MS
+    n_times = (EPOCH_END_MS - EPOCH_START_MS + 2 * EPOCH_BUFFER_MS) // GRID_MS + 1
+    # T4: irregular samples onto the regular grid (sum per grid step), bounded per epoch
+    g = e.withColumn("idx", F.floor((F.col("rel") - lo) / GRID_MS).cast("int")).groupBy("onset_id", "idx").agg(
+        F.sum("value").alias("v"))
+    per = g.groupBy("onset_id").agg(F.collect_list("idx").alias("idx"), F.collect_list("v").alias("v"))
+    freqs = spectral.logspace_freqs(FREQ_MIN_HZ, FREQ_MAX_HZ, N_FREQS)
+    return spectral.epoch_power(per, "onset_id", "idx", "v", n_times, 1000.0, freqs,
+                                buffer_n=EPOCH_BUFFER_MS // GRID_MS, width=WAVELET_WIDTH)
+
+
+# ---------------------------------------------------------------------------
+# pair screen, sample summary, coverage, quality report
+# ---------------------------------------------------------------------------
+
+from trialspark.operators import pairs_screen, summary  # noqa: E402
+
+MICRO_TYPE, DEPTH_TYPE = "uD", "D"
+
+
+def _contacts(spark, sf_dir) -> DataFrame:
+    p = roles.read_table(spark, sf_dir, "part")
+    contact_type = (F.when(F.col("p_size") < 3, "uD").when(F.col("p_size") <= 35, "D").otherwise("S"))
+    return p.select(F.col("p_partkey").alias("contact"), F.col("p_brand").alias("label"),
+                    contact_type.alias("type"),
+                    F.col("p_size").cast("double").alias("vox_x"), (F.col("p_retailprice") / 100).alias("vox_y"),
+                    F.length("p_name").cast("double").alias("vox_z"))
+
+
+def _pairs(spark, sf_dir, contacts: DataFrame) -> DataFrame:
+    words = roles.trial_words(spark, sf_dir, with_category=False)
+    w = Window.partitionBy(*LIST_KEYS).orderBy("serialpos")
+    # screen role: subject = order year, montage = priority class; pairs = consecutive lines
+    pr = words.select(F.col("session").alias("subject"), F.col("urgent").alias("montage"), "list", "serialpos",
+                      F.col("item").alias("contact_1"), F.lead("item").over(w).alias("contact_2")
+                      ).where(F.col("contact_2").isNotNull())
+    a = contacts.select(F.col("contact").alias("contact_1"), F.col("label").alias("_l1"), F.col("type").alias("type_1"))
+    b = contacts.select(F.col("contact").alias("contact_2"), F.col("label").alias("_l2"), F.col("type").alias("type_2"))
+    return pr.join(a, "contact_1").join(b, "contact_2").withColumn(
+        "label", F.concat_ws("-", "_l1", "_l2")).drop("_l1", "_l2")
+
+
+@register("pair_screen", "P14,P15,P16,P17,P18,J7,W6,O4,Q14", oracle.PAIR_SCREEN)
+def pair_screen(spark, sf_dir):
+    c = _contacts(spark, sf_dir)
+    out = pairs_screen.screen_pairs(_pairs(spark, sf_dir, c), c, [], micro_type=MICRO_TYPE,
+                                    depth_type=DEPTH_TYPE, count_keys=["subject", "montage"])
+    return out.select("subject", "montage", "list", "serialpos", "contact_1", "contact_2", "label",
+                      r6("dist").alias("dist"), "n_contacts")
+
+
+@register("sample_summary", "ST15,A1,A9,A20", oracle.SAMPLE_SUMMARY)
+def sample_summary(spark, sf_dir):
+    words = roles.trial_words(spark, sf_dir, with_category=False)
+    return summary.sample_summary(words, "subject", "session", "list",
+                                  pairs_per=summary.min_of_counts(words, "subject", "session"))
+
+
+@register("region_coverage", "P22,P23,P24,J10,J11,A1,A21,ST16", oracle.REGION_COVERAGE)
+def region_coverage(spark, sf_dir):
+    t = lambda n: roles.read_table(spark, sf_dir, n)
+    li = t("lineitem").select("l_orderkey", "l_suppkey")
+    o = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("subject"))
+    s = t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey", "s_acctbal")
+    c = t("customer").select(F.col("c_custkey").alias("subject"), "c_nationkey")
+    n = t("nation")
+    sn = F.broadcast(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("sn_name")))
+    cn = F.broadcast(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("cn_name")))
+    loc = li.join(o, "l_orderkey").join(s, "l_suppkey").join(sn, "s_nationkey").join(c, "subject").join(cn, "c_nationkey")
+    atlas1 = F.when(F.col("s_acctbal") < 0, F.lit(" Unknown ")).otherwise(F.concat(F.lit('"'), "sn_name", F.lit('"')))
+    loc = loc.select("subject", summary.coalesce_priority(
+        [summary.clean_atlas(atlas1), summary.clean_atlas("cn_name")]).alias("subregion_original"))
+    lookup = n.join(t("region"), n.n_regionkey == F.col("r_regionkey")).select(
+        F.lower("n_name").alias("subregion_original"), F.col("r_name").alias("region"))
+    cov, _ = summary.region_coverage(loc, lookup)
+    return cov
+
+
+@register("quality_report", "A17,A19,J2,Q2,Q10", oracle.QUALITY_REPORT)
+def quality_report(spark, sf_dir):
+    words = roles.trial_words(spark, sf_dir, with_category=False)
+    rare = quality.rare_item_subjects(words, RARE_ITEM_MIN_SUBJECTS)
+    step1 = words.join(rare, "subject", "left_anti")
+    step2, _ = quality.remove_bad_lists(step1, word_bad_lists(step1))
+    return quality.step_counts([("raw", words), ("no_rare_item_subjects", step1), ("no_bad_lists", step2)])

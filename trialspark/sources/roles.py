@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialspark.sources.tables import read_table
+from trialspark.sources.tables import read_table  # noqa: F401 (re-exported)
 
 # Fixed values of the role mapping.
 LIST_LEN = 12
