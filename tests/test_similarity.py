@@ -30,7 +30,8 @@ def test_leave_one_frequency_out_equals_direct(spark):
     n_ch, n_f = 4, 8
     a, b = rng.normal(size=n_ch * n_f), rng.normal(size=n_ch * n_f)
     df = spark.createDataFrame([([float(v) for v in a], [float(v) for v in b])], "a array<double>, b array<double>")
-    rows = sorted(similarity.leave_one_frequency_out(df, "a", "b", n_f).collect(), key=lambda r: r.drop_freq)
+    df = df.withColumns({"af": similarity.frequency_major("a", n_ch, n_f), "bf": similarity.frequency_major("b", n_ch, n_f)})
+    rows = sorted(similarity.leave_one_frequency_out(df, "af", "bf", n_ch, n_f).collect(), key=lambda r: r.drop_freq)
     assert len(rows) == n_f
     for r in rows:
         keep = np.arange(n_ch * n_f) % n_f != r.drop_freq

@@ -63,18 +63,44 @@ def _zscore(x: Column, mu: Column, sd: Column) -> Column:
 
 
 def normalise_to_baseline(events: DataFrame, baseline: DataFrame, keys: Sequence[str],
-                          features: str = FEATURES, out: str = "z") -> DataFrame:
+                          features: str = FEATURES, out: str = "z",
+                          layout: tuple[int, int] | None = None) -> DataFrame:
     """(x - mean_baseline) / sd_baseline per session and feature; sd = 0 gives NULL.
-    Events of a session without baseline get a NULL vector."""
+    Events of a session without baseline get a NULL vector.
+
+    With ``layout=(n_channels, n_freqs)`` two derived per-event arrays are added:
+    ``<out>_fm`` (the z vector in frequency-major order) and ``<out>_mean`` (per-channel
+    mean over frequencies). They are built element-wise from the join's output columns
+    (features, mu, sd), so no array expression is re-evaluated inside a lambda; columns a
+    query does not use are pruned.
+    """
     st = feature_stats(baseline, keys, features)
     j = events.join(st, list(keys), "left")
-    return j.withColumn(out, _zscore(F.col(features), F.col("mu"), F.col("sd"))).drop("mu", "sd")
+    x, mu, sd = F.col(features), F.col("mu"), F.col("sd")
+    cols = {out: _zscore(x, mu, sd)}
+    if layout is not None:
+        n_ch, n_f = layout
+
+        def z_at(i):
+            return F.try_divide(x[i] - mu[i], sd[i])
+        cols[f"{out}_fm"] = F.transform(
+            F.sequence(F.lit(0), F.lit(n_ch * n_f - 1)),
+            lambda j_: z_at((j_ % n_ch) * n_f + F.floor(j_ / n_ch).cast("int")))
+        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+        cols[f"{out}_mean"] = F.transform(
+            F.sequence(F.lit(0), F.lit(n_ch - 1)),
+            lambda c: F.aggregate(
+                F.sequence(F.lit(0), F.lit(n_f - 1)), zero,
+                lambda acc, f: F.when(z_at(c * n_f + f).isNull(), acc).otherwise(F.struct(
+                    (acc["s"] + z_at(c * n_f + f)).alias("s"), (acc["n"] + 1).alias("n"))),
+                lambda acc: F.when(acc["n"] > 0, acc["s"] / acc["n"])))
+    return j.withColumns(cols).drop("mu", "sd")
 
 
 def normalise_to_self(events: DataFrame, keys: Sequence[str], features: str = FEATURES,
-                      out: str = "z") -> DataFrame:
+                      out: str = "z", layout: tuple[int, int] | None = None) -> DataFrame:
     """The same with the events' own mean and sd (ddof=0)."""
-    return normalise_to_baseline(events, events, keys, features, out)
+    return normalise_to_baseline(events, events, keys, features, out, layout)
 
 
 # ---------------------------------------------------------------------------
@@ -163,27 +189,42 @@ def pairwise_similarity(pairs: DataFrame, enc_col: str, test_col: str, out: str
     return with_pearson(pairs, enc_col, test_col, out).withColumn(f"{out}_z", fisher_z(out))
 
 
-def leave_one_frequency_out(pairs: DataFrame, enc_col: str, test_col: str, n_freqs: int,
+def frequency_major(z: str | Column, n_channels: int, n_freqs: int) -> Column:
+    """Reorder a (channel, frequency) vector to frequency-major order, so that the features
+    of one frequency (or time bin) are the contiguous slice [f*n_channels, (f+1)*n_channels).
+    Applied on the event side, before the pair join: the cost is per event, not per pair."""
+    z = F.col(z) if isinstance(z, str) else z
+    k = n_channels * n_freqs
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
+                       lambda j: z[(j % n_channels) * n_freqs + F.floor(j / n_channels).cast("int")])
+
+
+def _slice_moments(a: Column, b: Column, n_channels: int, n_freqs: int) -> Column:
+    """Per-frequency moment sums from two frequency-major arrays (complete cases only)."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(n_freqs - 1)),
+        lambda f: _moments(_complete_pairs(F.slice(a, f * n_channels + 1, n_channels),
+                                           F.slice(b, f * n_channels + 1, n_channels))))
+
+
+def leave_one_frequency_out(pairs: DataFrame, enc_fm: str, test_fm: str, n_channels: int, n_freqs: int,
                             out: str = "corr") -> DataFrame:
     """T12 in one pass over the pair table: for every frequency f the correlation over all
     features except those of frequency f, exploded to one row per (pair, drop_freq).
 
-    The pair join and its shuffle happen once; the eight drop-one correlations are
-    computed inside each pair row from the features tagged with their frequency
-    (8 x K multiply-adds per pair, exact - no total-minus-part cancellation).
+    Inputs are frequency-major arrays (``frequency_major``). Per pair, the moment sums of
+    each frequency are computed once from contiguous slices; the moments without f are
+    total - part_f, so the eight correlations cost one pass over the features.
     """
-    b = F.col(test_col)
-    tagged = F.filter(
-        F.transform(F.col(enc_col), lambda x, i: F.struct(
-            (i % n_freqs).alias("f"), x.alias("x"), b[i].alias("y"))),
-        lambda e: e["x"].isNotNull() & e["y"].isNotNull())
-    x = pairs.withColumn("_t", tagged)
-    # one moment struct per dropped frequency, materialised once; correlations are then
-    # taken from the lambda variable (never from a re-evaluated aggregate)
-    x = x.withColumn("_ms", F.transform(
-        F.sequence(F.lit(0), F.lit(n_freqs - 1)),
-        lambda d: _moments(F.filter(F.col("_t"), lambda e: e["f"] != d))))
-    x = x.withColumn("_drops", F.transform("_ms", _corr_from_moments)).drop("_t", "_ms")
+    x = pairs.withColumn("_parts", _slice_moments(F.col(enc_fm), F.col(test_fm), n_channels, n_freqs))
+    zero = F.struct(*[F.lit(0 if c == "n" else 0.0).alias(c) for c in _MOMENT_FIELDS])
+    # _parts is read twice below (total and per-part), so it stays a materialised column
+    x = x.withColumn("_tot", F.aggregate("_parts", zero, lambda acc, q: F.struct(
+        *[(acc[c] + q[c]).alias(c) for c in _MOMENT_FIELDS])))
+    x = x.withColumn("_rest", F.transform("_parts", lambda pp: F.struct(
+        *[(F.col("_tot")[c] - pp[c]).alias(c) for c in _MOMENT_FIELDS])))
+    x = x.withColumn("_drops", F.transform("_rest", _corr_from_moments))
+    x = x.drop("_parts", "_tot", "_rest")
     # posexplode_outer: the array always has n_freqs entries; the outer form keeps the
     # optimizer from inferring a size() filter and pushing it into the pair join
     x = x.select(*[c for c in x.columns if c != "_drops"],
@@ -204,23 +245,23 @@ def channel_means(z: str | Column, n_channels: int, n_freqs: int) -> Column:
     return F.array(*[one(c) for c in range(n_channels)])
 
 
-def similarity_over_time(pairs: DataFrame, enc_col: str, test_col: str, n_channels: int,
+def similarity_over_time(pairs: DataFrame, enc_means: str, test_bm: str, n_channels: int,
                          n_freqs: int, out: str = "corr_z") -> DataFrame:
     """T11 + A7: the test side keeps its time bin (here the frequency index), the encoding
-    side is averaged over time; one correlation over channels per (pair, bin), then the
-    mean of the Fisher z over bins (missing bins skipped, R5) - all inside the pair row."""
-    x = pairs.withColumn("_e", channel_means(enc_col, n_channels, n_freqs))
-    t = F.col(test_col)
-    per_bin = F.transform(
+    side is averaged over time (``channel_means``, computed per event); one correlation over
+    channels per (pair, bin), then the mean of the Fisher z over bins (missing bins skipped,
+    R5) - inside the pair row. ``test_bm`` is the test vector in bin-major order."""
+    e = F.col(enc_means)
+    t = F.col(test_bm)
+    # stage 1: moment sums per bin (one struct per bin); stage 2: r and z from the struct,
+    # a lambda variable, so the moment aggregate is never duplicated inside an expression
+    x = pairs.withColumn("_bins", F.transform(
         F.sequence(F.lit(0), F.lit(n_freqs - 1)),
-        lambda tb: _moments(F.filter(
-            F.transform(F.sequence(F.lit(0), F.lit(n_channels - 1)),
-                        lambda c: F.struct(F.col("_e")[c].alias("x"), t[c * n_freqs + tb].alias("y"))),
-            lambda e: e["x"].isNotNull() & e["y"].isNotNull())))
-    x = x.withColumn("_bins", per_bin)
-    x = x.withColumn("_zb", F.filter(F.transform("_bins", lambda m: fisher_z(_corr_from_moments(m))),
+        lambda b: _moments(_complete_pairs(e, F.slice(t, b * n_channels + 1, n_channels)))))
+    x = x.withColumn("_r", F.transform("_bins", _corr_from_moments))
+    x = x.withColumn("_zb", F.filter(F.transform("_r", lambda r: fisher_z(r)),
                                      lambda v: v.isNotNull() & ~F.isnan(v)))
     x = x.withColumn(out, F.aggregate("_zb", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
                                       lambda acc, v: F.struct((acc["s"] + v).alias("s"), (acc["n"] + 1).alias("n")),
                                       lambda acc: F.when(acc["n"] > 0, acc["s"] / acc["n"])))
-    return x.drop("_e", "_bins", "_zb")
+    return x.drop("_bins", "_r", "_zb")

@@ -26,7 +26,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -290,6 +290,33 @@ def marginal_means(df: DataFrame, y: str, factors: Sequence[str], at: str, by: S
                      F.sqrt(F.col("_s2") / F.col("n")).alias("se"), "n")
 
 
+def standardised_cell_means(df: DataFrame, value: str, keys: Sequence[str], factor: str) -> DataFrame:
+    """ST1 + ST9 for a one-factor cell model fitted separately per ``keys`` group, with the
+    response standardised (ddof=1) within each group.
+
+    Standardisation is linear, so everything derives from one aggregation of raw sums per
+    (keys, factor) cell: group mean and sd, cell means and the pooled residual variance of
+    the standardised response. The input is read once; the rest works on the cell table.
+    Returns keys, factor, emmean, se, n, and the group's ``_m``/``_s`` for unstandardising.
+    """
+    keys = list(keys)
+    cells = df.where(F.col(value).isNotNull()).groupBy(*keys, factor).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(value).alias("s1"), F.sum(F.col(value) * F.col(value)).alias("s2"))
+    w = Window.partitionBy(*keys)
+    n_tot, s1_tot, s2_tot = F.sum("n").over(w), F.sum("s1").over(w), F.sum("s2").over(w)
+    g = cells.withColumns({
+        "_m": s1_tot / n_tot,
+        "_s": F.sqrt((s2_tot - s1_tot * s1_tot / n_tot) / (n_tot - 1)),
+        "_ss_within": F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"),
+        "_cells": F.count(F.lit(1)).over(w),
+        "_n_tot": n_tot,
+    })
+    g = g.withColumn("_s2y", F.sum("_ss_within").over(w) / (F.col("_s") * F.col("_s"))
+                     / (F.col("_n_tot") - F.col("_cells")))
+    return g.select(*keys, factor, ((F.col("s1") / F.col("n") - F.col("_m")) / F.col("_s")).alias("emmean"),
+                    F.sqrt(F.col("_s2y") / F.col("n")).alias("se"), "n", "_m", "_s")
+
+
 def revpairwise(mm: DataFrame, at: str, hi, lo, by: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """ST9 contrast: level ``hi`` minus level ``lo`` of ``at`` within each stratum (a
     self-join of the marginal-mean table on the strata). SE assumes independent cells."""

@@ -513,3 +513,41 @@ SELECT CAST(0 AS BIGINT) AS step, 'raw' AS step_name, count(*) AS n_rows, count(
 UNION ALL SELECT 1, 'no_rare_item_subjects', count(*), count(DISTINCT subject), count(DISTINCT (subject, session)) FROM s1
 UNION ALL SELECT 2, 'no_bad_lists', count(*), count(DISTINCT subject), count(DISTINCT (subject, session)) FROM s2
 """
+
+CLEAN_EVENT_LOG = with_(EVENTS, """
+x0 AS (SELECT * FROM evlog WHERE list > 0),
+bs AS (SELECT subject FROM x0 WHERE type IN ('view', 'purchase') GROUP BY subject HAVING count(DISTINCT type) <> 2),
+x1 AS (SELECT * FROM x0 WHERE subject NOT IN (SELECT subject FROM bs)),
+w AS (SELECT * FROM x1 WHERE type = 'view'),
+rep AS (SELECT DISTINCT subject, session, list FROM (
+          SELECT *, row_number() OVER (PARTITION BY subject, session, list, item ORDER BY mstime, event_id) AS rn
+          FROM w) WHERE rn > 1 AND item IS NOT NULL),
+tim AS (SELECT DISTINCT subject, session, list FROM (
+          SELECT *, mstime - lag(mstime) OVER (PARTITION BY subject, session, list ORDER BY mstime, event_id) AS g
+          FROM w) WHERE g > 21600000 OR g < 60000),
+bad AS (SELECT * FROM rep UNION SELECT * FROM tim),
+x2 AS (SELECT x1.* FROM x1 ANTI JOIN bad ON x1.subject = bad.subject AND x1.session = bad.session
+                                         AND x1.list = bad.list),
+rec AS (SELECT *,
+               row_number() OVER (PARTITION BY subject, session, list, item ORDER BY mstime, event_id) > 1
+                 AS recall_repeat,
+               CAST(row_number() OVER (PARTITION BY subject, session, list ORDER BY mstime, event_id) AS BIGINT)
+                 AS outpos
+        FROM x2 WHERE type = 'purchase'),
+fr AS (SELECT subject, session, list, item, outpos FROM rec WHERE NOT recall_repeat),
+w2 AS (SELECT w.*, fr.outpos FROM x2 w LEFT JOIN fr ON w.subject = fr.subject AND w.session = fr.session
+                                                 AND w.list = fr.list AND w.item = fr.item
+       WHERE w.type = 'view'),
+w3 AS (SELECT *, coalesce(outpos = 1, false) AS first_recalled, lag(item) OVER win AS prev_item,
+              lag(outpos) OVER win AS prev_outpos
+       FROM w2 WINDOW win AS (PARTITION BY subject, session, list ORDER BY mstime, event_id))
+""") + """
+SELECT event_id, subject, session, list, type, item, outpos, CAST(NULL AS BOOLEAN) AS recall_repeat, first_recalled,
+       prev_item, prev_outpos FROM w3
+UNION ALL
+SELECT event_id, subject, session, list, type, item, outpos, recall_repeat, CAST(NULL AS BOOLEAN),
+       CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM rec
+UNION ALL
+SELECT event_id, subject, session, list, type, item, CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN), CAST(NULL AS BOOLEAN),
+       CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM x2 WHERE type NOT IN ('view', 'purchase')
+"""

@@ -189,14 +189,18 @@ PAIR_OUT = ["subject_encoding", "session_encoding", "list_encoding", "serialpos_
 def normalised_features(spark, sf_dir, mode: str = "baseline") -> DataFrame:
     ev = roles.feature_events(spark, sf_dir)
     enc = ev.where(~F.col("is_baseline"))
+    layout = (roles.N_CHANNELS, roles.N_FREQS)
     if mode == "baseline":
-        return similarity.normalise_to_baseline(enc, ev.where(F.col("is_baseline")), SESSION_KEYS)
-    return similarity.normalise_to_self(enc, SESSION_KEYS)
+        return similarity.normalise_to_baseline(enc, ev.where(F.col("is_baseline")), SESSION_KEYS, layout=layout)
+    return similarity.normalise_to_self(enc, SESSION_KEYS, layout=layout)
 
 
 def encoding_pairs(spark, sf_dir) -> DataFrame:
-    """Encoding vs itself (suffix encoding2), within-list, later position."""
-    z = normalised_features(spark, sf_dir).select("event", *LIST_KEYS, "serialpos", "category", "z")
+    """Encoding vs itself (suffix encoding2), within-list, later position.
+    Per-event derived arrays (frequency-major order, channel means) are computed before the
+    join; column pruning keeps only those a query uses."""
+    z = normalised_features(spark, sf_dir).select("event", *LIST_KEYS, "serialpos", "category", "z",
+                                                  F.col("z_fm").alias("zfm"), F.col("z_mean").alias("zmean"))
     return similarity.within_list_pairs(z, z, LIST_KEYS, "encoding", "encoding2",
                                         similarity.position_rule("encoding2"))
 
@@ -224,14 +228,14 @@ def pairwise_similarity(spark, sf_dir):
 
 @register("leave_one_frequency_out", "T12,J14", oracle.LEAVE_ONE_FREQUENCY_OUT)
 def leave_one_frequency_out(spark, sf_dir):
-    p = similarity.leave_one_frequency_out(encoding_pairs(spark, sf_dir), "z_encoding", "z_encoding2",
-                                           roles.N_FREQS)
+    p = similarity.leave_one_frequency_out(encoding_pairs(spark, sf_dir), "zfm_encoding", "zfm_encoding2",
+                                           roles.N_CHANNELS, roles.N_FREQS)
     return p.select(*PAIR_OUT, "drop_freq", r6("corr_z").alias("corr_z"))
 
 
 @register("similarity_over_time", "T11,A7", oracle.SIMILARITY_OVER_TIME)
 def similarity_over_time(spark, sf_dir):
-    p = similarity.similarity_over_time(encoding_pairs(spark, sf_dir), "z_encoding", "z_encoding2",
+    p = similarity.similarity_over_time(encoding_pairs(spark, sf_dir), "zmean_encoding", "zfm_encoding2",
                                         roles.N_CHANNELS, roles.N_FREQS)
     return p.select(*PAIR_OUT, r6("corr_z").alias("corr_z"))
 
@@ -371,17 +375,14 @@ def marginal_means(spark, sf_dir):
 
 @register("drop_frequency_sweep", "ST1,ST9,ST11,ST12,T12", oracle.DROP_FREQUENCY_SWEEP)
 def drop_frequency_sweep(spark, sf_dir):
-    p = similarity.leave_one_frequency_out(encoding_pairs(spark, sf_dir), "z_encoding", "z_encoding2",
-                                           roles.N_FREQS)
+    p = similarity.leave_one_frequency_out(encoding_pairs(spark, sf_dir), "zfm_encoding", "zfm_encoding2",
+                                           roles.N_CHANNELS, roles.N_FREQS)
     p = p.withColumn("same_category", cond_false(F.col("category_encoding") == F.col("category_encoding2")))
-    p = p.where(F.col("corr_z").isNotNull())
-    # ST1 within each dropped frequency: 8 groups, a table bounded by the number of frequencies
-    sc = p.groupBy("drop_freq").agg(F.avg("corr_z").alias("_m"), F.stddev_samp("corr_z").alias("_s"))
-    p = p.join(F.broadcast(sc), "drop_freq").withColumn("y", (F.col("corr_z") - F.col("_m")) / F.col("_s"))
-    mm = stats.marginal_means(p, "y", ["same_category"], "same_category", [], extra_keys=["drop_freq"])
+    # ST1 within each dropped frequency + ST9 by same_category, from one cell aggregation
+    mm = stats.standardised_cell_means(p, "corr_z", ["drop_freq"], "same_category")
+    scale = mm.select("drop_freq", "_m", "_s").distinct()
     con = stats.revpairwise(mm, "same_category", True, False, [], keys=["drop_freq"])
-    con = con.join(F.broadcast(sc), "drop_freq").join(
-        stats.frequency_labels(spark, DROPPED_FREQ_HZ_LABELS), "drop_freq")
+    con = con.join(scale, "drop_freq").join(stats.frequency_labels(spark, DROPPED_FREQ_HZ_LABELS), "drop_freq")
     con = stats.unstandardise(con, {"estimate": "corr_z_diff_unscaled", "se": "corr_z_diff_unscaled_SE"},
                               F.col("_m"), F.col("_s"), contrast=True)
     return _round_cols(con.select("drop_freq", "dropped_freq_hz", "estimate", "se", "corr_z_diff_unscaled",
@@ -520,3 +521,19 @@ def quality_report(spark, sf_dir):
     step1 = words.join(rare, "subject", "left_anti")
     step2, _ = quality.remove_bad_lists(step1, word_bad_lists(step1))
     return quality.step_counts([("raw", words), ("no_rare_item_subjects", step1), ("no_bad_lists", step2)])
+
+
+# ---------------------------------------------------------------------------
+# end-to-end log cleaning
+# ---------------------------------------------------------------------------
+
+from trialspark.operators import cleaning  # noqa: E402
+
+
+@register("clean_event_log", "P2,P10,Q1,Q3,Q6,Q10,J2,W2,W7,W11,J4,F9,F10,O4", oracle.CLEAN_EVENT_LOG)
+def clean_event_log(spark, sf_dir):
+    ev = roles.event_log(spark, sf_dir)
+    out = cleaning.clean_log(ev, EV_ORDER, WORD_TYPE, RECALL_TYPE, list_length=None,
+                             gap_min=GAP_MIN_MS, gap_max=GAP_MAX_MS)
+    return out.select("event_id", *LIST_KEYS, "type", "item", "outpos", "recall_repeat", "first_recalled",
+                      "prev_item", "prev_outpos")
