@@ -56,10 +56,14 @@ def present(c: str | Column) -> Column:
     return col_(c).isNotNull()
 
 
+# The characters Python's str.strip() removes, derived from str.isspace (not listed by hand)
+WHITESPACE = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
+
+
 def strip_ws(c: str | Column) -> Column:
-    """Strip leading/trailing whitespace of any kind (Python str.strip)."""
-    c = col_(c)
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    """Strip leading/trailing whitespace of any kind, as Python's str.strip() does
+    (Spark's trim removes spaces only); a character-set trim, no regular expression."""
+    return F.btrim(col_(c), F.lit(WHITESPACE))
 
 
 def strip_lower(c: str | Column) -> Column:

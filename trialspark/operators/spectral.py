@@ -38,23 +38,52 @@ def resample_fft(x: np.ndarray, n_out: int) -> np.ndarray:
     return np.fft.irfft(out, n=n_out, axis=-1) * (n_out / n)
 
 
-def morlet_power(x: np.ndarray, fs: float, freqs: np.ndarray, width: float = 5.0) -> np.ndarray:
-    """T5: Morlet wavelet power, shape (..., n_freqs, n_times), by FFT convolution.
-
-    The wavelet at frequency f has ``width`` cycles: sigma_t = width / (2 pi f); it is
-    normalised to unit energy so that power is comparable across frequencies.
-    """
-    n = x.shape[-1]
-    out = np.empty(x.shape[:-1] + (len(freqs), n))
-    for i, f in enumerate(freqs):
+def _next_fast_len(n: int) -> int:
+    """Smallest 2^a 3^b 5^c >= n (fast FFT sizes)."""
+    best = 1 << (n - 1).bit_length()
+    p5 = 1
+    while p5 < best:
+        p35 = p5
+        while p35 < best:
+            q = p35
+            while q < n:
+                q *= 2
+            best = min(best, q)
+            p35 *= 3
+        p5 *= 5
+    return best
+
+
+def _wavelets(fs: float, freqs: np.ndarray, width: float) -> list[tuple[np.ndarray, int]]:
+    out = []
+    for f in freqs:
         st = width / (2 * np.pi * f)
         half = int(np.ceil(3.5 * st * fs))
         t = np.arange(-half, half + 1) / fs
         w = np.exp(2j * np.pi * f * t) * np.exp(-t ** 2 / (2 * st ** 2))
-        w /= np.sqrt(np.sum(np.abs(w) ** 2))
-        m = n + len(w) - 1
-        conv = np.fft.ifft(np.fft.fft(x, m, axis=-1) * np.fft.fft(w, m), axis=-1)
-        out[..., i, :] = np.abs(conv[..., half:half + n]) ** 2
+        out.append((w / np.sqrt(np.sum(np.abs(w) ** 2)), half))
+    return out
+
+
+def morlet_power(x: np.ndarray, fs: float, freqs: np.ndarray, width: float = 5.0,
+                 chunk: int = 256) -> np.ndarray:
+    """T5: Morlet wavelet power, shape (n_epochs, n_freqs, n_times), by FFT convolution.
+
+    The wavelet at frequency f has ``width`` cycles: sigma_t = width / (2 pi f); it is
+    normalised to unit energy. One forward FFT per epoch serves all frequencies; epochs
+    are processed in chunks so memory stays bounded whatever the batch size.
+    """
+    x = np.atleast_2d(x)
+    n_e, n = x.shape
+    ws = _wavelets(fs, freqs, width)
+    m = _next_fast_len(n + max(len(w) for w, _ in ws) - 1)
+    kernels = [(np.fft.fft(w, m), half) for w, half in ws]
+    out = np.empty((n_e, len(freqs), n))
+    for s0 in range(0, n_e, chunk):
+        xf = np.fft.fft(x[s0:s0 + chunk], m, axis=-1)
+        for i, (wf, half) in enumerate(kernels):
+            conv = np.fft.ifft(xf * wf, axis=-1)
+            out[s0:s0 + chunk, i, :] = np.abs(conv[:, half:half + n]) ** 2
     return out
 
 
@@ -99,7 +128,10 @@ def epoch_power(epochs: DataFrame, key: str, idx_col: str, val_col: str, n_times
             out.loc[~np.isfinite(out["power"]), "power"] = np.nan
             yield out
 
-    res = epochs.select(key, idx_col, val_col).mapInPandas(body, schema)
+    # the body is CPU-heavy per row while its input is small in bytes, so AQE would pack it
+    # into very few partitions; spread the epochs over the configured shuffle partitions
+    n_parts = int(epochs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    res = epochs.select(key, idx_col, val_col).repartition(n_parts, key).mapInPandas(body, schema)
     return res.withColumn("power", F.when(~F.isnan("power"), F.col("power")))
 
 

@@ -65,7 +65,9 @@ def within_subject_summary(df: DataFrame, value: str, subject: str, session: str
     cells = df.groupBy(*unit, *conds).agg(
         F.sum(value).alias("_s"), F.count(value).alias("_n"), F.count(F.lit(1)).alias("_rows"))
     w_list = Window.partitionBy(*unit)
-    overall = df.select(F.when(F.count(value) == F.count(F.lit(1)), F.avg(value))).scalar()
+    # grand mean from the (already shuffled) cell table: the scalar subquery reuses the
+    # cells exchange instead of scanning and joining the raw rows a second time
+    overall = cells.select(F.when(F.sum("_n") == F.sum("_rows"), F.sum("_s") / F.sum("_n"))).scalar()
     # Any NULL inside the list makes the list mean NA and with it every cell of the list
     list_complete = F.sum(F.col("_rows") - F.col("_n")).over(w_list) == 0
     list_mean = F.sum("_s").over(w_list) / F.sum("_n").over(w_list)
