@@ -157,13 +157,16 @@ def _complete_pairs(a: Column, b: Column) -> Column:
     return F.filter(zipped, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
 
 
-def _moments(entries: Column) -> Column:
+def _moments(entries: Column, finish=None) -> Column:
+    """Moment sums of (x, y) entries; ``finish`` maps the accumulator (a lambda variable) to
+    the result inside the same expression, e.g. straight to a correlation."""
     zero = F.struct(*[F.lit(v).alias(n) for v, n in
                       [(0, "n"), (0.0, "sx"), (0.0, "sy"), (0.0, "sxx"), (0.0, "syy"), (0.0, "sxy")]])
-    return F.aggregate(entries, zero, lambda s, q: F.struct(
+    merge = lambda s, q: F.struct(
         (s["n"] + 1).alias("n"), (s["sx"] + q["x"]).alias("sx"), (s["sy"] + q["y"]).alias("sy"),
         (s["sxx"] + q["x"] * q["x"]).alias("sxx"), (s["syy"] + q["y"] * q["y"]).alias("syy"),
-        (s["sxy"] + q["x"] * q["y"]).alias("sxy")))
+        (s["sxy"] + q["x"] * q["y"]).alias("sxy"))
+    return F.aggregate(entries, zero, merge, finish) if finish else F.aggregate(entries, zero, merge)
 
 
 def _corr_from_moments(m: Column) -> Column:
@@ -177,11 +180,18 @@ def _corr_from_moments(m: Column) -> Column:
     return F.when(ok, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
+def pearson(a: str | Column, b: str | Column) -> Column:
+    """A14 + R11: Pearson correlation of two equal-length arrays over the positions where both
+    are present, as one expression: the moments are accumulated and turned into r inside a
+    single ``aggregate``, so a copy of the expression (e.g. a NOT NULL filter that the
+    optimizer pushes into the pair join) never multiplies the work."""
+    a = F.col(a) if isinstance(a, str) else a
+    b = F.col(b) if isinstance(b, str) else b
+    return _moments(_complete_pairs(a, b), finish=_corr_from_moments)
+
+
 def with_pearson(df: DataFrame, a: str, b: str, out: str = "corr") -> DataFrame:
-    """A14 + R11: Pearson correlation of two equal-length array columns over the positions
-    where both are present."""
-    return (df.withColumn("_m", _moments(_complete_pairs(F.col(a), F.col(b))))
-              .withColumn(out, _corr_from_moments(F.col("_m"))).drop("_m"))
+    return df.withColumn(out, pearson(a, b))
 
 
 def pairwise_similarity(pairs: DataFrame, enc_col: str, test_col: str, out: str = "corr") -> DataFrame:
@@ -253,15 +263,13 @@ def similarity_over_time(pairs: DataFrame, enc_means: str, test_bm: str, n_chann
     R5) - inside the pair row. ``test_bm`` is the test vector in bin-major order."""
     e = F.col(enc_means)
     t = F.col(test_bm)
-    # stage 1: moment sums per bin (one struct per bin); stage 2: r and z from the struct,
-    # a lambda variable, so the moment aggregate is never duplicated inside an expression
-    x = pairs.withColumn("_bins", F.transform(
+    # one correlation per bin, each a single aggregate expression (see ``pearson``)
+    x = pairs.withColumn("_r", F.transform(
         F.sequence(F.lit(0), F.lit(n_freqs - 1)),
-        lambda b: _moments(_complete_pairs(e, F.slice(t, b * n_channels + 1, n_channels)))))
-    x = x.withColumn("_r", F.transform("_bins", _corr_from_moments))
+        lambda b: pearson(e, F.slice(t, b * n_channels + 1, n_channels))))
     x = x.withColumn("_zb", F.filter(F.transform("_r", lambda r: fisher_z(r)),
                                      lambda v: v.isNotNull() & ~F.isnan(v)))
     x = x.withColumn(out, F.aggregate("_zb", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
                                       lambda acc, v: F.struct((acc["s"] + v).alias("s"), (acc["n"] + 1).alias("n")),
                                       lambda acc: F.when(acc["n"] > 0, acc["s"] / acc["n"])))
-    return x.drop("_bins", "_r", "_zb")
+    return x.drop("_r", "_zb")

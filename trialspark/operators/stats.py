@@ -353,6 +353,9 @@ def logistic_fixed_effects(df: DataFrame, y: str, xs: Sequence[str], max_iter: i
     data = df.select(*[F.col(x).cast("double").alias(x) for x in xs],
                      F.col(y).cast("double").alias("label")).dropna()
     data = VectorAssembler(inputCols=list(xs), outputCol="features").transform(data)
+    # iterative (IRLS) fit: materialise the input once in the shared checkpoint folder
+    from trialspark.session import cut_lineage
+    data = cut_lineage(data)
     model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=max_iter,
                                         regParam=0.0).fit(data)
     s = model.summary

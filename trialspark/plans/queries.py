@@ -537,3 +537,18 @@ def clean_event_log(spark, sf_dir):
                              gap_min=GAP_MIN_MS, gap_max=GAP_MAX_MS)
     return out.select("event_id", *LIST_KEYS, "type", "item", "outpos", "recall_repeat", "first_recalled",
                       "prev_item", "prev_outpos")
+
+
+# ---------------------------------------------------------------------------
+# model registry (ST3-ST5)
+# ---------------------------------------------------------------------------
+
+from trialspark.operators import models  # noqa: E402
+
+
+@register("registry_fit", "ST1,ST3,ST4,ST5,F4")
+def registry_fit(spark, sf_dir):
+    """The registered encoding-period model (fixed part) on the feature-event model table."""
+    m = similarity_model_table(spark, sf_dir)
+    m = features.centre_scale(m, "abs_serialpos_dist", "abs_serialpos_dist_center", "abs_serialpos_dist_scale")
+    return models.fit_registry_model(m, "catFR1", "encoding", "m1_final")

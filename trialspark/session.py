@@ -57,10 +57,12 @@ def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame, name: str | None = None) -> DataFrame:
+    """Cut the lineage by writing the frame as a Parquet table in the shared checkpoint folder
+    and reading it back: computed once (``Dataset.checkpoint`` computes an unpersisted plan
+    twice), columnar on disk, and it survives executor loss."""
+    import uuid
+    return stage_table(df, name or f"cut-{uuid.uuid4().hex}")
 
 
 def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
