@@ -44,3 +44,11 @@ def test_baseline_normalisation(spark):
     base = ev.where("event < 2")
     z = similarity.normalise_to_baseline(ev.where("event = 2"), base, ["session"]).first().z
     assert z[0] == (5.0 - 2.0) / 1.0 and z[1] is None      # sd 0 -> NULL (R9)
+
+
+def test_list_length_guard(spark):
+    import pytest
+    ev = spark.createDataFrame([(1, i, [1.0, 2.0]) for i in range(5)], "list int, serialpos int, z array<double>")
+    similarity.within_list_pairs(ev, ev, ["list"], max_list_len=5)
+    with pytest.raises(ValueError):
+        similarity.within_list_pairs(ev, ev, ["list"], max_list_len=4)

@@ -108,6 +108,23 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -
     return df.withColumn("_rn", rn).where("_rn = 1").drop("_rn")
 
 
+def recall_positions(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], recalled: str = "recalled",
+                     item: str = "item") -> DataFrame:
+    """W2 + W11 + J4 for logs whose recall events are flagged rows of the same table.
+
+    ``outpos_rec``: running count of recalled rows in output order (set on recalled rows);
+    ``outpos``: the output position of the first recall of the row's item in its list (the
+    value the reference attaches to presented items by joining the first, non-repeated
+    recall). Both are windows over the list, so no self-join and no extra shuffle.
+    """
+    is_rec = F.col(recalled) == 1
+    running = F.sum(is_rec.cast("bigint")).over(
+        _w(keys, order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = df.withColumn("outpos_rec", F.when(is_rec, running))
+    first = F.min("outpos_rec").over(_w([*keys, item]))
+    return out.withColumn("outpos", F.when(F.col(item).isNotNull(), first))
+
+
 def row_order(df: DataFrame, order_by: Sequence[str], name: str = "row_order") -> DataFrame:
     """A total-order id from source columns, stable across partitionings.
 

@@ -112,11 +112,23 @@ def suffix(df: DataFrame, name: str, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c in keep else f"{c}_{name}") for c in df.columns])
 
 
+def check_list_length(events: DataFrame, list_keys: Sequence[str], max_list_len: int) -> None:
+    """Fail when a list holds more events than the design allows: the pair space is quadratic
+    in list length, so an oversized list is a data error to fix upstream (the wrong-length
+    check removes such lists), never something to cap or sample silently."""
+    worst = events.groupBy(*list_keys).count().agg(F.max("count")).first()[0]
+    if worst is not None and worst > max_list_len:
+        raise ValueError(f"a list holds {worst} events, more than the design's {max_list_len}")
+
+
 def within_list_pairs(enc: DataFrame, test: DataFrame, list_keys: Sequence[str],
                       enc_period: str = "encoding", test_period: str = "encoding2",
-                      condition: Column | None = None) -> DataFrame:
+                      condition: Column | None = None, max_list_len: int | None = None) -> DataFrame:
     """J9 + P19: equi-join of encoding and test events on the list keys, with an optional
-    theta ``condition`` (P20) over the suffixed columns placed in the join condition."""
+    theta ``condition`` (P20) over the suffixed columns placed in the join condition.
+    ``max_list_len`` validates the design bound first (one aggregate, raises if exceeded)."""
+    if max_list_len is not None:
+        check_list_length(enc, list_keys, max_list_len)
     a = suffix(enc, enc_period)
     b = suffix(test, test_period)
     cond = [a[f"{k}_{enc_period}"] == b[f"{k}_{test_period}"] for k in list_keys]

@@ -57,13 +57,17 @@ def recall_rows(words: DataFrame) -> DataFrame:
     return ordered.running_position(rec, LIST_KEYS, REC_ORDER, "outpos")
 
 
+# ``list`` (the order key) identifies a list on its own, so list-level windows and joins of
+# the word role key on it alone and reuse the order-key partitioning of the words.
+LIST_ID = ["list"]
+
+
 def trial_log(words: DataFrame) -> DataFrame:
-    """words with first output position (J4), first_recalled (F9) and lags."""
-    rec = recall_rows(words)
-    first = rec.where(~F.col("recall_repeat")).select(*LIST_KEYS, "item", "outpos")
-    w = words.join(first, [*LIST_KEYS, "item"], "left")
+    """words with first output position (W2/W11/J4 as windows), first_recalled
+    and lags (W7) - all windows over the list, one shuffle in total."""
+    w = ordered.recall_positions(words, LIST_ID, REC_ORDER).drop("outpos_rec")
     w = w.withColumn("first_recalled", eq_false("outpos", 1))
-    return ordered.lag_columns(w, LIST_KEYS, ["serialpos"],
+    return ordered.lag_columns(w, LIST_ID, ["serialpos"],
                                ["item", "serialpos", "recalled", "outpos", "category"])
 
 
@@ -280,7 +284,7 @@ def _pf_select(df: DataFrame, extra: list[str]) -> DataFrame:
 def pair_features(spark, sf_dir):
     log = trial_log(roles.trial_words(spark, sf_dir)).select(
         *LIST_KEYS, "serialpos", "category", "recalled", "outpos", "first_recalled")
-    pairs = similarity.within_list_pairs(log, log, LIST_KEYS, "encoding", "encoding2",
+    pairs = similarity.within_list_pairs(log, log, LIST_ID, "encoding", "encoding2",
                                          similarity.position_rule("encoding2"))
     f = features.rename_for_period(features.pair_features(pairs), "encoding", test="encoding2")
     return _pf_select(f, ["serialpos_encoding2", "item_first", "item_recalled"])
@@ -293,7 +297,7 @@ def pair_features_isi(spark, sf_dir):
     test = log.select(*LIST_KEYS, "serialpos", "prev_serialpos", "prev_category", "prev_recalled",
                       "prev_outpos")
     pairs = similarity.within_list_pairs(
-        enc, test, LIST_KEYS, "encoding", "encoding_isi",
+        enc, test, LIST_ID, "encoding", "encoding_isi",
         similarity.position_rule("encoding_isi", test_prefix="prev_"))
     f = features.pair_features(pairs, test="encoding_isi", test_prefix="prev_")
     f = features.balanced_pairs(features.rename_for_period(f, "encoding_isi"))

@@ -43,13 +43,22 @@ def _ms(ts):
 
 
 def trial_words(spark: SparkSession, sf_dir: str, with_category: bool = True) -> DataFrame:
-    """Presented items: one row per line item with its trial coordinates."""
+    """Presented items: one row per line item with its trial coordinates.
+
+    Join order matters at scale: the item lookup (part) is joined first, then orders on the
+    order key; the order-key partitioning of that join is what every later list-level window
+    and the within-list pair join reuse (``list`` is the order key), so the rows are not
+    shuffled again by item after the list work is laid out.
+    """
     li = read_table(spark, sf_dir, "lineitem")
+    if with_category:
+        p = read_table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("category"))
+        li = li.join(p, li.l_partkey == p.p_partkey, "left")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate",
                                                    "o_orderpriority")
     df = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    df = df.select(
+    cols = [
         F.col("o_custkey").alias("subject"),
         F.year("o_orderdate").cast("bigint").alias("session"),
         F.col("l_orderkey").alias("list"),
@@ -60,12 +69,10 @@ def trial_words(spark: SparkSession, sf_dir: str, with_category: bool = True) ->
         _ms(F.col("l_shipdate")).alias("mstime"),
         F.col("l_linestatus").alias("status"),
         (F.col("o_orderpriority") == "1-URGENT").cast("bigint").alias("urgent"),
-    )
+    ]
     if with_category:
-        p = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"),
-                                                      F.col("p_type").alias("category"))
-        df = df.join(p, "item", "left")
-    return df
+        cols.append(F.col("category"))
+    return df.select(*cols)
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
