@@ -110,6 +110,39 @@ def offset_backwards_lists(log: DataFrame, order_by: Sequence[str], file_col: st
     return d.where(F.col("_odiff") < 0).select(*LIST_KEYS).distinct()
 
 
+def flag_bad_lists(words: DataFrame, keys: Sequence[str], order_by: Sequence[str],
+                   expected_len: int | None = None, gap: tuple[int, int] | None = None,
+                   recall_flag: str | None = None, time_col: str = "mstime") -> DataFrame:
+    """Q3-Q6 as window flags over each list (adds ``bad_list``).
+
+    For logs where every check is local to a list - repeated item (Q3), recalled flag vs
+    recall marker on the item's rows (Q4, ``recall_flag`` names the marker column), list
+    length (Q5), gap between consecutive items (Q6) - each check is a window over the list
+    and the list is bad if any row fails. No offender tables, no union, no anti join: when
+    the rows are already partitioned by list, nothing is shuffled again.
+    """
+    keys = list(keys)
+    w_list = Window.partitionBy(*keys)
+    w_item = Window.partitionBy(*keys, "item")
+    rowbad = F.lit(False)
+    x = words
+    x = x.withColumn("_rep", F.when(F.col("item").isNotNull(),
+                                    F.row_number().over(w_item.orderBy(*order_by)) > 1))
+    rowbad = rowbad | F.coalesce(F.col("_rep"), F.lit(False))
+    if recall_flag is not None:
+        matched = F.max(F.col(recall_flag).cast("int")).over(w_item) == 1
+        mism = ((F.col("recalled") == 1) & ~matched) | ((F.col("recalled") == 0) & matched)
+        rowbad = rowbad | cond_false(mism)
+    if gap is not None:
+        g = F.col(time_col) - F.lag(time_col).over(w_list.orderBy(*order_by))
+        rowbad = rowbad | cond_false((g > gap[1]) | (g < gap[0]))
+    x = x.withColumn("_rowbad", rowbad)
+    listbad = F.max("_rowbad").over(w_list)
+    if expected_len is not None:
+        listbad = listbad | (F.count(F.lit(1)).over(w_list) != expected_len)
+    return x.withColumn("bad_list", listbad).drop("_rep", "_rowbad")
+
+
 def remove_bad_lists(log: DataFrame, bad: Iterable[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Q10: union of all offender tables (distinct) and the log without them (anti join)."""
     bad_union = union_all([b.select(*LIST_KEYS) for b in bad]).distinct()

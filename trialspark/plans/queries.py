@@ -152,8 +152,23 @@ def word_bad_lists(words: DataFrame) -> list[DataFrame]:
     ]
 
 
+def flagged_words(words: DataFrame) -> DataFrame:
+    """Q3-Q6 for the word role as list windows (the recall marker is line status F)."""
+    return quality.flag_bad_lists(words.withColumn("_recall_marker", F.col("status") == "F"), LIST_ID,
+                                  ["serialpos"], expected_len=EXPECTED_LIST_LEN,
+                                  gap=(SHIP_GAP_MIN_MS, SHIP_GAP_MAX_MS), recall_flag="_recall_marker")
+
+
 @register("bad_list_union", "Q3,Q4,Q5,Q6,Q10,O4", oracle.BAD_LIST_UNION)
 def bad_list_union(spark, sf_dir):
+    words = roles.trial_words(spark, sf_dir, with_category=False)
+    return flagged_words(words).where("bad_list").select(*LIST_KEYS).distinct()
+
+
+@register("bad_list_union_tables", "Q3,Q4,Q5,Q6,Q10,O4,J2,J3", oracle.BAD_LIST_UNION)
+def bad_list_union_tables(spark, sf_dir):
+    """The same offenders from the generic form: one offender table per check, union, distinct
+    (for logs whose recall events live in a separate table)."""
     words = roles.trial_words(spark, sf_dir, with_category=False)
     _, bad = quality.remove_bad_lists(words, word_bad_lists(words))
     return bad
@@ -523,7 +538,7 @@ def quality_report(spark, sf_dir):
     words = roles.trial_words(spark, sf_dir, with_category=False)
     rare = quality.rare_item_subjects(words, RARE_ITEM_MIN_SUBJECTS)
     step1 = words.join(rare, "subject", "left_anti")
-    step2, _ = quality.remove_bad_lists(step1, word_bad_lists(step1))
+    step2 = flagged_words(step1).where(~F.col("bad_list"))
     return quality.step_counts([("raw", words), ("no_rare_item_subjects", step1), ("no_bad_lists", step2)])
 
 
