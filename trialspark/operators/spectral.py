@@ -131,7 +131,9 @@ def epoch_power(epochs: DataFrame, key: str, idx_col: str, val_col: str, n_times
     # the body is CPU-heavy per row while its input is small in bytes, so AQE would pack it
     # into very few partitions; spread the epochs over the configured shuffle partitions
     n_parts = int(epochs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    res = epochs.select(key, idx_col, val_col).repartition(n_parts, key).mapInPandas(body, schema)
+    # round-robin: epochs are independent, and a keyed repartition would be folded into the
+    # aggregate's identical hash exchange and coalesced again
+    res = epochs.select(key, idx_col, val_col).repartition(n_parts).mapInPandas(body, schema)
     return res.withColumn("power", F.when(~F.isnan("power"), F.col("power")))
 
 
