@@ -58,3 +58,22 @@ def test_clean_atlas_placeholders(spark):
     df = spark.createDataFrame([(' "Left Amygdala" ',), (" Unknown ",), ("[]",), (None,)], "a string")
     got = [r[0] for r in df.select(summary.clean_atlas("a")).collect()]
     assert got == ["left amygdala", None, None, None]
+
+
+def test_power_table_round_trip(spark, tmp_path):
+    from trialspark.sources import tables
+    df = spark.createDataFrame([("catFR1", "encoding", "s", 0, 1, [1.0, 2.0, 3.0, 4.0])],
+                               "experiment string, period string, subject string, session int, event int, "
+                               "features array<double>")
+    tables.write_power(df, str(tmp_path / "power"))
+    back = tables.read_power(spark, str(tmp_path / "power"), "catFR1", "encoding")
+    long = tables.power_to_long(back, n_freqs=2).collect()
+    assert len(long) == 4 and {(r.channel, r.frequency_index) for r in long} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    assert tables.read_power(spark, str(tmp_path / "power"), "FR1").count() == 0
+
+
+def test_attach_localization(spark):
+    pairs = spark.createDataFrame([("s", 0, "A1-A2"), ("s", 0, "A2-A3")], "subject string, montage int, label string")
+    loc = spark.createDataFrame([("s", 0, "A1-A2", "hippocampus")], "subject string, montage int, label string, region string")
+    got = {r.label: r.region for r in summary.attach_localization(pairs, loc).collect()}
+    assert got == {"A1-A2": "hippocampus", "A2-A3": None}

@@ -45,3 +45,19 @@ def test_within_subject_summary_keeps_grand_mean(spark):
     # Cousineau adjustment keeps the grand mean (balanced design)
     grand = df.agg(F.avg("v")).first()[0]
     assert abs((got[0].mean_value + got[1].mean_value) / 2 - grand) < 1e-9
+
+
+def test_nested_means_rows_and_unit(spark):
+    from trialspark.operators import ordered
+    rows = [(1, 1, 1, 1.0), (1, 1, 1, 3.0), (1, 1, 2, 5.0), (1, 2, 1, 7.0), (2, 1, 1, 10.0)]
+    df = spark.createDataFrame(rows, "subject int, session int, list int, v double")
+    got = {tuple(r[:4]): r for r in summaries.add_nested_means(df, "v", ["subject", "session", "list"]).collect()}
+    r = got[(1, 1, 1, 1.0)]
+    assert r.v_list_mean == 2.0 and abs(r.v_sess_mean - 3.0) < 1e-12 and abs(r.v_sub_mean - 4.0) < 1e-12
+    assert abs(r.v_all_mean - 5.2) < 1e-12 and abs(r.v_list_adj - (1.0 - 2.0 + 5.2)) < 1e-12
+    u = {tuple(x[:4]): x for x in summaries.add_nested_means(df, "v", ["subject", "session", "list"],
+                                                             weighting="unit").collect()}
+    assert abs(u[(1, 1, 1, 1.0)].v_sess_mean - 3.5) < 1e-12      # mean of list means 2 and 5
+    d = {r.list: r.n for r in ordered.group_distinct_count(df, ["subject", "session"], "list", "n").collect()
+         if r.subject == 1 and r.session == 1}
+    assert d == {1: 2, 2: 2}

@@ -59,9 +59,10 @@ def group_count(df: DataFrame, keys: Sequence[str], col: str | None, name: str)
 def group_distinct_count(df: DataFrame, keys: Sequence[str], col: str, name: str) -> DataFrame:
     """Distinct count broadcast to rows. Spark has no DISTINCT window aggregate, so it is
     an aggregate joined back on the keys (partial aggregation keeps hot groups cheap)."""
-    counts = df.groupBy(*keys).agg(F.countDistinct(col).alias(name))
-    return df.join(counts, [df[k].eqNullSafe(counts[k]) for k in keys], "left").select(
-        df["*"], counts[name])
+    counts = df.groupBy(*keys).agg(F.countDistinct(col).alias(name)).select(
+        *[F.col(k).alias(f"_d_{k}") for k in keys], name)
+    return df.join(counts, [F.col(k).eqNullSafe(F.col(f"_d_{k}")) for k in keys], "left").drop(
+        *[f"_d_{k}" for k in keys])
 
 
 def lag_columns(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], cols: Sequence[str],

@@ -7,7 +7,7 @@ plain tables keyed by (subject, montage). The two contact lookups are equi-joins
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.functions.nulls import ne_true, trailing_int
@@ -48,6 +48,10 @@ def screen_pairs(pairs: DataFrame, contacts: DataFrame, keys: list[str], micro_t
     # Strict distance bound
     two = two.where(F.col("dist") < max_dist)
     final = two.unionByName(weird).drop("_parts")
-    # Pairs per montage, keep montages with at least min_pairs
-    final = final.withColumn("n_contacts", F.count("label").over(Window.partitionBy(*count_keys)))
+    # Pairs per montage, keep montages with at least min_pairs (aggregate joined back:
+    # partially aggregated, so a montage with very many pairs is never gathered in one task)
+    counts = final.groupBy(*count_keys).agg(F.count("label").alias("n_contacts")).select(
+        *[F.col(k).alias(f"_c_{k}") for k in count_keys], "n_contacts")
+    final = final.join(counts, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in count_keys], "left").drop(
+        *[f"_c_{k}" for k in count_keys])
     return final.where(F.col("n_contacts") >= min_pairs)

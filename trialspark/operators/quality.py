@@ -166,8 +166,12 @@ def countdown_list_repair(cd: DataFrame, order_by: Sequence[str], file_col: str
     x = x.withColumn("bad_list", cond_false(bad))
     x = ordered.group_max(x, LIST_KEYS, "bad_list", "any_bad_list")
     second_in_first = (F.col("type_occurrence") == 1) & (F.col("list") == 1)
-    # J5 without a join: a session needs fixing if any of its rows is a second occurrence in list 1
-    x = ordered.group_max(x, ["subject", "session"], second_in_first, "session_to_fix")
+    # Sessions to fix (a second START/END in list 1), as a distinct-session table joined
+    # back - a session-wide window would sort a whole (possibly huge) session in one task
+    fix = x.where(second_in_first).select("subject", "session").distinct().withColumn(
+        "session_to_fix", F.lit(True))
+    x = x.join(fix, ["subject", "session"], "left").withColumn(
+        "session_to_fix", F.coalesce("session_to_fix", F.lit(False)))
     shift = (second_in_first & ~F.col("any_bad_list")) | (F.col("session_to_fix") & (F.col("list") != 1))
     x = x.withColumn("new_list", F.when(shift, F.col("list") + 1).otherwise(F.col("list")))
     return x.where(~F.col("bad_list"))

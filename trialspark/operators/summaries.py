@@ -24,28 +24,33 @@ from pyspark.sql import functions as F
 
 def add_nested_means(df: DataFrame, value: str, levels: Sequence[str], prefix: str | None = None,
                      weighting: str = "rows") -> DataFrame:
-    """W12 + W13 on the row level (kept for users who want the per-row columns).
+    """W12 + W13 on the row level (for users who want the per-row columns).
 
-    ``levels`` is the nesting from outer to inner, e.g. [subject, session, list].
-    With ``weighting='rows'`` (reference behaviour) each level averages the
-    row-repeated means of the level below, which equals the plain mean of the
-    values; ``'unit'`` gives each lower unit equal weight instead.
+    ``levels`` is the nesting from outer to inner, e.g. [subject, session, list]. With
+    ``weighting='rows'`` (reference behaviour) each level averages the row-repeated means of
+    the level below, which equals the plain mean of the level's values; ``'unit'`` gives
+    each lower unit equal weight instead. Each level is an aggregate joined back on its keys
+    (partial aggregation before the shuffle; AQE splits a hot key on the row side) rather
+    than a window that would sort a whole subject in one task.
     """
     prefix = prefix or value
     levels = list(levels)
-    inner = Window.partitionBy(*levels)
-    out = df.withColumn(f"{prefix}_list_mean", F.avg(value).over(inner))
-    lower = f"{prefix}_list_mean"
-    names = ["sess", "sub"]
-    for i, name in zip(range(len(levels) - 1, 0, -1), names):
-        w = Window.partitionBy(*levels[:i])
-        if weighting == "rows":
-            out = out.withColumn(f"{prefix}_{name}_mean", F.avg(lower).over(w))
+    names = ["list", "sess", "sub"]
+    out = df
+    unit_means = df.groupBy(*levels).agg(F.avg(value).alias("_u"), F.count(value).alias("_n"))
+    for depth, name in zip(range(len(levels), 0, -1), names):
+        keys = levels[:depth]
+        if depth == len(levels):
+            m = unit_means.select(*keys, F.col("_u").alias(f"{prefix}_{name}_mean"))
+        elif weighting == "rows":
+            m = unit_means.groupBy(*keys).agg(
+                (F.sum(F.col("_u") * F.col("_n")) / F.sum("_n")).alias(f"{prefix}_{name}_mean"))
         else:
-            unit = out.groupBy(*levels[:i + 1]).agg(F.first(lower).alias("_u"))
-            unit = unit.groupBy(*levels[:i]).agg(F.avg("_u").alias(f"{prefix}_{name}_mean"))
-            out = out.join(unit, levels[:i], "left")
-        lower = f"{prefix}_{name}_mean"
+            m = unit_means.groupBy(*keys).agg(F.avg("_u").alias(f"{prefix}_{name}_mean"))
+            unit_means = m.select(*keys, F.col(f"{prefix}_{name}_mean").alias("_u"), F.lit(1).alias("_n"))
+        m = m.select(*[F.col(k).alias(f"_m_{k}") for k in keys], f"{prefix}_{name}_mean")
+        out = out.join(m, [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in keys], "left").drop(
+            *[f"_m_{k}" for k in keys])
     overall = df.select(F.avg(value)).scalar()
     return out.withColumns({
         f"{prefix}_all_mean": overall,

@@ -76,3 +76,9 @@ def region_coverage(loc: DataFrame, lookup: DataFrame, subject: str = "subject",
 
 def strip_quotes(c: str | Column) -> Column:
     return F.btrim(strip_ws(c), F.lit('"'))
+
+
+def attach_localization(pairs: DataFrame, loc: DataFrame, keys: Sequence[str] = ("subject", "montage", "label")
+                        ) -> DataFrame:
+    """Every pair with its localization row where one exists (left join on three keys)."""
+    return pairs.join(loc, list(keys), "left")

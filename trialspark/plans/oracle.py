@@ -551,3 +551,11 @@ UNION ALL
 SELECT event_id, subject, session, list, type, item, CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN), CAST(NULL AS BOOLEAN),
        CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM x2 WHERE type NOT IN ('view', 'purchase')
 """
+
+INPUT_CHECKS = with_(WORDS_NO_CAT) + """
+SELECT 'duplicate_word_keys' AS "check", count(*) AS n FROM (
+  SELECT list, serialpos FROM words GROUP BY list, serialpos HAVING count(*) > 1)
+UNION ALL
+SELECT 'orders_without_lines', count(*) FROM (
+  SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT DISTINCT list FROM words))
+"""

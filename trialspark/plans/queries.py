@@ -571,3 +571,16 @@ def registry_fit(spark, sf_dir):
     m = similarity_model_table(spark, sf_dir)
     m = features.centre_scale(m, "abs_serialpos_dist", "abs_serialpos_dist_center", "abs_serialpos_dist_scale")
     return models.fit_registry_model(m, "catFR1", "encoding", "m1_final")
+
+
+@register("input_checks", "A17,S4", oracle.INPUT_CHECKS)
+def input_checks(spark, sf_dir):
+    """Key combinations of the word log occurring more than once (expected 0);
+    S4: orders (expected inputs) with no line items (found inputs)."""
+    from trialspark.sources.tables import missing_inputs
+    words = roles.trial_words(spark, sf_dir, with_category=False)
+    dup = quality.assert_unique(words, ["list", "serialpos"])
+    orders = roles.read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("list"))
+    missing = missing_inputs(orders, words.select("list"), ["list"])
+    return dup.agg(F.lit("duplicate_word_keys").alias("check"), F.count(F.lit(1)).alias("n")).unionByName(
+        missing.agg(F.lit("orders_without_lines").alias("check"), F.count(F.lit(1)).alias("n")))

@@ -51,11 +51,13 @@ def read_csv_table(spark: SparkSession, path: str, schema: StructType | str,
 def write_table(df: DataFrame, path: str, partition_by: Iterable[str] = (), fmt: str = "parquet",
                 mode: str = "overwrite", cluster_by: Iterable[str] = ()) -> None:
     """Partitioned sink. ``cluster_by`` sorts rows inside each file (subject, session)
-    so that readers of one session touch few row groups, without creating tiny files."""
+    so that readers of one session touch few row groups. Rows are hashed on the partition
+    and cluster keys together, so one large (experiment, period) partition is written by many
+    tasks - never funnelled through one."""
     partition_by, cluster_by = list(partition_by), list(cluster_by)
     out = df
     if cluster_by:
-        out = out.repartition(*(partition_by or cluster_by)).sortWithinPartitions(*(partition_by + cluster_by))
+        out = out.repartition(*(partition_by + cluster_by)).sortWithinPartitions(*(partition_by + cluster_by))
     w = out.write.mode(mode).format(fmt)
     if fmt == "csv":
         w = w.option("header", True)
@@ -167,3 +169,33 @@ def period_table(spark: SparkSession, experiment: str) -> DataFrame:
     schema = ("period string, event_types array<string>, start_s double, end_s double, "
               "buffer_s double, keep_lo_ms int, keep_hi_ms int, bin_s double")
     return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+# ---------------------------------------------------------------------------
+# S8 power tables: partitioned by experiment and period, rows clustered by session
+# ---------------------------------------------------------------------------
+
+def write_power(df: DataFrame, path: str, partition_by: Iterable[str] = ("experiment", "period"),
+                cluster_by: Iterable[str] = ("subject", "session")) -> None:
+    """Persist a power table (array form: one row per event with its feature array, or long
+    form: one row per event x channel x frequency [x time bin]). Only the partitions present
+    in ``df`` are replaced, so one period of one experiment can be rewritten on its own."""
+    write_table(df, path, partition_by=partition_by, cluster_by=cluster_by)
+
+
+def read_power(spark: SparkSession, path: str, experiment: str | None = None, period: str | None = None
+               ) -> DataFrame:
+    """Read a power table; experiment/period filters prune partitions."""
+    df = spark.read.parquet(path)
+    if experiment is not None:
+        df = df.where(F.col("experiment") == experiment)
+    if period is not None:
+        df = df.where(F.col("period") == period)
+    return df
+
+
+def power_to_long(df: DataFrame, features: str = "features", n_freqs: int = 8) -> DataFrame:
+    """Array form -> long form (channel, frequency index, power); generated in-stage."""
+    out = df.select(*[c for c in df.columns if c != features], F.posexplode(features).alias("_k", "power"))
+    return out.withColumns({"channel": F.floor(F.col("_k") / n_freqs), "frequency_index": F.col("_k") % n_freqs}
+                           ).drop("_k")
