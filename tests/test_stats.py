@@ -61,3 +61,19 @@ def test_nested_means_rows_and_unit(spark):
     d = {r.list: r.n for r in ordered.group_distinct_count(df, ["subject", "session"], "list", "n").collect()
          if r.subject == 1 and r.session == 1}
     assert d == {1: 2, 2: 2}
+
+
+def test_in_pass_standardisation_equals_two_pass(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(a), int(b), float(50 + 10 * a + 3 * b + rng.normal() * 5)) for a, b in
+            zip(rng.integers(0, 2, 300), rng.integers(0, 2, 300))]
+    df = spark.createDataFrame(rows, "a int, b int, y double")
+    terms = stats.expand_interactions(["a", "b"])
+    one = {r.term: (r.estimate, r.se) for r in stats.fit_fixed_effects(df, "y", terms, standardise=True).collect()}
+    two = {r.term: (r.estimate, r.se) for r in
+           stats.fit_fixed_effects(stats.standardise(df, "y", "z"), "z", terms).collect()}
+    for k in one:
+        assert abs(one[k][0] - two[k][0]) < 1e-9 and abs(one[k][1] - two[k][1]) < 1e-9
+    v1 = {r.level: r.ss for r in stats.variance_by_level(df.withColumn("g", F.lit(1)).withColumn("l", F.col("a")),
+                                                         "y", ["g", "l"], standardise=True).collect()}
+    assert abs(sum(v1.values()) - (len(rows) - 1)) < 1e-6

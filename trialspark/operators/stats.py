@@ -81,15 +81,23 @@ def expand_interactions(factors: Sequence[str]) -> list[tuple[str, ...]]:
 # ST5 fixed effects by normal equations
 # ---------------------------------------------------------------------------
 
-def gram(df: DataFrame, y: str, design: dict[str, Column]) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """X'X, X'y, y'y and n over complete rows, as one Spark aggregate (one row to the driver)."""
+def gram(df: DataFrame, y: str, design: dict[str, Column], standardise: bool = False
+         ) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """X'X, X'y, y'y and n over complete rows, as one Spark aggregate (one row to the driver).
+
+    ``standardise=True`` fits scale(y) (ST1, ddof=1) without a second pass: the same
+    aggregate also returns sum(y) and the column sums of X, and the standardised moments
+    follow algebraically: X'z = (X'y - mean * X'1) / sd, z'z = n - 1.
+    """
     names = list(design)
     x = df.select(*[design[n].alias(f"_x{i}") for i, n in enumerate(names)],
                   F.col(y).cast("double").alias("_y")).dropna()
     p = len(names)
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col("_y") * F.col("_y")).alias("yy")]
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col("_y") * F.col("_y")).alias("yy"),
+            F.sum("_y").alias("sy")]
     for i in range(p):
         aggs.append(F.sum(F.col(f"_x{i}") * F.col("_y")).alias(f"xy{i}"))
+        aggs.append(F.sum(F.col(f"_x{i}")).alias(f"x{i}"))
         for j in range(i, p):
             aggs.append(F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"xx{i}_{j}"))
     r = x.agg(*aggs).first().asDict()
@@ -98,7 +106,14 @@ def gram(df: DataFrame, y: str, design: dict[str, Column]) -> tuple[np.ndarray,
         for j in range(i, p):
             xtx[i, j] = xtx[j, i] = r[f"xx{i}_{j}"] or 0.0
     xty = np.array([r[f"xy{i}"] or 0.0 for i in range(p)])
-    return xtx, xty, float(r["yy"] or 0.0), int(r["n"])
+    n, yy, sy = int(r["n"]), float(r["yy"] or 0.0), float(r["sy"] or 0.0)
+    if standardise:
+        mean = sy / n
+        sd = math.sqrt((yy - sy * mean) / (n - 1))
+        xsum = np.array([r[f"x{i}"] or 0.0 for i in range(p)])
+        xty = (xty - mean * xsum) / sd
+        yy = float(n - 1)
+    return xtx, xty, yy, n
 
 
 def _normal_cdf(z: float) -> float:
@@ -119,20 +134,23 @@ def ols_from_gram(names: list[str], xtx: np.ndarray, xty: np.ndarray, yy: float,
                          "df": [dof] * p, "rss": [rss] * p})
 
 
-def fit_fixed_effects(df: DataFrame, y: str, terms: Sequence[Sequence[str]]) -> DataFrame:
-    """ST5: OLS coefficients, SE, t and a normal-reference p value for the fixed part."""
+def fit_fixed_effects(df: DataFrame, y: str, terms: Sequence[Sequence[str]], standardise: bool = False
+                      ) -> DataFrame:
+    """ST5: OLS coefficients, SE, t and a normal-reference p value for the fixed part
+    (of scale(y) when ``standardise``, in the same single pass)."""
     design = design_columns(terms)
-    xtx, xty, yy, n = gram(df, y, design)
+    xtx, xty, yy, n = gram(df, y, design, standardise)
     res = ols_from_gram(list(design), xtx, xty, yy, n)
     return df.sparkSession.createDataFrame(res)
 
 
-def type3_tests(df: DataFrame, y: str, terms: Sequence[Sequence[str]]) -> DataFrame:
+def type3_tests(df: DataFrame, y: str, terms: Sequence[Sequence[str]], standardise: bool = False
+                ) -> DataFrame:
     """ST8: F test of each term (sum-to-zero coding) from reduced-vs-full residual sums of
     squares, all taken from one aggregated Gram matrix."""
     design = design_columns(terms, coding="sum")
     names = list(design)
-    xtx, xty, yy, n = gram(df, y, design)
+    xtx, xty, yy, n = gram(df, y, design, standardise)
 
     def rss(idx: list[int]) -> float:
         a = xtx[np.ix_(idx, idx)]
@@ -226,9 +244,11 @@ def mean_se(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
 # ST7 variance by nested level
 # ---------------------------------------------------------------------------
 
-def variance_by_level(df: DataFrame, y: str, levels: Sequence[str]) -> DataFrame:
+def variance_by_level(df: DataFrame, y: str, levels: Sequence[str], standardise: bool = False) -> DataFrame:
     """ST7: between-unit sums of squares at each nesting level plus the residual
-    (within the innermost unit). The parts add up to the total sum of squares."""
+    (within the innermost unit). The parts add up to the total sum of squares.
+    ``standardise`` reports them for scale(y): every part divided by the sample variance,
+    which comes from the same innermost-unit aggregate (no second pass over the rows)."""
     levels = list(levels)
     base = df.where(F.col(y).isNotNull()).groupBy(*levels).agg(
         F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(F.col(y) * F.col(y)).alias("ss"))
@@ -255,7 +275,11 @@ def variance_by_level(df: DataFrame, y: str, levels: Sequence[str]) -> DataFrame
     out = parts[0]
     for p_ in parts[1:]:
         out = out.unionByName(p_)
-    return out.select("level", F.col("df").cast("bigint").alias("df"), "ss")
+    ss = F.col("ss")
+    if standardise:
+        var = base.agg(((F.sum("ss") - F.sum("s") * F.sum("s") / F.sum("n")) / (F.sum("n") - 1))).scalar()
+        ss = ss / var
+    return out.select("level", F.col("df").cast("bigint").alias("df"), ss.alias("ss"))
 
 
 # ---------------------------------------------------------------------------
@@ -290,6 +314,28 @@ def marginal_means(df: DataFrame, y: str, factors: Sequence[str], at: str, by: S
                      F.sqrt(F.col("_s2") / F.col("n")).alias("se"), "n")
 
 
+def cell_marginal_means(df: DataFrame, value: str, factors: Sequence[str], at: str, by: Sequence[str] = ()
+                        ) -> DataFrame:
+    """ST1 + ST9 in one pass: marginal means of scale(value) at each level of ``at`` within
+    strata ``by`` for the saturated cell model over ``factors``, cell-count weighted, with
+    SE from the pooled residual variance. One aggregation of raw sums per cell; the global
+    mean/sd and the standardised cell statistics follow algebraically on the cell table
+    (bounded by the product of the factor levels). Returns by, at, emmean, se, n, _m, _s."""
+    factors, by = list(factors), list(by)
+    cells = df.where(F.col(value).isNotNull()).groupBy(*factors).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(value).alias("s1"), F.sum(F.col(value) * F.col(value)).alias("s2"))
+    tot = cells.agg(F.struct(
+        (F.sum("s1") / F.sum("n")).alias("m"),
+        F.sqrt((F.sum("s2") - F.sum("s1") * F.sum("s1") / F.sum("n")) / (F.sum("n") - 1)).alias("s"),
+        (F.sum(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"))
+         / (F.sum("n") - F.count(F.lit(1)))).alias("s2w"))).scalar()
+    m, sd, s2w = tot.getField("m"), tot.getField("s"), tot.getField("s2w")
+    mm = cells.groupBy(*by, at).agg(F.sum("s1").alias("s1"), F.sum("n").alias("n"))
+    return mm.select(*by, at, ((F.col("s1") / F.col("n") - m) / sd).alias("emmean"),
+                     F.sqrt(s2w / (sd * sd) / F.col("n")).alias("se"), "n",
+                     m.alias("_m"), sd.alias("_s"))
+
+
 def standardised_cell_means(df: DataFrame, value: str, keys: Sequence[str], factor: str) -> DataFrame:
     """ST1 + ST9 for a one-factor cell model fitted separately per ``keys`` group, with the
     response standardised (ddof=1) within each group.

@@ -337,18 +337,15 @@ def position_scale(spark, sf_dir):
 from trialspark.operators import stats  # noqa: E402
 
 
-def _standardised_words(spark, sf_dir, with_category=False) -> DataFrame:
-    return stats.standardise(roles.trial_words(spark, sf_dir, with_category), "value", "y")
-
-
 def _round_cols(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
     return df.withColumns({c: r6(c, digits) for c in cols})
 
 
 @register("standardised_fit", "ST1,ST4,ST5", oracle.STANDARDISED_FIT)
 def standardised_fit(spark, sf_dir):
-    words = _standardised_words(spark, sf_dir)
-    res = stats.fit_fixed_effects(words, "y", stats.expand_interactions(["recalled", "urgent"]))
+    words = roles.trial_words(spark, sf_dir, with_category=False)
+    res = stats.fit_fixed_effects(words, "value", stats.expand_interactions(["recalled", "urgent"]),
+                                  standardise=True)
     return _round_cols(res.select("term", "estimate", "se", "t"), ["estimate", "se", "t"])
 
 
@@ -367,24 +364,23 @@ def per_group_slope_summary(spark, sf_dir):
     return _round_cols(s, ["mean_b_serialpos", "se_b_serialpos"])
 
 
-@register("variance_by_level", "ST7", oracle.VARIANCE_BY_LEVEL)
+@register("variance_by_level", "ST1,ST7", oracle.VARIANCE_BY_LEVEL)
 def variance_by_level(spark, sf_dir):
-    words = _standardised_words(spark, sf_dir)
-    res = stats.variance_by_level(words, "y", ["subject", "session", "list"])
+    words = roles.trial_words(spark, sf_dir, with_category=False)
+    res = stats.variance_by_level(words, "value", ["subject", "session", "list"], standardise=True)
     return _round_cols(res, ["ss"], 4)
 
 
 @register("marginal_means", "ST9,ST10,ST11", oracle.MARGINAL_MEANS)
 def marginal_means(spark, sf_dir):
     words = roles.trial_words(spark, sf_dir, with_category=True)
-    st = words.agg(F.struct(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))).scalar()
-    words = words.withColumn("y", (F.col("value") - st.getField("m")) / st.getField("s"))
-    mm = stats.marginal_means(words, "y", ["recalled", "urgent", "category"], "recalled", ["urgent"])
-    con = stats.revpairwise(mm, "recalled", 1, 0, ["urgent"])
-    em = mm.select(F.lit("emmean").alias("kind"), "urgent", "recalled", F.col("emmean").alias("estimate"), "se")
-    em = em.withColumn("estimate_unscaled", F.col("estimate") * st.getField("s") + st.getField("m"))
+    mm = stats.cell_marginal_means(words, "value", ["recalled", "urgent", "category"], "recalled", ["urgent"])
+    scale = mm.select("urgent", "_m", "_s")
+    con = stats.revpairwise(mm, "recalled", 1, 0, ["urgent"]).join(scale.dropDuplicates(["urgent"]), "urgent")
+    em = mm.select(F.lit("emmean").alias("kind"), "urgent", "recalled", F.col("emmean").alias("estimate"), "se",
+                   (F.col("emmean") * F.col("_s") + F.col("_m")).alias("estimate_unscaled"))
     con = con.select(F.lit("contrast").alias("kind"), "urgent", F.lit(None).cast("bigint").alias("recalled"),
-                     "estimate", "se").withColumn("estimate_unscaled", F.col("estimate") * st.getField("s"))
+                     "estimate", "se", (F.col("estimate") * F.col("_s")).alias("estimate_unscaled"))
     out = em.unionByName(con).withColumnRenamed("se", "_se")
     out = stats.comparison_bars(out.withColumns({"_lo": F.col("estimate") - F.col("_se"),
                                                  "_hi": F.col("estimate") + F.col("_se")}),
@@ -409,10 +405,10 @@ def drop_frequency_sweep(spark, sf_dir):
                        ["estimate", "se", "corr_z_diff_unscaled", "corr_z_diff_unscaled_SE"])
 
 
-@register("type3_tests", "ST8")
+@register("type3_tests", "ST1,ST8")
 def type3_tests(spark, sf_dir):
-    words = _standardised_words(spark, sf_dir)
-    return stats.type3_tests(words, "y", stats.expand_interactions(["recalled", "urgent"]))
+    words = roles.trial_words(spark, sf_dir, with_category=False)
+    return stats.type3_tests(words, "value", stats.expand_interactions(["recalled", "urgent"]), standardise=True)
 
 
 @register("logistic_fit", "ST14")
