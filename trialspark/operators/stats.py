@@ -177,55 +177,54 @@ def type3_tests(df: DataFrame, y: str, terms: Sequence[Sequence[str]], standardi
 
 def per_group_effects(df: DataFrame, group: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
     """ST6: OLS of y on [1, xs] within each group. Groups whose design is singular get NULL
-    coefficients and a reason. Returns one row per group: group keys, n, b_<x>..."""
-    group = list(group)
-    names = ["_1", *xs]
-    # shift every variable by its global mean (a scalar subquery): slopes are unchanged,
-    # the sums of products stay small and the normal equations well conditioned
-    shift = df.agg(F.struct(*[F.avg(c).cast("double").alias(c) for c in [*xs, y]])).scalar()
-    cols = {"_1": F.lit(1.0), **{x: F.col(x).cast("double") - shift.getField(x) for x in xs}}
-    src = df.select(*group, *[cols[c].alias(f"_x{i}") for i, c in enumerate(names)],
-                    (F.col(y).cast("double") - shift.getField(y)).alias("_y")).dropna()
-    p = len(names)
-    aggs = [F.count(F.lit(1)).alias("n")]
+    coefficients and a reason. Returns one row per group: group keys, n, b_intercept, b_<x>...
+
+    One pass: per group, Spark's built-in centred aggregates (``covar_pop``, ``avg`` - merged
+    with a numerically stable update, partially aggregated before the shuffle) give the
+    covariance matrix of the covariates and their covariance with y; slopes solve
+    Cov(x, x) b = Cov(x, y) and the intercept is mean(y) - b . mean(x). Only these p x p
+    moments per group reach the vectorised pandas solve - never the group's rows.
+    """
+    group, xs = list(group), list(xs)
+    p = len(xs)
+    src = df.select(*group, *[F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)],
+                    F.col(y).cast("double").alias("_y")).dropna()
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg("_y").alias("my")]
     for i in range(p):
-        aggs.append(F.sum(F.col(f"_x{i}") * F.col("_y")).alias(f"xy{i}"))
+        aggs.append(F.avg(f"_x{i}").alias(f"mx{i}"))
+        aggs.append(F.covar_pop(f"_x{i}", "_y").alias(f"cxy{i}"))
         for j in range(i, p):
-            aggs.append(F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"xx{i}_{j}"))
+            aggs.append(F.covar_pop(f"_x{i}", f"_x{j}").alias(f"cxx{i}_{j}"))
     moments = src.groupBy(*group).agg(*aggs)
     out_fields = ", ".join(f"`b_{x}` double" for x in xs)
-    schema = f"{', '.join(f'`{g}` ' + _type_of(df, g) for g in group)}, n long, `b_intercept` double, {out_fields}, reason string"
+    schema = (f"{', '.join(f'`{g}` ' + _type_of(df, g) for g in group)}, n long, "
+              f"`b_intercept` double, {out_fields}, reason string")
 
     def solve(batches):
         for pdf in batches:
             m = len(pdf)
-            xtx = np.zeros((m, p, p))
+            cxx = np.zeros((m, p, p))
             for i in range(p):
                 for j in range(i, p):
-                    xtx[:, i, j] = xtx[:, j, i] = pdf[f"xx{i}_{j}"].to_numpy(dtype=float)
-            xty = np.stack([pdf[f"xy{i}"].to_numpy(dtype=float) for i in range(p)], axis=1)
-            det = np.linalg.det(xtx)
-            scale = np.maximum(np.abs(xtx).max(axis=(1, 2)), 1.0) ** p
-            ok = np.abs(det) > 1e-10 * scale
+                    cxx[:, i, j] = cxx[:, j, i] = pdf[f"cxx{i}_{j}"].to_numpy(dtype=float)
+            cxy = np.stack([pdf[f"cxy{i}"].to_numpy(dtype=float) for i in range(p)], axis=1)
+            mx = np.stack([pdf[f"mx{i}"].to_numpy(dtype=float) for i in range(p)], axis=1)
+            scale = np.maximum(np.abs(cxx).max(axis=(1, 2)), 1e-300) ** p
+            ok = np.abs(np.linalg.det(cxx)) > 1e-12 * scale
             beta = np.full((m, p), np.nan)
             if ok.any():
-                beta[ok] = np.linalg.solve(xtx[ok], xty[ok][..., None])[..., 0]
+                beta[ok] = np.linalg.solve(cxx[ok], cxy[ok][..., None])[..., 0]
             out = pdf[group].copy()
             out["n"] = pdf["n"].astype("int64")
-            out["b_intercept"] = beta[:, 0]
-            for k, x in enumerate(xs, start=1):
+            out["b_intercept"] = pdf["my"].to_numpy(dtype=float) - np.einsum("ij,ij->i", beta, mx)
+            for k, x in enumerate(xs):
                 out[f"b_{x}"] = beta[:, k]
             out["reason"] = np.where(ok, None, "singular design")
             yield out
 
     res = moments.mapInPandas(solve, schema)
     bcols = ["b_intercept", *[f"b_{x}" for x in xs]]
-    res = res.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in bcols})
-    # undo the shift for the intercept: b0 = b0' + mean(y) - sum_k b_k mean(x_k)
-    b0 = F.col("b_intercept") + shift.getField(y)
-    for x in xs:
-        b0 = b0 - F.col(f"b_{x}") * shift.getField(x)
-    return res.withColumn("b_intercept", b0)
+    return res.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in bcols})
 
 
 def _type_of(df: DataFrame, col: str) -> str:

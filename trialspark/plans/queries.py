@@ -323,11 +323,15 @@ def pair_features_isi(spark, sf_dir):
 @register("position_scale", "F7,A10", oracle.POSITION_SCALE)
 def position_scale(spark, sf_dir):
     words = roles.trial_words(spark, sf_dir, with_category=False)
-    s = features.centre_scale(words, "serialpos", "serialpos_center", "serialpos_scale", factor=2.0)
-    return s.groupBy("serialpos").agg(
-        r6(F.first("serialpos_center")).alias("serialpos_center"),
-        r6(F.first("serialpos_scale")).alias("serialpos_scale"),
-        F.count(F.lit(1)).alias("n"))
+    # centring constants from the per-position counts (one pass over the rows): the row mean
+    # of serialpos is sum(pos * n) / sum(n) and its maximum the largest position
+    per_pos = words.groupBy("serialpos").agg(F.count(F.lit(1)).alias("n"))
+    st = per_pos.agg(F.struct((F.sum(F.col("serialpos") * F.col("n")) / F.sum("n")).alias("m"),
+                              F.max("serialpos").alias("mx")).alias("st")).scalar()
+    centre = F.lit(2.0) * (F.col("serialpos") - st.getField("m"))
+    max_centre = F.lit(2.0) * (st.getField("mx") - st.getField("m"))
+    return per_pos.select("serialpos", r6(centre).alias("serialpos_center"),
+                          r6(F.try_divide(centre, max_centre)).alias("serialpos_scale"), "n")
 
 
 # ---------------------------------------------------------------------------
