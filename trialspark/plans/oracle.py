@@ -409,8 +409,9 @@ mm AS (SELECT c.drop_freq, c.same_category, c.s / c.n AS emmean, sqrt(s2.s2 / c.
        FROM cells c JOIN s2 ON c.drop_freq = s2.drop_freq),
 con AS (SELECT a.drop_freq, a.emmean - b.emmean AS est, sqrt(a.se * a.se + b.se * b.se) AS se
         FROM mm a JOIN mm b ON a.drop_freq = b.drop_freq AND a.same_category AND NOT b.same_category),
-hz AS (SELECT * FROM (VALUES (0, 3.0), (1, 5.4), (2, 9.7), (3, 17.3), (4, 31.1), (5, 55.9), (6, 100.3), (7, 180.0))
-       AS t(drop_freq, dropped_freq_hz))
+hz AS (SELECT CAST(drop_freq AS BIGINT) AS drop_freq, CAST(hz AS DOUBLE) AS dropped_freq_hz FROM (
+         VALUES (0, 3.0), (1, 5.4), (2, 9.7), (3, 17.3), (4, 31.1), (5, 55.9), (6, 100.3), (7, 180.0))
+       AS t(drop_freq, hz))
 """) + """
 SELECT con.drop_freq, hz.dropped_freq_hz, round(est, 6) + 0.0 AS estimate, round(con.se, 6) + 0.0 AS se,
        round(est * sc.s, 6) + 0.0 AS corr_z_diff_unscaled, round(con.se * sc.s, 6) + 0.0 AS corr_z_diff_unscaled_SE
