@@ -18,9 +18,24 @@ BASE_CONF = {
     # group sizes for the grouped pandas bodies are bounded by design (one
     # session x channel), so a moderate Arrow batch keeps worker memory flat.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    # partition sizing: scans split at 256 MB, shuffle partitions coalesced by AQE towards
+    # 128 MB, and a shuffle partition counts as skewed above 256 MB (and 5x the median),
+    # so one hot key is split before it exhausts an executor.
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
 }
 
 
+def initial_shuffle_partitions(input_bytes: int, target_bytes: int = 128 << 20, minimum: int = 8) -> int:
+    """Initial shuffle partition count for a job reading ``input_bytes``: enough partitions
+    that each holds about ``target_bytes`` before AQE coalesces the small ones (at 100 TB and
+    128 MB this is ~800k; set it as ``spark.sql.shuffle.partitions`` or
+    ``spark.sql.adaptive.coalescePartitions.initialPartitionNum``)."""
+    return max(minimum, -(-int(input_bytes) // int(target_bytes)))
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "trialspark") -> SparkSession:
     """Return the active session, creating a local one with the base settings if none exists."""
