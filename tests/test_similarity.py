@@ -52,3 +52,19 @@ def test_list_length_guard(spark):
     similarity.within_list_pairs(ev, ev, ["list"], max_list_len=5)
     with pytest.raises(ValueError):
         similarity.within_list_pairs(ev, ev, ["list"], max_list_len=4)
+
+
+def test_similarity_symmetric_and_bounded(spark):
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        a = rng.normal(size=32)
+        b = 0.3 * a + rng.normal(size=32)
+        a_l = [None if rng.random() < 0.1 else float(v) for v in a]
+        rows.append((i, a_l, [float(v) for v in b]))
+    df = spark.createDataFrame(rows, "id int, a array<double>, b array<double>")
+    out = df.select("id", similarity.pearson("a", "b").alias("ab"), similarity.pearson("b", "a").alias("ba")).collect()
+    for r in out:
+        assert r.ab is not None and abs(r.ab - r.ba) < 1e-12 and -1.0 <= r.ab <= 1.0
+    assert df.select(F.count("*")).first()[0] == 60

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from trialspark.operators.stats import standardise
+from trialspark.operators.stats import scale_constants
 from trialspark.session import cut_lineage
 
 # Fixed-effect parts of the registered model formulas, by experiment,
@@ -101,10 +101,12 @@ def fit_registry_model(df: DataFrame, experiment: str, period: str, model: str |
     bools = [f.name for f in df.schema.fields if f.name in variables and isinstance(f.dataType, BooleanType)]
     data = df.select(*[F.col(v).cast("double").alias(v) if v in bools else F.col(v) for v in variables],
                      F.col(response)).dropna()
-    data = standardise(data, response, "scaled_response")
     # the fit makes several passes over its input: materialise it once in the shared
-    # checkpoint folder instead of re-running the whole upstream plan per pass
+    # checkpoint folder instead of re-running the whole upstream plan per pass; the
+    # standardisation constants then come from one small aggregate over the written table
     data = cut_lineage(data)
+    mean, sd = scale_constants(data, response)
+    data = data.withColumn("scaled_response", (F.col(response) - F.lit(mean)) / F.lit(sd))
     rf = RFormula(formula=f"scaled_response ~ {fixed}", featuresCol="_x", labelCol="_label").fit(data)
     design = rf.transform(data)
     attrs = design.schema["_x"].metadata["ml_attr"]["attrs"]

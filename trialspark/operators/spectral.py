@@ -102,7 +102,7 @@ def epoch_log_power(x: np.ndarray, fs: float, freqs: np.ndarray, buffer_n: int,
 
 
 def epoch_power(epochs: DataFrame, key: str, idx_col: str, val_col: str, n_times: int, fs: float, freqs,
-                buffer_n: int, width: float = 5.0) -> DataFrame:
+                buffer_n: int, width: float = 5.0, notch: tuple[float, float] | None = (58.0, 62.0)) -> DataFrame:
     """Spark wrapper: rows (key, sample indices, sample values) of one epoch each - a sparse
     grid of at most ``n_times`` points - -> (key, freq_index, frequency, power), computed
     by a vectorised pandas body per batch of epochs."""
@@ -117,7 +117,7 @@ def epoch_power(epochs: DataFrame, key: str, idx_col: str, val_col: str, n_times
             x = np.zeros((len(pdf), n_times))
             for r, (ix, vs) in enumerate(zip(pdf[idx_col], pdf[val_col])):
                 x[r, np.asarray(ix, dtype=np.int64)] = np.asarray(vs, dtype=float)
-            pw = epoch_log_power(x, fs, freqs, buffer_n, width)
+            pw = epoch_log_power(x, fs, freqs, buffer_n, width, notch)
             n_e, n_f = pw.shape
             out = pd.DataFrame({
                 key: np.repeat(pdf[key].to_numpy(), n_f),

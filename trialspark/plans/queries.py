@@ -33,7 +33,7 @@ def within_subject_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # trial log: recall order, lags, duplicates, gaps, back-fill
 # ---------------------------------------------------------------------------
 
-from trialspark.functions.nulls import eq_false, sentinel_to_null  # noqa: E402
+from trialspark.functions.nulls import eq_false  # noqa: E402
 from trialspark.operators import ordered, quality  # noqa: E402
 
 LIST_KEYS = ["subject", "session", "list"]
@@ -463,7 +463,7 @@ def epoch_power(spark, sf_dir):
     per = g.groupBy("onset_id").agg(F.collect_list("idx").alias("idx"), F.collect_list("v").alias("v"))
     freqs = spectral.logspace_freqs(FREQ_MIN_HZ, FREQ_MAX_HZ, N_FREQS)
     return spectral.epoch_power(per, "onset_id", "idx", "v", n_times, 1000.0, freqs,
-                                buffer_n=EPOCH_BUFFER_MS // GRID_MS, width=WAVELET_WIDTH)
+                                buffer_n=EPOCH_BUFFER_MS // GRID_MS, width=WAVELET_WIDTH, notch=LINE_NOISE_HZ)
 
 
 # ---------------------------------------------------------------------------
