@@ -276,8 +276,8 @@ def variance_by_level(df: DataFrame, y: str, levels: Sequence[str], standardise:
         out = out.unionByName(p_)
     ss = F.col("ss")
     if standardise:
-        var = base.agg(((F.sum("ss") - F.sum("s") * F.sum("s") / F.sum("n")) / (F.sum("n") - 1))).scalar()
-        ss = ss / var
+        var = base.agg(F.try_divide(F.sum("ss") - F.sum("s") * F.sum("s") / F.sum("n"), F.sum("n") - 1)).scalar()
+        ss = F.try_divide(ss, var)
     return out.select("level", F.col("df").cast("bigint").alias("df"), ss.alias("ss"))
 
 
@@ -300,14 +300,14 @@ def marginal_means(df: DataFrame, y: str, factors: Sequence[str], at: str, by: S
     keys = list(extra_keys)
     cells = cell_table(df, y, [*keys, *factors])
     resid = cells.groupBy(*keys).agg(
-        (F.sum(F.col("ss") - F.col("s") * F.col("s") / F.col("n"))
-         / (F.sum("n") - F.count(F.lit(1)))).alias("_s2")) if keys else None
+        F.try_divide(F.sum(F.col("ss") - F.col("s") * F.col("s") / F.col("n")),
+                     F.sum("n") - F.count(F.lit(1))).alias("_s2")) if keys else None
     mm = cells.groupBy(*keys, *by, at).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     if keys:
         mm = mm.join(resid, keys, "left")
     else:
-        s2 = cells.agg((F.sum(F.col("ss") - F.col("s") * F.col("s") / F.col("n"))
-                        / (F.sum("n") - F.count(F.lit(1)))).alias("s2")).scalar()
+        s2 = cells.agg(F.try_divide(F.sum(F.col("ss") - F.col("s") * F.col("s") / F.col("n")),
+                                    F.sum("n") - F.count(F.lit(1))).alias("s2")).scalar()
         mm = mm.withColumn("_s2", s2)
     return mm.select(*keys, *by, at, (F.col("s") / F.col("n")).alias("emmean"),
                      F.sqrt(F.col("_s2") / F.col("n")).alias("se"), "n")
@@ -325,13 +325,13 @@ def cell_marginal_means(df: DataFrame, value: str, factors: Sequence[str], at: s
         F.count(F.lit(1)).alias("n"), F.sum(value).alias("s1"), F.sum(F.col(value) * F.col(value)).alias("s2"))
     tot = cells.agg(F.struct(
         (F.sum("s1") / F.sum("n")).alias("m"),
-        F.sqrt((F.sum("s2") - F.sum("s1") * F.sum("s1") / F.sum("n")) / (F.sum("n") - 1)).alias("s"),
-        (F.sum(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"))
-         / (F.sum("n") - F.count(F.lit(1)))).alias("s2w"))).scalar()
+        F.sqrt(F.try_divide(F.sum("s2") - F.sum("s1") * F.sum("s1") / F.sum("n"), F.sum("n") - 1)).alias("s"),
+        F.try_divide(F.sum(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")),
+                     F.sum("n") - F.count(F.lit(1))).alias("s2w"))).scalar()
     m, sd, s2w = tot.getField("m"), tot.getField("s"), tot.getField("s2w")
     mm = cells.groupBy(*by, at).agg(F.sum("s1").alias("s1"), F.sum("n").alias("n"))
-    return mm.select(*by, at, ((F.col("s1") / F.col("n") - m) / sd).alias("emmean"),
-                     F.sqrt(s2w / (sd * sd) / F.col("n")).alias("se"), "n",
+    return mm.select(*by, at, F.try_divide(F.col("s1") / F.col("n") - m, sd).alias("emmean"),
+                     F.sqrt(F.try_divide(s2w, sd * sd) / F.col("n")).alias("se"), "n",
                      m.alias("_m"), sd.alias("_s"))
 
 
@@ -351,14 +351,14 @@ def standardised_cell_means(df: DataFrame, value: str, keys: Sequence[str], fact
     n_tot, s1_tot, s2_tot = F.sum("n").over(w), F.sum("s1").over(w), F.sum("s2").over(w)
     g = cells.withColumns({
         "_m": s1_tot / n_tot,
-        "_s": F.sqrt((s2_tot - s1_tot * s1_tot / n_tot) / (n_tot - 1)),
+        "_s": F.sqrt(F.try_divide(s2_tot - s1_tot * s1_tot / n_tot, n_tot - 1)),
         "_ss_within": F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"),
         "_cells": F.count(F.lit(1)).over(w),
         "_n_tot": n_tot,
     })
-    g = g.withColumn("_s2y", F.sum("_ss_within").over(w) / (F.col("_s") * F.col("_s"))
-                     / (F.col("_n_tot") - F.col("_cells")))
-    return g.select(*keys, factor, ((F.col("s1") / F.col("n") - F.col("_m")) / F.col("_s")).alias("emmean"),
+    g = g.withColumn("_s2y", F.try_divide(F.try_divide(F.sum("_ss_within").over(w), F.col("_s") * F.col("_s")),
+                                          F.col("_n_tot") - F.col("_cells")))
+    return g.select(*keys, factor, F.try_divide(F.col("s1") / F.col("n") - F.col("_m"), F.col("_s")).alias("emmean"),
                     F.sqrt(F.col("_s2y") / F.col("n")).alias("se"), "n", "_m", "_s")
 
 

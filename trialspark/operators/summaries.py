@@ -44,7 +44,7 @@ def add_nested_means(df: DataFrame, value: str, levels: Sequence[str], prefix: s
             m = unit_means.select(*keys, F.col("_u").alias(f"{prefix}_{name}_mean"))
         elif weighting == "rows":
             m = unit_means.groupBy(*keys).agg(
-                (F.sum(F.col("_u") * F.col("_n")) / F.sum("_n")).alias(f"{prefix}_{name}_mean"))
+                F.try_divide(F.sum(F.col("_u") * F.col("_n")), F.sum("_n")).alias(f"{prefix}_{name}_mean"))
         else:
             m = unit_means.groupBy(*keys).agg(F.avg("_u").alias(f"{prefix}_{name}_mean"))
             unit_means = m.select(*keys, F.col(f"{prefix}_{name}_mean").alias("_u"), F.lit(1).alias("_n"))
@@ -72,15 +72,15 @@ def within_subject_summary(df: DataFrame, value: str, subject: str, session: str
     w_list = Window.partitionBy(*unit)
     # grand mean from the (already shuffled) cell table: the scalar subquery reuses the
     # cells exchange instead of scanning and joining the raw rows a second time
-    overall = cells.select(F.when(F.sum("_n") == F.sum("_rows"), F.sum("_s") / F.sum("_n"))).scalar()
+    overall = cells.select(F.when(F.sum("_n") == F.sum("_rows"), F.try_divide(F.sum("_s"), F.sum("_n")))).scalar()
     # Any NULL inside the list makes the list mean NA and with it every cell of the list
     list_complete = F.sum(F.col("_rows") - F.col("_n")).over(w_list) == 0
-    list_mean = F.sum("_s").over(w_list) / F.sum("_n").over(w_list)
+    list_mean = F.try_divide(F.sum("_s").over(w_list), F.sum("_n").over(w_list))
     cell_complete = F.col("_rows") == F.col("_n")
     cells = cells.select(
         *unit, *conds,
         F.when(list_complete & cell_complete,
-               F.col("_s") / F.col("_n") - list_mean + overall).alias("_adj"))
+               F.try_divide(F.col("_s"), F.col("_n")) - list_mean + overall).alias("_adj"))
     # R18 again at every level: a NULL cell propagates (count(col) < count(*))
     def level(frame: DataFrame, keys: list[str]) -> DataFrame:
         return frame.groupBy(*keys, *conds).agg(
