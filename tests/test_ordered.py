@@ -48,5 +48,35 @@ def test_countdown_repair(spark):
     df = spark.createDataFrame(rows, "subject string, session int, list int, type string, mstime long")
     out = quality.countdown_list_repair(df, ["mstime"], file_col=None)
     got = sorted((r.mstime, r.new_list) for r in out.collect())
-    # list 1 has two pairs: list 1 is bad (repeats) -> dropped; list 2 shifts to 3
-    assert got == [] or all(nl >= 1 for _, nl in got)
+    # list 1 holds a second START/END pair: it moves to list 2, and every later list of the
+    # session moves up by one; no list is bad (one repeat, in list 1 only)
+    assert got == [(0, 1), (10, 1), (20, 2), (30, 2), (40, 3), (50, 3)]
+    # a third occurrence, or a repeat past list 1, makes the list bad (its rows are dropped)
+    rows3 = rows + [("s", 1, 2, "COUNTDOWN_START", 60), ("s", 1, 2, "COUNTDOWN_END", 70)]
+    df3 = spark.createDataFrame(rows3, "subject string, session int, list int, type string, mstime long")
+    got3 = sorted((r.mstime, r.new_list) for r in quality.countdown_list_repair(df3, ["mstime"], file_col=None).collect())
+    assert got3 == [(0, 1), (10, 1), (20, 2), (30, 2)]
+
+
+def test_whole_list_duplicates(spark):
+    def rows(subject, session, with_recall):
+        out = [(subject, session, 1, "WORD", f"w{i}", i, session * 1000 + i) for i in range(1, 4)]
+        if with_recall:
+            out += [(subject, session, 1, "REC_WORD", "w2", None, session * 1000 + 10)]
+        return out
+    data = (rows("a", 1, True) + rows("a", 2, False)        # same list twice, recalls once -> Q7 both
+            + rows("b", 1, True) + rows("b", 2, True))       # identical data twice -> Q8 later copy
+    df = spark.createDataFrame(data, "subject string, session int, list int, type string, item string, "
+                                     "serialpos int, mstime long")
+    q7, q8 = quality.duplicated_lists(df, ["mstime"], "WORD", "REC_WORD")
+    assert {tuple(r) for r in q7.collect()} == {("a", 1, 1), ("a", 2, 1)}
+    assert {tuple(r) for r in q8.collect()} == {("b", 2, 1)}
+
+
+def test_offset_backwards(spark):
+    rows = [("s", 1, 1, "WORD", "f", 100, 1), ("s", 1, 1, "WORD", "f", 200, 2), ("s", 1, 2, "WORD", "f", 150, 3),
+            ("s", 1, 3, "WORD", "", 10, 4), ("s", 1, 3, "WORD", "g", -1, 5)]
+    df = spark.createDataFrame(rows, "subject string, session int, list int, type string, eegfile string, "
+                                     "eegoffset long, mstime long")
+    got = {tuple(r) for r in quality.offset_backwards_lists(df, ["mstime"]).collect()}
+    assert got == {("s", 1, 2)}
