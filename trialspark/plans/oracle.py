@@ -560,3 +560,22 @@ UNION ALL
 SELECT 'orders_without_lines', count(*) FROM (
   SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT DISTINCT list FROM words))
 """
+
+SIMILARITY_VARIANCE_BY_LEVEL = with_(FEATURES, _BSTATS, _PAIRS_LONG, f"""
+pr AS (SELECT {_PAIR_KEYS}, atanh(corr(zb, za)) AS corr_z FROM pl GROUP BY {_PAIR_KEYS}),
+zs AS (SELECT subject_encoding AS subject, session_encoding AS session, list_encoding AS list,
+              (corr_z - avg(corr_z) OVER ()) / stddev_samp(corr_z) OVER () AS y
+       FROM pr WHERE corr_z IS NOT NULL),
+lm AS (SELECT subject, session, list, y,
+              avg(y) OVER (PARTITION BY subject, session, list) AS ml,
+              avg(y) OVER (PARTITION BY subject, session) AS ms,
+              avg(y) OVER (PARTITION BY subject) AS mu,
+              avg(y) OVER () AS m FROM zs),
+cnt AS (SELECT count(*) AS n, count(DISTINCT (subject, session, list)) AS nl,
+               count(DISTINCT (subject, session)) AS ns, count(DISTINCT subject) AS nu FROM zs)
+""") + """
+SELECT 'residual' AS level, CAST((SELECT n - nl FROM cnt) AS BIGINT) AS df, round(sum((y - ml) * (y - ml)), 4) + 0.0 AS ss FROM lm
+UNION ALL SELECT 'list', CAST((SELECT nl - ns FROM cnt) AS BIGINT), round(sum((ml - ms) * (ml - ms)), 4) + 0.0 FROM lm
+UNION ALL SELECT 'session', CAST((SELECT ns - nu FROM cnt) AS BIGINT), round(sum((ms - mu) * (ms - mu)), 4) + 0.0 FROM lm
+UNION ALL SELECT 'subject', CAST((SELECT nu - 1 FROM cnt) AS BIGINT), round(sum((mu - m) * (mu - m)), 4) + 0.0 FROM lm
+"""

@@ -584,3 +584,12 @@ def input_checks(spark, sf_dir):
     missing = missing_inputs(orders, words.select("list"), ["list"])
     return dup.agg(F.lit("duplicate_word_keys").alias("check"), F.count(F.lit(1)).alias("n")).unionByName(
         missing.agg(F.lit("orders_without_lines").alias("check"), F.count(F.lit(1)).alias("n")))
+
+
+@register("similarity_variance_by_level", "ST1,ST7,T10", oracle.SIMILARITY_VARIANCE_BY_LEVEL)
+def similarity_variance_by_level(spark, sf_dir):
+    """Nested sums of squares of scale(corr_z) over subject / session / list of the model table."""
+    m = similarity_model_table(spark, sf_dir)
+    res = stats.variance_by_level(m, "corr_z", ["subject_encoding", "session_encoding", "list_encoding"],
+                                  standardise=True)
+    return _round_cols(res.withColumn("level", F.regexp_replace("level", "_encoding$", "")), ["ss"], 4)
