@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from trialspark.operators.stats import scale_constants
-from trialspark.session import cut_lineage
+from trialspark.session import staged
 
 # Fixed-effect parts of the registered model formulas, by experiment,
 # test period and model name.
@@ -102,26 +102,25 @@ def fit_registry_model(df: DataFrame, experiment: str, period: str, model: str |
     data = df.select(*[F.col(v).cast("double").alias(v) if v in bools else F.col(v) for v in variables],
                      F.col(response)).dropna()
     # the fit makes several passes over its input: materialise it once in the shared
-    # checkpoint folder instead of re-running the whole upstream plan per pass; the
-    # standardisation constants then come from one small aggregate over the written table
-    data = cut_lineage(data)
-    mean, sd = scale_constants(data, response)
-    data = data.withColumn("scaled_response", (F.col(response) - F.lit(mean)) / F.lit(sd))
-    rf = RFormula(formula=f"scaled_response ~ {fixed}", featuresCol="_x", labelCol="_label").fit(data)
-    design = rf.transform(data)
-    attrs = design.schema["_x"].metadata["ml_attr"]["attrs"]
-    names = [a["name"] for group in attrs.values() for a in group]
-    idx = {a["idx"]: a["name"] for group in attrs.values() for a in group}
-    names = [idx[i] for i in sorted(idx)]
-    lr = LinearRegression(featuresCol="_x", labelCol="_label", solver="normal", regParam=0.0,
-                          fitIntercept=True).fit(design)
-    s = lr.summary
-    est = [lr.intercept, *lr.coefficients.toArray().tolist()]
-    se = [s.coefficientStandardErrors[-1], *s.coefficientStandardErrors[:-1]]
-    t = [s.tValues[-1], *s.tValues[:-1]]
-    p = [s.pValues[-1], *s.pValues[:-1]]
-    rows = [(n, float(a), float(b), float(c), float(d))
-            for n, a, b, c, d in zip(["(Intercept)", *names], est, se, t, p)]
+    # checkpoint folder instead of re-running the whole upstream plan per pass (removed
+    # again afterwards); the standardisation constants come from the written table
+    with staged(data) as data:
+        mean, sd = scale_constants(data, response)
+        data = data.withColumn("scaled_response", (F.col(response) - F.lit(mean)) / F.lit(sd))
+        rf = RFormula(formula=f"scaled_response ~ {fixed}", featuresCol="_x", labelCol="_label").fit(data)
+        design = rf.transform(data)
+        attrs = design.schema["_x"].metadata["ml_attr"]["attrs"]
+        idx = {a["idx"]: a["name"] for group in attrs.values() for a in group}
+        names = [idx[i] for i in sorted(idx)]
+        lr = LinearRegression(featuresCol="_x", labelCol="_label", solver="normal", regParam=0.0,
+                              fitIntercept=True).fit(design)
+        s = lr.summary
+        est = [lr.intercept, *lr.coefficients.toArray().tolist()]
+        se = [s.coefficientStandardErrors[-1], *s.coefficientStandardErrors[:-1]]
+        t = [s.tValues[-1], *s.tValues[:-1]]
+        p = [s.pValues[-1], *s.pValues[:-1]]
+        rows = [(n, float(a), float(b), float(c), float(d))
+                for n, a, b, c, d in zip(["(Intercept)", *names], est, se, t, p)]
     return df.sparkSession.createDataFrame(
         rows, "term string, estimate double, se double, t double, p double").withColumns(
         {"experiment": F.lit(experiment), "period": F.lit(period), "model": F.lit(name)})

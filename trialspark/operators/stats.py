@@ -398,19 +398,19 @@ def logistic_fixed_effects(df: DataFrame, y: str, xs: Sequence[str], max_iter: i
     data = df.select(*[F.col(x).cast("double").alias(x) for x in xs],
                      F.col(y).cast("double").alias("label")).dropna()
     data = VectorAssembler(inputCols=list(xs), outputCol="features").transform(data)
-    # iterative (IRLS) fit: materialise the input once in the shared checkpoint folder
-    from trialspark.session import cut_lineage
-    data = cut_lineage(data)
-    model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=max_iter,
-                                        regParam=0.0).fit(data)
-    s = model.summary
-    names = ["(Intercept)", *xs]
-    est = [model.intercept, *model.coefficients.toArray().tolist()]
-    # summary order: coefficients then intercept
-    se = s.coefficientStandardErrors
-    se = [se[-1], *se[:-1]]
-    t = s.tValues
-    t = [t[-1], *t[:-1]]
+    # iterative (IRLS) fit: its input is materialised once in the shared checkpoint folder
+    from trialspark.session import staged
+    with staged(data) as data:
+        model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=max_iter,
+                                            regParam=0.0).fit(data)
+        s = model.summary
+        names = ["(Intercept)", *xs]
+        est = [model.intercept, *model.coefficients.toArray().tolist()]
+        # summary order: coefficients then intercept
+        se = s.coefficientStandardErrors
+        se = [se[-1], *se[:-1]]
+        t = s.tValues
+        t = [t[-1], *t[:-1]]
     rows = list(zip(names, [float(v) for v in est], [float(v) for v in se], [float(v) for v in t]))
     return df.sparkSession.createDataFrame(rows, "term string, estimate double, se double, z double")
 

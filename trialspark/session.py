@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,10 +79,28 @@ def cut_lineage(df: DataFrame, name: str | None = None) -> DataFrame:
     """Cut the lineage by writing the frame as a Parquet table in the shared checkpoint folder
     and reading it back: computed once (``Dataset.checkpoint`` computes an unpersisted plan
     twice), columnar on disk, and it survives executor loss."""
-    import uuid
     return stage_table(df, name or f"cut-{uuid.uuid4().hex}")
 
 
+def _delete_path(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def staged(df: DataFrame) -> Iterator[DataFrame]:
+    """Write ``df`` once under the shared checkpoint folder, yield it read back, and remove
+    it afterwards - for multi-pass steps (model fits) whose results do not reference it."""
+    spark = df.sparkSession
+    name = f"staged-{uuid.uuid4().hex}"
+    out = stage_table(df, name)
+    try:
+        yield out
+    finally:
+        _delete_path(spark, os.path.join(checkpoint_dir(spark), "tables", name))
+
+
 def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Persist an intermediate table as Parquet under the shared checkpoint folder and read it back.
 
