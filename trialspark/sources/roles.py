@@ -37,14 +37,12 @@ EVENT_LIST_HOURS = 6
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 
 
-_EPOCH_NTZ = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-
-
 def _ms(ts):
     """Milliseconds since the epoch of a wall-clock (timestamp_ntz) value, truncated from
     microseconds (the same rule as the oracle). Computed on the NTZ value itself, so the
     session time zone (and its daylight-saving shifts) can never move or reorder events."""
-    return F.floor(F.timestamp_diff("MICROSECOND", _EPOCH_NTZ, ts) / 1000).cast("bigint")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.floor(F.timestamp_diff("MICROSECOND", epoch, ts) / 1000).cast("bigint")
 
 
 def trial_words(spark: SparkSession, sf_dir: str, with_category: bool = True) -> DataFrame:
