@@ -68,7 +68,8 @@ def region_coverage(loc: DataFrame, lookup: DataFrame, subject: str = "subject",
     per = j.where(F.col("region").isNotNull()).groupBy(subject, "region").agg(
         F.count(F.lit(1)).alias("n_region_electrodes"))
     kept = per.where((F.col("n_region_electrodes") > 0) & ~F.col("region").isin(EXCLUDED_REGIONS))
-    by_region = kept.groupBy("region").agg(F.countDistinct(subject).alias("n_subjects"))
+    # ``per`` has one row per (subject, region), so distinct subjects per region is a row count
+    by_region = kept.groupBy("region").agg(F.count(F.lit(1)).alias("n_subjects"))
     by_region = by_region.replace(REGION_SHORT_NAMES, subset=["region"])
     total = per.agg(F.lit("Total Subjects").alias("region"), F.countDistinct(subject).alias("n_subjects"))
     return by_region.unionByName(total), unmatched
