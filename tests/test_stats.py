@@ -77,3 +77,13 @@ def test_in_pass_standardisation_equals_two_pass(spark):
     v1 = {r.level: r.ss for r in stats.variance_by_level(df.withColumn("g", F.lit(1)).withColumn("l", F.col("a")),
                                                          "y", ["g", "l"], standardise=True).collect()}
     assert abs(sum(v1.values()) - (len(rows) - 1)) < 1e-6
+
+
+def test_closed_form_distance_constants(spark):
+    from trialspark.operators import features
+    sizes = [1, 2, 5, 7]
+    rows = [(li, p) for li, n in enumerate(sizes) for p in range(1, n + 1)]
+    df = spark.createDataFrame(rows, "list int, serialpos int")
+    st = spark.range(1).select(features.later_position_distance_constants(df, ["list"]).alias("st")).first().st
+    d = [t - e for n in sizes for e in range(1, n + 1) for t in range(e + 1, n + 1)]
+    assert abs(st.m - sum(d) / len(d)) < 1e-12 and st.mx == max(d)

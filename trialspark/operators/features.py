@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.functions.nulls import cond_false, sentinel_to_null
@@ -31,8 +31,29 @@ def centre_scale(df: DataFrame, col: str, centre_name: str, scale_name: str, fac
     return df.withColumns({centre_name: centre, scale_name: F.try_divide(centre, max_centre)})
 
 
+def centre_scale_with(df: DataFrame, col: str, centre_name: str, scale_name: str, mean: Column, maximum: Column,
+                      factor: float = 1.0) -> DataFrame:
+    """F4/F7 with the centring constants supplied (e.g. derived in closed form elsewhere)."""
+    centre = F.lit(factor) * (F.col(col) - mean)
+    return df.withColumns({centre_name: centre,
+                           scale_name: F.try_divide(centre, F.lit(factor) * (maximum - mean))})
+
+
+def later_position_distance_constants(events: DataFrame, list_keys: Sequence[str]) -> Column:
+    """Mean and maximum of |position distance| over all within-list pairs with the test item
+    later than the encoding item, from list sizes alone. Positions are 1..n in each list, so
+    a list of n items has n(n-1)/2 such pairs, distance sum n(n^2-1)/6 and maximum n-1 - a
+    per-list count replaces a second pass over the pair table. Returns a struct (m, mx)."""
+    n = F.col("n")
+    sizes = events.groupBy(*list_keys).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.struct(
+        (F.sum((n * (n * n - 1)) / 6) / F.sum((n * (n - 1)) / 2)).alias("m"),
+        (F.max(n) - 1).alias("mx")).alias("st")).scalar()
+
+
 def pair_features(pairs: DataFrame, enc: str = "encoding", test: str = "encoding2",
-                  test_prefix: str = "", with_category: bool = True) -> DataFrame:
+                  test_prefix: str = "", with_category: bool = True,
+                  distance_constants: Column | None = None) -> DataFrame:
     """Pair features from the two sides' event columns.
 
     ``test_prefix='prev_'`` compares against the item before the test event (isi period).
@@ -52,6 +73,9 @@ def pair_features(pairs: DataFrame, enc: str = "encoding", test: str = "encoding
     out = out.withColumns({"abs_serialpos_dist": F.abs("serialpos_dist"),
                            "abs_outpos_dist": F.abs("outpos_dist")})
     out = out.withColumn("recall_neighbor", cond_false(F.col("abs_outpos_dist") == 1))
+    if distance_constants is not None:
+        return centre_scale_with(out, "abs_serialpos_dist", "abs_serialpos_dist_center", "abs_serialpos_dist_scale",
+                                 distance_constants.getField("m"), distance_constants.getField("mx"))
     return centre_scale(out, "abs_serialpos_dist", "abs_serialpos_dist_center", "abs_serialpos_dist_scale")
 
 

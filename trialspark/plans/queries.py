@@ -301,7 +301,10 @@ def pair_features(spark, sf_dir):
         *LIST_KEYS, "serialpos", "category", "recalled", "outpos", "first_recalled")
     pairs = similarity.within_list_pairs(log, log, LIST_ID, "encoding", "encoding2",
                                          similarity.position_rule("encoding2"))
-    f = features.rename_for_period(features.pair_features(pairs), "encoding", test="encoding2")
+    # centring constants in closed form from list sizes (no second pass over the pair table)
+    consts = features.later_position_distance_constants(log, LIST_ID)
+    f = features.rename_for_period(features.pair_features(pairs, distance_constants=consts), "encoding",
+                                   test="encoding2")
     return _pf_select(f, ["serialpos_encoding2", "item_first", "item_recalled"])
 
 
