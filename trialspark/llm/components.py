@@ -1,41 +1,89 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components: contraction inside tasks, and alternating large-star and small-star rounds."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.llm.staging import stage, unstage
+from trialspark.llm.staging import arrow_map, stage, unstage
+
+#: edges that one task contracts at a time (16 bytes each)
+PER_TASK = 1_000_000
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) for all nodes that are not the least, by hooking and
+    pointer jumping."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[:len(u)], at[len(u):]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            break
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+    keep = label != np.arange(len(nodes))
+    return nodes[keep], nodes[label[keep]]
+
+
+def _contract(most: int):
+    def run(batches):
+        u = v = np.zeros(0, np.int64)
+        for batch in batches:
+            u = np.concatenate([u, batch.column(0).to_numpy()])
+            v = np.concatenate([v, batch.column(1).to_numpy()])
+            if len(u) > most:
+                u, v = forest(u, v)
+                if len(u) > most // 2:  # little left to gain: pass the stars on
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                    u = v = u[:0]
+        u, v = forest(u, v)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+    return run
 
 
 def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(r)
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(links: DataFrame) -> DataFrame:
-    """Components of an undirected graph given as columns (u, v) of long ids.
+def connected_components(links: DataFrame, per_task: int = PER_TASK) -> DataFrame:
+    """Components of an undirected graph given as columns (u, v) of long ids, repeats allowed.
 
-    Returns (node, component) for every node that is not itself the smallest of its component;
-    component is the smallest id reachable. Each round reduces with partial aggregation and one
-    equi-join, so a node with very many links is split over tasks; nothing is collected but a
-    count and a checksum that tell when the edges stop changing.
+    Returns staged (node, component) for every node that is not itself the smallest of its component;
+    component is the smallest id reachable. In each round tasks replace the edges they hold by stars;
+    when the counted edges fit one task (``per_task``), that is the answer. Otherwise a large-star and
+    a small-star step follow, each a partially aggregated minimum and an equi-join, so that a node with
+    very many links is split over tasks. Only a count and a checksum reach the driver.
     """
-    edges = stage(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                  .distinct(), "edges")
-    state = _state(edges)
-    while state[0]:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    edges = stage(links.where("u <> v").select("u", "v"), "edges")
+    n = edges.count()
+    state = None
+    while True:
+        tasks = max(1, -(-n // max(per_task, 1)))
+        local = arrow_map(edges.coalesce(tasks), _contract(max(per_task, 1)), "u long, v long")
+        if n <= per_task:
+            out = stage(local, "components")
+            unstage(edges)
+            return out.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        local = stage(local.distinct(), "edges")
+        unstage(edges)
+        both = local.union(local.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        new = stage(small, "edges")
-        after = _state(new)
-        unstage(edges)
-        edges = new
+        edges = stage(small, "edges")
+        unstage(local)
+        after = _state(edges)
+        n = after[0]
         if after == state:
-            break
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -9,8 +9,10 @@ full sets reach the threshold.
 
 Candidates of a band are not paired with each other at once. Every member is first verified
 against the smallest member, components are formed, and only bands whose members still lie in
-different components give further pairs, between those components alone. A group of thousands of
-near copies so costs one comparison each, and no link between different components is lost.
+different components are compared further: their sets meet in tasks, large bands cut into pairs of
+tiles, a pair of documents is compared in the first band it shares, and only a spanning forest of the
+links found leaves the task. A group of thousands of near copies so costs one comparison for most of
+them, no pairs are written out, and no link is lost.
 
 Defined cases: null text or a text without words has the empty set, n_shingles 0, and links with
 nothing; fewer words than a shingle make one shingle; rows with one doc_id count as one document;
@@ -26,11 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.llm import text as T
-from trialspark.llm.components import connected_components
-from trialspark.llm.staging import arrow_map, small_or_plain, stage, unstage
+from trialspark.llm.components import connected_components, forest
+from trialspark.llm.staging import arrow_map, small_or_plain, stage
+from trialspark.llm.tiles import answerable, groups, tiled
 
 #: (bands, coordinates per band): a pair at similarity 0.8 shares no band with probability 6e-5.
 BANDS, ROWS = 32, 6
+#: members of a band that are compared in one task at once
+TILE = 400
 
 
 def shingle_sets(data, offsets, k: int):
@@ -94,11 +99,7 @@ def _sketch_batches(k: int, bands: int, rows: int):
             ids = batch.column(0)
             for a, b, data, offsets in T.texts(batch.column(1)):
                 flat, ends = shingle_sets(data, offsets, k)
-                S = sketches(flat, ends, bands * rows).reshape(b - a, bands, rows)
-                with np.errstate(over="ignore"):
-                    key = np.zeros((b - a, bands), dtype=T.U)
-                    for j in range(rows):
-                        key = T.mix(key * T.U(0x9E3779B97F4A7C15) + S[:, :, j])
+                key = _band_keys(flat, ends, bands, rows)
                 n = np.diff(ends)
                 full = n > 0
                 yield pa.RecordBatch.from_arrays(
@@ -109,13 +110,60 @@ def _sketch_batches(k: int, bands: int, rows: int):
     return run
 
 
-def _set_batches(k: int):
+def _band_keys(flat: np.ndarray, ends: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    S = sketches(flat, ends, bands * rows).reshape(len(ends) - 1, bands, rows)
+    with np.errstate(over="ignore"):
+        key = np.zeros((len(ends) - 1, bands), dtype=T.U)
+        for j in range(rows):
+            key = T.mix(key * T.U(0x9E3779B97F4A7C15) + S[:, :, j])
+    return key.view(np.int64)
+
+
+def _set_batches(k: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             for a, b, data, offsets in T.texts(batch.column(1)):
                 flat, ends = shingle_sets(data, offsets, k)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), T.lists(flat, ends)], names=["node", "s"])
+                keys = _band_keys(flat, ends, bands, rows)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(a, b - a), T.lists(flat, ends),
+                     T.lists(keys.ravel(), np.arange(b - a + 1) * bands)], names=["node", "s", "bands"])
+    return run
+
+
+def _intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets a[i] and b[i]."""
+    own, at = np.unique(np.concatenate(sets), return_inverse=True)
+    width = -(-len(own) // 8)
+    if width * len(sets) > 64 << 20:
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b)])
+    bits = np.zeros((len(sets), width), dtype=np.uint8)
+    np.bitwise_or.at(bits, (np.repeat(np.arange(len(sets)), [len(s) for s in sets]), at >> 3),
+                     np.left_shift(1, at & 7).astype(np.uint8))
+    step = max(1, (16 << 20) // max(width, 1))
+    return np.concatenate([np.bitwise_count(bits[a[i:i + step]] & bits[b[i:i + step]]).sum(axis=1, dtype=np.int64)
+                           for i in range(0, len(a), step)])
+
+
+def _compare(percent: int):
+    def run(batches):
+        for (_, i, j), rows in groups(batches):
+            node, part = rows.column("node").to_numpy(), rows.column("part").to_numpy()
+            band = rows.column("pos").to_numpy()[0]
+            sets = [np.array(x, dtype=np.int64) for x in rows.column("s").to_pylist()]
+            size = np.array([len(s) for s in sets])
+            keys = np.array(rows.column("bands").to_pylist(), dtype=np.int64)
+            ask = (part[:, None] != part[None, :]) & (np.minimum(size[:, None], size) * 100
+                                                      >= np.maximum(size[:, None], size) * percent)
+            for earlier in range(band):  # a pair that shares an earlier band is compared there
+                ask &= keys[:, None, earlier] != keys[None, :, earlier]
+            a, b = np.nonzero(np.triu(answerable(ask, rows, i, j)))
+            if len(a):
+                both = _intersections(sets, a, b)
+                near = both * 100 >= (size[a] + size[b] - both) * percent
+                u, v = forest(node[a[near]], node[b[near]])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
     return run
 
 
@@ -141,34 +189,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     first = sk.where("n_shingles > 0").join(
         nodes.select(F.col("node").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi")
     band = first.select(F.col("doc_id").alias("node"), F.posexplode("bands")).select(
-        F.xxhash64("pos", "col").alias("band"), "node")
-    groups = band.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    members = stage(band.join(groups, "band").select("band", "node", "low"), "members")
+        F.xxhash64("pos", "col").alias("band"), "node", "pos")
+    shared = band.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    members = stage(band.join(shared, "band").select("band", "node", "pos", "low"), "members")
 
     star = stage(members.where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct(),
                  "pairs")
     wanted = stage(star.select(F.col("u").alias("doc_id")).union(star.select("v")).distinct(), "wanted")
-    sets = stage(arrow_map(docs.join(small_or_plain(wanted, 16), "doc_id", "left_semi"), _set_batches(k),
-                           "node long, s array<long>"), "sets")
+    sets = stage(arrow_map(docs.join(small_or_plain(wanted, 16), "doc_id", "left_semi"), _set_batches(k, bands, rows),
+                           "node long, s array<long>, bands array<long>"), "sets")
     links = stage(_verified(star, sets, percent), "links")
-    part = stage(connected_components(links), "parts")
+    part = connected_components(links)
 
-    # bands whose members are still apart: all pairs between different components
-    placed = members.join(part, "node", "left").select(
-        "band", "node", F.coalesce("component", "node").alias("part"))
+    # bands whose members are still apart: compare members of different components
+    placed = stage(members.join(part, "node", "left").select(
+        "band", "node", "pos", F.coalesce("component", "node").alias("part")), "placed")
     mixed = placed.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b")
-    apart = stage(placed.join(mixed.select("band"), "band").select("band", "node", "part"), "apart")
-    size = nodes.select("node", "n")
-    apart = apart.join(size, "node")
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") > F.col("y.node"))
-                   & (F.col("x.part") != F.col("y.part"))
-                   & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent))
-            .select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
-            .join(star, ["u", "v"], "left_anti"))
-    more = stage(_verified(rest, sets, percent), "links")
-    unstage(sets)
-    part = stage(connected_components(links.union(more)), "parts")
+    apart = stage(placed.join(mixed.select("band"), "band").select(F.col("band").alias("key"), "node", "pos", "part"),
+                  "apart")
+    more = arrow_map(tiled(apart.join(sets, "node"), apart, TILE, ["pos", "part", "s", "bands"]), _compare(percent),
+                     "u long, v long")
+    part = connected_components(links.union(more))
 
     named = nodes.join(part, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("c"))
     out = sk.drop("bands").join(named, ["f1", "f2"], "left")
