@@ -49,41 +49,48 @@ def _contract(most: int):
     return run
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _unsettled(edges: DataFrame) -> tuple[int, int]:
+    """(edges, nodes that keep ``edges`` from being stars: with two parents, or a parent and a child)."""
+    ends = (edges.groupBy("u").agg(F.count("*").alias("up"), F.lit(0).alias("down")).withColumnRenamed("u", "x")
+            .union(edges.groupBy("v").agg(F.lit(0).alias("up"), F.count("*").alias("down"))))
+    per = ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    r = per.agg(F.sum("up"), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
+    return int(r[0] or 0), int(r[1])
 
 
-def connected_components(links: DataFrame, per_task: int = PER_TASK) -> DataFrame:
+def _star_round(edges: DataFrame) -> DataFrame:
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    return (large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+
+
+def connected_components(links: DataFrame, native: bool = False, per_task: int = PER_TASK) -> DataFrame:
     """Components of an undirected graph given as columns (u, v) of long ids, repeats allowed.
 
     Returns staged (node, component) for every node that is not itself the smallest of its component;
-    component is the smallest id reachable. In each round tasks replace the edges they hold by stars;
-    when the counted edges fit one task (``per_task``), that is the answer. Otherwise a large-star and
-    a small-star step follow, each a partially aggregated minimum and an equi-join, so that a node with
-    very many links is split over tasks. Only a count and a checksum reach the driver.
+    component is the smallest id reachable. A round is a large-star and a small-star step, each a
+    partially aggregated minimum and an equi-join, so that a node with very many links is split over
+    tasks; rounds end when the edges are stars. Unless ``native``, tasks first replace the edges they
+    hold by stars in every round, and edges that are counted to fit one task (``per_task``) are done
+    then. Only two counts reach the driver.
     """
     edges = stage(links.where("u <> v").select("u", "v"), "edges")
-    n = edges.count()
-    state = None
+    n = None if native else edges.count()
     while True:
-        tasks = max(1, -(-n // max(per_task, 1)))
-        local = arrow_map(edges.coalesce(tasks), _contract(max(per_task, 1)), "u long, v long")
-        if n <= per_task:
-            out = stage(local, "components")
+        if not native:
+            tasks = max(1, -(-n // max(per_task, 1)))
+            local = stage(arrow_map(edges.coalesce(tasks), _contract(max(per_task, 1)), "u long, v long"), "edges")
             unstage(edges)
-            return out.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        local = stage(local.distinct(), "edges")
+            edges = local
+            if n <= per_task:
+                break
+        new = stage(_star_round(edges), "edges")
         unstage(edges)
-        both = local.union(local.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        edges = stage(small, "edges")
-        unstage(local)
-        after = _state(edges)
-        n = after[0]
-        if after == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = after
+        edges = new
+        n, bad = _unsettled(edges)
+        if not bad:
+            break
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -161,7 +161,7 @@ def line_classes(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> Dat
     both = (pairs.join(texts.select(F.col("id").alias("u"), F.col("line").alias("x")), "u")
             .join(texts.select(F.col("id").alias("v"), F.col("line").alias("y")), "v"))
     links = stage(within_distance(both.select("u", "v", "x", "y"), distance), "line_links")
-    part = connected_components(links)
+    part = connected_components(links, native=True)
     roots = part.select(F.col("component").alias("id"), "component").distinct()
     named = stage(part.select(F.col("node").alias("id"), "component").union(roots).join(first, "id")
                   .select("id", "component", "doc_id", "pos"), "line_classes")
