@@ -2,8 +2,9 @@
 
 The index is a table of postings (term, doc, pos), one row for every word of every text, written
 in runs sorted by term. A benchmark item is found by its rarest terms: every window of an item
-contributes its rarest terms as anchors, the anchors' postings shifted by their place in the item
-give (doc, item, offset) candidates, and only for these are the postings of all the item's terms
+contributes its ``slop`` + 2 rarest terms as anchors, the anchors' postings are shifted by their place
+in the item and counted by (doc, item, offset); where at most ``slop`` of a window's anchors are
+missing, an offset is a candidate, and only for candidates are the postings of all the item's terms
 intersected, offset by offset. Runs of consecutive matches as long as a window are exact phrases;
 windows with at most ``slop`` words missing on one offset are proximity matches.
 
@@ -26,6 +27,10 @@ from trialspark.llm import text as T
 from trialspark.llm.staging import arrow_map, small_or_plain, stage
 
 
+#: text bytes whose postings are sorted into one run
+RUN_BYTES = 6 << 20
+
+
 def _names(ids: pa.Array, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Document keys: the id, or for a null id a hash of the text's words; and whether it is an id."""
     named = ids.is_valid().to_numpy(zero_copy_only=False)
@@ -42,7 +47,7 @@ def _names(ids: pa.Array, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
 def _postings(batches):
     for batch in batches:
         ids = batch.column(0)
-        for a, b, data, offsets in T.texts(batch.column(1)):
+        for a, b, data, offsets in T.texts(batch.column(1), RUN_BYTES):
             h, first = T.words(data, offsets, T.ALNUM)
             key, named = _names(ids.slice(a, b - a), h, first)
             n = np.diff(first)
@@ -75,7 +80,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     """The staged postings of all words of ``docs`` (doc_id, text); rows with a null term hold a
     document's length in ``pos`` and whether ``doc`` is its doc_id in ``named``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stage(arrow_map(docs, _postings, "term long, doc long, pos int, named boolean"), "postings")
+    return stage(arrow_map(docs, _postings, "term long, doc long, pos int, named boolean"), "postings", codec="zstd")
 
 
 def matches(index: DataFrame, items: DataFrame, window: int = 10, slop: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -95,10 +100,13 @@ def matches(index: DataFrame, items: DataFrame, window: int = 10, slop: int = 1)
                    F.struct(F.coalesce("count", F.lit(0)).alias("n"), "ipos", "term")).over(ahead)))
                .where((F.col("ipos") + window <= F.col("m")) | (F.col("ipos") == 0)))
     # a window whose terms are missing from the corpus more often than the slop allows cannot occur
-    anchors = stage(windows.select("iid", "m", F.explode(F.slice("w", 1, slop + 1)).alias("a"))
-                    .where("a.n > 0").select("iid", "a.ipos", "a.term").distinct(), "anchors")
+    anchors = stage(windows.select("iid", "m", F.explode(F.slice("w", 1, slop + 2)).alias("a"))
+                    .where("a.n > 0").select("iid", "a.ipos", "a.term", F.when(
+                        F.col("m") >= window, 2).otherwise(F.least(F.lit(slop + 2), "m")).alias("need")).distinct(), "anchors")
     found = stage(postings.join(small_or_plain(anchors, 24), "term")
-                  .select("doc", "iid", (F.col("pos") - F.col("ipos")).alias("offset")).distinct(), "candidates")
+                  .groupBy("doc", "iid", (F.col("pos") - F.col("ipos")).alias("offset"))
+                  .agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need")
+                  .select("doc", "iid", "offset"), "candidates")
 
     in_docs = stage(found.select("doc").distinct(), "candidate_docs")
     near_terms = postings.join(small_or_plain(terms, 16), "term", "left_semi").join(

@@ -57,9 +57,9 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POW
 
 
-def texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def texts(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Chunks (first row, last row, bytes, offsets from 0) of a string column; null is empty.
-    A chunk holds about CHUNK_BYTES, or one longer text."""
+    A chunk holds about ``size`` bytes, or one longer text."""
     column = pc.fill_null(column, "")
     if not pa.types.is_large_string(column.type):
         column = column.cast(pa.large_string())
@@ -71,7 +71,7 @@ def texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     a = 0
     while a < n:
-        b = int(np.searchsorted(offsets, offsets[a] + CHUNK_BYTES, "right")) - 1
+        b = int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1
         b = min(n, max(a + 1, b))
         yield a, b, raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
         a = b
