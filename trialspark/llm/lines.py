@@ -7,9 +7,11 @@ Lines of at least ``min_chars`` characters that are equal, or within an edit dis
 Equal lines are found by hash. Of the different ones, every line is cut into distance + 1 segments,
 indexed by (length, segment number, segment); two lines within the distance share a segment at
 places that differ by no more than the edits on either side, so a line probes only those substrings
-for each length up to its own. Candidates lose their common prefix and suffix, and the rest is
-verified with a banded bit-parallel edit distance: one column of the band is a few bits of a long,
-and each character of the shorter line updates it.
+for each length up to its own. Index and probe rows carry the line's letter counts, and only pairs whose
+counts allow the distance leave the join. Spark's bounded levenshtein turns most of the others away;
+the pairs left lose their common prefix and suffix and are verified with a banded bit-parallel edit
+distance: one column of the band is a few bits of a long, and each character of the shorter line
+updates it.
 
 Lines are known by 64-bit hashes. Defined cases: null or empty text has no lines and stays as it is;
 a document whose doc_id is null stays whole and is never the first of a class; rows with one doc_id
@@ -34,28 +36,30 @@ def segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
     return base * i + F.greatest(F.lit(i) - short, F.lit(0)) + 1, base + (F.lit(i) >= short).cast("int")
 
 
-def segment_keys(line: Column, length: Column, distance: int, min_chars: int) -> Column:
-    """Array of (key, probe): the segments of a line, and the substrings that it probes for lines up
-    to ``distance`` shorter."""
+def _segment_key(line: Column, length: Column, size: Column, i: int, start: Column, n: Column) -> Column:
+    """Key of a part of a line as segment i of lines with ``size`` characters; null where it does not lie inside."""
+    return F.when((start >= 1) & (start + n <= length + 1), F.xxhash64(size, F.lit(i), F.substring(line, start, n)))
+
+
+def index_keys(line: Column, length: Column, distance: int) -> Column:
+    """Array of the keys of a line's segments."""
     k = distance + 1
-    out = []
+    return F.array(*[_segment_key(line, length, length, i, *segment(length, i, k)) for i in range(k)])
 
-    def key(size, i, start, n, probe):
-        ok = (start >= 1) & (start + n - 1 <= length) & (size >= min_chars)
-        part = F.substring(line, start, n)
-        return F.when(ok, F.struct(F.xxhash64(size, F.lit(i), part).alias("key"), F.lit(probe).alias("probe")))
 
+def probe_keys(line: Column, length: Column, shorter: Column, distance: int) -> Column:
+    """Array of the keys (some null) of all parts of a line that can be segments of a line with ``shorter``
+    characters less: with i edits left of segment i at most, and distance - i right of it."""
+    k, out = distance + 1, []
     for i in range(k):
-        start, n = segment(length, i, k)
-        out.append(key(length, i, start, n, False))
-    for delta in range(distance + 1):
-        size = length - delta
-        for i in range(k):
-            start, n = segment(size, i, k)
-            # edits left of the segment number at most i, right of it at most distance - i
-            for move in range(max(-i, delta - (distance - i)), min(i, delta + (distance - i)) + 1):
-                out.append(key(size, i, start + move, n, True))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+        size = length - shorter
+        start, n = segment(size, i, k)
+        low = F.greatest(F.lit(-i), shorter - (distance - i))
+        high = F.least(F.lit(i), shorter + (distance - i))
+        most = max(min(i, d + distance - i) - max(-i, d - distance + i) for d in range(distance + 1)) + 1
+        for m in range(most):
+            out.append(F.when(low + m <= high, _segment_key(line, length, size, i, start + low + m, n)))
+    return F.array(*out)
 
 
 def _common(a: Column, b: Column, most: Column, part) -> Column:
@@ -73,21 +77,50 @@ def _bits(x: Column, y: Column, op: str) -> Column:
     return {"and": x.bitwiseAND, "or": x.bitwiseOR, "xor": x.bitwiseXOR}[op](y)
 
 
+LETTERS = "etaonirsdhlu"
+
+
+def letter_counts(line: Column) -> Column:
+    """Counts of the common letters modulo 32, five bits each in a long."""
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(LETTERS):
+        n = F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+        out = out + F.shiftleft((n % 32).cast("long"), 5 * i)
+    return out
+
+
+def alike(a: Column, b: Column, distance: int) -> Column:
+    """A necessary condition on the letter counts of lines within ``distance``: an edit changes the counts of
+    two letters by one each at most."""
+    total = F.lit(0).cast("long")
+    for i in range(len(LETTERS)):
+        one, two = (F.shiftright(x, 5 * i).bitwiseAND(F.lit(31).cast("long")) for x in (a, b))
+        d = F.abs(one - two)
+        total = total + F.least(d, F.lit(32).cast("long") - d)
+    return total <= 2 * distance
+
+
 def within_distance(pairs: DataFrame, distance: int) -> DataFrame:
     """``pairs`` without their texts x and y, of which those stay whose edit distance is at most ``distance``."""
     longer = F.char_length("x") >= F.char_length("y")
-    p = pairs.withColumn("__a", F.when(longer, F.col("x")).otherwise(F.col("y"))).withColumn(
-        "__b", F.when(longer, F.col("y")).otherwise(F.col("x")))
-    m, n = F.char_length("__a"), F.char_length("__b")
-    p = p.withColumn("__l", _common(F.col("__a"), F.col("__b"), n, lambda s, k: F.substring(s, F.lit(1), k)))
-    p = p.withColumn("__r", _common(F.col("__a"), F.col("__b"), n - F.col("__l"), lambda s, k: F.right(s, k)))
-    for s in ("__a", "__b"):
-        p = p.withColumn(s, F.regexp_extract_all(
-            F.substring(s, F.col("__l") + 1, F.char_length(s) - F.col("__l") - F.col("__r")), F.lit("(?s)."), F.lit(0)))
+    p = pairs.select("*", F.when(longer, F.col("x")).otherwise(F.col("y")).alias("__a"),
+                     F.when(longer, F.col("y")).otherwise(F.col("x")).alias("__b"))
+    a, b = F.col("__a"), F.col("__b")
+
+    def core(s: Column, l: Column, r: Column) -> Column:
+        return F.regexp_extract_all(F.substring(s, l + 1, F.char_length(s) - l - r), F.lit("(?s)."), F.lit(0))
+
+    def trimmed(n: Column) -> Column:
+        return _let(_common(a, b, n, lambda s, k: F.substring(s, F.lit(1), k)), lambda l: _let(
+            _common(a, b, n - l, lambda s, k: F.right(s, k)),
+            lambda r: F.struct(core(a, l, r).alias("a"), core(b, l, r).alias("b"))))
+
     # written before it is filtered: a filter pushed below would put the texts' expressions into every step
-    p = stage(p.drop("x", "y", "__l", "__r"), "line_cores")
+    p = stage(p.select(*[c for c in pairs.columns if c not in ("x", "y")], _let(F.char_length(b), trimmed).alias("__c")),
+              "line_cores")
     width = 2 * distance + 1
     mask = F.lit((1 << width) - 1).cast("long")
+    p = p.select("*", F.col("__c.a").alias("__a"), F.col("__c.b").alias("__b")).drop("__c")
     a, b, m, n = F.col("__a"), F.col("__b"), F.size("__a"), F.size("__b")
     zero = F.lit(0).cast("long")
 
@@ -141,15 +174,22 @@ def line_classes(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> Dat
     again = stage(again.groupBy("doc_id").agg(F.collect_list("pos").alias("drop")), "again")
 
     # segments of first occurrences only
-    kept = (docs.join(small_or_plain(again, 64), "doc_id", "left")
-            .select("doc_id", "drop", F.posexplode(_split()).alias("pos", "line"))
-            .where((F.char_length("line") >= min_chars) & ~F.coalesce(F.array_contains("drop", F.col("pos")), F.lit(False)))
-            .select(F.xxhash64("line").alias("id"), "line", F.char_length("line").alias("length")))
-    keys = kept.select("id", F.explode(segment_keys(F.col("line"), F.col("length"), distance, min_chars)).alias("k"))
-    index = keys.where("not k.probe").select(F.col("k.key").alias("key"), F.col("id").alias("u"))
-    probe = keys.where("k.probe").select(F.col("k.key").alias("key"), F.col("id").alias("v"))
-    pairs = stage(index.join(probe, "key").where("u <> v")
-                  .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "line_pairs")
+    # the length leaves the generator as a column, so that no key computes it again
+    sized = F.transform(_split(), lambda x: F.struct(x.alias("line"), F.char_length(x).alias("length")))
+    kept = (docs.join(small_or_plain(again, 64), "doc_id", "left").select("drop", F.posexplode(sized).alias("pos", "l"))
+            .where((F.col("l.length") >= min_chars) & ~F.coalesce(F.array_contains("drop", F.col("pos")), F.lit(False))))
+
+    line, length = F.col("l.line"), F.col("l.length")
+    kept = kept.select("l", letter_counts(line).alias("letters"))
+    index = kept.select(F.xxhash64(line).alias("u"), F.col("letters").alias("lu"),
+                        F.explode(index_keys(line, length, distance)).alias("key"))
+    deltas = F.array(*[F.lit(d) for d in range(distance + 1)])
+    probe = (kept.select("l", "letters", F.explode(deltas).alias("d")).where(length - F.col("d") >= min_chars)
+             .select(F.xxhash64(line).alias("v"), F.col("letters").alias("lv"),
+                     F.explode(probe_keys(line, length, F.col("d"), distance)).alias("key")).where("key is not null"))
+    meet = (index["key"] == probe["key"]) & (F.col("u") != F.col("v")) & alike(F.col("lu"), F.col("lv"), distance)
+    pairs = stage(index.join(probe, meet).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+                  .distinct(), "line_pairs")
 
     ids = stage(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct().join(first, "id")
                 .select("doc_id", "pos", "id"), "line_ids")
@@ -160,7 +200,9 @@ def line_classes(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> Dat
                   .select(F.xxhash64("line").alias("id"), "line").distinct(), "line_texts")
     both = (pairs.join(texts.select(F.col("id").alias("u"), F.col("line").alias("x")), "u")
             .join(texts.select(F.col("id").alias("v"), F.col("line").alias("y")), "v"))
-    links = stage(within_distance(both.select("u", "v", "x", "y"), distance), "line_links")
+    # the bounded distance of Spark turns most false candidates away at once
+    both = both.where(F.levenshtein("x", "y", distance) >= 0).select("u", "v", "x", "y")
+    links = stage(within_distance(both, distance), "line_links")
     part = connected_components(links, native=True)
     roots = part.select(F.col("component").alias("id"), "component").distinct()
     named = stage(part.select(F.col("node").alias("id"), "component").union(roots).join(first, "id")
