@@ -21,6 +21,6 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     # tests set their own checkpoint folder only where the session names none
     if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="trialspark-ckpt-"))
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trialspark-ckpt-"))
     yield s
     s.stop()

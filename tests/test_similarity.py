@@ -46,12 +46,28 @@ def test_baseline_normalisation(spark):
     assert z[0] == (5.0 - 2.0) / 1.0 and z[1] is None      # sd 0 -> NULL (R9)
 
 
-def test_list_length_guard(spark):
-    import pytest
-    ev = spark.createDataFrame([(1, i, [1.0, 2.0]) for i in range(5)], "list int, serialpos int, z array<double>")
-    similarity.within_list_pairs(ev, ev, ["list"], max_list_len=5)
-    with pytest.raises(ValueError):
-        similarity.within_list_pairs(ev, ev, ["list"], max_list_len=4)
+def test_undefined_correlations_are_null(spark):
+    for c in (0.1, 1 / 3, 2.7, 0.0):
+        vary = [float(v) for v in np.random.default_rng(1).normal(size=64)]
+        df = spark.createDataFrame([([c] * 64, vary), ([None] * 64, vary)], "a array<double>, b array<double>")
+        fm = df.select(similarity.frequency_major("a", 8, 8).alias("a"), similarity.frequency_major("b", 8, 8).alias("b"),
+                       similarity.channel_means("a", 8, 8).alias("m"))
+        assert [(r.corr, r.corr_z) for r in similarity.pairwise_similarity(df, "a", "b").collect()] == [(None, None)] * 2
+        assert {(r.corr, r.corr_z) for r in similarity.leave_one_frequency_out(fm, "a", "b", 8, 8).collect()} == {(None, None)}
+        assert [r.corr_z for r in similarity.similarity_over_time(fm, "m", "b", 8, 8).collect()] == [None] * 2
+
+
+def test_correlation_far_from_zero_keeps_its_digits(spark):
+    rng = np.random.default_rng(2)
+    a, b = 1e8 + rng.normal(size=64), 1e8 + rng.normal(size=64)
+    want = np.corrcoef(a, b)[0, 1]
+    df = spark.createDataFrame([(a.tolist(), b.tolist())], "a array<double>, b array<double>")
+    assert abs(similarity.pairwise_similarity(df, "a", "b").first().corr - want) < 1e-7
+    fm = df.select(similarity.frequency_major("a", 8, 8).alias("a"), similarity.frequency_major("b", 8, 8).alias("b"))
+    drop = {r.drop_freq: r.corr for r in similarity.leave_one_frequency_out(fm, "a", "b", 8, 8).collect()}
+    for f in range(8):
+        keep = [i for i in range(64) if i % 8 != f]
+        assert abs(drop[f] - np.corrcoef(a[keep], b[keep])[0, 1]) < 1e-6
 
 
 def test_similarity_symmetric_and_bounded(spark):

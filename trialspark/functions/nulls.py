@@ -76,9 +76,12 @@ def safe_div(a: str | Column, b: str | Column) -> Column:
 
 
 def fisher_z(r: str | Column) -> Column:
-    """Arctanh of a correlation, clamped into [-1, 1] (|r|=1 -> +-inf, as arctanh does)."""
+    """Arctanh of a correlation, clamped into [-1, 1] (|r|=1 -> +-inf, as arctanh does).
+
+    NULL stays NULL: ``least`` and ``greatest`` skip NULLs, so the clamp alone would turn an
+    undefined correlation into 1."""
     r = col_(r)
-    return F.atanh(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return F.when(r.isNotNull(), F.atanh(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))))
 
 
 def trailing_int(c: str | Column) -> Column:
@@ -108,5 +111,7 @@ def r6(c: str | Column, digits: int = 6) -> Column:
     x = col_(c).cast("double")
     m = float(10 ** digits)
     scaled = F.floor(F.abs(x) * m + F.lit(0.5)).cast("double") * F.signum(x) / F.lit(m)
-    safe = F.when(F.isnan(x) | (F.abs(x) >= F.lit(1e12)), x).otherwise(scaled)
+    # from 2^53 / 10^digits on, neighbouring doubles lie further apart than the rounding step:
+    # rounding is the identity there
+    safe = F.when(F.isnan(x) | (F.abs(x) >= F.lit(float(2 ** 53) / m)), x).otherwise(scaled)
     return safe + F.lit(0.0)

@@ -112,23 +112,11 @@ def suffix(df: DataFrame, name: str, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c in keep else f"{c}_{name}") for c in df.columns])
 
 
-def check_list_length(events: DataFrame, list_keys: Sequence[str], max_list_len: int) -> None:
-    """Fail when a list holds more events than the design allows: the pair space is quadratic
-    in list length, so an oversized list is a data error to fix upstream (the wrong-length
-    check removes such lists), never something to cap or sample silently."""
-    worst = events.groupBy(*list_keys).count().agg(F.max("count")).first()[0]
-    if worst is not None and worst > max_list_len:
-        raise ValueError(f"a list holds {worst} events, more than the design's {max_list_len}")
-
-
 def within_list_pairs(enc: DataFrame, test: DataFrame, list_keys: Sequence[str],
                       enc_period: str = "encoding", test_period: str = "encoding2",
-                      condition: Column | None = None, max_list_len: int | None = None) -> DataFrame:
+                      condition: Column | None = None) -> DataFrame:
     """J9 + P19: equi-join of encoding and test events on the list keys, with an optional
-    theta ``condition`` (P20) over the suffixed columns placed in the join condition.
-    ``max_list_len`` validates the design bound first (one aggregate, raises if exceeded)."""
-    if max_list_len is not None:
-        check_list_length(enc, list_keys, max_list_len)
+    theta ``condition`` (P20) over the suffixed columns placed in the join condition."""
     a = suffix(enc, enc_period)
     b = suffix(test, test_period)
     cond = [a[f"{k}_{enc_period}"] == b[f"{k}_{test_period}"] for k in list_keys]
@@ -157,7 +145,7 @@ def position_rule(test_period: str, enc_period: str = "encoding", list_len: int
 # element-wise function never re-evaluates a whole-array expression, and
 # Catalyst does not re-inline a non-cheap column that is referenced twice.
 # Moments are single-pass sums (n, sx, sy, sxx, syy, sxy); features are
-# z-scores of order one, where the single-pass formula is accurate to ~1e-15.
+# z-scores shifted by their first element.
 # ---------------------------------------------------------------------------
 
 _MOMENT_FIELDS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
@@ -170,15 +158,32 @@ def _complete_pairs(a: Column, b: Column) -> Column:
 
 
 def _moments(entries: Column, finish=None) -> Column:
-    """Moment sums of (x, y) entries; ``finish`` maps the accumulator (a lambda variable) to
-    the result inside the same expression, e.g. straight to a correlation."""
+    """Moment sums of (x, y) entries, both sides shifted by the first entry (x0, y0): a constant
+    side has sums of exactly zero, and values far from zero keep their digits. ``finish`` maps the
+    accumulator (a lambda variable) to the result inside the same expression."""
     zero = F.struct(*[F.lit(v).alias(n) for v, n in
-                      [(0, "n"), (0.0, "sx"), (0.0, "sy"), (0.0, "sxx"), (0.0, "syy"), (0.0, "sxy")]])
-    merge = lambda s, q: F.struct(
+                      [(0, "n"), (0.0, "sx"), (0.0, "sy"), (0.0, "sxx"), (0.0, "syy"), (0.0, "sxy"),
+                       (0.0, "x0"), (0.0, "y0")]])
+
+    def merge(s, q):
+        first = s["n"] == 0
+        x0, y0 = F.when(first, q["x"]).otherwise(s["x0"]), F.when(first, q["y"]).otherwise(s["y0"])
+        dx, dy = F.when(first, 0.0).otherwise(q["x"] - s["x0"]), F.when(first, 0.0).otherwise(q["y"] - s["y0"])
+        return F.struct(
+            (s["n"] + 1).alias("n"), (s["sx"] + dx).alias("sx"), (s["sy"] + dy).alias("sy"),
+            (s["sxx"] + dx * dx).alias("sxx"), (s["syy"] + dy * dy).alias("syy"),
+            (s["sxy"] + dx * dy).alias("sxy"), x0.alias("x0"), y0.alias("y0"))
+    return F.aggregate(entries, zero, merge, finish) if finish else F.aggregate(entries, zero, merge)
+
+
+def _plain_moments(entries: Column) -> Column:
+    """Moment sums without a shift, which add up over slices of a vector (see ``frequency_major``,
+    which shifts the whole vector)."""
+    zero = F.struct(*[F.lit(0 if c == "n" else 0.0).alias(c) for c in _MOMENT_FIELDS])
+    return F.aggregate(entries, zero, lambda s, q: F.struct(
         (s["n"] + 1).alias("n"), (s["sx"] + q["x"]).alias("sx"), (s["sy"] + q["y"]).alias("sy"),
         (s["sxx"] + q["x"] * q["x"]).alias("sxx"), (s["syy"] + q["y"] * q["y"]).alias("syy"),
-        (s["sxy"] + q["x"] * q["y"]).alias("sxy"))
-    return F.aggregate(entries, zero, merge, finish) if finish else F.aggregate(entries, zero, merge)
+        (s["sxy"] + q["x"] * q["y"]).alias("sxy")))
 
 
 def _corr_from_moments(m: Column) -> Column:
@@ -187,7 +192,8 @@ def _corr_from_moments(m: Column) -> Column:
     cov = n * m["sxy"] - m["sx"] * m["sy"]
     vx = n * m["sxx"] - m["sx"] * m["sx"]
     vy = n * m["syy"] - m["sy"] * m["sy"]
-    ok = (m["n"] > 1) & (vx > 0) & (vy > 0)
+    # a variance within rounding of its sums (which are shifted to be small) is none
+    ok = (m["n"] > 1) & (vx > n * m["sxx"] * 1e-13) & (vy > n * m["syy"] * 1e-13)
     r = cov / F.sqrt(vx * vy)
     return F.when(ok, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
@@ -213,20 +219,23 @@ def pairwise_similarity(pairs: DataFrame, enc_col: str, test_col: str, out: str
 
 def frequency_major(z: str | Column, n_channels: int, n_freqs: int) -> Column:
     """Reorder a (channel, frequency) vector to frequency-major order, so that the features
-    of one frequency (or time bin) are the contiguous slice [f*n_channels, (f+1)*n_channels).
+    of one frequency (or time bin) are the contiguous slice [f*n_channels, (f+1)*n_channels),
+    shifted by the vector's first present element: correlations do not change, and moment sums
+    of slices can be subtracted without losing digits.
     Applied on the event side, before the pair join: the cost is per event, not per pair."""
     z = F.col(z) if isinstance(z, str) else z
     k = n_channels * n_freqs
+    first = F.coalesce(*[F.get(z, F.lit(i)) for i in range(k)])
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
-                       lambda j: z[(j % n_channels) * n_freqs + F.floor(j / n_channels).cast("int")])
+                       lambda j: z[(j % n_channels) * n_freqs + F.floor(j / n_channels).cast("int")] - first)
 
 
 def _slice_moments(a: Column, b: Column, n_channels: int, n_freqs: int) -> Column:
     """Per-frequency moment sums from two frequency-major arrays (complete cases only)."""
     return F.transform(
         F.sequence(F.lit(0), F.lit(n_freqs - 1)),
-        lambda f: _moments(_complete_pairs(F.slice(a, f * n_channels + 1, n_channels),
-                                           F.slice(b, f * n_channels + 1, n_channels))))
+        lambda f: _plain_moments(_complete_pairs(F.slice(a, f * n_channels + 1, n_channels),
+                                                 F.slice(b, f * n_channels + 1, n_channels))))
 
 
 def leave_one_frequency_out(pairs: DataFrame, enc_fm: str, test_fm: str, n_channels: int, n_freqs: int,

@@ -404,6 +404,8 @@ def logistic_fixed_effects(df: DataFrame, y: str, xs: Sequence[str], max_iter: i
         model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=max_iter,
                                             regParam=0.0).fit(data)
         s = model.summary
+        if s.numIterations >= max_iter:
+            raise RuntimeError(f"the logistic fit did not converge in {max_iter} iterations")
         names = ["(Intercept)", *xs]
         est = [model.intercept, *model.coefficients.toArray().tolist()]
         # summary order: coefficients then intercept

@@ -51,7 +51,10 @@ def add_nested_means(df: DataFrame, value: str, levels: Sequence[str], prefix: s
         m = m.select(*[F.col(k).alias(f"_m_{k}") for k in keys], f"{prefix}_{name}_mean")
         out = out.join(m, [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in keys], "left").drop(
             *[f"_m_{k}" for k in keys])
-    overall = df.select(F.avg(value)).scalar()
+    if weighting == "rows":
+        overall = df.select(F.avg(value)).scalar()
+    else:  # equal weight up to the top: the mean of the outermost units' means
+        overall = unit_means.select(F.avg("_u")).scalar()
     return out.withColumns({
         f"{prefix}_all_mean": overall,
         f"{prefix}_list_adj": F.col(value) - F.col(f"{prefix}_list_mean") + overall,

@@ -62,7 +62,8 @@ def region_coverage(loc: DataFrame, lookup: DataFrame, subject: str = "subject",
 
     The lookup is de-duplicated on its key first (a repeated key would double counts).
     """
-    lk = lookup.groupBy(key).agg(F.first("region", ignorenulls=True).alias("region"))
+    # a key with two regions takes the smaller name, whatever the order of rows
+    lk = lookup.groupBy(key).agg(F.min("region").alias("region"))
     j = loc.where(F.col(key).isNotNull()).join(lk, key, "left")
     unmatched = j.where(F.col("region").isNull())
     per = j.where(F.col("region").isNotNull()).groupBy(subject, "region").agg(

@@ -463,7 +463,9 @@ def epoch_power(spark, sf_dir):
     # T4: irregular samples onto the regular grid (sum per grid step), bounded per epoch
     g = e.withColumn("idx", F.floor((F.col("rel") - lo) / GRID_MS).cast("int")).groupBy("onset_id", "idx").agg(
         F.sum("value").alias("v"))
-    per = g.groupBy("onset_id").agg(F.collect_list("idx").alias("idx"), F.collect_list("v").alias("v"))
+    # one list of (idx, v): two lists would drop NULLs of one side and lose their pairing
+    per = g.where("v is not null").groupBy("onset_id").agg(F.collect_list(F.struct("idx", "v")).alias("g")).select(
+        "onset_id", "g.idx", "g.v")
     freqs = spectral.logspace_freqs(FREQ_MIN_HZ, FREQ_MAX_HZ, N_FREQS)
     return spectral.epoch_power(per, "onset_id", "idx", "v", n_times, 1000.0, freqs,
                                 buffer_n=EPOCH_BUFFER_MS // GRID_MS, width=WAVELET_WIDTH, notch=LINE_NOISE_HZ)
@@ -524,9 +526,8 @@ def region_coverage(spark, sf_dir):
     s = t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey", "s_acctbal")
     c = t("customer").select(F.col("c_custkey").alias("subject"), "c_nationkey")
     n = t("nation")
-    # the nation dimension has a fixed 25 rows at every scale factor: a proven broadcast bound
-    sn = F.broadcast(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("sn_name")))
-    cn = F.broadcast(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("cn_name")))
+    sn = n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("sn_name"))
+    cn = n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("cn_name"))
     loc = li.join(o, "l_orderkey").join(s, "l_suppkey").join(sn, "s_nationkey").join(c, "subject").join(cn, "c_nationkey")
     atlas1 = F.when(F.col("s_acctbal") < 0, F.lit(" Unknown ")).otherwise(F.concat(F.lit('"'), "sn_name", F.lit('"')))
     loc = loc.select("subject", summary.coalesce_priority(

@@ -69,19 +69,11 @@ def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str:
         if default is None:
             raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder")
         d = default
-        spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
-def cut_lineage(df: DataFrame, name: str | None = None) -> DataFrame:
-    """Cut the lineage by writing the frame as a Parquet table in the shared checkpoint folder
-    and reading it back: computed once (``Dataset.checkpoint`` computes an unpersisted plan
-    twice), columnar on disk, and it survives executor loss."""
-    return stage_table(df, name or f"cut-{uuid.uuid4().hex}")
-
-
 def _delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,0 +1,2 @@
+"""The inventory holds no streams; sessions are resumed with ``sources.tables.skip_done`` and
+partitioned overwrite."""
