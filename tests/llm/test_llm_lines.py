@@ -98,8 +98,9 @@ def test_main_path_is_native(spark, docs):
 
 def test_segments_cover_a_line(spark):
     for k in (2, 3, 4):
-        got = spark.range(k, 40).select("id", *[F.struct(*[c.alias(x) for c, x in zip(lines.segment(F.col("id"), i, k), "sn")])
-                                                .alias(f"g{i}") for i in range(k)]).collect()
+        t = spark.range(k, 40).select("id", lines.shape(F.col("id").cast("int"), 0, k).alias("t"))
+        got = t.select("id", *[F.struct(*[c.alias(x) for c, x in zip(lines.segment(F.col("t"), i), "sn")])
+                               .alias(f"g{i}") for i in range(k)]).collect()
         for r in got:
             at = 1
             for i in range(k):

@@ -7,8 +7,9 @@ Lines of at least ``min_chars`` characters that are equal, or within an edit dis
 Equal lines are found by hash. Of the different ones, every line is cut into distance + 1 segments,
 indexed by (length, segment number, segment); two lines within the distance share a segment at
 places that differ by no more than the edits on either side, so a line probes only those substrings
-for each length up to its own. Index and probe rows carry the line's letter counts, and only pairs whose
-counts allow the distance leave the join. Spark's bounded levenshtein turns most of the others away;
+for each length up to its own. Keys that different lines meet in are found by an aggregate; only the lines
+that have one go on, with their letter counts, and only pairs whose counts allow the distance leave the
+join. Spark's bounded levenshtein turns most of the others away;
 the pairs left lose their common prefix and suffix and are verified with a banded bit-parallel edit
 distance: one column of the band is a few bits of a long, and each character of the shorter line
 updates it.
@@ -29,36 +30,36 @@ from trialspark.llm.staging import small_or_plain, stage
 SEPARATOR = "\n"
 
 
-def segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of segment i of k: even cuts, the longer ones last."""
-    base, longer = F.floor(length / k).cast("int"), (length % k).cast("int")
-    short = k - longer
-    return base * i + F.greatest(F.lit(i) - short, F.lit(0)) + 1, base + (F.lit(i) >= short).cast("int")
+def shape(length: Column, shorter: int, k: int) -> Column:
+    """How a line with ``shorter`` characters less is cut into k segments: size, the base length of a
+    segment, and the number of segments of just that length (the others, one longer, come last)."""
+    size = length - shorter
+    return F.struct(F.lit(shorter).alias("d"), size.alias("size"), F.floor(size / k).cast("int").alias("base"),
+                    (k - size % k).alias("short"))
 
 
-def _segment_key(line: Column, length: Column, size: Column, i: int, start: Column, n: Column) -> Column:
-    """Key of a part of a line as segment i of lines with ``size`` characters; null where it does not lie inside."""
-    return F.when((start >= 1) & (start + n <= length + 1), F.xxhash64(size, F.lit(i), F.substring(line, start, n)))
+def segment(t: Column, i: int) -> tuple[Column, Column]:
+    """Start (from 1) and length of segment i of a shape."""
+    return t["base"] * i + F.greatest(i - t["short"], F.lit(0)) + 1, t["base"] + (i >= t["short"]).cast("int")
 
 
-def index_keys(line: Column, length: Column, distance: int) -> Column:
-    """Array of the keys of a line's segments."""
-    k = distance + 1
-    return F.array(*[_segment_key(line, length, length, i, *segment(length, i, k)) for i in range(k)])
-
-
-def probe_keys(line: Column, length: Column, shorter: Column, distance: int) -> Column:
-    """Array of the keys (some null) of all parts of a line that can be segments of a line with ``shorter``
-    characters less: with i edits left of segment i at most, and distance - i right of it."""
-    k, out = distance + 1, []
-    for i in range(k):
-        size = length - shorter
-        start, n = segment(size, i, k)
-        low = F.greatest(F.lit(-i), shorter - (distance - i))
-        high = F.least(F.lit(i), shorter + (distance - i))
+def segment_keys(line: Column, length: Column, t: Column, distance: int, probe: bool) -> Column:
+    """Array of the keys (some null) of a line's segments by its shape t; or, to ``probe``, of all its parts
+    that can be segments of a line of shape t, with i edits left of segment i at most, and distance - i
+    right of it."""
+    out = []
+    for i in range(distance + 1):
+        start, n = segment(t, i)
+        if not probe:
+            out.append(F.xxhash64(t["size"], F.lit(i), F.substring(line, start, n)))
+            continue
+        low = F.greatest(F.lit(-i), t["d"] - (distance - i))
+        high = F.least(F.lit(i), t["d"] + (distance - i))
         most = max(min(i, d + distance - i) - max(-i, d - distance + i) for d in range(distance + 1)) + 1
         for m in range(most):
-            out.append(F.when(low + m <= high, _segment_key(line, length, size, i, start + low + m, n)))
+            at = start + low + m
+            out.append(F.when((low + m <= high) & (at >= 1) & (at + n <= length + 1),
+                              F.xxhash64(t["size"], F.lit(i), F.substring(line, at, n))))
     return F.array(*out)
 
 
@@ -77,26 +78,28 @@ def _bits(x: Column, y: Column, op: str) -> Column:
     return {"and": x.bitwiseAND, "or": x.bitwiseOR, "xor": x.bitwiseXOR}[op](y)
 
 
-LETTERS = "etaonirsdhlu"
+#: two longs hold the counts of twelve letters each
+LETTERS = ("etaonirsdhlu", "cmfpgwybvkxq")
 
 
-def letter_counts(line: Column) -> Column:
-    """Counts of the common letters modulo 32, five bits each in a long."""
+def letter_counts(line: Column, letters: str) -> Column:
+    """Counts of the letters modulo 32, five bits each in a long."""
     out = F.lit(0).cast("long")
-    for i, c in enumerate(LETTERS):
+    for i, c in enumerate(letters):
         n = F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
         out = out + F.shiftleft((n % 32).cast("long"), 5 * i)
     return out
 
 
-def alike(a: Column, b: Column, distance: int) -> Column:
+def alike(pairs: list[tuple[Column, Column]], distance: int) -> Column:
     """A necessary condition on the letter counts of lines within ``distance``: an edit changes the counts of
     two letters by one each at most."""
     total = F.lit(0).cast("long")
-    for i in range(len(LETTERS)):
-        one, two = (F.shiftright(x, 5 * i).bitwiseAND(F.lit(31).cast("long")) for x in (a, b))
-        d = F.abs(one - two)
-        total = total + F.least(d, F.lit(32).cast("long") - d)
+    for (a, b), letters in zip(pairs, LETTERS):
+        for i in range(len(letters)):
+            one, two = (F.shiftright(x, 5 * i).bitwiseAND(F.lit(31).cast("long")) for x in (a, b))
+            d = F.abs(one - two)
+            total = total + F.least(d, F.lit(32).cast("long") - d)
     return total <= 2 * distance
 
 
@@ -174,30 +177,44 @@ def line_classes(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> Dat
     again = stage(again.groupBy("doc_id").agg(F.collect_list("pos").alias("drop")), "again")
 
     # segments of first occurrences only
-    # the length leaves the generator as a column, so that no key computes it again
-    sized = F.transform(_split(), lambda x: F.struct(x.alias("line"), F.char_length(x).alias("length")))
-    kept = (docs.join(small_or_plain(again, 64), "doc_id", "left").select("drop", F.posexplode(sized).alias("pos", "l"))
-            .where((F.col("l.length") >= min_chars) & ~F.coalesce(F.array_contains("drop", F.col("pos")), F.lit(False))))
-
-    line, length = F.col("l.line"), F.col("l.length")
-    kept = kept.select("l", letter_counts(line).alias("letters"))
-    index = kept.select(F.xxhash64(line).alias("u"), F.col("letters").alias("lu"),
-                        F.explode(index_keys(line, length, distance)).alias("key"))
-    deltas = F.array(*[F.lit(d) for d in range(distance + 1)])
-    probe = (kept.select("l", "letters", F.explode(deltas).alias("d")).where(length - F.col("d") >= min_chars)
-             .select(F.xxhash64(line).alias("v"), F.col("letters").alias("lv"),
-                     F.explode(probe_keys(line, length, F.col("d"), distance)).alias("key")).where("key is not null"))
-    meet = (index["key"] == probe["key"]) & (F.col("u") != F.col("v")) & alike(F.col("lu"), F.col("lv"), distance)
-    pairs = stage(index.join(probe, meet).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-                  .distinct(), "line_pairs")
-
-    ids = stage(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct().join(first, "id")
-                .select("doc_id", "pos", "id"), "line_ids")
+    kept = (docs.join(small_or_plain(again, 64), "doc_id", "left")
+            .select("drop", F.posexplode(_split()).alias("pos", "line"))
+            .where((F.char_length("line") >= min_chars) & ~F.coalesce(F.array_contains("drop", F.col("pos")), F.lit(False))))
+    length, k = F.char_length("line"), distance + 1
+
+    def keys(probe: bool) -> DataFrame:
+        # shapes leave a generator as columns, so that the keys' expressions stay small enough to be compiled
+        shapes = F.array(*[shape(F.col("length"), d, k) for d in range(distance + 1 if probe else 1)])
+        # and the line's hash and keys are columns below the next, so that generated rows carry no text
+        cut = kept.select("line", length.alias("length"), F.xxhash64("line").alias("id")).select(
+            "*", F.explode(shapes).alias("t")).where(F.col("t.size") >= min_chars)
+        # explode_outer: a plain explode infers a filter on the array's size, which would build the keys again
+        found = segment_keys(F.col("line"), F.col("length"), F.col("t"), distance, probe)
+        return (cut.select("id", found.alias("keys")).select("id", F.lit(probe).alias("probe"), F.explode_outer("keys").alias("key"))
+                .where("key is not null"))
+
+    # first the keys that different lines meet in, then only the lines that have such a key
+    every = keys(False).union(keys(True))
+    shared = stage(every.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.bool_or("probe").alias("p"),
+                                            F.bool_and("probe").alias("q")).where("a < b and p and not q").select("key"),
+                   "shared_keys")
+    entries = stage(every.join(small_or_plain(shared, 16), "key", "left_semi").distinct(), "line_keys")
+
+    ids = stage(entries.select("id").distinct().join(first, "id").select("doc_id", "pos", "id"), "line_ids")
     want = stage(ids.groupBy("doc_id").agg(F.collect_list("pos").alias("want")), "line_docs")
     texts = stage(docs.join(small_or_plain(want, 64), "doc_id")
                   .select(F.posexplode(_split()).alias("pos", "line"), "want")
                   .where(F.array_contains("want", F.col("pos")))
-                  .select(F.xxhash64("line").alias("id"), "line").distinct(), "line_texts")
+                  .select(F.xxhash64("line").alias("id"), "line").distinct()
+                  .select("id", "line", *[letter_counts(F.col("line"), x).alias(f"c{i}") for i, x in enumerate(LETTERS)]),
+                  "line_texts")
+    counted = entries.join(texts.drop("line"), "id")
+    index = counted.where("not probe").select("key", F.col("id").alias("u"), F.col("c0").alias("u0"), F.col("c1").alias("u1"))
+    probe = counted.where("probe").select("key", F.col("id").alias("v"), F.col("c0").alias("v0"), F.col("c1").alias("v1"))
+    meet = ((index["key"] == probe["key"]) & (F.col("u") != F.col("v"))
+            & alike([(F.col("u0"), F.col("v0")), (F.col("u1"), F.col("v1"))], distance))
+    pairs = stage(index.join(probe, meet).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+                  .distinct(), "line_pairs")
     both = (pairs.join(texts.select(F.col("id").alias("u"), F.col("line").alias("x")), "u")
             .join(texts.select(F.col("id").alias("v"), F.col("line").alias("y")), "v"))
     # the bounded distance of Spark turns most false candidates away at once
