@@ -87,3 +87,20 @@ def test_closed_form_distance_constants(spark):
     st = spark.range(1).select(features.later_position_distance_constants(df, ["list"]).alias("st")).first().st
     d = [t - e for n in sizes for e in range(1, n + 1) for t in range(e + 1, n + 1)]
     assert abs(st.m - sum(d) / len(d)) < 1e-12 and st.mx == max(d)
+
+
+def test_type3_leaves_numeric_covariates_unshifted(spark):
+    rng = np.random.default_rng(11)
+    a = rng.integers(0, 2, 200).astype(float)
+    x = rng.normal(3.0, 2.0, 200)
+    y = 0.4 * a + 0.7 * x + 0.5 * a * x + rng.normal(size=200)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, x, y)], "a double, x double, y double")
+    got = {r.term: r.f for r in stats.type3_tests(df, "y", [(), ("a",), ("x",), ("a", "x")], covariates=["x"]).collect()}
+    s = a - 0.5
+    full = np.column_stack([np.ones(200), s, x, s * x])
+
+    def rss(m):
+        return float(((y - m @ np.linalg.lstsq(m, y, rcond=None)[0]) ** 2).sum())
+    for name, drop in (("a", 1), ("x", 2), ("a:x", 3)):
+        want = (rss(np.delete(full, drop, axis=1)) - rss(full)) / (rss(full) / 196)
+        assert abs(got[name] - want) < 1e-6 * max(1.0, want)

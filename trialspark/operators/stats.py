@@ -51,17 +51,18 @@ def as_factor(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.col(col).cast("string"))
 
 
-def design_columns(terms: Sequence[Sequence[str]], coding: str = "treatment") -> dict[str, Column]:
+def design_columns(terms: Sequence[Sequence[str]], coding: str = "treatment",
+                   covariates: Sequence[str] = ()) -> dict[str, Column]:
     """ST4: design columns from terms; a term is a tuple of 0/1 (or numeric) column names and
     its column is their product (``a:b``); ``()`` is the intercept. ``coding='sum'`` maps a
-    0/1 factor to -1/2, +1/2 (used for type III tests)."""
+    0/1 factor to -1/2, +1/2 (used for type III tests); numeric ``covariates`` stay as they are."""
     cols: dict[str, Column] = {}
     for t in terms:
         name = ":".join(t) if t else "(Intercept)"
         c = F.lit(1.0)
         for v in t:
             x = F.col(v).cast("double")
-            if coding == "sum":
+            if coding == "sum" and v not in covariates:
                 x = x - F.lit(0.5)
             c = c * x
         cols[name] = c
@@ -144,11 +145,11 @@ def fit_fixed_effects(df: DataFrame, y: str, terms: Sequence[Sequence[str]], sta
     return df.sparkSession.createDataFrame(res)
 
 
-def type3_tests(df: DataFrame, y: str, terms: Sequence[Sequence[str]], standardise: bool = False
-                ) -> DataFrame:
-    """ST8: F test of each term (sum-to-zero coding) from reduced-vs-full residual sums of
-    squares, all taken from one aggregated Gram matrix."""
-    design = design_columns(terms, coding="sum")
+def type3_tests(df: DataFrame, y: str, terms: Sequence[Sequence[str]], standardise: bool = False,
+                covariates: Sequence[str] = ()) -> DataFrame:
+    """ST8: F test of each term (0/1 factors coded to sum to zero, numeric ``covariates`` unshifted)
+    from reduced-vs-full residual sums of squares, all taken from one aggregated Gram matrix."""
+    design = design_columns(terms, coding="sum", covariates=covariates)
     names = list(design)
     xtx, xty, yy, n = gram(df, y, design, standardise)
 
