@@ -21,8 +21,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated lines; a document that loses all its text to earlier ones goes."""
-    found = lines.dedup_lines(docs)
+    """Removes repeated lines, equal ones of any length that hold a word; a document that loses all its
+    text to earlier ones goes."""
+    found = lines.dedup_lines(docs, short=True)
     emptied = (F.col("n_dropped") > 0) & (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) == 0)
     return found.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 

@@ -91,6 +91,15 @@ def test_hard_cases(spark, docs, rows, no_docs):
     assert collect(lines.dedup_lines(no_docs)) == []
 
 
+def test_short_equal_lines_go_in_the_pipeline(spark):
+    import corpus_pipeline
+    rows = [(1, "Les.\nNt onor.\n---"), (2, "Les.\n---\n\nLos."), (3, "\nles.\nNt onor.\nLes."), (4, "Les."), (None, "Les.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["text"] for r in collect(lines.dedup_lines(df))} == {t for _, t in rows}
+    got = {r["doc_id"]: r["text"] for r in collect(corpus_pipeline.line_dedup(spark, df, ""))}
+    assert got == {1: rows[0][1], 2: "---\n\nLos.", 3: "\nles.", None: "Les."}
+
+
 def test_main_path_is_native(spark, docs):
     plan = lines.dedup_lines(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

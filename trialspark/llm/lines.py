@@ -2,7 +2,9 @@
 
 Lines of at least ``min_chars`` characters that are equal, or within an edit distance of
 ``distance``, fall in one class; every document keeps the lines that are the first of their class
-(least doc_id, then position) and loses the others. Shorter lines stay.
+(least doc_id, then position) and loses the others. Shorter lines stay, or, with ``short``, go where an
+equal line came before them if they hold a word; the edit distance is no measure of theirs, as two edits
+turn one short word into another.
 
 Equal lines are found by hash. Of the different ones, every line is cut into distance + 1 segments,
 indexed by (length, segment number, segment); two lines within the distance share a segment at
@@ -165,10 +167,17 @@ def _split(column="text") -> Column:
     return F.split(F.col(column), SEPARATOR)
 
 
-def line_classes(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
+#: a character that can stand in a word
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
+
+
+def line_classes(docs: DataFrame, distance: int = 2, min_chars: int = 20, short: bool = False) -> DataFrame:
     """The lines that are not the first of their class: staged (doc_id, drop), drop an array of positions."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    lines = docs.select("doc_id", F.posexplode(_split()).alias("pos", "line")).where(F.char_length("line") >= min_chars)
+    counts = F.char_length("line") >= min_chars
+    if short:
+        counts = counts | F.col("line").rlike(WORD)
+    lines = docs.select("doc_id", F.posexplode(_split()).alias("pos", "line")).where(counts)
     occurs = stage(lines.select("doc_id", "pos", F.xxhash64("line").alias("id")), "lines")
     first = stage(occurs.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("n"))
                   .select("id", "f.doc_id", "f.pos", "n"), "first")
@@ -230,10 +239,10 @@ def line_classes(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> Dat
     return stage(again.union(later).groupBy("doc_id").agg(F.flatten(F.collect_list("drop")).alias("drop")), "line_drops")
 
 
-def dedup_lines(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, distance: int = 2, min_chars: int = 20, short: bool = False) -> DataFrame:
     """``docs`` with text without its repeated lines, n_lines (before) and n_dropped; columns of these
     names are replaced."""
-    drops = line_classes(docs, distance, min_chars).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
+    drops = line_classes(docs, distance, min_chars, short).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
     out = docs.drop("n_lines", "n_dropped").join(small_or_plain(drops, 64), F.col("doc_id") == F.col("__id"), "left")
     gone = F.col("__drop")
     left = F.array_join(F.filter(_split(), lambda x, i: ~F.array_contains(gone, i)), SEPARATOR)
