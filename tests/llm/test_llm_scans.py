@@ -79,6 +79,26 @@ def test_license_phrases_match_plain_search(spark):
     assert collect(licenses.scan_licenses(df.limit(0))) == []
 
 
+def test_variants_of_a_license_keep_apart(spark):
+    gpl = "licensed under the GNU General Public License, version {}"
+    want = {t: {label} for label, t in licenses.TEMPLATES}
+    want |= {
+        "Licensed under CC BY-SA 4.0": set(), "Licensed under CC BY-ND 4.0": set(), "Licensed under CC BY-NC-SA 4.0": set(),
+        "Licensed under CC BY-NC 3.0": set(), "Licensed under the Apache License, Version 2.1": set(), gpl.format(4): set(),
+        "subject to the terms of the Mozilla Public License, v. 2.1": set(),
+        "subject to the terms of the Mozilla Public License, version 2.0": {"mpl-2.0"},
+        "licensed under the GNU Lesser General Public License, version 3": {"lgpl"},
+        "licensed under the GNU Affero General Public License, version 3": {"agpl"},
+        "Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0": {"cc-by-4.0", "cc-by-nc-4.0"},
+        gpl.format(2) + "; x y z w v u t s r; " + gpl.format(3): {"gpl-2.0", "gpl-3.0"},
+    }
+    rows = [(i, f"some words {t} and more") for i, t in enumerate(want)]
+    phrases = {label for label, _ in licenses.PHRASES}
+    got = {r["doc_id"]: set(r["labels"].split(",")) - phrases - {""}
+           for r in collect(licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert {t: got[i] for i, t in enumerate(want)} == want
+
+
 def test_long_templates_tolerate_small_changes(spark):
     grant = licenses.TEMPLATES[0][1]
     rows = [(1, "x y " + grant), (2, grant.replace("free of charge", "without charge")),

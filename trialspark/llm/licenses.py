@@ -4,7 +4,10 @@ All rolling word k-gram hashes of every document are joined to the k-gram positi
 templates. A match votes for the diagonal (document position minus template position); votes of a
 document and template are summed by diagonal, neighbouring diagonals are merged into one span (a few
 words were inserted or left out), and every span is verified against the template's words: phrases
-must stand there word by word, longer texts must agree in order with a share of their words.
+must stand there word by word, longer texts must agree in order with a share of their words. Templates
+that name one variant of a license (its version, NC, Lesser, Affero) also need the words that tell it from
+the other variants, whole and side by side in the span; as those words differ, two variants cannot claim
+the same place, and a text that names both gets both labels.
 
 Templates are fixed and few, so their side of the join is small by construction.
 
@@ -43,6 +46,21 @@ TEMPLATES = (
 )
 K = 2
 
+#: label: spellings of the words that make the variant, one of which must stand in the span word by word
+VARIANTS = {
+    "mit-notice": ("mit license",),
+    "apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache license v 2 0"),
+    "gpl-3.0": ("general public license version 3", "general public license 3", "general public license v 3"),
+    "gpl-2.0": ("general public license version 2", "general public license 2", "general public license v 2"),
+    "lgpl": ("lesser general public license",),
+    "agpl": ("affero general public license",),
+    "mpl-2.0": ("mozilla public license v 2 0", "mozilla public license version 2 0", "mozilla public license 2 0"),
+    "cc-by-nc-4.0": ("by nc 4 0",),
+    "cc-by-4.0": ("by 4 0",),
+}
+#: words that make another license of the words of a variant when they stand in front of them
+OTHER = {"gpl-3.0": ("lesser", "library", "affero"), "gpl-2.0": ("lesser", "library", "affero")}
+
 
 def _words(text: str) -> np.ndarray:
     data = np.frombuffer(text.encode(), dtype=np.uint8)
@@ -88,9 +106,20 @@ def _in_order(a: np.ndarray, b: np.ndarray) -> float:
     return best[-1] / len(b)
 
 
+def _stands(a: np.ndarray, marks: list[np.ndarray], other: np.ndarray) -> bool:
+    """Whether one of ``marks`` stands in a word by word, with none of the words ``other`` in front."""
+    for m in marks:
+        for p in range(len(a) - len(m) + 1):
+            if (a[p:p + len(m)] == m).all() and not (p and (other == a[p - 1]).any()):
+                return True
+    return False
+
+
 def _verify_batches(share: float):
     def run(batches):
         templates = catalogue()
+        marks = {label: [_words(m) for m in some] for label, some in VARIANTS.items()}
+        other = {label: _words(" ".join(OTHER.get(label, ()))) for label in VARIANTS}
         for batch in batches:
             spans = batch.column(2)
             for a, b, data, offsets in T.texts(batch.column(1)):
@@ -108,8 +137,9 @@ def _verify_batches(share: float):
                                     base.add(label)
                                     score = 1.0
                         else:
-                            got = _in_order(own[max(s["start"], 0):s["stop"]], t)
-                            if got >= share:
+                            span = own[max(s["start"], 0):s["stop"]]
+                            got = _in_order(span, t)
+                            if got >= share and (label not in marks or _stands(span, marks[label], other[label])):
                                 labels.add(label)
                                 score = max(score, got)
                     starts = [p for p, _ in places]
