@@ -15,8 +15,12 @@ from trialspark.llm.staging import small_or_plain, stage, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told: null text, or text without a letter."""
-    found = langid.identify(docs, langid.fit(docs))
+    """Drops documents whose language cannot be told: null text, or text without a letter. Where no row is
+    labelled outside the held-out fold there is no model to ask, and the letters alone decide."""
+    model = langid.fit(docs)
+    if not model["langs"]:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = langid.identify(docs, model)
     return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
 
 

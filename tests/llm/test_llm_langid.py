@@ -3,6 +3,8 @@ import zlib
 
 from corpus_fixture import WORDS, collect, prose
 
+from pyspark.sql import functions as F
+
 from trialspark.llm import langid
 
 
@@ -52,3 +54,13 @@ def test_scores_are_the_kernel_expansion():
         f = langid._FOLD[np.frombuffer(t.encode(), np.uint8)].tolist()
         want = {c for n in (1, 2, 3) for c in {(n, *f[i:i + n]) for i in range(len(f) - n + 1)}}
         assert len(s) == len(want)
+
+
+def test_pipeline_keeps_text_with_letters_without_a_model(spark, docs):
+    import corpus_pipeline
+    some = docs.select("doc_id", "text", "lang", "source")
+    want = sorted(str(r.doc_id) for r in some.where(r"text rlike '\\p{L}'").collect())
+    assert want
+    for blind in (some.withColumn("lang", F.lit(None).cast("string")),
+                  some.withColumn("lang", F.when(langid.held_out(), F.col("lang")))):
+        assert sorted(str(r["doc_id"]) for r in collect(corpus_pipeline.language_id(spark, blind, ""))) == want
