@@ -77,3 +77,38 @@ def test_attach_localization(spark):
     loc = spark.createDataFrame([("s", 0, "A1-A2", "hippocampus")], "subject string, montage int, label string, region string")
     got = {r.label: r.region for r in summary.attach_localization(pairs, loc).collect()}
     assert got == {"A1-A2": "hippocampus", "A2-A3": None}
+
+
+def test_clean_log_runs_every_check_its_columns_feed(spark):
+    rows = []
+
+    def add(subject, session, lst, items, recalls, flags=None, offsets=None):
+        for i, (kind, item) in enumerate([("WORD", x) for x in items] + [("REC", x) for x in recalls]):
+            word = kind == "WORD"
+            flag = int(item in (flags or recalls)) if word else None
+            rows.append((subject, session, lst, kind, item, session * 10**6 + lst * 10**5 + i * 1000, len(rows),
+                         i + 1 if word else None, flag, f"{subject}{session}", (offsets or range(9))[i] + lst * 100))
+
+    add("a", 0, 1, "pqr", "p")
+    add("a", 0, 2, "pqr", "p", flags="pq")                        # Q4: flagged without a recall
+    add("a", 0, 3, "pqr", "p", offsets=[0, 2, 1, 3])              # Q9
+    add("a", 0, 4, "pqr", "p"), add("a", 1, 4, "pqr", "q")        # Q7: other recalls, both go
+    add("a", 0, 5, "pqr", "p"), add("a", 1, 5, "pqr", "p")        # Q8: the later copy goes
+    add("a", 0, 6, "pqrs", "p")                                   # Q5
+    add("b", 0, 1, "pqr", "p"), add("b", 0, 2, "qrs", "q")
+    add("c", 0, 1, "pqz", "p")                                    # Q2: nobody else saw z
+    log = spark.createDataFrame(rows, "subject string, session long, list long, type string, item string, mstime long, "
+                                      "event_id long, serialpos long, recalled long, eegfile string, eegoffset long")
+
+    def left(df, **more):
+        out = cleaning.clean_log(df, ["mstime", "event_id"], "WORD", "REC", gap_min=1, gap_max=10_000, **more)
+        return {tuple(r) for r in out.select("subject", "session", "list").distinct().collect()}
+
+    good = {("a", 0, 1), ("a", 0, 5), ("b", 0, 1), ("b", 0, 2)}
+    assert left(log, list_length=3, min_subjects=2) == good
+    # each check that cannot run leaves its own lists
+    every = {tuple(r[:3]) for r in rows}
+    assert left(log.drop("recalled", "serialpos", "eegfile", "eegoffset"), list_length=None) == every
+    assert left(log.drop("recalled"), list_length=3, min_subjects=2) == good | {("a", 0, 2)}
+    assert left(log.drop("eegfile"), list_length=3, min_subjects=2) == good | {("a", 0, 3)}
+    assert left(log.drop("serialpos"), list_length=3, min_subjects=2) == good | {("a", 0, 4), ("a", 1, 4), ("a", 1, 5)}

@@ -126,18 +126,24 @@ def read_montage_tables(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def clean_log(log: DataFrame, order_by: Sequence[str], word_type: str, recall_type: str,
               list_length: int | None, gap_min: int, gap_max: int, excluded_subjects: DataFrame | None = None,
-              allowed: DataFrame | None = None) -> DataFrame:
+              allowed: DataFrame | None = None, min_subjects: int | None = None) -> DataFrame:
     """Clean a log with columns subject, session, list, type, item, mstime (+ order columns).
 
-    Bad subjects (missing presentations or recalls, plus an exclusion table) are removed
-    before the list checks; lists that repeat an item, have the wrong length or a gap out of
-    range are removed; the allow-list freezes the population; presented items get the output
+    Bad subjects (missing presentations or recalls, items that fewer than ``min_subjects``
+    subjects saw, plus an exclusion table) are removed before the list checks; lists that repeat
+    an item, have the wrong length or a gap out of range are removed, and by the columns of the
+    log also lists whose ``recalled`` flags contradict the recalls (Q4), whole lists repeated
+    across sessions (``serialpos``, Q7/Q8) and lists whose offsets run backwards (``eegfile``,
+    ``eegoffset``, Q9); the allow-list freezes the population; presented items get the output
     position of their first recall and the previous item's values; recall rows get their
     output position and repeat flag. Returns all rows (presented, recalled, other) with the
     derived columns, NULL where they do not apply.
     """
     x = drop_practice(log)
     bad_subjects = quality.subjects_missing_types(x, [word_type, recall_type], ["subject"]).select("subject")
+    if min_subjects is not None:
+        bad_subjects = bad_subjects.unionByName(
+            quality.rare_item_subjects(x.where(F.col("type") == word_type), min_subjects))
     if excluded_subjects is not None:
         bad_subjects = bad_subjects.unionByName(excluded_subjects.select("subject"))
     x = exclude_ids(x, bad_subjects)
@@ -146,6 +152,12 @@ def clean_log(log: DataFrame, order_by: Sequence[str], word_type: str, recall_ty
            quality.timing_issue_lists(words, order_by, gap_min, gap_max)]
     if list_length is not None:
         bad.append(quality.wrong_length_lists(words, list_length))
+    if "recalled" in log.columns:
+        bad.append(quality.recall_mismatch(words, x.where(F.col("type") == recall_type)))
+    if "serialpos" in log.columns:
+        bad.extend(quality.duplicated_lists(x, order_by, word_type, recall_type))
+    if {"eegfile", "eegoffset"} <= set(log.columns):
+        bad.append(quality.offset_backwards_lists(x, order_by))
     x, _ = quality.remove_bad_lists(x, bad)
     if allowed is not None:
         x = keep_allow_list(x, allowed)
