@@ -98,3 +98,24 @@ def test_splitting_tree_keeps_quotas():
         tree = mixing.splitting_tree([100, 0, 37, 5], shards, 1)
         assert len(tree) == shards and [sum(c) for c in zip(*tree)] == [100, 0, 37, 5]
         assert max(map(sum, tree)) - min(map(sum, tree)) <= shards.bit_length()
+
+
+def test_shards_meet_and_cut_texts_keep_their_lines(spark):
+    from pyspark.sql import functions as F
+    rows = [(i, f"\n a{i} b{i}\n\nc{i}\td{i} \n e{i} ", f"s{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = mixing.blocks(mixing.mix(df), df.columns)
+    got = out.select("*", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at")).collect()
+    tasks = {}
+    for r in got:
+        tasks.setdefault((r.shard, r.shuffle % 8), set()).add(r.task)
+    assert len(got) > 300 and all(len(t) == 1 for t in tasks.values())
+    by = {}
+    for r in sorted(got, key=lambda r: r["at"]):
+        by.setdefault(r.task, []).append((r.shard, r.shuffle))
+    assert all(x == sorted(x) for x in by.values())
+    full = {i: t for i, t, _ in rows}
+    cut = [r for r in got if r.taken < 5]
+    assert cut
+    for r in got:
+        assert full[r.doc_id].startswith(r.text) and len(r.text.split()) == r.taken

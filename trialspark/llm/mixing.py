@@ -189,15 +189,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, shards: int = 64,
                     F.aggregate("draws", F.lit(0).cast("long"), lambda s, b: s + b["take"]).alias("taken"), "draws")
 
 
-def blocks(mixed: DataFrame, columns: list[str], seed: int = 17) -> DataFrame:
-    """The mix itself: one row for each drawn block with ``columns`` (the text cut to the words taken,
-    where a block is taken in part), take, shard and position key; each task's rows are in the
-    shuffled order of their shards."""
+def blocks(mixed: DataFrame, columns: list[str], seed: int = 17, parts: int = 8) -> DataFrame:
+    """The mix itself: one row for each drawn block with ``columns`` (the text cut behind the words taken,
+    where a block is taken in part), taken, shard and shuffle key. The rows of a shard meet in ``parts``
+    parts, dealt by their shuffle keys, each whole in one task and in the shuffled order."""
     out = mixed.select("*", F.explode("draws").alias("__b"))
-    split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("__b.take") < F.col("size"),
-                  F.array_join(F.slice(split, 1, F.col("__b.take").cast("int")), " ")).otherwise(F.col("text"))
+    # a piece is a word and what parts it from the next; what is in front of the first word is one more
+    pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    take = F.col("__b.take").cast("int") + F.col("text").rlike(r"\A[\x20\x09-\x0D]").cast("int")
+    head = F.regexp_replace(F.array_join(F.slice(pieces, 1, take), ""), r"[\x20\x09-\x0D]+\z", "")
+    text = F.when(F.col("__b.take") < F.col("size"), head).otherwise(F.col("text"))
     named = [text.alias("text") if c == "text" else F.col(c) for c in columns]
-    return (out.select(*named, F.col("__b.take").alias("taken"), F.col("__b.shard").alias("shard"),
-                       F.xxhash64(F.lit(seed), "__b.pass", "doc_id", "__b.block").alias("shuffle"))
-            .sortWithinPartitions("shard", "shuffle"))
+    # own names on the way, as ``columns`` may hold the final ones
+    out = out.select(*named, F.col("__b.take").alias("__taken"), F.col("__b.shard").alias("__shard"),
+                     F.xxhash64(F.lit(seed), "__b.pass", "doc_id", "__b.block").alias("__shuffle"))
+    return (out.repartition("__shard", F.pmod("__shuffle", F.lit(parts))).sortWithinPartitions("__shard", "__shuffle")
+            .select(*columns, F.col("__taken").alias("taken"), F.col("__shard").alias("shard"),
+                    F.col("__shuffle").alias("shuffle")))
