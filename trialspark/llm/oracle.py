@@ -128,3 +128,43 @@ node AS (SELECT vec_id AS id FROM embeddings),
 n AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM link UNION ALL SELECT b FROM link) GROUP BY id)
 SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, component_id = vec_id AS kept
 FROM v JOIN comp ON comp.id = vec_id LEFT JOIN n ON n.id = vec_id"""
+
+
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256({})".format(" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text")))
+_CRC = ("xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, length({0}) + 1), "
+        "lambda i: list_prepend(CAST(ascii(substr({0}, i, 1)) AS BIGINT), [CAST(-1 AS BIGINT) for k in range(8)])))), "
+        "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CAST(3988292384 AS BIGINT) * (a & 1)) END), CAST(4294967295 AS BIGINT))")
+_RUNS = "list_transform(range(0, (len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')))"
+
+
+def merkle(documents: str = "documents") -> str:
+    """CTEs up to ``proof``: levels of every tree as lists (tree 0 is the root tree, the others are numbered in
+    source order), the siblings of every leaf and the fold of its tampered form."""
+    return f"""
+leaf AS (SELECT doc_id, source, {_LEAF} AS leaf,
+  CASE WHEN doc_id IS NOT NULL AND {_CRC.format("CAST(doc_id AS VARCHAR)")} % 2 = 0
+    THEN {_LEAF.replace("(text ", "(replace(text, chr(10), '') ").replace("CAST(text ", "CAST(replace(text, chr(10), '') ")} END AS tampered FROM {documents}),
+placed AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaf),
+level AS (SELECT tree, 0 AS h, list(leaf ORDER BY i) AS nodes FROM placed GROUP BY tree
+  UNION ALL SELECT tree, h + 1, {_RUNS} FROM level WHERE len(nodes) > 1),
+top AS (SELECT tree, nodes[1] AS subroot FROM level WHERE len(nodes) = 1),
+whole AS (SELECT 0 AS h, (SELECT list(subroot ORDER BY tree) FROM top) AS nodes
+  UNION ALL SELECT h + 1, {_RUNS} FROM whole WHERE len(nodes) > 1),
+step AS (SELECT tree, h, nodes, 0 AS part FROM level WHERE len(nodes) > 1),
+row_at AS (SELECT row_number() OVER () AS r, placed.*, (SELECT max(h) FROM level WHERE level.tree = placed.tree) AS top_h FROM placed),
+up AS (SELECT r, tree, h, i // CAST(pow(3, h) AS BIGINT) AS j, nodes FROM row_at JOIN step USING (tree)
+  UNION ALL SELECT r, tree, top_h + w.h, (tree - 1) // CAST(pow(3, w.h) AS BIGINT), w.nodes
+  FROM row_at CROSS JOIN (SELECT * FROM whole WHERE len(nodes) > 1) w),
+side AS (SELECT r, h, array_to_string(nodes[3 * (j // 3) + 1:j], '') AS l, array_to_string(nodes[j + 2:3 * (j // 3) + 3], '') AS rt FROM up),
+proof AS (SELECT r, string_agg(l || rt, '' ORDER BY h) AS proof, list(l ORDER BY h) AS ls, list(rt ORDER BY h) AS rs FROM side GROUP BY r),
+full_row AS (SELECT row_at.*, top.subroot, (SELECT nodes[1] FROM whole WHERE len(nodes) = 1) AS root, coalesce(proof, '') AS proof,
+  coalesce(ls, []) AS ls, coalesce(rs, []) AS rs FROM row_at JOIN top USING (tree) LEFT JOIN proof USING (r)),
+fold AS (SELECT r, 0 AS h, coalesce(tampered, leaf) AS d, ls, rs FROM full_row
+  UNION ALL SELECT r, h + 1, sha256(ls[h + 1] || d || rs[h + 1]), ls, rs FROM fold WHERE h < len(ls))"""
+
+
+OP11 = f"""WITH RECURSIVE {merkle()}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, d AS folded_root, d = root AS verified
+FROM full_row JOIN fold USING (r) WHERE fold.h = len(fold.ls)"""

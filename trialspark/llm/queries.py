@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import caps, decontaminate, hmm, kneserney, langid, licenses, lines, minhash, mixing, oracle, secrets
+from trialspark.llm import caps, decontaminate, hmm, kneserney, langid, licenses, lines, merkle, minhash, mixing, oracle, secrets
 from trialspark.llm.staging import table
 
 
@@ -59,6 +59,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.digest("spans").alias("spans"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.regexp_replace("text", "\n", ""))
+    rows, _, _ = merkle.manifest(table(spark, sf_dir, "documents"), changed=tampered)
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"),
+                       "folded_root", "verified")
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_license_scan": op2_license_scan,
@@ -70,6 +77,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -78,4 +86,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_source_mix": oracle.OP5,
     "op6_benchmark_decontamination": oracle.OP6,
     "op9_line_dedup": oracle.OP9,
+    "op11_merkle_manifest": oracle.OP11,
 }
