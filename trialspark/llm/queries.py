@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import caps, decontaminate, hmm, kneserney, langid, licenses, lines, merkle, minhash, mixing, oracle, secrets
+from trialspark.llm import caps, decontaminate, hmm, kneserney, langid, licenses, lines, merkle, minhash, mixing, oracle, secrets, whitening
 from trialspark.llm.staging import table
 
 
@@ -66,6 +66,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "folded_root", "verified")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_license_scan": op2_license_scan,
@@ -78,6 +82,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
