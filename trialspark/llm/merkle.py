@@ -28,11 +28,11 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.llm.staging import arrow_map, small_or_plain, stage
+from trialspark.llm.tiles import runs
 
 ARITY, HEIGHT = 3, 4
 WIDTH = ARITY ** HEIGHT
@@ -139,27 +139,6 @@ def fold(leaf: str, path: list[str]) -> str:
     return leaf
 
 
-def _runs(batches, keys):
-    """Tables of the rows of each key in a sorted partition."""
-    held = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        held = t if held is None or not held.num_rows else pa.concat_tables([held, t]).combine_chunks()
-        n = held.num_rows
-        if not n:
-            continue
-        cut = np.zeros(n - 1, dtype=bool)
-        for k in keys:
-            c = held.column(k)
-            cut |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy()
-        edges = [0, *(np.flatnonzero(cut) + 1).tolist()]
-        for a, b in zip(edges[:-1], edges[1:]):
-            yield held.slice(a, b - a)
-        held = held.slice(edges[-1])
-    if held is not None and held.num_rows:
-        yield held
-
-
 _IDS = "array<struct<id: bigint, changed: binary>>"
 
 
@@ -189,7 +168,7 @@ def _each(batches):
 
 def _segments(batches):
     """(tree, block, n, nodes, ids) of every block, from its sorted rows."""
-    for t in _runs(batches, ("tree", "block")):
+    for t in runs(batches, ("tree", "block")):
         tree, block, n = (t.column(c)[0].as_py() for c in ("tree", "block", "n"))
         nodes = append_log([d.hex() for d in t.column("digest").to_pylist()], _levels(n))
         ids = [{"id": i, "changed": c} for i, c in zip(t.column("id").to_pylist(), t.column("changed").to_pylist())]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import caps, decontaminate, hmm, kneserney, langid, licenses, lines, merkle, minhash, mixing, oracle, secrets, whitening
+from trialspark.llm import caps, decontaminate, hmm, kneserney, langid, licenses, lines, merkle, minhash, mixing, oracle, secrets, topk, whitening
 from trialspark.llm.staging import table
 
 
@@ -70,6 +70,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
 
 
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_license_scan": op2_license_scan,
@@ -83,6 +87,7 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_exact_topk": op13_exact_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -92,4 +97,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_benchmark_decontamination": oracle.OP6,
     "op9_line_dedup": oracle.OP9,
     "op11_merkle_manifest": oracle.OP11,
+    "op13_exact_topk": oracle.OP13,
 }

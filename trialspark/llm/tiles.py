@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +53,24 @@ def answerable(mask: np.ndarray, rows: pa.Table, i: int, j: int) -> np.ndarray:
         mask &= side[:, None] != side[None, :]
     np.fill_diagonal(mask, False)
     return mask
+
+
+def runs(batches, keys):
+    """Tables of the rows of each key in a sorted partition."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None or not held.num_rows else pa.concat_tables([held, t]).combine_chunks()
+        n = held.num_rows
+        if not n:
+            continue
+        cut = np.zeros(n - 1, dtype=bool)
+        for k in keys:
+            c = held.column(k)
+            cut |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy()
+        edges = [0, *(np.flatnonzero(cut) + 1).tolist()]
+        for a, b in zip(edges[:-1], edges[1:]):
+            yield held.slice(a, b - a)
+        held = held.slice(edges[-1])
+    if held is not None and held.num_rows:
+        yield held
