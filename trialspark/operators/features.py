@@ -51,6 +51,29 @@ def later_position_distance_constants(events: DataFrame, list_keys: Sequence[str
         (F.max(n) - 1).alias("mx")).alias("st")).scalar()
 
 
+def split_half_distance_constants(events: DataFrame, list_keys: Sequence[str], half: int, previous: bool = False) -> Column:
+    """The same for pairs of an encoding position up to ``half`` with a later test position above it; with
+    ``previous`` the test position is that of the item before, so the last position of a list is not tested.
+    A list of n items has m = n - half (or one less) test positions half+1..half+m, so half * m pairs with distance
+    sum half * (m * half + m(m+1)/2) - m * half(half+1)/2 and maximum half + m - 1."""
+    m = F.greatest(F.col("n") - half - int(previous), F.lit(0))
+    sizes = events.groupBy(*list_keys).agg(F.count(F.lit(1)).alias("n")).select(m.alias("m"))
+    m = F.col("m")
+    total = half * (m * half + m * (m + 1) / 2) - m * (half * (half + 1) / 2)
+    return sizes.agg(F.struct(F.try_divide(F.sum(total), F.sum(half * m)).alias("m"),
+                              (F.max(F.when(m > 0, m)) + (half - 1)).alias("mx")).alias("st")).scalar()
+
+
+def paired_position_constants(words: DataFrame, others: DataFrame, list_keys: Sequence[str], position: str) -> Column:
+    """Mean and maximum of ``position`` over all within-list pairs of ``words`` with ``others``, from list sizes:
+    a word counts once for every partner in its list. Returns a struct (m, mx)."""
+    w = words.groupBy(*list_keys).agg(F.count(F.lit(1)).alias("nw"), F.sum(position).alias("sw"), F.max(position).alias("mw"))
+    o = others.groupBy(*list_keys).agg(F.count(F.lit(1)).alias("no"))
+    return w.join(o, list(list_keys)).agg(F.struct(
+        F.try_divide(F.sum(F.col("sw") * F.col("no")), F.sum(F.col("nw") * F.col("no"))).alias("m"),
+        F.max("mw").alias("mx")).alias("st")).scalar()
+
+
 def pair_features(pairs: DataFrame, enc: str = "encoding", test: str = "encoding2",
                   test_prefix: str = "", with_category: bool = True,
                   distance_constants: Column | None = None) -> DataFrame:

@@ -294,3 +294,54 @@ def similarity_over_time(pairs: DataFrame, enc_means: str, test_bm: str, n_chann
                                       lambda acc, v: F.struct((acc["s"] + v).alias("s"), (acc["n"] + 1).alias("n")),
                                       lambda acc: F.when(acc["n"] > 0, acc["s"] / acc["n"])))
     return x.drop("_r", "_zb")
+
+
+# ---------------------------------------------------------------------------
+# three axes: channel x frequency x time bin
+#
+# Element k of the value is (stacked feature k div n_bins, time bin k mod n_bins). All periods are
+# normalised by one baseline, whose statistics pool events and bins, and are built per event before
+# the pair join: the test side as an array of bins, each a vector over the stacked features.
+# ---------------------------------------------------------------------------
+
+def pooled_feature_stats(baseline: DataFrame, keys: Sequence[str], n_bins: int, features: str = FEATURES) -> DataFrame:
+    """A11 over events and time: per ``keys``, arrays ``mu`` and ``sd`` (ddof=0) over the stacked features."""
+    long = baseline.select(*keys, F.posexplode(features).alias("k", "x"))
+    per = long.groupBy(*keys, F.expr(f"k div {int(n_bins)}").alias("k")).agg(
+        F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd"))
+    packed = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "mu", "sd"))).alias("_st"))
+    return packed.select(*keys, F.col("_st.mu").alias("mu"), F.col("_st.sd").alias("sd"))
+
+
+def normalise_bins(events: DataFrame, baseline: DataFrame, keys: Sequence[str], n_features: int, n_bins: int,
+                   features: str = FEATURES, out: str = "z_bins") -> DataFrame:
+    """T8 for a three-axis value: ``out`` is one vector of z over the stacked features for each time bin."""
+    j = events.join(pooled_feature_stats(baseline, keys, n_bins, features), list(keys), "left")
+    x, mu, sd = F.col(features), F.col("mu"), F.col("sd")
+    bins = F.transform(F.sequence(F.lit(0), F.lit(n_bins - 1)), lambda b: F.transform(
+        F.sequence(F.lit(0), F.lit(n_features - 1)), lambda c: F.try_divide(x[c * n_bins + b] - mu[c], sd[c])))
+    # without a baseline in the session every z is NULL
+    return j.withColumn(out, bins).drop("mu", "sd")
+
+
+def keep_bins(bins: str, first: int, last: int, n_features: int) -> Column:
+    """The mean over the kept window of time bins ``first..last`` (both inclusive) for every stacked feature,
+    missing values skipped."""
+    kept = F.slice(F.col(bins), first + 1, last - first + 1)
+
+    def mean_of(c):
+        return F.aggregate(kept, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
+                           lambda acc, b: F.when(b[c].isNull(), acc).otherwise(F.struct(
+                               (acc["s"] + b[c]).alias("s"), (acc["n"] + 1).alias("n"))),
+                           lambda acc: F.when(acc["n"] > 0, acc["s"] / acc["n"]))
+    return F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), mean_of)
+
+
+def similarity_per_bin(pairs: DataFrame, enc: str, test_bins: str, time_col: str, out: str = "corr") -> DataFrame:
+    """One row per (pair, test bin): the correlation over all stacked features of the encoding vector, which
+    holds for every bin, with the test side's vector of that bin; NULL where a side is constant. The bins leave
+    the pair row only after the correlation, so neither side is exploded before or shuffled again."""
+    e, t = F.col(enc), F.col(test_bins)
+    x = pairs.withColumn("_r", F.transform(t, lambda b: pearson(e, b)))
+    x = x.select(*[c for c in x.columns if c not in ("_r", enc, test_bins)], F.posexplode_outer("_r").alias(time_col, out))
+    return x.withColumn(time_col, F.col(time_col).cast("bigint")).withColumn(f"{out}_z", fisher_z(out))

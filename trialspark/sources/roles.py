@@ -15,6 +15,11 @@ position so that every query reads the full tables:
   session and SESSIONS_PER_SUBJECT sessions a subject; category = label; label 0
   vectors are the baseline ("countdown") events of their session; element k of
   the vector is feature (channel k div N_FREQS, frequency k mod N_FREQS).
+* feature trials (embeddings): the same vectors as a three-axis value, element k = (channel, frequency, time
+  bin) of a T_CHANNELS x T_FREQS x T_BINS grid; label 0 = countdown event (baseline), label 1 = distractor event
+  of its list, every other label a presented word. Words have positions 1..n in their list, are recalled if
+  their first element is positive, and recalled words come out in order of their second element; as in the raw
+  logs, a word that was not recalled has the output position -999.
 """
 
 from __future__ import annotations
@@ -32,6 +37,9 @@ N_CHANNELS = 8
 N_FREQS = 8
 BASELINE_LABEL = 0
 EVENT_LIST_HOURS = 6
+DISTRACTOR_LABEL = 1
+T_CHANNELS, T_FREQS, T_BINS = 4, 4, 4
+NO_OUTPOS = -999
 
 # total order of lines inside an order ((l_orderkey, l_linenumber) is not unique)
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
@@ -109,3 +117,19 @@ def feature_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("label") == BASELINE_LABEL).alias("is_baseline"),
         F.transform("embedding", lambda x: x.cast("double")).alias("features"),
     )
+
+
+def feature_trials(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(words, distractors, countdowns) of the feature trials, each with its three-axis ``features``. All windows
+    stay inside one list of LIST_LEN events."""
+    ev = feature_events(spark, sf_dir)
+    words = ev.where(F.col("category") > DISTRACTOR_LABEL)
+    in_list = Window.partitionBy("list").orderBy("event")
+    recalled = (F.col("features")[0] > 0).cast("bigint")
+    words = words.withColumns({"serialpos": F.row_number().over(in_list).cast("bigint"), "recalled": recalled})
+    out = Window.partitionBy("list", "recalled").orderBy(F.col("features")[1], "event")
+    words = words.withColumn("outpos", F.when(F.col("recalled") == 1, F.row_number().over(out)).otherwise(NO_OUTPOS).cast("bigint"))
+    words = words.withColumn("first_recalled", (F.col("outpos") == 1).cast("bigint"))
+    keep = ["event", "subject", "session", "list", "serialpos", "category", "features"]
+    return (words.select(*keep, "recalled", "outpos", "first_recalled"),
+            ev.where(F.col("category") == DISTRACTOR_LABEL).select(*keep), ev.where(F.col("is_baseline")).select(*keep))
