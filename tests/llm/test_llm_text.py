@@ -30,3 +30,18 @@ def test_chunks_cover_sliced_columns():
         got += np.diff(T.words(data, offsets, T.NONSPACE)[1]).tolist()
     assert got == [0, 1, 0, 3]
     assert list(T.texts(pa.array([], pa.string()))) == []
+
+
+def test_long_texts_hash_as_short_ones():
+    rng = random.Random(3)
+    short = ["".join(rng.choice("abC9") for _ in range(rng.randrange(1, 9))) for _ in range(1000)]
+    own = [T.hash_of(w) for w in short]
+    (_, _, data, offsets), = T.texts(pa.array([" ".join(short * 400)]))
+    assert len(data) > 2 * T.CHUNK_BYTES
+    assert T.words(data, offsets, T.ALNUM)[0].view(np.int64).tolist() == own * 400
+    # one word longer than a chunk is known by all its bytes
+    long = "ab" * T.CHUNK_BYTES
+    words = [long + "c", "x", long + "d", long + "c"]
+    (_, _, data, offsets), = T.texts(pa.array([" ".join(words)]))
+    h = T.words(data, offsets, T.ALNUM)[0].tolist()
+    assert h[0] == h[3] != h[2] and h[1] == np.int64(T.hash_of("x")).view(np.uint64)

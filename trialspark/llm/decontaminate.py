@@ -27,8 +27,8 @@ from trialspark.llm import text as T
 from trialspark.llm.staging import arrow_map, small_or_plain, stage
 
 
-#: text bytes whose postings are sorted into one run
-RUN_BYTES = 6 << 20
+#: postings that are sorted into one run
+RUN_WORDS = 1 << 20
 
 
 def _names(ids: pa.Array, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,23 +44,37 @@ def _names(ids: pa.Array, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
     return key, named
 
 
+def _run(terms: list[np.ndarray], docs: list[np.ndarray], places: list[np.ndarray]) -> pa.RecordBatch:
+    """The postings of some texts in term order."""
+    h = np.concatenate(terms).view(np.int64)
+    order = np.argsort(h, kind="stable")
+    return pa.RecordBatch.from_arrays(
+        [pa.array(h[order]), pa.array(np.concatenate(docs)[order]), pa.array(np.concatenate(places)[order]), pa.nulls(len(h), pa.bool_())],
+        names=["term", "doc", "pos", "named"])
+
+
 def _postings(batches):
+    """A row for every document with its length, and its postings in runs of about ``RUN_WORDS``; texts are
+    hashed in small chunks, and what is kept of them are 20 bytes a word."""
+    held: tuple[list, list, list] = ([], [], [])
+    n_held = 0
     for batch in batches:
         ids = batch.column(0)
-        for a, b, data, offsets in T.texts(batch.column(1), RUN_BYTES):
+        for a, b, data, offsets in T.texts(batch.column(1)):
             h, first = T.words(data, offsets, T.ALNUM)
             key, named = _names(ids.slice(a, b - a), h, first)
             n = np.diff(first)
-            # one row per document with its length, then its postings in term order
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(b - a, pa.int64()), T.longs(key), pa.array(n.astype(np.int32)), pa.array(named)],
                 names=["term", "doc", "pos", "named"])
-            if len(h):
-                order = np.argsort(h.view(np.int64), kind="stable")
-                yield pa.RecordBatch.from_arrays(
-                    [T.longs(h[order]), T.longs(key[T.ranges(first)[order]]),
-                     pa.array(T.positions(first)[order].astype(np.int32)), pa.nulls(len(h), pa.bool_())],
-                    names=["term", "doc", "pos", "named"])
+            for lane, values in zip(held, (h, np.repeat(key, n), T.positions(first).astype(np.int32))):
+                lane.append(values)
+            n_held += len(h)
+            if n_held >= RUN_WORDS:
+                yield _run(*held)
+                held, n_held = ([], [], []), 0
+    if n_held:
+        yield _run(*held)
 
 
 def _item_words(batches):

@@ -9,6 +9,7 @@ finaliser); every array below is bounded by a chunk of texts, never by a partiti
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,17 +45,17 @@ _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np
 _BYTE = seeds(256, 1000)[_LOWER] | U(1)
 _P = U(0x9E3779B97F4A7C15)
 _PINV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POW: list[np.ndarray] = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POW[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for k, base in enumerate((_P, _PINV)):
-            a = np.full(size, base, dtype=U)
-            a[0] = 1
-            _POW[k] = np.cumprod(a, dtype=U)
-    return _POW
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for one chunk of bytes."""
+    out = []
+    for base in (_P, _PINV):
+        a = np.full(CHUNK_BYTES + 1, base, dtype=U)
+        a[0] = 1
+        out.append(np.cumprod(a, dtype=U))
+    return tuple(out)
 
 
 def texts(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -102,12 +103,43 @@ def spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
 
 
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words ``data[start:end]``, which stand in order; a chunk of bytes at a time, however long the
+    data or a word are."""
+    if len(data) <= CHUNK_BYTES:
+        return _finish(_sums(data, start, end), end - start)
+    out = np.empty(len(start), dtype=U)
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + CHUNK_BYTES, "right")))
+        own = data[start[a]:end[b - 1]]
+        out[a:b] = _long_sum(own) if len(own) > CHUNK_BYTES else _sums(own, start[a:b] - start[a], end[a:b] - start[a])
+        a = b
+    return _finish(out, end - start)
+
+
+def _sums(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The polynomial of every word, from running sums over at most a chunk."""
+    power, inverse = _powers()
+    total = np.empty(len(data) + 1, dtype=U)
+    total[0] = 0
     with np.errstate(over="ignore"):
-        power, inverse = _powers(len(data) + 1)
-        total = np.empty(len(data) + 1, dtype=U)
-        total[0] = 0
         np.cumsum(_BYTE[data] * power[:len(data)], dtype=U, out=total[1:])
-        return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U))
+        return (total[end] - total[start]) * inverse[start]
+
+
+def _long_sum(word: np.ndarray) -> np.uint64:
+    """The polynomial of one word that is longer than a chunk."""
+    power, total, step = _powers()[0], 0, pow(int(_P), CHUNK_BYTES, 1 << 64)
+    with np.errstate(over="ignore"):
+        for k, a in enumerate(range(0, len(word), CHUNK_BYTES)):
+            part = word[a:a + CHUNK_BYTES]
+            total += int((_BYTE[part] * power[:len(part)]).sum(dtype=U)) * pow(step, k, 1 << 64)
+    return U(total % (1 << 64))
+
+
+def _finish(sums: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(sums + lengths.astype(U))
 
 
 def hash_of(word: str) -> int:
