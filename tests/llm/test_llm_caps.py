@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from corpus_fixture import classes, collect
 
 from trialspark.llm import caps
@@ -54,6 +55,32 @@ def test_recall_of_links_around_the_threshold(spark):
     assert all(r["n_links"] <= n[i] for i, r in got.items())
 
 
+@pytest.mark.parametrize("dim", [1, 2, 3, 4, 5, 8, 12, 16, 64, 384])
+def test_pairs_share_a_filter_at_any_length(dim):
+    rng = np.random.default_rng(dim)
+    f = caps.filters(dim, caps.CODE, caps.REPEATS, caps.PASSES, 0.9)
+    x = rng.normal(size=(400, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = rng.normal(size=(400, dim))
+    g -= (g * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(0.19) * g / np.linalg.norm(g, axis=1, keepdims=True) if dim > 1 else 2 * x / 2
+    found = []
+    for v in (x, y):
+        row, key = f.decode(v)
+        assert np.bincount(row, minlength=400).max() < 1000
+        found.append([set(key[row == i].tolist()) for i in range(400)])
+    assert sum(bool(a & b) for a, b in zip(*found)) >= 0.97 * 400
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3, 8])
+def test_links_of_short_vectors(spark, dim):
+    rows = [(i, rng_v.tolist(), 0) for i, rng_v in enumerate(np.random.default_rng(dim + 50).normal(size=(150, dim)).astype(np.float32))]
+    links, n, _ = brute(rows)
+    got = run(spark, rows)
+    assert sum(r["n_links"] for r in got.values()) >= 0.97 * 2 * len(links)
+    assert all(r["n_links"] <= n[i] for i, r in got.items())
+
+
 def test_large_group_is_cut_into_tiles(spark):
     rows = vectors(np.random.default_rng(3), 1, 120, 0.1) + [(1000 + i, v, 0) for i, v, _ in vectors(np.random.default_rng(4), 10, 1, 1)]
     _, n, component = brute(rows)

@@ -13,9 +13,11 @@ components and their list of filters. A pair is counted in the first filter that
 group of k near copies is counted where it is, as sums and a spanning forest, and no pair leaves a
 task. Filters with more than ``tile`` vectors are cut into pairs of tiles, dealt over tasks.
 
-The threshold is set so that a random unit vector of that dimension passes about ``passes`` filters;
-at dimension 64 a pair at cosine 0.9 shares a filter with probability 0.99 (the method is
-approximate below certainty; a test measures recall against brute force). Links are never false.
+From 16 components on, the threshold is set so that a random unit vector passes about ``passes``
+filters; a pair at cosine 0.9 then shares one with probability 0.99. Shorter vectors have a smaller
+code and a threshold measured on pairs at the cosine (see ``Filters``). The method is approximate
+below certainty; a test measures recall against brute force at lengths from 1 to 384. Links are
+never false.
 
 Defined cases: a vector that is null, zero, or has a null or non-finite component links with nothing,
 as does one whose vec_id is null; vectors of different length do not link; equal vectors are one
@@ -36,26 +38,54 @@ from trialspark.llm.staging import arrow_map, small_or_plain, stage, unstage
 from trialspark.llm.tiles import answerable, groups, tiled
 
 CODE, REPEATS, PASSES, TILE = 400, 7, 64, 1500
+SMALL, SMALL_CODE, RING = 16, 64, 8
 
 
-class Filters:
-    """Codes and threshold for one dimension."""
+def _words(dim: int, code: int, rng) -> np.ndarray:
+    """The code words of a block as columns: both directions, a ring, or random unit vectors."""
+    if dim == 0:
+        return np.zeros((0, 1))
+    if dim == 1:
+        return np.array([[1.0, -1.0]])
+    if dim == 2 and code <= SMALL_CODE:
+        turn = 2 * np.pi * np.arange(RING) / RING
+        return np.stack([np.cos(turn), np.sin(turn)])
+    w = rng.normal(size=(dim, code))
+    return w / np.linalg.norm(w, axis=0)
+
 
-    def __init__(self, dim: int, code: int, repeats: int, passes: int):
-        self.code, self.parts = code, []
-        half = max(1, dim // 2)
-        for r in range(repeats):
+class Filters:
+    """Codes and threshold for one dimension. From ``SMALL`` components on, the blocks of a random vector have
+    about equal norms, and the threshold follows from ``passes``. Below, they have not: there a smaller code is
+    used, and the threshold is the largest at which 99.5 % of random pairs at ``cosine`` share a filter."""
+
+    def __init__(self, dim: int, code: int, repeats: int, passes: int, cosine: float):
+        small = dim < SMALL
+        code = min(code, SMALL_CODE) if small else code
+        self.parts, half = [], max(1, dim // 2)
+        for r in range(repeats if dim > 1 else 1):
             rng = np.random.default_rng([dim, r])
             q = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
-            left = rng.normal(size=(half, code))
-            right = rng.normal(size=(dim - half, code)) if dim > half else np.zeros((1, code))
-            left /= np.linalg.norm(left, axis=0)
-            right /= np.maximum(np.linalg.norm(right, axis=0), 1e-300)
-            self.parts.append((q[:, :half] @ left / np.sqrt(2), (q[:, half:] @ right if dim > half else np.zeros((dim, code))) / np.sqrt(2)))
-        probe = np.random.default_rng([dim, 99]).normal(size=(64, dim))
+            left, right = _words(half, code, rng), _words(dim - half, code, rng)
+            scale = np.sqrt(2) if dim > 1 else 1.0
+            self.parts.append((q[:, :half] @ left / scale, q[:, half:] @ right / scale))
+        self.code = max(left.shape[1], right.shape[1])
+        probe = np.random.default_rng([dim, 99]).normal(size=(1000 if small else 64, dim))
         probe /= np.linalg.norm(probe, axis=1, keepdims=True)
-        a, b = probe @ self.parts[0][0], probe @ self.parts[0][1]
-        self.threshold = np.quantile((a[:, :, None] + b[:, None, :]).ravel(), 1 - passes / repeats / code ** 2)
+        if not small:
+            a, b = probe @ self.parts[0][0], probe @ self.parts[0][1]
+            self.threshold = np.quantile((a[:, :, None] + b[:, None, :]).ravel(), 1 - passes / repeats / code ** 2)
+            return
+        turn = np.random.default_rng([dim, 98]).normal(size=probe.shape)
+        turn -= (turn * probe).sum(axis=1, keepdims=True) * probe
+        turn /= np.maximum(np.linalg.norm(turn, axis=1, keepdims=True), 1e-300)
+        other = cosine * probe + np.sqrt(1 - cosine ** 2) * turn if dim > 1 else probe
+        shared = np.full(len(probe), -1.0)
+        for a, b in self.parts:
+            for i in range(0, len(probe), 50):
+                both = np.minimum(*[((x @ a)[:, :, None] + (x @ b)[:, None, :]) for x in (probe[i:i + 50], other[i:i + 50])])
+                shared[i:i + 50] = np.maximum(shared[i:i + 50], both.max(axis=(1, 2)))
+        self.threshold = np.quantile(shared, 0.005) - 1e-9
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of all filters that the unit rows of ``x`` pass, by row, then filter."""
@@ -79,8 +109,8 @@ class Filters:
 
 
 @lru_cache(maxsize=8)
-def filters(dim: int, code: int, repeats: int, passes: int) -> Filters:
-    return Filters(dim, code, repeats, passes)
+def filters(dim: int, code: int, repeats: int, passes: int, cosine: float) -> Filters:
+    return Filters(dim, code, repeats, passes, cosine)
 
 
 def _unit(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -202,7 +232,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, code: int = CODE, repe
     ids = stage(good.groupBy("f1", "f2").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("copies")), "vector_ids")
     nodes = stage(good.join(ids.withColumnRenamed("node", "vec_id"), ["vec_id", "f1", "f2"])
                   .select(F.col("vec_id").alias("node"), "x", "copies"), "vectors")
-    args = (code, repeats, passes)
+    args = (code, repeats, passes, cosine)
     coarse = stage(arrow_map(nodes.select("node", "x"), _coarse(args), "key long, node long, v binary"), "filters")
     marked = stage(arrow_map(tiled(coarse, coarse, tile, ["v"]), _mark(cosine), "node long").distinct(), "marked")
     unstage(coarse)
