@@ -80,3 +80,59 @@ def test_offset_backwards(spark):
                                      "eegoffset long, mstime long")
     got = {tuple(r) for r in quality.offset_backwards_lists(df, ["mstime"]).collect()}
     assert got == {("s", 1, 2)}
+
+
+def _hot_log(spark, parts):
+    """One user holds half of all rows; ties in time, missing values, keys and times."""
+    import random
+    rng = random.Random(4)
+    rows = [(i, "hot" if i % 2 else rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(50_000)]) if i % 40 == 0 else rng.randrange(50_000),
+             rng.choice([None, None, None, float(i)]), rng.randrange(40)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "event_id long, subject string, mstime long, v double, item long")
+    return df.repartition(parts)
+
+
+def test_two_pass_scans_equal_one_window(spark):
+    for width in (10, 5_000, 10 ** 9):
+        df = _hot_log(spark, 5)
+        order = ["mstime", "event_id"]
+        bucket = F.floor(F.col("mstime") / width)
+        x = ordered.diff(df, ["subject"], order, "mstime", "d1")
+        x = ordered.diff(x, ["subject"], order, "mstime", "d2", bucket=bucket)
+        x = ordered.backward_fill(x, ["subject"], order, "v", "f1")
+        x = ordered.backward_fill(x, ["subject"], order, "v", "f2", bucket=bucket)
+        got = x.collect()
+        assert len(got) == 2000 and x.columns == [*df.columns, "d1", "d2", "f1", "f2"]
+        assert all(r.d1 == r.d2 and r.f1 == r.f2 for r in got)
+        assert any(r.d2 is not None for r in got) and any(r.f2 is not None and r.v is None for r in got)
+
+
+def test_two_pass_scans_have_no_window_over_a_whole_user(spark):
+    df = _hot_log(spark, 5)
+    bucket = F.floor(F.col("mstime") / 1000)
+    for x in (ordered.diff(df, ["subject"], ["mstime", "event_id"], "mstime", "d", bucket=bucket),
+              ordered.backward_fill(df, ["subject"], ["mstime", "event_id"], "v", "f", bucket=bucket)):
+        plan = x._jdf.queryExecution().optimizedPlan().toString()
+        by_user = [line for line in plan.splitlines() if "Window [" in line and "_bucket" not in line.split("], [")[1]]
+        assert len(by_user) == 1 and "_carry" in by_user[0]  # over the carries: a row for each bucket
+
+
+def test_duplicate_flags_equal_windows(spark):
+    df = _hot_log(spark, 5)
+    keys, order = ["subject", "mstime"], ["event_id"]
+    x = ordered.duplicate_flags(df, keys, order, "a2", "l2")
+    x = ordered.mark_later_duplicates(ordered.mark_all_duplicates(x, keys, "a1"), keys, order, "l1")
+    got = x.collect()
+    assert len(got) == 2000 and all(r.a1 == r.a2 and r.l1 == r.l2 for r in got) and not all(r.a1 for r in got)
+
+
+def test_row_order_does_not_depend_on_partitions(spark):
+    want = None
+    for parts in (1, 7, 50):
+        out = ordered.row_order(_hot_log(spark, parts), ["subject", "mstime", "event_id"])
+        ids = {r.event_id: r.row_order for r in out.collect()}
+        assert sorted(ids.values()) == list(range(2000))
+        want = want or ids
+        assert ids == want
+        assert "PythonRDD" not in out._jdf.queryExecution().executedPlan().toString()
+    assert ordered.row_order(_hot_log(spark, 2).limit(0), ["event_id"]).collect() == []

@@ -7,15 +7,25 @@ be a total order (R17); nothing depends on physical row order.
 Partitioning: all windows of one log share the same partition keys, so Spark
 sorts once per key set; when data is already hash-partitioned on a subset of
 the keys (e.g. on ``list`` after a join), no further exchange is planned.
+
+Windows keyed by a list are bounded by the experiment's design. Where a group has no bound
+(all events of a user), ``diff`` and ``backward_fill`` take a ``bucket``, an expression that does not
+fall along the order (a time range): rows are scanned inside (keys, bucket), each bucket hands on one
+carry (its last value, or its first known one), a window over the carries - one row a bucket - finds
+what enters each bucket, and only that is joined back. Duplicates over such groups are an aggregate
+joined back (``duplicate_flags``).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialspark.session import stage_table
+
 
 def _w(keys: Sequence[str], order_by: Sequence[str | Column] | None = None):
     w = Window.partitionBy(*keys)
@@ -72,24 +82,62 @@ def lag_columns(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], col
     return df.withColumns({f"{prefix}{c}": F.when(_keys_present(keys), F.lag(c).over(w)) for c in cols})
 
 
-def diff(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], col: str, name: str) -> DataFrame:
-    """Gap to the previous row of the group; NULL for the first row and for NULL keys."""
-    w = _w(keys, order_by)
-    return df.withColumn(name, F.when(_keys_present(keys), F.col(col) - F.lag(col).over(w)))
+def _carried(df: DataFrame, keys: Sequence[str], bucket: Column, carry: Column, entering) -> DataFrame:
+    """``df`` with ``_bucket`` and ``_in``: what enters each (keys, bucket) group, by ``entering`` (the carry and the
+    window over a group's buckets) from the carries of the group's other buckets."""
+    x = df.withColumn("_bucket", bucket)
+    per = x.groupBy(*keys, "_bucket").agg(carry.alias("_carry"))
+    per = per.withColumn("_in", entering(F.col("_carry"), Window.partitionBy(*keys))).drop("_carry")
+    own = per.select(*[F.col(c).alias(f"_c_{c}") for c in [*keys, "_bucket"]], "_in")
+    return x.join(own, [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in [*keys, "_bucket"]], "left").drop(
+        *[f"_c_{c}" for c in [*keys, "_bucket"]])
+
+
+def diff(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], col: str, name: str, bucket: Column | None = None) -> DataFrame:
+    """Gap to the previous row of the group; NULL for the first row and for NULL keys. With ``bucket`` in two
+    passes: the first row of a bucket takes the last value of the bucket before."""
+    if bucket is None:
+        w = _w(keys, order_by)
+        return df.withColumn(name, F.when(_keys_present(keys), F.col(col) - F.lag(col).over(w)))
+    x = _carried(df, keys, bucket, F.max_by(col, F.struct(*order_by)), lambda c, w: F.lag(c).over(w.orderBy("_bucket")))
+    w = _w([*keys, "_bucket"], order_by)
+    before = F.when(F.row_number().over(w) == 1, F.col("_in")).otherwise(F.lag(col).over(w))
+    return x.withColumn(name, F.when(_keys_present(keys), F.col(col) - before)).drop("_bucket", "_in")
 
 
 def backward_fill(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], col: str,
-                  name: str | None = None) -> DataFrame:
+                  name: str | None = None, bucket: Column | None = None) -> DataFrame:
     """Replace NULL by the next non-null value of the group.
 
     Written as a forward fill over the reversed order (``last(ignorenulls)`` over a
     growing frame) - a streaming O(n) frame, where ``first`` over
-    ``current row .. unbounded following`` re-evaluates the whole tail per row.
+    ``current row .. unbounded following`` re-evaluates the whole tail per row. With ``bucket`` in
+    two passes: a bucket's open end takes the first known value of the buckets behind it.
     """
     rev = [F.col(c).desc_nulls_last() if isinstance(c, str) else c for c in order_by]
-    w = _w(keys, rev).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = F.last(col, ignorenulls=True).over(w)
-    return df.withColumn(name or col, F.when(_keys_present(keys), filled).otherwise(F.col(col)))
+
+    def fill(c, w):
+        return F.last(c, ignorenulls=True).over(w)
+    if bucket is None:
+        filled = fill(col, _w(keys, rev).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return df.withColumn(name or col, F.when(_keys_present(keys), filled).otherwise(F.col(col)))
+    known = F.when(F.col(col).isNotNull(), F.struct(*order_by))
+    x = _carried(df, keys, bucket, F.min_by(col, known),
+                 lambda c, w: fill(c, w.orderBy(F.col("_bucket").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)))
+    own = fill(col, _w([*keys, "_bucket"], rev).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    filled = F.coalesce(own, "_in")
+    return x.withColumn(name or col, F.when(_keys_present(keys), filled).otherwise(F.col(col))).drop("_bucket", "_in")
+
+
+def duplicate_flags(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], every: str, later: str) -> DataFrame:
+    """W10 + W11 over groups without a bound: ``every`` marks all rows of a key combination that occurs more than
+    once, ``later`` all but the first of them. One partial aggregation per key and a null-safe join back."""
+    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order_by)).alias("_first"))
+    per = per.where("_n > 1").select(*[F.col(k).alias(f"_d_{k}") for k in keys], "_first")
+    x = df.join(per, [F.col(k).eqNullSafe(F.col(f"_d_{k}")) for k in keys], "left")
+    many = F.col("_first").isNotNull()
+    return x.withColumns({every: many, later: many & ~F.struct(*order_by).eqNullSafe(F.col("_first"))}).drop(
+        "_first", *[f"_d_{k}" for k in keys])
 
 
 def mark_all_duplicates(df: DataFrame, keys: Sequence[str], name: str = "is_duplicate") -> DataFrame:
@@ -127,14 +175,20 @@ def recall_positions(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]
 
 
 def row_order(df: DataFrame, order_by: Sequence[str], name: str = "row_order") -> DataFrame:
-    """A total-order id from source columns, stable across partitionings.
+    """A total-order id from 0, the same however the rows are partitioned.
 
-    Uses a global sort (range partitioning + per-partition offsets) instead of
-    ``monotonically_increasing_id``, whose values depend on the physical layout.
+    Rows are range-partitioned and sorted, and numbered inside their partition; the partitions' row counts, summed
+    up, are their offsets. The sorted rows are a written table in the shared checkpoint folder, so the number inside
+    a partition does not change when an executor is lost.
     """
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    sorted_df = df.orderBy(*order_by)
-    schema = StructType(sorted_df.schema.fields + [StructField(name, LongType(), False)])
-    rdd = sorted_df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    by = list(order_by)
+    at = "_at"
+    dealt = stage_table(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(at, F.monotonically_increasing_id()),
+                        f"row-order-{uuid.uuid4().hex}")
+    part = F.shiftright(at, 33).alias("_part")
+    counts = dealt.groupBy(part).agg(F.min(at).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    # one row per partition of the sort
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return (dealt.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+            .select(*df.columns, (F.col(at) + F.col("_shift")).alias(name)))

@@ -80,22 +80,19 @@ def duplicated_lists(log: DataFrame, order_by: Sequence[str], word_type: str, re
     duplicated -> the later copy is bad.
     """
     wr = log.where(F.col("type").isin(word_type, recall_type))
-    dup_keys = list(dup_keys)
+    flagged = ordered.duplicate_flags(wr, list(dup_keys), order_by, "_all", "_later")
+    # The whole (list, type) is duplicated when sum(flag) equals count(item)
+    per_type = flagged.groupBy(*LIST_KEYS, "type").agg(
+        F.count("item").alias("_n"), *[F.sum(F.col(c).cast("bigint")).alias(c) for c in ("_all", "_later")])
 
-    def full_types(flagged: DataFrame) -> DataFrame:
-        # The whole (list, type) is duplicated when sum(flag) equals count(item)
-        per_type = flagged.groupBy(*LIST_KEYS, "type").agg(
-            F.sum(F.col("_dup").cast("bigint")).alias("_n_dup"), F.count("item").alias("_n_item"))
-        full = per_type.where(F.col("_n_dup") == F.col("_n_item"))
+    def full(flag: str) -> DataFrame:
         # Distinct types among the fully duplicated (list, type) rows of each list
-        full = full.withColumn("n_types", F.size(F.collect_set("type").over(Window.partitionBy(*LIST_KEYS))))
-        return full
-
-    all_dup = ordered.mark_all_duplicates(wr, dup_keys, "_dup")
-    q7 = full_types(all_dup).where((F.col("type") == word_type) & (F.col("n_types") == 1))
-    later = ordered.mark_later_duplicates(wr, dup_keys, order_by, "_dup")
-    q8 = full_types(later).where((F.col("type") == word_type) & (F.col("n_types") == 2))
-    return q7.select(*LIST_KEYS).distinct(), q8.select(*LIST_KEYS).distinct()
+        return per_type.where(F.col(flag) == F.col("_n")).groupBy(*LIST_KEYS).agg(
+            F.count_distinct("type").alias("n_types"), F.max(F.col("type") == word_type).alias("_words"))
+
+    q7 = full("_all").where(F.col("_words") & (F.col("n_types") == 1))
+    q8 = full("_later").where(F.col("_words") & (F.col("n_types") == 2))
+    return q7.select(*LIST_KEYS), q8.select(*LIST_KEYS)
 
 
 def offset_backwards_lists(log: DataFrame, order_by: Sequence[str], file_col: str = "eegfile",

@@ -67,6 +67,11 @@ SELECT event_id,
 FROM v
 """
 
+EVENT_ROW_ORDER = with_(EVENTS) + """
+SELECT event_id, CAST(row_number() OVER (ORDER BY subject NULLS FIRST, mstime NULLS FIRST, event_id NULLS FIRST) - 1 AS BIGINT) AS row_order
+FROM evlog
+"""
+
 OCCURRENCE_DEDUPE = with_(EVENTS) + """
 SELECT event_id,
        CASE WHEN item IS NULL THEN NULL ELSE

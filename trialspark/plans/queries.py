@@ -42,6 +42,7 @@ REC_ORDER = ["mstime", "serialpos"]
 # parameters of the event-log checks (ms)
 GAP_MIN_MS, GAP_MAX_MS = 60_000, 21_600_000
 COUNTDOWN_MIN_GAP_MS = 10_000
+SCAN_BUCKET_MS = 900_000
 WORD_TYPE, RECALL_TYPE = "view", "purchase"
 COUNTDOWN_TYPES = ["signup", "error"]
 EXPECTED_LIST_LEN = 4
@@ -78,10 +79,15 @@ def trial_log_lags(spark, sf_dir):
                     "prev_item", "prev_serialpos", "prev_recalled", "prev_outpos", "prev_category")
 
 
+def scan_bucket():
+    """Time range of one step of a two-pass scan over the events of a user."""
+    return F.floor(F.col("mstime") / SCAN_BUCKET_MS)
+
+
 @register("gap_diff_filter", "W8,P26,Q6", oracle.GAP_DIFF_FILTER)
 def gap_diff_filter(spark, sf_dir):
     ev = roles.event_log(spark, sf_dir)
-    d = ordered.diff(ev, ["subject", "session"], EV_ORDER, "mstime", "gap_ms")
+    d = ordered.diff(ev, ["subject", "session"], EV_ORDER, "mstime", "gap_ms", bucket=scan_bucket())
     d = d.where(F.col("gap_ms").isNotNull())
     return d.select("event_id", *LIST_KEYS, "gap_ms",
                     ((F.col("gap_ms") > GAP_MIN_MS) & (F.col("gap_ms") < GAP_MAX_MS)).alias("in_range"))
@@ -97,10 +103,16 @@ def timing_issue_lists(spark, sf_dir):
 def backfill_value(spark, sf_dir):
     ev = roles.event_log(spark, sf_dir)
     ev = ev.withColumn("value", F.when(F.col("type") == "error", F.lit(None)).otherwise(F.col("value")))
-    f = ordered.backward_fill(ev, ["subject", "session"], EV_ORDER, "value", "value_filled")
+    f = ordered.backward_fill(ev, ["subject", "session"], EV_ORDER, "value", "value_filled", bucket=scan_bucket())
     return f.select("event_id", r6("value_filled").alias("value_filled"))
 
 
+@register("event_row_order", "W14,O1", oracle.EVENT_ROW_ORDER)
+def event_row_order(spark, sf_dir):
+    ev = roles.event_log(spark, sf_dir).select("event_id", "subject", "mstime")
+    return ordered.row_order(ev, ["subject", *EV_ORDER]).select("event_id", "row_order")
+
+
 @register("occurrence_dedupe", "W1,W11,A18", oracle.OCCURRENCE_DEDUPE)
 def occurrence_dedupe(spark, sf_dir):
     ev = roles.event_log(spark, sf_dir)
