@@ -32,3 +32,46 @@ def test_interval_join_matches_brute_force(spark):
     got = epochs.epochs(o, s, ["subject"], "t", "t", -2000, 500, 1000).count()
     brute = sum(1 for _, _, t0 in on for _, t, _ in sm if t0 - 3000 <= t <= t0 + 1500)
     assert got == brute
+
+
+def test_all_periods_in_one_job_against_a_plain_loop(spark):
+    """Five periods with their own windows, kept window and right-closed bins, differenced by sensor pair."""
+    from trialspark.sources.tables import experiment_params, longest_epoch_ms, period_table
+    rng = np.random.default_rng(8)
+    kinds = ["WORD", "DISTRACT_END", "COUNTDOWN_START", "OTHER"]
+    onsets = [(i, 1 + i % 2, kinds[rng.integers(4)], int(rng.integers(0, 60_000))) for i in range(40)]
+    samples = [(s, c, t, None if rng.random() < 0.02 else float(rng.normal()))
+               for s in (1, 2) for c in "abc" for t in range(0, 60_000, 250) if rng.random() < 0.8]
+    o = spark.createDataFrame(onsets, "onset_id long, session long, type string, mstime long")
+    x = spark.createDataFrame(samples, "session long, contact string, mstime long, value double")
+    p = spark.createDataFrame([("a", "b"), ("b", "c")], "contact_1 string, contact_2 string")
+    ep = epochs.epochs_by_period(o, x, period_table(spark, "catFR1"), ["session"], longest_epoch_ms("catFR1"))
+    ep = epochs.pair_difference(ep, p, ["onset_id", "period", "start_ms", "end_ms", "keep_lo_ms", "keep_hi_ms", "bin_ms"])
+    channel = ["onset_id", "period", "contact_1", "contact_2"]
+    ep = ep.withColumn("value", ep.value - epochs.epoch_mean("value", channel))
+    got = {tuple(r[c] for c in [*channel, "time_bin"]): (r.value, r.n) for r in epochs.reduce_periods(ep, "value", channel).collect()}
+
+    at = {(s, c, t): v for s, c, t, v in samples if v is not None}
+    want = {}
+    for i, s, kind, t0 in onsets:
+        for q in experiment_params("catFR1").periods.values():
+            if kind not in q.event_types:
+                continue
+            lo, hi, buf = (round(v * 1000) for v in (q.start_s, q.end_s, q.buffer_s))
+            for a, b in (("a", "b"), ("b", "c")):
+                v = {t - t0: at[s, a, t] - at[s, b, t] for t in range(0, 60_000, 250)
+                     if t0 + lo - buf <= t <= t0 + hi + buf and (s, a, t) in at and (s, b, t) in at}
+                if not v:
+                    continue
+                mean = np.mean(list(v.values()))
+                bins = {}
+                for rel, d in v.items():
+                    if q.bin_s is None:
+                        k = q.keep_ms or (lo, hi)
+                        if max(k[0], lo) <= rel <= min(k[1], hi):
+                            bins.setdefault(None, []).append(d - mean)
+                    elif lo < rel <= hi:
+                        bins.setdefault(lo + (-(-(rel - lo) // 1000) - 1) * 1000, []).append(d - mean)
+                want |= {(i, q.period, a, b, k): (np.mean(d), len(d)) for k, d in bins.items()}
+    assert got.keys() == want.keys() and len(want) > 200 and len({k[1] for k in want}) == 5
+    assert all(np.isclose(got[k][0], v) and got[k][1] == n for k, (v, n) in want.items())

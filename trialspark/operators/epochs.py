@@ -12,7 +12,7 @@ buckets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,11 @@ def demean(ep: DataFrame, value: str, by: str = "onset_id", out: str | None = No
     return ep.withColumn(out or value, F.col(value) - F.avg(value).over(Window.partitionBy(by)))
 
 
+def epoch_mean(value: str, keys: list[str]) -> Column:
+    """The mean of a channel's epoch over time, buffer included, on every row of the epoch."""
+    return F.avg(value).over(Window.partitionBy(*keys))
+
+
 def trim_buffer(ep: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
     """Keep the inclusive window [start, end]."""
     return ep.where(F.col("rel").between(start_ms, end_ms))
@@ -62,3 +67,49 @@ def time_bins(ep: DataFrame, start_ms: int, end_ms: int, width_ms: int, name: st
 def binned_mean(ep: DataFrame, value: str, keys: list[str], time_col: str = "time_bin") -> DataFrame:
     """Mean per (epoch, bin)."""
     return ep.groupBy(*keys, time_col).agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# all periods in one job, and sensor pairs (T1 with channels, T6, T7, S11, J15)
+# ---------------------------------------------------------------------------
+
+def epochs_by_period(onsets: DataFrame, samples: DataFrame, periods: DataFrame, keys: list[str], longest_ms: int,
+                     onset_time: str = "mstime", sample_time: str = "mstime") -> DataFrame:
+    """J13 with windows from a parameter table: (onset, period, sample) rows with ``rel`` and the period's columns.
+
+    ``onsets`` (onset_id, type, keys, time) meet their periods by event type, so every row has a window of its own;
+    buckets are as wide as the longest epoch, so a window touches at most two of them and the join with the samples
+    is an equi-join on keys and bucket. Samples are cut once for each onset and period, whatever channels are
+    formed of them later.
+    """
+    o = onsets.join(F.broadcast(periods), "type").withColumn("_t0", F.col(onset_time)).drop(onset_time, "type")
+    lo, hi = F.col("_t0") + F.col("start_ms") - F.col("buffer_ms"), F.col("_t0") + F.col("end_ms") + F.col("buffer_ms")
+    o = o.withColumns({"_lo": lo, "_hi": hi}).withColumn(
+        "_bucket", F.explode(F.sequence(F.floor(F.col("_lo") / longest_ms), F.floor(F.col("_hi") / longest_ms))))
+    s = samples.withColumn("_bucket", F.floor(F.col(sample_time) / longest_ms)).withColumnRenamed(sample_time, "_ts")
+    j = o.join(s, [*keys, "_bucket"]).where(F.col("_ts").between(F.col("_lo"), F.col("_hi")))
+    return j.withColumn("rel", F.col("_ts") - F.col("_t0")).drop("_bucket", "_lo", "_hi", "_t0", "_ts")
+
+
+def pair_difference(ep: DataFrame, pairs: DataFrame, epoch: list[str], contact: str = "contact", value: str = "value") -> DataFrame:
+    """T1 with channels: value of ``contact_1`` minus value of ``contact_2`` at the sample times of an epoch that both
+    have. Every epoch sample goes once, signed, to each pair that its contact belongs to, and a pair's two samples
+    meet in one aggregation; the epochs are not joined with themselves and not cut again for each pair."""
+    ends = pairs.select("contact_1", "contact_2", F.explode(F.array(
+        F.struct(F.col("contact_1").alias(contact), F.lit(1).alias("_sign")),
+        F.struct(F.col("contact_2").alias(contact), F.lit(-1).alias("_sign")))).alias("_e")).select("contact_1", "contact_2", "_e.*")
+    signed = ep.join(F.broadcast(ends), contact).where(F.col(value).isNotNull())
+    return (signed.groupBy(*epoch, "contact_1", "contact_2", "rel")
+            .agg(F.sum(F.col("_sign") * F.col(value)).alias(value), F.sum(F.abs("_sign")).alias("_n"), F.sum("_sign").alias("_both"))
+            .where("_n = 2 and _both = 0").drop("_n", "_both"))
+
+
+def reduce_periods(ep: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """T6 + T7 by each row's own period: without the buffer, the mean over the kept window, or over right-closed bins
+    labelled by their left edge (``time_bin``, NULL for a period without bins)."""
+    rel, start, end, width = F.col("rel"), F.col("start_ms"), F.col("end_ms"), F.col("bin_ms")
+    plain = rel.between(F.greatest(F.coalesce("keep_lo_ms", start), start), F.least(F.coalesce("keep_hi_ms", end), end))
+    kept = F.when(width.isNull(), plain).otherwise((rel > start) & (rel <= end))
+    label = start + (F.ceil((rel - start) / width) - 1) * width
+    return (ep.where(kept).withColumn("time_bin", F.when(width.isNotNull(), label).cast("bigint"))
+            .groupBy(*keys, "time_bin").agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("n")))

@@ -161,16 +161,24 @@ def period_params(experiment: str, period: str) -> PeriodParams:
     return experiment_params(experiment).periods[period]
 
 
-def period_table(spark: SparkSession, experiment: str) -> DataFrame:
-    """Period parameters as a tiny DataFrame (broadcast when joined to events, J15)."""
-    rows = [(p.period, list(p.event_types), p.start_s, p.end_s, p.buffer_s,
-             p.keep_ms[0] if p.keep_ms else None, p.keep_ms[1] if p.keep_ms else None, p.bin_s)
-            for p in experiment_params(experiment).periods.values()]
-    schema = ("period string, event_types array<string>, start_s double, end_s double, "
-              "buffer_s double, keep_lo_ms int, keep_hi_ms int, bin_s double")
+def period_table(spark: SparkSession, experiment: str, unit_ms: int = 1000, types: dict[str, str] | None = None) -> DataFrame:
+    """One row per period and event type, its windows in ms with ``unit_ms`` to the second (another unit
+    for logs on another time scale), event types renamed by ``types``. A handful of fixed rows, broadcast when joined."""
+    def ms(v: float | None, per: float = 1.0) -> int | None:
+        return None if v is None else round(v * unit_ms / per)
+    rows = [(p.period, (types or {}).get(t, t), ms(p.start_s), ms(p.end_s), ms(p.buffer_s),
+             *(ms(v, 1000.0) for v in p.keep_ms or (None, None)), ms(p.bin_s))
+            for p in experiment_params(experiment).periods.values() for t in p.event_types]
+    schema = ("period string, type string, start_ms long, end_ms long, buffer_ms long, keep_lo_ms long, "
+              "keep_hi_ms long, bin_ms long")
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
+def longest_epoch_ms(experiment: str, unit_ms: int = 1000) -> int:
+    """Length of the longest epoch of the experiment's periods, buffers included."""
+    return max(round((p.end_s - p.start_s + 2 * p.buffer_s) * unit_ms) for p in experiment_params(experiment).periods.values())
+
+
 # ---------------------------------------------------------------------------
 # S8 power tables: partitioned by experiment and period, rows clustered by session
 # ---------------------------------------------------------------------------
