@@ -112,3 +112,65 @@ def test_clean_log_runs_every_check_its_columns_feed(spark):
     assert left(log.drop("recalled"), list_length=3, min_subjects=2) == good | {("a", 0, 2)}
     assert left(log.drop("eegfile"), list_length=3, min_subjects=2) == good | {("a", 0, 3)}
     assert left(log.drop("serialpos"), list_length=3, min_subjects=2) == good | {("a", 0, 4), ("a", 1, 4), ("a", 1, 5)}
+
+
+def _raw(subject, session, lst, items, recalled=(), mstime=None, step=2500, file="f", offset=None, rec=None):
+    """A list's rows: presentations, then recalls of the given positions."""
+    t0 = (mstime if mstime is not None else session * 1_000_000 + lst * 100_000)
+    rows = []
+    for k, item in enumerate(items, 1):
+        rows.append([subject, session, lst, "WORD", item, k, int(k in recalled), t0 + k * step, file])
+    for j, k in enumerate(recalled if rec is None else rec):
+        rows.append([subject, session, lst, "REC_WORD", items[k - 1], k, 1, t0 + 50_000 + j * 1000, file])
+    return [r + [r[7] if offset is None else r[7] + offset] for r in rows]
+
+
+def test_clean_log_removes_one_bad_list_for_every_rule(spark):
+    """Q1-Q9 each take what they should and nothing else."""
+    from trialspark.operators import cleaning
+    from trialspark.operators.ordered import row_order
+    rows, n = [], 0
+
+    def fresh(k=4):
+        nonlocal n
+        n += k
+        return [f"w{i}" for i in range(n - k, n)]
+    common = fresh()
+    for s in ("a", "b"):  # every item of the good subjects is seen by two subjects
+        rows += _raw(s, 1, 1, common, (1, 3), file=f"{s}1")
+    shared = {name: fresh() for name in ("repeat", "flag", "length", "gap", "dup_enc", "dup_all", "offset", "fine")}
+
+    def both(name, **kw):
+        items = kw.pop("items", shared[name])
+        for s in ("a", "b"):
+            rows.extend(_raw(s, 1, kw.get("lst", 2), items, kw.get("recalled", (2,)), kw.get("mstime"), kw.get("step", 2500),
+                             kw.get("file", f"{s}1"), kw.get("offset"), kw.get("rec")))
+    both("repeat", lst=2, items=shared["repeat"][:3] + [shared["repeat"][0]])
+    both("flag", lst=3, rec=())
+    both("length", lst=4, items=shared["length"][:3])
+    both("gap", lst=5, step=9000)
+    both("fine", lst=6)
+    both("offset", lst=7, offset=-500_000)
+    for s in ("a", "b"):
+        # Q7: the presentation is there twice, the recalls once: both copies go
+        rows += _raw(s, 2, 8, shared["dup_enc"], (1,), file=f"{s}2") + _raw(s, 3, 8, shared["dup_enc"], (), file=f"{s}3")
+        # Q8: all is there twice: the later copy goes
+        rows += _raw(s, 2, 9, shared["dup_all"], (2,), file=f"{s}2") + _raw(s, 3, 9, shared["dup_all"], (2,), file=f"{s}3")
+    rows += _raw("no_recalls", 1, 1, common, (), file="n1")                                   # Q1
+    rows += _raw("rare", 1, 1, fresh(), (1,), file="r1")                                      # Q2
+    rows += _raw("excluded", 1, 1, common, (1,), file="e1")                                   # P10
+    rows += _raw("a", 1, -1, common, (1,), mstime=10, file="")                                # P2
+    rows += _raw("a", 9, 1, shared["fine"], (1,), file="a9")                                  # J1: not in the population
+    log = spark.createDataFrame([tuple(r) for r in rows], "subject string, session long, list long, type string, item string, "
+                                "serialpos long, recalled long, mstime long, eegfile string, eegoffset long").repartition(3)
+    log = row_order(log, ["subject", "session", "mstime", "type", "serialpos"])
+    allowed = spark.createDataFrame([(s, i) for s in ("a", "b", "no_recalls", "rare", "excluded") for i in (1, 2, 3)], "subject string, session long")
+    out = cleaning.clean_log(log, ["row_order"], "WORD", "REC_WORD", 4, 2350, 2800,
+                             excluded_subjects=spark.createDataFrame([("excluded",)], "subject string"), allowed=allowed, min_subjects=2,
+                             lagged=["item", "recalled"])
+    got = {(r.subject, r.session, r.list) for r in out.collect()}
+    # list 7's offsets were set back against list 6 of the same file
+    assert got == {(s, i, j) for s in ("a", "b") for i, j in ((1, 1), (1, 6), (2, 9))}
+    words = {(r.list, r.item): r for r in out.where("subject = 'a' and type = 'WORD'").collect()}
+    assert words[1, common[0]].outpos == 1 and words[1, common[0]].first_recalled and words[1, common[2]].outpos == 2
+    assert words[1, common[1]].outpos is None and words[1, common[1]].prev_item == common[0] and words[1, common[1]].prev_recalled == 1

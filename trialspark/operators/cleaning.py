@@ -126,7 +126,8 @@ def read_montage_tables(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def clean_log(log: DataFrame, order_by: Sequence[str], word_type: str, recall_type: str,
               list_length: int | None, gap_min: int, gap_max: int, excluded_subjects: DataFrame | None = None,
-              allowed: DataFrame | None = None, min_subjects: int | None = None) -> DataFrame:
+              allowed: DataFrame | None = None, min_subjects: int | None = None,
+              lagged: Sequence[str] = ("item", "outpos")) -> DataFrame:
     """Clean a log with columns subject, session, list, type, item, mstime (+ order columns).
 
     Bad subjects (missing presentations or recalls, items that fewer than ``min_subjects``
@@ -136,7 +137,7 @@ def clean_log(log: DataFrame, order_by: Sequence[str], word_type: str, recall_ty
     across sessions (``serialpos``, Q7/Q8) and lists whose offsets run backwards (``eegfile``,
     ``eegoffset``, Q9); the allow-list freezes the population; presented items get the output
     position of their first recall and the previous item's values; recall rows get their
-    output position and repeat flag. Returns all rows (presented, recalled, other) with the
+    output position and repeat flag; ``lagged`` names the columns taken from the previous item. Returns all rows (presented, recalled, other) with the
     derived columns, NULL where they do not apply.
     """
     x = drop_practice(log)
@@ -157,7 +158,7 @@ def clean_log(log: DataFrame, order_by: Sequence[str], word_type: str, recall_ty
     if "serialpos" in log.columns:
         bad.extend(quality.duplicated_lists(x, order_by, word_type, recall_type))
     if {"eegfile", "eegoffset"} <= set(log.columns):
-        bad.append(quality.offset_backwards_lists(x, order_by))
+        bad.append(quality.offset_backwards_lists(x, order_by, types=[word_type, recall_type]))
     x, _ = quality.remove_bad_lists(x, bad)
     if allowed is not None:
         x = keep_allow_list(x, allowed)
@@ -168,6 +169,6 @@ def clean_log(log: DataFrame, order_by: Sequence[str], word_type: str, recall_ty
     first = rec.where(~F.col("recall_repeat")).select(*LIST_KEYS, "item", F.col("outpos").alias("_op"))
     words = words.join(first, [*LIST_KEYS, "item"], "left").withColumnRenamed("_op", "outpos")
     words = words.withColumn("first_recalled", eq_false("outpos", 1))
-    words = ordered.lag_columns(words, LIST_KEYS, order_by, ["item", "outpos"])
+    words = ordered.lag_columns(words, LIST_KEYS, order_by, lagged)
     other = x.where(~F.col("type").isin(word_type, recall_type))
     return union_all([words, rec, other])

@@ -5,7 +5,7 @@ from trialspark.plans.registry import REGISTRY, Query
 
 def all_queries() -> dict[str, Query]:
     # importing the modules registers their queries
-    from trialspark.plans import model_queries, power_queries, queries  # noqa: F401
+    from trialspark.plans import log_queries, model_queries, power_queries, queries  # noqa: F401
     return dict(REGISTRY)
 
 

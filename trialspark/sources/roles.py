@@ -10,6 +10,11 @@ position so that every query reads the full tables:
   recalled = (l_returnflag = 'R'), value = l_extendedprice, mstime = ship time.
 * event log (events): subject = user_id, session = day number, list = 6-hour
   block of the day (1..4), type = event_type, order = (ts, event_id), item = props.k.
+* raw word log (lineitem, orders, part): what a recording system would have written of the same trials. WORD rows are
+  line items by ship time, REC_WORD rows the recalled ones some time later (but not those of a full load of
+  MAX_QUANTITY, whose recall is missing), REC_START rows the orders, whose list is unknown (-999) if their status is P;
+  orders of low priority are practice lists (-1); items are untidy names; sessions of every fifth year have no
+  recording file, and a line with the largest discount and tax has a recording offset that was set back.
 * feature events (embeddings): each vector is one presented item; items are
   presented in vec_id order in lists of LIST_LEN, LISTS_PER_SESSION lists make a
   session and SESSIONS_PER_SUBJECT sessions a subject; category = label; label 0
@@ -41,6 +46,10 @@ DISTRACTOR_LABEL = 1
 T_CHANNELS, T_FREQS, T_BINS = 4, 4, 4
 NO_OUTPOS = -999
 
+MAX_QUANTITY, MAX_DISCOUNT, MAX_TAX = 50, 0.10, 0.08
+DAY_MS, RECALL_DELAY_DAYS, SET_BACK_DAYS = 86_400_000, 3000, 4000
+NO_LIST = -999
+
 # total order of lines inside an order ((l_orderkey, l_linenumber) is not unique)
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 
@@ -86,6 +95,37 @@ def trial_words(spark: SparkSession, sf_dir: str, with_category: bool = True) ->
     return df.select(*cols)
 
 
+def word_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw word log: subject, session, trial (the order, which parts rows of one time), list, type, item_name,
+    category, serialpos, recalled (text), mstime, eegfile, eegoffset (s)."""
+    li = read_table(spark, sf_dir, "lineitem")
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+    trial = F.col("o_orderkey")
+    file = F.when(F.year("o_orderdate") % 5 == 0, "").otherwise(F.concat_ws("_", "o_custkey", F.year("o_orderdate")))
+    number = F.when(F.col("o_orderpriority") == "5-LOW", -1).otherwise(trial + 1)
+    lines = li.join(p, li.l_partkey == p.p_partkey, "left").join(o, li.l_orderkey == o.o_orderkey)
+    w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", *LINE_ORDER[:-1])
+    ship = _ms(F.col("l_shipdate"))
+    back = (F.round("l_discount", 2) == MAX_DISCOUNT) & (F.round("l_tax", 2) == MAX_TAX)
+    lines = lines.select(
+        F.col("o_custkey").alias("subject"), F.year("o_orderdate").cast("bigint").alias("session"), trial.alias("trial"), number.alias("list"),
+        F.concat(F.lit(" "), F.upper("p_brand"), F.lit(" "), F.col("l_partkey").cast("string"), F.lit("\t")).alias("item_name"),
+        F.concat(F.lower("p_type"), F.lit(" ")).alias("category"), F.row_number().over(w).cast("bigint").alias("serialpos"),
+        (F.col("l_returnflag") == "R").cast("bigint").cast("string").alias("recalled"), ship.alias("mstime"), file.alias("eegfile"),
+        (F.floor(ship / 1000) - F.when(back, SET_BACK_DAYS * DAY_MS // 1000).otherwise(0)).alias("eegoffset"), "l_quantity")
+    words = lines.drop("l_quantity").withColumn("type", F.lit("WORD"))
+    later = F.lit(RECALL_DELAY_DAYS * DAY_MS)
+    recalls = lines.where((F.col("recalled") == "1") & (F.col("l_quantity") < MAX_QUANTITY)).drop("l_quantity").withColumns(
+        {"type": F.lit("REC_WORD"), "mstime": F.col("mstime") + later, "eegoffset": F.col("eegoffset") + F.floor(later / 1000)})
+    start = _ms(F.col("o_orderdate"))
+    starts = o.select(F.col("o_custkey").alias("subject"), F.year("o_orderdate").cast("bigint").alias("session"), trial.alias("trial"),
+                      F.when(F.col("o_orderstatus") == "P", NO_LIST).otherwise(number).alias("list"),
+                      F.when(F.col("o_orderstatus") == "F", "REC_START").when(F.col("o_orderstatus") == "P", "REC_START").otherwise("ORIENT").alias("type"),
+                      start.alias("mstime"), file.alias("eegfile"), F.floor(start / 1000).alias("eegoffset"))
+    return words.unionByName(recalls).unionByName(starts, allowMissingColumns=True)
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream as an ordered trial log."""
     ev = read_table(spark, sf_dir, "events")
