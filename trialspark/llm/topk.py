@@ -4,8 +4,9 @@ The components are cut into ``lists`` score lists: a vector's score for a query
 from each list. Lists are held in tiles (list, query block, candidate block), so a task knows one list's partial
 scores of one block pair and nothing else.
 
-1. *Gather.* Every list reports the best ``k + 1`` entries of each query; the missing partial scores of these
-   candidates are asked for, and the (k+1)-th best exact score is the query's cutoff.
+1. *Gather.* Every tile reports the best ``k + 1`` entries of each query, of which each list keeps the best
+   ``gathered``; the missing partial scores of these candidates are asked for, and the (k+1)-th best exact score
+   is the query's cutoff. Any candidates give a safe cutoff; more of them give a higher one.
 2. *Collect.* The cutoff goes to all tiles. A candidate that reaches it has at least ``cutoff / lists`` in some
    list, so each list reports the entries from there on. Ties count by id: a larger id than the cutoff's must
    score more.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from trialspark.llm.staging import arrow_map, stage
 from trialspark.llm.tiles import runs
 
-LISTS, QUERIES, ROWS, CHUNK = 2, 4096, 4096, 256
+LISTS, GATHERED, QUERIES, ROWS, CHUNK = 2, 48, 4096, 4096, 256
 KEYS = ["dim", "list", "qb", "cb"]
 CANDIDATE, QUERY, ASK = 0, 1, 2
 
@@ -152,11 +153,12 @@ class Lists:
         dealt = reduce(DataFrame.unionByName, sides).repartition(*KEYS).sortWithinPartitions(*KEYS)
         return arrow_map(dealt, function, _ENTRY)
 
-    def gather(self, wanted: int) -> DataFrame:
-        """Phase 1: the best entries (q, c, list, partial) of every list and query."""
+    def gather(self, wanted: int, keep: int) -> DataFrame:
+        """Phase 1: the ``keep`` best entries (q, c, list, partial) of every list and query, out of ``wanted`` from each
+        of its tiles."""
         local = self._run(_gather(wanted), self.queries).join(self.nodes.select(F.col("node").alias("c"), "low"), "c")
         best = Window.partitionBy("q", "list").orderBy(F.desc("partial"), "low")
-        return local.withColumn("place", F.row_number().over(best)).where(F.col("place") <= wanted).select("q", "c", "list", "partial")
+        return local.withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep).select("q", "c", "list", "partial")
 
     def collect(self, cutoffs: DataFrame) -> DataFrame:
         """Phase 2: all entries over the uniform threshold; ``cutoffs``: (q, cut, cut_low)."""
@@ -186,7 +188,8 @@ def _best(scores: DataFrame, wanted: int) -> DataFrame:
     return scores.withColumn("place", F.row_number().over(order)).where(F.col("place") <= wanted)
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, lists: int = LISTS, query_block: int = QUERIES, row_block: int = ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 5, lists: int = LISTS, gathered: int = GATHERED,
+          query_block: int = QUERIES, row_block: int = ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best other rows of ``vectors`` (vec_id, embedding) for every row
     where ``is_query`` (a column over vec_id) holds."""
     wide = F.col("embedding").cast("array<double>")
@@ -209,7 +212,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, lists: int = LISTS, query_bl
     queries = stage(nodes.join(asked.select(F.col("q").alias("node")).distinct(), "node", "left_semi"), "query_nodes")
 
     held = Lists(nodes, queries, lists, query_block, row_block)
-    first = stage(held.gather(k + 1), "gathered")
+    first = stage(held.gather(k + 1, max(k + 1, gathered)), "gathered")
     cutoffs = stage(_best(held.resolve(first), k + 1).where(F.col("place") == k + 1)
                     .select("q", F.col("score").alias("cut"), F.col("low").alias("cut_low")), "cutoffs")
     entries = stage(held.collect(cutoffs), "collected")
