@@ -4,17 +4,64 @@ import numpy as np
 from trialspark.operators import epochs, spectral
 
 
-def test_power_peaks_at_signal_band_and_hum_removed():
-    fs = 1000.0
-    t = np.arange(0, 4.0, 1 / fs)
-    x = 3.0 + np.sin(2 * np.pi * 9.7 * t) + 2.0 * np.sin(2 * np.pi * 60 * t)
+def _gain(f, fs=1000.0):
+    """Amplitude of a long sine behind the zero-phase filter, away from the ends."""
+    t = np.arange(0, 8.0, 1 / fs)
+    x = np.sin(2 * np.pi * f * t)
+    y = spectral.band_stop(x[None, :], fs, 58, 62)[0]
+    mid = slice(2000, -2000)
+    return np.abs(np.exp(-2j * np.pi * f * t[mid]) @ y[mid]) / np.abs(np.exp(-2j * np.pi * f * t[mid]) @ x[mid])
+
+
+def test_band_stop_is_a_butterworth_of_order_four():
+    """Applied twice, the edges are at half power twice over: a quarter of the power, half of the amplitude."""
+    num, den = spectral.butterworth_stop(1000.0, 58.0, 62.0)
+    assert num.shape == den.shape == (4, 3) and (np.abs(np.roots(den[0])) < 1).all()
+
+    def response(f):
+        z = np.exp(-2j * np.pi * f / 1000.0 * np.arange(3))
+        return np.abs(np.prod((num @ z) / (den @ z)))
+    w1, w2 = np.tan(np.pi * 58 / 1000), np.tan(np.pi * 62 / 1000)
+    for f in (3, 20, 55, 57, 58, 60.5, 62, 63, 65, 100, 180):
+        w = np.tan(np.pi * f / 1000)
+        ratio = (w * (w2 - w1) / (w1 * w2 - w * w)) ** 2
+        assert np.isclose(response(f), 1 / np.sqrt(1 + ratio ** 4), rtol=1e-6)
+    assert np.isclose(response(58), np.sqrt(0.5)) and np.isclose(response(62), np.sqrt(0.5))
+    for f in (55, 58, 60, 62, 65):
+        assert np.isclose(_gain(f), response(f) ** 2, atol=2e-3)
+    assert _gain(60) < 1e-3 and _gain(55) > 0.95 and _gain(65) > 0.95
+
+
+def test_constant_and_short_epochs_pass_the_filter():
+    x = np.full((3, 50), 7.5)
+    assert np.allclose(spectral.band_stop(x, 1000.0, 58, 62), x)
+    assert spectral.band_stop(np.arange(5.0)[None, :], 1000.0, 58, 62).shape == (1, 5)
+
+
+def test_a_sine_survives_a_change_of_rate():
+    for fs, fs_out in ((2000.0, 1000.0), (500.0, 1000.0), (1600.0, 1000.0)):
+        t, u = np.arange(0, 2, 1 / fs), np.arange(0, 2, 1 / fs_out)
+        x = np.sin(2 * np.pi * 9.5 * t) + 0.3 * np.cos(2 * np.pi * 101 * t) + 2
+        y = spectral.resample(x[None, :], fs, fs_out)[0]
+        assert len(y) == 2 * fs_out
+        assert np.allclose(y, np.sin(2 * np.pi * 9.5 * u) + 0.3 * np.cos(2 * np.pi * 101 * u) + 2, atol=1e-9)
+    # what the lower rate cannot hold is gone
+    t = np.arange(0, 1, 1 / 2000)
+    assert np.abs(spectral.resample(np.sin(2 * np.pi * 700 * t)[None, :], 2000.0, 1000.0)).max() < 1e-9
+
+
+def test_power_peaks_at_the_signal_at_any_rate(spark):
     freqs = spectral.logspace_freqs(3, 180, 8)
-    p = spectral.epoch_log_power(x[None, :], fs, freqs, buffer_n=1000)[0]
-    assert int(np.argmax(p)) == 2                       # 9.7 Hz band
-    clean = spectral.notch_fft(x - x.mean(), fs, 58, 62)
-    spec = np.abs(np.fft.rfft(clean))
-    f = np.fft.rfftfreq(len(clean), 1 / fs)
-    assert spec[np.argmin(np.abs(f - 60))] < 1e-6 * spec.max()
+    rows = []
+    for key, fs in ((1, 1000.0), (2, 2000.0), (3, 500.0)):
+        t = np.arange(0, 4 + 0.5 / fs, 1 / fs)
+        x = 3.0 + np.sin(2 * np.pi * 9.7 * t) + 2.0 * np.sin(2 * np.pi * 60 * t)
+        rows.append((key, list(range(len(x))), x.tolist(), fs))
+    df = spark.createDataFrame(rows, "k long, idx array<int>, v array<double>, rate double")
+    out = spectral.epoch_power(df, ["k"], "idx", "v", "rate", 4.0, freqs, 1.0, 1000.0).toPandas()
+    power = {k: g.sort_values("freq_index").power.to_numpy() for k, g in out.groupby("k")}
+    assert all(int(np.argmax(p)) == 2 for p in power.values())  # 9.7 Hz
+    assert np.allclose(power[1], power[2], atol=0.1) and np.allclose(power[1][:5], power[3][:5], atol=0.1)
 
 
 def test_bins_right_closed(spark):

@@ -1,40 +1,91 @@
 """Spectral features of epochs (T3-T5), numpy only.
 
-The array transform of one epoch (notch, resample, Morlet wavelet power, log10,
+The array transform of one epoch (band stop, resampling, Morlet wavelet power, log10,
 buffer removal, mean over time) runs in a vectorised pandas function over
 batches of epochs: Spark partitions and shuffles the epochs, each epoch row
 holds one bounded array (its length is fixed by the period parameters), and
-numpy transforms a whole batch of epochs at once.
+numpy transforms all epochs of a batch that have one sampling rate at once.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def notch_fft(x: np.ndarray, fs: float, lo: float, hi: float) -> np.ndarray:
-    """Band-stop by zeroing Fourier bins in [lo, hi] Hz (last axis). A zero-phase
-    alternative to the 4th-order Butterworth stop band; edge effects fall in the buffer."""
-    n = x.shape[-1]
-    spec = np.fft.rfft(x, axis=-1)
-    f = np.fft.rfftfreq(n, 1.0 / fs)
-    spec[..., (f >= lo) & (f <= hi)] = 0
-    return np.fft.irfft(spec, n=n, axis=-1)
+@lru_cache(maxsize=64)
+def butterworth_stop(fs: float, lo: float, hi: float, order: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Second-order sections (numerators, denominators; rows of three) of a Butterworth band stop of ``order``.
+
+    The analogue low-pass poles are turned into pairs around the geometric centre of the pre-warped band edges, with
+    zeros at the centre, and mapped by the bilinear transform; every section has unit gain at frequency 0.
+    """
+    k = np.arange(order)
+    low_pass = np.exp(1j * np.pi * (2 * k + order + 1) / (2 * order))
+    w1, w2 = 2 * fs * np.tan(np.pi * lo / fs), 2 * fs * np.tan(np.pi * hi / fs)
+    half = (w2 - w1) / low_pass / 2
+    root = np.sqrt(half ** 2 - w1 * w2)
+    poles = np.concatenate([half + root, half - root])
+    poles = poles[np.argsort(-poles.imag)][:order]  # one of each conjugate pair
+
+    def digital(s):
+        return (2 * fs + s) / (2 * fs - s)
+    z, p = digital(1j * np.sqrt(w1 * w2)), digital(poles)
+    num = np.tile([1.0, -2 * z.real, abs(z) ** 2], (order, 1))
+    den = np.stack([np.ones(order), -2 * p.real, np.abs(p) ** 2], axis=1)
+    return num * (den.sum(axis=1) / num.sum(axis=1))[:, None], den
+
+
+def filter_sections(x: np.ndarray, num: np.ndarray, den: np.ndarray) -> np.ndarray:
+    """The recursive filter along the last axis of (epochs, times), sections one after the other. The state of a
+    section is one pair of numbers for each epoch, and starts as if the first sample had gone on for ever."""
+    y = np.array(x, dtype=float).T  # time first: a step works on one contiguous row of epochs
+    for b, a in zip(num, den):
+        gain = b.sum() / a.sum()
+        s1 = (gain - b[0]) * y[0]
+        s2 = (b[2] - a[2] * gain) * y[0]
+        for t in range(len(y)):
+            u = y[t].copy()
+            v = b[0] * u + s1
+            s1 = b[1] * u - a[1] * v + s2
+            s2 = b[2] * u - a[2] * v
+            y[t] = v
+    return y.T
+
+
+def band_stop(x: np.ndarray, fs: float, lo: float, hi: float, order: int = 4) -> np.ndarray:
+    """Zero-phase Butterworth band stop of the last axis: the filter forwards and backwards, over the epoch with
+    both ends continued by their reflection through the end point."""
+    num, den = butterworth_stop(float(fs), float(lo), float(hi), order)
+    x = np.atleast_2d(x)
+    pad = min(3 * (2 * order + 1), x.shape[1] - 1)
+    front = 2 * x[:, :1] - x[:, pad:0:-1]
+    back = 2 * x[:, -1:] - x[:, -2:-pad - 2:-1]
+    y = filter_sections(np.concatenate([front, x, back], axis=1), num, den)
+    y = filter_sections(y[:, ::-1], num, den)[:, ::-1]
+    return y[:, pad:y.shape[1] - pad]
 
 
-def resample_fft(x: np.ndarray, n_out: int) -> np.ndarray:
-    """T4: Fourier resampling of the last axis to ``n_out`` samples."""
+def resample(x: np.ndarray, fs: float, fs_out: float) -> np.ndarray:
+    """T4: the last axis at another rate, in the Fourier domain: the spectrum is cut off or continued with zeros at
+    the lower Nyquist frequency. n samples become round(n * fs_out / fs)."""
     n = x.shape[-1]
+    n_out = max(1, round(n * fs_out / fs))
     if n == n_out:
         return x
     spec = np.fft.rfft(x, axis=-1)
-    m = n_out // 2 + 1
-    out = np.zeros(spec.shape[:-1] + (m,), dtype=complex)
-    k = min(m, spec.shape[-1])
+    out = np.zeros((*spec.shape[:-1], n_out // 2 + 1), dtype=complex)
+    k = min(out.shape[-1], spec.shape[-1])
     out[..., :k] = spec[..., :k]
+    even = min(n, n_out)
+    if even % 2 == 0:  # the shared Nyquist bin stands for both signs in one of the two spectra
+        out[..., even // 2] *= 0.5 if n_out > n else 2.0
+        if n_out < n:
+            out[..., even // 2] = out[..., even // 2].real
     return np.fft.irfft(out, n=n_out, axis=-1) * (n_out / n)
 
 
@@ -87,53 +138,49 @@ def morlet_power(x: np.ndarray, fs: float, freqs: np.ndarray, width: float = 5.0
     return out
 
 
-def epoch_log_power(x: np.ndarray, fs: float, freqs: np.ndarray, buffer_n: int, width: float = 5.0,
-                    notch: tuple[float, float] | None = (58.0, 62.0)) -> np.ndarray:
-    """Demean -> notch -> wavelet power -> log10 -> drop buffer -> mean over time.
-    ``x`` is (n_epochs, n_times); returns (n_epochs, n_freqs). log10(0) gives NULL later (R13)."""
+def epoch_log_power(x: np.ndarray, fs: float, freqs: np.ndarray, buffer_s: float, width: float = 5.0,
+                    stop: tuple[float, float] | None = (58.0, 62.0), fs_out: float | None = None) -> np.ndarray:
+    """Demean -> band stop -> rate ``fs_out`` -> wavelet power -> log10 -> drop buffer -> mean over time.
+    ``x`` is (n_epochs, n_times) at rate ``fs``; returns (n_epochs, n_freqs). log10(0) gives NULL later (R13)."""
     x = x - x.mean(axis=-1, keepdims=True)
-    if notch is not None:
-        x = notch_fft(x, fs, *notch)
-    p = morlet_power(x, fs, freqs, width)
+    if stop is not None and stop[1] < fs / 2:
+        x = band_stop(x, fs, *stop)
+    rate = fs_out or fs
+    x = resample(x, fs, rate)
     with np.errstate(divide="ignore"):
-        lp = np.log10(p)
-    core = lp[..., buffer_n:lp.shape[-1] - buffer_n] if buffer_n > 0 else lp
-    return core.mean(axis=-1)
+        lp = np.log10(morlet_power(x, rate, freqs, width))
+    cut = round(buffer_s * rate)
+    return lp[..., cut:lp.shape[-1] - cut].mean(axis=-1)
 
 
-def epoch_power(epochs: DataFrame, key: str, idx_col: str, val_col: str, n_times: int, fs: float, freqs,
-                buffer_n: int, width: float = 5.0, notch: tuple[float, float] | None = (58.0, 62.0)) -> DataFrame:
-    """Spark wrapper: rows (key, sample indices, sample values) of one epoch each - a sparse
-    grid of at most ``n_times`` points - -> (key, freq_index, frequency, power), computed
-    by a vectorised pandas body per batch of epochs."""
+def epoch_power(epochs: DataFrame, keys: list[str], idx_col: str, val_col: str, rate_col: str, length_s: float, freqs,
+                buffer_s: float, fs_out: float, width: float = 5.0, stop: tuple[float, float] | None = (58.0, 62.0)) -> DataFrame:
+    """Spark wrapper: rows (keys, sample indices, sample values, sampling rate) of one epoch each - a sparse grid of
+    ``length_s`` seconds, both ends included - -> (keys, freq_index, frequency, power). Sessions may differ in rate:
+    epochs of one rate are transformed together and meet at ``fs_out``."""
     freqs = np.asarray(freqs, dtype=float)
-    key_type = epochs.schema[key].dataType.simpleString()
-    schema = f"{key} {key_type}, freq_index long, frequency double, power double"
+    schema = ", ".join(f"`{k}` {epochs.schema[k].dataType.simpleString()}" for k in keys) + ", freq_index long, frequency double, power double"
 
     def body(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.zeros((len(pdf), n_times))
-            for r, (ix, vs) in enumerate(zip(pdf[idx_col], pdf[val_col])):
-                x[r, np.asarray(ix, dtype=np.int64)] = np.asarray(vs, dtype=float)
-            pw = epoch_log_power(x, fs, freqs, buffer_n, width, notch)
-            n_e, n_f = pw.shape
-            out = pd.DataFrame({
-                key: np.repeat(pdf[key].to_numpy(), n_f),
-                "freq_index": np.tile(np.arange(n_f, dtype=np.int64), n_e),
-                "frequency": np.tile(freqs, n_e),
-                "power": pw.reshape(-1),
-            })
-            out.loc[~np.isfinite(out["power"]), "power"] = np.nan
-            yield out
-
-    # the body is CPU-heavy per row while its input is small in bytes, so AQE would pack it
-    # into very few partitions; spread the epochs over the configured shuffle partitions
+        for whole in batches:
+            for fs, pdf in whole.groupby(rate_col):
+                x = np.zeros((len(pdf), round(length_s * fs) + 1))
+                for r, (ix, vs) in enumerate(zip(pdf[idx_col], pdf[val_col])):
+                    x[r, np.asarray(ix, dtype=np.int64)] = np.asarray(vs, dtype=float)
+                pw = epoch_log_power(x, float(fs), freqs, buffer_s, width, stop, fs_out)
+                n_e, n_f = pw.shape
+                out = pd.DataFrame({k: np.repeat(pdf[k].to_numpy(), n_f) for k in keys} | {
+                    "freq_index": np.tile(np.arange(n_f, dtype=np.int64), n_e),
+                    "frequency": np.tile(freqs, n_e),
+                    "power": pw.reshape(-1),
+                })
+                out.loc[~np.isfinite(out["power"]), "power"] = np.nan
+                yield out
+
+    # the body is CPU-heavy per row while its input is small in bytes, so AQE would pack it into very few partitions;
+    # a round-robin deal of the configured count keeps epochs, which are independent, apart
     n_parts = int(epochs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # round-robin: epochs are independent, and a keyed repartition would be folded into the
-    # aggregate's identical hash exchange and coalesced again
-    res = epochs.select(key, idx_col, val_col).repartition(n_parts).mapInPandas(body, schema)
+    res = epochs.select(*keys, idx_col, val_col, rate_col).repartition(n_parts).mapInPandas(body, schema)
     return res.withColumn("power", F.when(~F.isnan("power"), F.col("power")))
 
 

@@ -442,12 +442,13 @@ def logistic_fit(spark, sf_dir):
 
 from trialspark.operators import epochs as ep_ops  # noqa: E402
 from trialspark.operators import spectral  # noqa: E402
-from trialspark.sources.tables import FREQ_MAX_HZ, FREQ_MIN_HZ, LINE_NOISE_HZ, N_FREQS, WAVELET_WIDTH  # noqa: E402
+from trialspark.sources.tables import FREQ_MAX_HZ, FREQ_MIN_HZ, LINE_NOISE_HZ, N_FREQS, RESAMPLE_HZ, WAVELET_WIDTH  # noqa: E402
 
 # epoch parameters for the event log (ms): 2 h before each purchase, 30 min buffers, 30 min bins
 EPOCH_START_MS, EPOCH_END_MS, EPOCH_BUFFER_MS, EPOCH_BIN_MS = -7_200_000, 0, 1_800_000, 1_800_000
 ONSET_TYPE = "purchase"
-GRID_MS = 10_000  # regular grid of the power epochs (treated as the 1000 Hz resampled rate)
+GRID_MS = 10_000  # regular grid of the power epochs at the lower of the two sampling rates
+FAST_HZ = 2000.0
 
 
 def _event_epochs(spark, sf_dir) -> DataFrame:
@@ -469,18 +470,22 @@ def epoch_bins(spark, sf_dir):
 
 @register("epoch_power", "T3,T4,T5,T6,A12")
 def epoch_power(spark, sf_dir):
+    """Wavelet power of every onset's epoch. Subjects are recorded at one of two rates (a grid step of GRID_MS or half
+    of it, one step at the higher rate being a sample of FAST_HZ); all epochs are brought to RESAMPLE_HZ."""
     e = _event_epochs(spark, sf_dir)
     lo = EPOCH_START_MS - EPOCH_BUFFER_MS
-    n_times = (EPOCH_END_MS - EPOCH_START_MS + 2 * EPOCH_BUFFER_MS) // GRID_MS + 1
-    # T4: irregular samples onto the regular grid (sum per grid step), bounded per epoch
-    g = e.withColumn("idx", F.floor((F.col("rel") - lo) / GRID_MS).cast("int")).groupBy("onset_id", "idx").agg(
+    fast = F.col("subject") % 2 == 0
+    e = e.withColumn("rate", F.when(fast, FAST_HZ).otherwise(FAST_HZ / 2)).withColumn("step", F.when(fast, GRID_MS // 2).otherwise(GRID_MS))
+    # irregular samples onto the subject's grid (the latest value of a step's samples is not known: their sum)
+    g = e.withColumn("idx", F.floor((F.col("rel") - lo) / F.col("step")).cast("int")).groupBy("onset_id", "rate", "idx").agg(
         F.sum("value").alias("v"))
     # one list of (idx, v): two lists would drop NULLs of one side and lose their pairing
-    per = g.where("v is not null").groupBy("onset_id").agg(F.collect_list(F.struct("idx", "v")).alias("g")).select(
-        "onset_id", "g.idx", "g.v")
+    per = g.where("v is not null").groupBy("onset_id", "rate").agg(F.collect_list(F.struct("idx", "v")).alias("g")).select(
+        "onset_id", "rate", "g.idx", "g.v")
+    seconds = lambda ms: ms / (GRID_MS // 2) / FAST_HZ  # noqa: E731 - of the recording's clock
     freqs = spectral.logspace_freqs(FREQ_MIN_HZ, FREQ_MAX_HZ, N_FREQS)
-    return spectral.epoch_power(per, "onset_id", "idx", "v", n_times, 1000.0, freqs,
-                                buffer_n=EPOCH_BUFFER_MS // GRID_MS, width=WAVELET_WIDTH, notch=LINE_NOISE_HZ)
+    return spectral.epoch_power(per, ["onset_id"], "idx", "v", "rate", seconds(EPOCH_END_MS - EPOCH_START_MS + 2 * EPOCH_BUFFER_MS), freqs,
+                                seconds(EPOCH_BUFFER_MS), RESAMPLE_HZ, width=WAVELET_WIDTH, stop=LINE_NOISE_HZ)
 
 
 # ---------------------------------------------------------------------------
