@@ -4,7 +4,7 @@ Vectors are rows here (event, stacked feature, bin), constants are windows over
 solved by Gauss-Jordan elimination in a recursive table, independent of the library's cell moments.
 """
 
-from trialspark.plans.sql_roles import EVENTS, WORDS, with_
+from trialspark.plans.sql_roles import EVENTS, WORDS, WORDS_NO_CAT, with_
 
 _TRIALS = """
 ft AS (SELECT vec_id AS event, CAST(floor(vec_id / 192) AS BIGINT) AS subject, CAST(floor(vec_id / 96) AS BIGINT) AS session,
@@ -245,3 +245,28 @@ DROP_CONTRASTS = _recursive(
     _SOLVE, _means_ctes(["item_before_isi_recalled"])) + f"""
 SELECT g AS drop_freq, [3.0, 5.4, 9.7, 17.3][g + 1]::DOUBLE AS dropped_freq_hz, item_before_isi_recalled, level, n,
   round(estimate, 6) + 0.0 AS estimate, round(se, 6) + 0.0 AS se, {_UNSCALED} FROM bars WHERE kind = 'contrast'"""
+
+
+def _level(depth: int, keys: list[str], name: str) -> str:
+    own, rest = keys[:depth], keys[depth:]
+    cols = ", ".join([*own, *(f"CAST(NULL AS BIGINT) AS {k}" for k in rest)])
+    group = f"GROUP BY {', '.join(own)}" if own else ""
+    return f"""SELECT {depth} AS depth, '{name}' AS level, {cols}, count(*) AS n, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy
+  FROM yx {group}"""
+
+
+_KEYS = ["subject", "session", "list"]
+
+NESTED_SLOPES = with_(WORDS_NO_CAT, f"""
+yx AS (SELECT subject, session, list, ln(value) AS y, CAST(serialpos AS DOUBLE) AS x FROM words),
+u0 AS ({" UNION ALL ".join(_level(k, _KEYS, "total" if not k else _KEYS[k - 1]) for k in range(4))}),
+u AS (SELECT *, CASE WHEN n > 1 AND sxx > 1e-9 * n THEN sxy / sxx END AS slope FROM u0),
+p2 AS (SELECT depth, sum(greatest(syy - slope * sxy, 0)) / sum(n - 2) AS s2 FROM u WHERE slope IS NOT NULL AND n > 2 GROUP BY depth),
+par AS (SELECT u.*, CASE WHEN u.slope IS NOT NULL THEN s2 / u.sxx END AS se2, a.slope AS above FROM u JOIN p2 ON u.depth = p2.depth
+        JOIN u a ON a.depth = u.depth - 1 AND (a.depth < 1 OR a.subject = u.subject) AND (a.depth < 2 OR a.session = u.session)),
+t2 AS (SELECT depth, greatest(avg(pow(slope - above, 2)) - avg(se2), 0) AS tau2 FROM par WHERE slope IS NOT NULL AND above IS NOT NULL GROUP BY depth)
+""") + """
+SELECT level, subject, session, list, n, round(slope, 6) + 0.0 AS slope, round(sqrt(se2), 6) + 0.0 AS se,
+  round(CASE WHEN slope IS NULL THEN above WHEN above IS NULL THEN slope
+        ELSE coalesce(tau2 / nullif(tau2 + se2, 0), 0) * slope + (1 - coalesce(tau2 / nullif(tau2 + se2, 0), 0)) * above END, 6) + 0.0 AS shrunk
+FROM par LEFT JOIN t2 USING (depth)"""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.functions.nulls import r6, sentinel_to_null
-from trialspark.operators import cell_models, features, ordered, similarity
+from trialspark.operators import cell_models, features, nested, ordered, similarity
 from trialspark.operators.models import model_formula
 from trialspark.operators.stats import frequency_labels
 from trialspark.plans import model_oracle as oracle
@@ -217,3 +217,11 @@ def drop_frequency_contrasts(spark, sf_dir):
     c = c.join(frequency_labels(spark, DROPPED_FREQ_HZ_LABELS), "drop_freq")
     return _rounded(c.select("drop_freq", "dropped_freq_hz", "item_before_isi_recalled", "level", "n", "estimate", "se",
                              "estimate_unscaled", "se_unscaled"), ["estimate", "se", "estimate_unscaled", "se_unscaled"])
+
+
+@register("nested_slopes", "ST6,ST7,A16", oracle.NESTED_SLOPES)
+def nested_slopes(spark, sf_dir):
+    """Slope of log value on position for every subject, session and list, shrunk toward the level above."""
+    words = roles.trial_words(spark, sf_dir, with_category=False).withColumn("y", F.log("value"))
+    out = nested.nested_effects(words, LIST_KEYS, "y", "serialpos")
+    return _rounded(out, ["slope", "se", "shrunk"])
