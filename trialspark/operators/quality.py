@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.functions.nulls import cond_false, ne_true
@@ -211,3 +211,15 @@ def step_counts(steps: Sequence[tuple[str, DataFrame]], subject: str = "subject"
             F.countDistinct(subject, session).alias("n_sessions"),
         ).select(F.lit(i).cast("bigint").alias("step"), F.lit(name).alias("step_name"), "*"))
     return union_all(frames)
+
+
+def flag_step_counts(df: DataFrame, steps: Sequence[tuple[str, Column]], subject: str = "subject", session: str = "session") -> DataFrame:
+    """A19 where every step is a condition on the rows of one table: all counts from one pass. Rows are counted per
+    (subject, session) and these per subject, so no distinct count expands the rows."""
+    named = [f"_k{i}" for i in range(len(steps))]
+    per = df.groupBy(subject, session).agg(*[F.count(F.when(c, 1)).alias(k) for k, (_, c) in zip(named, steps)])
+    per = per.groupBy(subject).agg(*[F.sum(k).alias(k) for k in named], *[F.count(F.when(F.col(k) > 0, 1)).alias(f"{k}_s") for k in named])
+    out = per.agg(*[F.struct(F.lit(i).cast("bigint").alias("step"), F.lit(name).alias("step_name"), F.coalesce(F.sum(k), F.lit(0)).alias("n_rows"),
+                             F.count(F.when(F.col(k) > 0, 1)).alias("n_subjects"), F.coalesce(F.sum(f"{k}_s"), F.lit(0)).alias("n_sessions")).alias(k)
+                    for i, (k, (name, _)) in enumerate(zip(named, steps))])
+    return out.select(F.explode(F.array(*named)).alias("r")).select("r.*")

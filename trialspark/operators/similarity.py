@@ -213,8 +213,13 @@ def with_pearson(df: DataFrame, a: str, b: str, out: str = "corr") -> DataFrame:
 
 
 def pairwise_similarity(pairs: DataFrame, enc_col: str, test_col: str, out: str = "corr") -> DataFrame:
-    """Correlation of the two sides' vectors and its Fisher z."""
-    return with_pearson(pairs, enc_col, test_col, out).withColumn(f"{out}_z", fisher_z(out))
+    """Correlation of the two sides' vectors and its Fisher z (R12), from one ``aggregate`` whose last step
+    makes both: a filter on z, pushed into the pair join, copies one expression and not three."""
+    def both(m):
+        r = _corr_from_moments(m)
+        return F.struct(r.alias("r"), fisher_z(r).alias("z"))
+    x = pairs.withColumn("_rz", _moments(_complete_pairs(F.col(enc_col), F.col(test_col)), finish=both))
+    return x.withColumns({out: F.col("_rz.r"), f"{out}_z": F.col("_rz.z")}).drop("_rz")
 
 
 def frequency_major(z: str | Column, n_channels: int, n_freqs: int) -> Column:

@@ -252,34 +252,28 @@ def variance_by_level(df: DataFrame, y: str, levels: Sequence[str], standardise:
     levels = list(levels)
     base = df.where(F.col(y).isNotNull()).groupBy(*levels).agg(
         F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(F.col(y) * F.col(y)).alias("ss"))
-    # residual: within the innermost unit
-    parts = []
-    resid_df = base.agg(F.lit("residual").alias("level"),
-                        F.sum(F.col("ss") - F.col("s") * F.col("s") / F.col("n")).alias("ss"),
-                        (F.sum("n") - F.count(F.lit(1))).alias("df"))
-    parts.append(resid_df)
-    cur = base
-    for depth in range(len(levels), 0, -1):
-        inner = levels[:depth]
-        outer = levels[:depth - 1]
-        # SS between units of `inner` within units of `outer`: sum n_u * (mean_u - mean_outer)^2
-        #   = sum s_u^2 / n_u - S_outer^2 / N_outer  (per outer unit)
-        g = cur.groupBy(*outer) if outer else cur.groupBy()
-        up = g.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),
-                   F.sum(F.col("s") * F.col("s") / F.col("n")).alias("_between_sum"),
-                   F.count(F.lit(1)).alias("_units"))
-        parts.append(up.agg(F.lit(levels[depth - 1]).alias("level"),
-                            F.sum(F.col("_between_sum") - F.col("s") * F.col("s") / F.col("n")).alias("ss"),
-                            (F.sum("_units") - F.count(F.lit(1))).alias("df")))
-        cur = up.select(*outer, "n", "s", "ss")
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    ss = F.col("ss")
+    # every level's units in one pass over the innermost units; depth 0 is the whole table
+    sets = [levels[:k] for k in range(len(levels) + 1)]
+    units = base.groupingSets(sets, *levels).agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),
+        (F.lit(len(levels)) - F.bit_count(F.grouping_id())).alias("depth"))
+    # the rows' own level stands one below the innermost units: its "explained" part is the raw sum of squares
+    per = units.groupBy("depth").agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("a"), F.count(F.lit(1)).alias("units"),
+                                     F.sum("n").alias("n"), F.sum("ss").alias("raw"))
+    k = len(levels)
+    per = per.select(F.explode(F.when(F.col("depth") == k, F.array(
+        F.struct(F.col("depth"), F.col("a"), F.col("units")), F.struct((F.col("depth") + 1).alias("depth"), F.col("raw").alias("a"), F.col("n").alias("units"))))
+        .otherwise(F.array(F.struct(F.col("depth"), F.col("a"), F.col("units"))))).alias("r")).select("r.*")
+    # sum of squares between units of a level inside those of the level above: a handful of rows, one for each level
+    steps = Window.orderBy("depth")
+    ends = steps.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ss = F.col("a") - F.lag("a").over(steps)
     if standardise:
-        var = base.agg(F.try_divide(F.sum("ss") - F.sum("s") * F.sum("s") / F.sum("n"), F.sum("n") - 1)).scalar()
-        ss = F.try_divide(ss, var)
-    return out.select("level", F.col("df").cast("bigint").alias("df"), ss.alias("ss"))
+        total = F.last("a").over(ends) - F.first("a").over(ends)
+        ss = F.try_divide(ss, F.try_divide(total, F.last("units").over(ends) - 1))
+    name = F.element_at(F.array(*[F.lit(v) for v in [*levels, "residual"]]), F.greatest(F.col("depth"), F.lit(1)).cast("int"))
+    out = per.select("depth", name.alias("level"), (F.col("units") - F.lag("units").over(steps)).cast("bigint").alias("df"), ss.alias("ss"))
+    return out.where("depth > 0").select("level", "df", "ss")
 
 
 # ---------------------------------------------------------------------------

@@ -68,12 +68,14 @@ def region_coverage(loc: DataFrame, lookup: DataFrame, subject: str = "subject",
     unmatched = j.where(F.col("region").isNull())
     per = j.where(F.col("region").isNotNull()).groupBy(subject, "region").agg(
         F.count(F.lit(1)).alias("n_region_electrodes"))
-    kept = per.where((F.col("n_region_electrodes") > 0) & ~F.col("region").isin(EXCLUDED_REGIONS))
-    # ``per`` has one row per (subject, region), so distinct subjects per region is a row count
-    by_region = kept.groupBy("region").agg(F.count(F.lit(1)).alias("n_subjects"))
-    by_region = by_region.replace(REGION_SHORT_NAMES, subset=["region"])
-    total = per.agg(F.lit("Total Subjects").alias("region"), F.countDistinct(subject).alias("n_subjects"))
-    return by_region.unionByName(total), unmatched
+    # one pass over the (subject, region) table: regions and the total as grouping sets; a subject has one row for
+    # each region, so distinct subjects per region is a row count
+    both = per.groupingSets([["region"], []], "region").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct(subject).alias("n_all"), F.grouping("region").alias("whole"))
+    out = both.where((F.col("whole") == 1) | ~F.col("region").isin(EXCLUDED_REGIONS)).select(
+        F.when(F.col("whole") == 1, "Total Subjects").otherwise(F.col("region")).alias("region"),
+        F.when(F.col("whole") == 1, F.col("n_all")).otherwise(F.col("n_rows")).alias("n_subjects"))
+    return out.replace(REGION_SHORT_NAMES, subset=["region"]), unmatched
 
 
 def strip_quotes(c: str | Column) -> Column:

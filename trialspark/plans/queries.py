@@ -329,7 +329,8 @@ def pair_features_isi(spark, sf_dir):
     pairs = similarity.within_list_pairs(
         enc, test, LIST_ID, "encoding", "encoding_isi",
         similarity.position_rule("encoding_isi", test_prefix="prev_"))
-    f = features.pair_features(pairs, test="encoding_isi", test_prefix="prev_")
+    consts = features.split_half_distance_constants(enc, LIST_ID, roles.LIST_LEN // 2, previous=True)
+    f = features.pair_features(pairs, test="encoding_isi", test_prefix="prev_", distance_constants=consts)
     f = features.balanced_pairs(features.rename_for_period(f, "encoding_isi"))
     return _pf_select(f, ["prev_serialpos_encoding_isi", "item_first", "item_recalled",
                           "item_before_isi_recalled"])
@@ -506,23 +507,19 @@ def _contacts(spark, sf_dir) -> DataFrame:
                     F.length("p_name").cast("double").alias("vox_z"))
 
 
-def _pairs(spark, sf_dir, contacts: DataFrame) -> DataFrame:
+def _pairs(spark, sf_dir) -> DataFrame:
     words = roles.trial_words(spark, sf_dir, with_category=False)
     w = Window.partitionBy(*LIST_KEYS).orderBy("serialpos")
     # screen role: subject = order year, montage = priority class; pairs = consecutive lines
-    pr = words.select(F.col("session").alias("subject"), F.col("urgent").alias("montage"), "list", "serialpos",
-                      F.col("item").alias("contact_1"), F.lead("item").over(w).alias("contact_2")
-                      ).where(F.col("contact_2").isNotNull())
-    a = contacts.select(F.col("contact").alias("contact_1"), F.col("label").alias("_l1"), F.col("type").alias("type_1"))
-    b = contacts.select(F.col("contact").alias("contact_2"), F.col("label").alias("_l2"), F.col("type").alias("type_2"))
-    return pr.join(a, "contact_1").join(b, "contact_2").withColumn(
-        "label", F.concat_ws("-", "_l1", "_l2")).drop("_l1", "_l2")
+    return words.select(F.col("session").alias("subject"), F.col("urgent").alias("montage"), "list", "serialpos",
+                        F.col("item").alias("contact_1"), F.lead("item").over(w).alias("contact_2")
+                        ).where(F.col("contact_2").isNotNull())
 
 
 @register("pair_screen", "P14,P15,P16,P17,P18,J7,W6,O4,Q14", oracle.PAIR_SCREEN)
 def pair_screen(spark, sf_dir):
     c = _contacts(spark, sf_dir)
-    out = pairs_screen.screen_pairs(_pairs(spark, sf_dir, c), c, [], micro_type=MICRO_TYPE,
+    out = pairs_screen.screen_pairs(_pairs(spark, sf_dir), c, [], micro_type=MICRO_TYPE,
                                     depth_type=DEPTH_TYPE, count_keys=["subject", "montage"])
     return out.select("subject", "montage", "list", "serialpos", "contact_1", "contact_2", "label",
                       r6("dist").alias("dist"), "n_contacts")
@@ -558,10 +555,11 @@ def region_coverage(spark, sf_dir):
 @register("quality_report", "A17,A19,J2,Q2,Q10", oracle.QUALITY_REPORT)
 def quality_report(spark, sf_dir):
     words = roles.trial_words(spark, sf_dir, with_category=False)
-    rare = quality.rare_item_subjects(words, RARE_ITEM_MIN_SUBJECTS)
-    step1 = words.join(rare, "subject", "left_anti")
-    step2 = flagged_words(step1).where(~F.col("bad_list"))
-    return quality.step_counts([("raw", words), ("no_rare_item_subjects", step1), ("no_bad_lists", step2)])
+    # a list belongs to one subject, so its flags do not depend on the subjects that go before
+    rare = quality.rare_item_subjects(words, RARE_ITEM_MIN_SUBJECTS).withColumn("_rare", F.lit(True))
+    flagged = flagged_words(words).join(rare, "subject", "left").withColumn("_rare", F.coalesce("_rare", F.lit(False)))
+    return quality.flag_step_counts(flagged, [("raw", F.lit(True)), ("no_rare_item_subjects", ~F.col("_rare")),
+                                              ("no_bad_lists", ~F.col("_rare") & ~F.col("bad_list"))])
 
 
 # ---------------------------------------------------------------------------
