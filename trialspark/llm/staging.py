@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +35,31 @@ def ship(spark: SparkSession) -> None:
     sc._llm_shipped = True
 
 
+def tidy() -> None:
+    """Give memory that is free back to the system: a worker is used again by later stages, next to an executor
+    whose limit counts what the worker keeps."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _tidied(function):
+    def run(batches):
+        def each():
+            for batch in batches:
+                yield batch
+                del batch
+                tidy()
+        yield from function(each())
+        tidy()
+    return run
+
+
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand in the workers."""
+    """``df.mapInArrow`` with this package at hand in the workers, which keep no free memory."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_tidied(function), schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -61,14 +61,14 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 def texts(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Chunks (first row, last row, bytes, offsets from 0) of a string column; null is empty.
     A chunk holds about ``size`` bytes, or one longer text."""
-    column = pc.fill_null(column, "")
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
     n = len(column)
     if n == 0:
         return
     _, off, data = column.buffers()
-    offsets = np.frombuffer(off, dtype=np.int64)[column.offset:column.offset + n + 1]
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(off, dtype=kind)[column.offset:column.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     a = 0
     while a < n:
