@@ -64,3 +64,39 @@ def test_pipeline_keeps_text_with_letters_without_a_model(spark, docs):
     for blind in (some.withColumn("lang", F.lit(None).cast("string")),
                   some.withColumn("lang", F.when(langid.held_out(), F.col("lang")))):
         assert sorted(str(r["doc_id"]) for r in collect(corpus_pipeline.language_id(spark, blind, ""))) == want
+
+
+def test_model_matches_plain_kernel_ridge(spark):
+    """Kernel matrix, Nystrom landmarks and one-against-rest ridge written out over sets of n-grams."""
+    import numpy as np
+    rng = random.Random(9)
+    rows = [(i, prose(rng, lang, rng.randint(3, 30)), lang) for i in range(120) for lang in [rng.choice(list(WORDS))]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in collect(langid.identify(df, langid.fit(df, per_language=25, landmarks=40)))}
+
+    def grams(t):
+        f = langid._FOLD[np.frombuffer(t.encode(), np.uint8)].tolist()
+        return frozenset((n, *f[i:i + n]) for n in (1, 2, 3) for i in range(len(f) - n + 1))
+
+    def kernel(a, b):
+        return len(a & b) / np.sqrt(len(a) * len(b))
+    learned = [(lang, i, grams(t)) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    order = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    sample = []
+    for lang in WORDS:
+        own = sorted((x for x in learned if x[0] == lang), key=lambda x: (order[x[1]], x[1]))
+        sample += own[:25]
+    # the library's own order of the sample: by language, then the bytes of the feature ids
+    def ids(g):
+        code = [langid.OFFSET[x[0] - 1] + sum(s * langid.SYMBOLS ** (x[0] - 1 - k) for k, s in enumerate(x[1:])) for x in g]
+        return np.array(sorted(code), dtype=np.int64).tobytes()
+    sample.sort(key=lambda x: (x[0], ids(x[2])))
+    marks = np.sort(np.random.default_rng(7).permutation(len(sample))[:40])
+    K = np.array([[kernel(x[2], sample[m][2]) for m in marks] for x in sample])
+    langs = sorted(WORDS)
+    Y = np.array([[1.0 if x[0] == lang else -1.0 for lang in langs] for x in sample])
+    alpha = np.linalg.lstsq(K.T @ K + 1e-3 * len(sample) * K[marks], K.T @ Y, rcond=1e-10)[0]
+    for i, t, _ in rows:
+        s = np.array([kernel(grams(t), sample[m][2]) for m in marks]) @ alpha
+        assert out[i]["lang_pred"] == langs[int(s.argmax())]
+        assert abs(out[i]["score"] - min(max((s.max() + 1) / 2, 0), 1)) < 1e-3

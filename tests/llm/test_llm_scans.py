@@ -106,3 +106,16 @@ def test_long_templates_tolerate_small_changes(spark):
     got = {r["doc_id"]: r["labels"] for r in collect(licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")))}
     assert got[1] == got[2] == got[3] == "mit-grant" and got[4] == got[5] == ""
     assert F is not None
+
+
+def test_ids_of_any_type_pass_through(spark):
+    rows = [("a", "password = hunter22"), ("b-1", None), (None, "token: abcdefgh")]
+    for kind in ("string", "int", "decimal(20,0)"):
+        ids = spark.createDataFrame(rows, "doc_id string, text string")
+        if kind != "string":
+            ids = ids.withColumn("doc_id", F.length("doc_id").cast(kind))
+        out = secrets.secret_spans(ids)
+        assert out.schema["doc_id"].dataType.simpleString() == kind
+        got = collect(out.withColumn("doc_id", F.col("doc_id").cast("string")))
+        want = {"a", "b-1", None} if kind == "string" else {"1", "3", None}
+        assert {r["doc_id"] for r in got} == want and sum(len(r["spans"]) for r in got) == 2

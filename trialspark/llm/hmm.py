@@ -6,7 +6,8 @@ with add-one smoothed counts, so that unseen words have probability too. The end
 with a symbol of its own. Baum-Welch: each task runs forward and backward over its share of the
 training texts, whole ones, of which blocks of bounded length are held at a time, and emits expected
 counts, which Spark adds up; the next parameters come from those sums, until a round gains less than a
-tolerance. A text's likelihood is the scaled forward recursion over its
+tolerance. The first parameters come from rounds over a bounded sample of pieces from all parts of the
+texts; the rounds that follow are over everything. A text's likelihood is the scaled forward recursion over its
 whole symbol sequence, whatever its length, times the within-class probabilities.
 
 Counts of at most ``frequent`` of the most frequent words travel to the tasks (a bound of 16 bytes times
@@ -30,6 +31,8 @@ from trialspark.llm import text as T
 from trialspark.llm.staging import arrow_map, stage
 
 END = int(T.seeds(1, 424242).view(np.int64)[0])
+#: tokens of a piece of text in the sample from which training starts
+PIECE = 4096
 
 
 def held_out(column="doc_id", folds: int = 7, fold: int = 2):
@@ -318,8 +321,8 @@ def train(encoded: DataFrame, states: int = 6, symbols: int = 2048, rounds: int
           most: int = 2048, tolerance: float = 1e-3, sample: int = 400_000) -> tuple:
     """Baum-Welch over the symbol sequences of ``encoded``: (A, B by symbol, start, occupancy) and the
     log likelihood per token seen by each round. Without a number of rounds it goes on until a round gains less
-    than ``tolerance`` (natural log, per token), and starts from a model trained likewise on about ``sample``
-    tokens, which takes the many rounds that the states need to part out of the rounds over all texts."""
+    than ``tolerance`` (natural log, per token), and starts from a model trained likewise on pieces of about ``sample``
+    tokens in all, which takes the many rounds that the states need to part out of the rounds over all texts."""
     sc = encoded.sparkSession.sparkContext
 
     def over_all(model):
@@ -332,9 +335,11 @@ def train(encoded: DataFrame, states: int = 6, symbols: int = 2048, rounds: int
     if rounds is None:
         tokens = encoded.agg(F.sum(F.size("symbols"))).first()[0] or 0
         part = F.pmod(F.xxhash64(F.lit(5), "symbols"), F.lit(1 << 20)) < min(1.0, sample / max(tokens, 1)) * (1 << 20)
-        # the head of a long text and one of equal texts are enough for a start
-        few = (encoded.where(part).select(F.slice("symbols", 1, 4096).alias("symbols")).distinct()
-               .orderBy("symbols").toArrow().combine_chunks().to_batches())
+        # long texts are cut into pieces of which each has the same chance, wherever it stands in its text; one of
+        # equal pieces is enough for a start
+        cuts = F.sequence(F.lit(0), F.floor((F.greatest(F.size("symbols"), F.lit(1)) - 1) / PIECE).cast("int"))
+        pieces = encoded.select(F.explode(F.transform(cuts, lambda i: F.slice("symbols", i * PIECE + 1, PIECE))).alias("symbols"))
+        few = pieces.where(part).distinct().orderBy("symbols").toArrow().combine_chunks().to_batches()
 
         def over_few(model):
             return next(iter(_expect(SimpleNamespace(value=model), length, most)(few))).column(1).to_numpy()

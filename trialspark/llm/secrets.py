@@ -97,9 +97,10 @@ def _batches(least: float, reach: int, context: int):
 
 
 def secret_spans(docs: DataFrame, least: float = 0.5, reach: int = 40, context: int = 160) -> DataFrame:
-    """One row per row of ``docs``: doc_id, spans (kind, start, end, novelty) by start, then kind."""
+    """One row per row of ``docs``: doc_id as it is, of any type, spans (kind, start, end, novelty) by start, then kind."""
+    own = docs.schema["doc_id"].dataType.simpleString()
     return arrow_map(docs.select("doc_id", "text"), _batches(least, reach, context),
-                     "doc_id long, spans array<struct<kind:string,start:bigint,end:bigint,novelty:double>>")
+                     f"doc_id {own}, spans array<struct<kind:string,start:bigint,end:bigint,novelty:double>>")
 
 
 def digest(spans, kinds=KINDS):
