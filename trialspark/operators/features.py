@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.functions.nulls import cond_false, sentinel_to_null
@@ -51,6 +51,18 @@ def later_position_distance_constants(events: DataFrame, list_keys: Sequence[str
         (F.max(n) - 1).alias("mx")).alias("st")).scalar()
 
 
+def ordered_distance_constants(events: DataFrame, list_keys: Sequence[str], position: str = "serialpos") -> Column:
+    """The same for positions with gaps: over all pairs of a list the distances add up to the sum of (2k - n - 1) times
+    the k-th smallest position, and the largest is that of the ends."""
+    w = Window.partitionBy(*list_keys)
+    k = F.row_number().over(w.orderBy(position))
+    n = F.count(F.lit(1)).over(w)
+    per = events.select(*list_keys, F.col(position).alias("_p"), ((2 * k - n - 1) * F.col(position)).alias("_d")).groupBy(*list_keys).agg(
+        F.sum("_d").alias("d"), F.count(F.lit(1)).alias("n"), (F.max("_p") - F.min("_p")).alias("far"))
+    return per.agg(F.struct(F.try_divide(F.sum("d"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).alias("m"),
+                            F.max(F.when(F.col("n") > 1, F.col("far"))).alias("mx")).alias("st")).scalar()
+
+
 def split_half_distance_constants(events: DataFrame, list_keys: Sequence[str], half: int, previous: bool = False) -> Column:
     """The same for pairs of an encoding position up to ``half`` with a later test position above it; with
     ``previous`` the test position is that of the item before, so the last position of a list is not tested.

@@ -3,21 +3,18 @@
 The registry maps experiment -> test period -> model name to the fixed-effect
 part of the model formula; the response is the standardised similarity
 (``scale(corr_z)``). Random-effect terms are not fitted (see README): the fixed
-part is fitted by ordinary least squares with Spark ML (RFormula builds the
-design, LinearRegression with the normal-equation solver aggregates X'X on the
-executors), and per-group effects (ST6) stand in for random slopes.
+part is fitted by ordinary least squares from the model's cells (``cell_models``),
+and effects at nested levels (ST6) stand in for random slopes.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from trialspark.operators.stats import scale_constants
-from trialspark.session import staged
+from trialspark.operators import cell_models
 
 # Fixed-effect parts of the registered model formulas, by experiment,
 # test period and model name.
@@ -76,51 +73,15 @@ def model_formula(experiment: str, period: str, model: str | int) -> tuple[str,
     return model, cell[model]
 
 
-def formula_variables(fixed: str) -> list[str]:
-    return sorted(set(re.findall(r"[A-Za-z_][A-Za-z0-9_.]*", fixed)))
+def registry_model(df: DataFrame, experiment: str, period: str, model: str | int, response: str = "corr_z",
+                   keys: Sequence[str] = ()) -> cell_models.Model:
+    """A registered model over the columns of ``df`` (a misnamed variable is an error, not a silently different model)."""
+    return cell_models.model(df, response, model_formula(experiment, period, model)[1], keys)
 
 
-def validate_formula(df: DataFrame, fixed: str) -> None:
-    """Every variable of the formula must be a column (a misnamed variable is an error,
-    not a silently different model)."""
-    missing = [v for v in formula_variables(fixed) if v not in df.columns]
-    if missing:
-        raise ValueError(f"formula names columns that do not exist: {missing}")
-
-
-def fit_registry_model(df: DataFrame, experiment: str, period: str, model: str | int,
-                       response: str = "corr_z") -> DataFrame:
+def fit_registry_model(df: DataFrame, experiment: str, period: str, model: str | int, response: str = "corr_z") -> DataFrame:
     """ST5 for a registered model: OLS of scale(response) on the fixed part.
-    Returns term, estimate, se, t, p (p from Spark's t reference)."""
-    from pyspark.ml.feature import RFormula
-    from pyspark.ml.regression import LinearRegression
-
-    name, fixed = model_formula(experiment, period, model)
-    validate_formula(df, fixed)
-    variables = formula_variables(fixed)
-    bools = [f.name for f in df.schema.fields if f.name in variables and isinstance(f.dataType, BooleanType)]
-    data = df.select(*[F.col(v).cast("double").alias(v) if v in bools else F.col(v) for v in variables],
-                     F.col(response)).dropna()
-    # the fit makes several passes over its input: materialise it once in the shared
-    # checkpoint folder instead of re-running the whole upstream plan per pass (removed
-    # again afterwards); the standardisation constants come from the written table
-    with staged(data) as data:
-        mean, sd = scale_constants(data, response)
-        data = data.withColumn("scaled_response", (F.col(response) - F.lit(mean)) / F.lit(sd))
-        rf = RFormula(formula=f"scaled_response ~ {fixed}", featuresCol="_x", labelCol="_label").fit(data)
-        design = rf.transform(data)
-        attrs = design.schema["_x"].metadata["ml_attr"]["attrs"]
-        idx = {a["idx"]: a["name"] for group in attrs.values() for a in group}
-        names = [idx[i] for i in sorted(idx)]
-        lr = LinearRegression(featuresCol="_x", labelCol="_label", solver="normal", regParam=0.0,
-                              fitIntercept=True).fit(design)
-        s = lr.summary
-        est = [lr.intercept, *lr.coefficients.toArray().tolist()]
-        se = [s.coefficientStandardErrors[-1], *s.coefficientStandardErrors[:-1]]
-        t = [s.tValues[-1], *s.tValues[:-1]]
-        p = [s.pValues[-1], *s.pValues[:-1]]
-        rows = [(n, float(a), float(b), float(c), float(d))
-                for n, a, b, c, d in zip(["(Intercept)", *names], est, se, t, p)]
-    return df.sparkSession.createDataFrame(
-        rows, "term string, estimate double, se double, t double, p double").withColumns(
-        {"experiment": F.lit(experiment), "period": F.lit(period), "model": F.lit(name)})
+    Returns experiment, period, model, term, estimate, se, t, p_normal."""
+    name, _ = model_formula(experiment, period, model)
+    fit = cell_models.coefficients(df, registry_model(df, experiment, period, model, response))
+    return fit.select(F.lit(experiment).alias("experiment"), F.lit(period).alias("period"), F.lit(name).alias("model"), "*")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.functions.nulls import strip_lower, strip_ws
+from trialspark.functions.nulls import strip_lower
 
 # Placeholder strings treated as missing localizations, and the
 # region names left out of the coverage count.
@@ -78,10 +78,6 @@ def region_coverage(loc: DataFrame, lookup: DataFrame, subject: str = "subject",
     return out.replace(REGION_SHORT_NAMES, subset=["region"]), unmatched
 
 
-def strip_quotes(c: str | Column) -> Column:
-    return F.btrim(strip_ws(c), F.lit('"'))
-
-
 def attach_localization(pairs: DataFrame, loc: DataFrame, keys: Sequence[str] = ("subject", "montage", "label")
                         ) -> DataFrame:
     """Every pair with its localization row where one exists (left join on three keys)."""

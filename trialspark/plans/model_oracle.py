@@ -4,7 +4,8 @@ Vectors are rows here (event, stacked feature, bin), constants are windows over
 solved by Gauss-Jordan elimination in a recursive table, independent of the library's cell moments.
 """
 
-from trialspark.plans.sql_roles import EVENTS, WORDS, WORDS_NO_CAT, with_
+from trialspark.plans.oracle import _BSTATS, _PAIR_KEYS, _PAIRS_LONG
+from trialspark.plans.sql_roles import EVENTS, FEATURES, WORDS, WORDS_NO_CAT, with_
 
 _TRIALS = """
 ft AS (SELECT vec_id AS event, CAST(floor(vec_id / 192) AS BIGINT) AS subject, CAST(floor(vec_id / 96) AS BIGINT) AS session,
@@ -224,6 +225,10 @@ def _event_design() -> dict[str, tuple[str, str]]:
 TYPE3_EVENTS = _type3(_event_design(), (EVENTS,), "value", "evlog")
 
 
+TYPE3_WORDS = _type3({"1": ("", "1.0"), "r": ("recalled", "(recalled - 0.5)"), "u": ("urgent", "(urgent - 0.5)"),
+                      "ru": ("recalled:urgent", "(recalled - 0.5) * (urgent - 0.5)")}, (WORDS_NO_CAT,), "value", "words")
+
+
 def _coefficients(period: str) -> str:
     names = "[" + ", ".join(f"'{c}'" for c in _design(period)) + "]"
     return _recursive(*_source(period), rows(_design(period), ""), _SOLVE) + f"""
@@ -233,6 +238,19 @@ SELECT '{period}' AS period, {names}[i] AS term, round(b[i], 6) + 0.0 AS estimat
 
 COEFFICIENTS = " UNION ALL ".join(f"SELECT * FROM ({_coefficients(p)})" for p in ("encoding_isi", "encoding_end", "distractor"))
 
+_ENCODING = {"(Intercept)": "1.0", "same_category": "CAST(same_category AS DOUBLE)", "abs_serialpos_dist_scale": "scl",
+             "same_category:abs_serialpos_dist_scale": "CAST(same_category AS DOUBLE) * scl"}
+_ENCODING_NAMES = "[" + ", ".join(f"'{c}'" for c in _ENCODING) + "]"
+
+REGISTRY_FIT = _recursive(FEATURES, _BSTATS, _PAIRS_LONG, f"""
+e0 AS (SELECT {_PAIR_KEYS}, atanh(corr(zb, za)) AS corr_z, abs(serialpos_encoding - serialpos_encoding2) AS dist,
+              coalesce(category_encoding = category_encoding2, false) AS same_category FROM pl GROUP BY {_PAIR_KEYS}),
+e1 AS (SELECT *, dist - avg(dist) OVER () AS ctr FROM e0),
+t AS (SELECT *, ctr / max(ctr) OVER () AS scl FROM e1)""", rows(_ENCODING, ""), _SOLVE) + f"""
+SELECT 'catFR1' AS experiment, 'encoding' AS period, 'm1_final' AS model, {_ENCODING_NAMES}[i] AS term, round(b[i], 6) + 0.0 AS estimate,
+  round(sqrt(rss / dof * m[i][p + 1 + i]), 6) + 0.0 AS se, round(b[i] / sqrt(rss / dof * m[i][p + 1 + i]), 6) + 0.0 AS t
+FROM fit JOIN res USING (g) JOIN ix USING (g)"""
+
 _DROP = """
 pe AS (SELECT a.event AS ea, b.event AS eb, {pair}),
 pr AS (SELECT ea, eb, f.drop_freq, corr(zb.z, ze.z) AS r FROM pe JOIN ze ON ze.event = ea JOIN zb ON zb.event = eb AND zb.cf = ze.cf AND zb.b = 0

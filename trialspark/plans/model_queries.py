@@ -11,11 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.functions.nulls import r6, sentinel_to_null
-from trialspark.operators import cell_models, features, nested, ordered, similarity
-from trialspark.operators.models import model_formula
+from trialspark.operators import cell_models, features, models, nested, ordered, similarity
 from trialspark.operators.stats import frequency_labels
 from trialspark.plans import model_oracle as oracle
-from trialspark.plans.queries import EV_ORDER, LIST_ID, LIST_KEYS, SESSION_KEYS, trial_log
+from trialspark.plans.queries import LIST_ID, LIST_KEYS, SESSION_KEYS, similarity_model_table, trial_log
 from trialspark.plans.registry import register
 from trialspark.sources import roles
 from trialspark.sources.tables import DROPPED_FREQ_HZ_LABELS
@@ -156,7 +155,7 @@ def _rounded(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _registered(df: DataFrame, experiment: str, period: str, keys: list[str] = ()) -> cell_models.Model:
-    return cell_models.model(df, "corr_z", model_formula(experiment, period, "m1_final")[1], keys)
+    return models.registry_model(df, experiment, period, "m1_final", keys=keys)
 
 
 def _means(period: str, experiment: str):
@@ -187,6 +186,12 @@ register("type3_isi", "ST1,ST3,ST4,ST8", oracle.type3_period("encoding_isi"))(_t
 register("type3_end", "ST1,ST3,ST4,ST8", oracle.type3_period("encoding_end", category=True))(_type3("encoding_end", "catFR1"))
 
 
+@register("type3_tests", "ST1,ST4,ST8", oracle.TYPE3_WORDS)
+def type3_tests(spark, sf_dir):
+    words = roles.trial_words(spark, sf_dir, with_category=False)
+    return _rounded(cell_models.type3_tests(words, cell_models.model(words, "value", "recalled * urgent")), ["ss", "f"])
+
+
 @register("type3_event_factors", "ST1,ST2,ST4,ST8", oracle.TYPE3_EVENTS)
 def type3_event_factors(spark, sf_dir):
     """F tests with several degrees of freedom: event type and list number as categories, and their interaction."""
@@ -205,6 +210,17 @@ def registry_coefficients(spark, sf_dir):
     return _rounded(out, ["estimate", "se", "t"])
 
 
+@register("registry_fit", "ST1,ST3,ST4,ST5,F4", oracle.REGISTRY_FIT)
+def registry_fit(spark, sf_dir):
+    """The registered encoding-period model (fixed part) on the feature-event model table."""
+    m = similarity_model_table(spark, sf_dir)
+    events = roles.feature_events(spark, sf_dir).where(~F.col("is_baseline"))
+    st = features.ordered_distance_constants(events, LIST_KEYS)
+    m = features.centre_scale_with(m, "abs_serialpos_dist", "abs_serialpos_dist_center", "abs_serialpos_dist_scale",
+                                   st.getField("m"), st.getField("mx"))
+    return _rounded(models.fit_registry_model(m, "catFR1", "encoding", "m1_final").drop("p_normal"), ["estimate", "se", "t"])
+
+
 @register("drop_frequency_contrasts", "ST1,ST5,ST9,ST11,ST12,T12,J14", oracle.DROP_CONTRASTS)
 def drop_frequency_contrasts(spark, sf_dir):
     """For every dropped frequency the registered model of the encoding_isi period, its contrast of recalled with

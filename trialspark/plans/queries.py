@@ -425,12 +425,6 @@ def drop_frequency_sweep(spark, sf_dir):
                        ["estimate", "se", "corr_z_diff_unscaled", "corr_z_diff_unscaled_SE"])
 
 
-@register("type3_tests", "ST1,ST8")
-def type3_tests(spark, sf_dir):
-    words = roles.trial_words(spark, sf_dir, with_category=False)
-    return stats.type3_tests(words, "value", stats.expand_interactions(["recalled", "urgent"]), standardise=True)
-
-
 @register("logistic_fit", "ST14")
 def logistic_fit(spark, sf_dir):
     words = roles.trial_words(spark, sf_dir, with_category=False).withColumn("value_k", F.col("value") / 10000)
@@ -578,21 +572,6 @@ def clean_event_log(spark, sf_dir):
                       "prev_item", "prev_outpos")
 
 
-# ---------------------------------------------------------------------------
-# model registry (ST3-ST5)
-# ---------------------------------------------------------------------------
-
-from trialspark.operators import models  # noqa: E402
-
-
-@register("registry_fit", "ST1,ST3,ST4,ST5,F4")
-def registry_fit(spark, sf_dir):
-    """The registered encoding-period model (fixed part) on the feature-event model table."""
-    m = similarity_model_table(spark, sf_dir)
-    m = features.centre_scale(m, "abs_serialpos_dist", "abs_serialpos_dist_center", "abs_serialpos_dist_scale")
-    return models.fit_registry_model(m, "catFR1", "encoding", "m1_final")
-
-
 @register("input_checks", "A17,S4", oracle.INPUT_CHECKS)
 def input_checks(spark, sf_dir):
     """Key combinations of the word log occurring more than once (expected 0);
