@@ -1,9 +1,9 @@
 import random
 
-from corpus_fixture import collect
+from corpus_fixture import classes, collect
 from pyspark.sql import functions as F
 
-from trialspark.llm import lines
+from trialspark.llm import lines, staging
 
 
 def distance(a, b):
@@ -116,3 +116,47 @@ def test_segments_cover_a_line(spark):
                 assert r[f"g{i}"].s == at
                 at += r[f"g{i}"].n
             assert at == r.id + 1
+
+
+def test_digits_left_meet_within_the_distance(spark):
+    """Strings of digits within two edits share what is left of them; few others do."""
+    rng = random.Random(6)
+    rows = ["", "1", "12", "0123456789" * 2] + ["".join(rng.choice("0123456789") for _ in range(rng.randrange(3, 19))) for _ in range(150)]
+    near = []
+    for s in list(rows):
+        t = list(s)
+        for _ in range(2):
+            k = rng.randrange(3)
+            at = rng.randrange(len(t) + (k == 0)) if t or k == 0 else 0
+            if k == 0:
+                t.insert(at, rng.choice("0123456789"))
+            elif t and k == 1:
+                t[at] = rng.choice("0123456789")
+            elif t:
+                t.pop(at)
+        near.append((s, "".join(t)))
+    df = spark.createDataFrame(near, "a string, b string")
+    got = df.select("a", "b", F.arrays_overlap(lines.digits_left(F.col("a"), 2), lines.digits_left(F.col("b"), 2)).alias("meet")).collect()
+    assert all(r.meet for r in got)
+    mixed = [(a, b) for (a, _), (b, _) in zip(near, near[1:]) if 5 < len(a) <= 14 and 5 < len(b) <= 14]
+    far = spark.createDataFrame(mixed, "a string, b string").select(
+        F.arrays_overlap(lines.digits_left(F.col("a"), 2), lines.digits_left(F.col("b"), 2)).alias("meet")).collect()
+    assert sum(r.meet for r in far) < 0.3 * len(far)
+
+
+def test_numbered_lines_do_not_make_all_pairs(spark, monkeypatch):
+    """Lines that differ in a number only: pairs that are looked at stay near the links, and no link is lost."""
+    rng = random.Random(7)
+    numbers = rng.sample(range(10 ** 6), 700)
+    numbers += [n + 1 for n in numbers[:60]]
+    text = {i: f"Archive record number {n:06d} of the collection" for i, n in enumerate(dict.fromkeys(numbers))}
+    df = spark.createDataFrame(list(text.items()), "doc_id long, text string").repartition(4)
+    kept = {}
+    monkeypatch.setattr(lines, "stage", lambda d, name, *a: kept.setdefault(name, staging.stage(d, name, *a)))
+    out = {r["doc_id"]: r["n_dropped"] for r in collect(lines.dedup_lines(df))}
+    ids, number = list(text), {i: t.split()[3] for i, t in text.items()}  # the wording is the same on both sides
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1:] if distance(number[a], number[b]) <= 2]
+    component = classes(ids, links)
+    assert out == {i: int(component[i] != i) for i in ids}
+    assert kept["crowded_keys"].count() > 0
+    assert len(links) <= kept["line_pairs"].count() < 20 * len(links) < len(ids) * (len(ids) - 1) / 2

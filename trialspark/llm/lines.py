@@ -11,7 +11,10 @@ indexed by (length, segment number, segment); two lines within the distance shar
 places that differ by no more than the edits on either side, so a line probes only those substrings
 for each length up to its own. Keys that different lines meet in are found by an aggregate; only the lines
 that have one go on, with their letter counts, and only pairs whose counts allow the distance leave the
-join. Spark's bounded levenshtein turns most of the others away;
+join. Numbered lines (logs, table rows) share their wording and so their segments, all of them; where a key
+would make more than ``CROWDED`` pairs, its lines meet on what is left of their digits after up to ``distance``
+deletions as well, which two strings of digits within the distance have in common.
+Spark's bounded levenshtein turns most of the others away;
 the pairs left lose their common prefix and suffix and are verified with a banded bit-parallel edit
 distance: one column of the band is a few bits of a long, and each character of the shorter line
 updates it.
@@ -105,6 +108,29 @@ def alike(pairs: list[tuple[Column, Column]], distance: int) -> Column:
     return total <= 2 * distance
 
 
+#: pairs that a key may make before its lines are parted by their digits, and digits up to which they are
+CROWDED, MOST_DIGITS = 10_000, 16
+
+
+def digits_left(digits: Column, distance: int) -> Column:
+    """What is left of a line's digits after up to ``distance`` deletions. Lines within the distance have one such
+    string in common, as their digits are within it too. Longer strings of digits all meet under one mark, which
+    those of nearly that length have besides their own."""
+    def shorter(s: Column) -> Column:
+        # for the empty string the sequence is [1], which leaves it as it is
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))),
+                           lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+    level = F.array(digits)
+    every = level
+    for _ in range(distance):
+        level = F.array_distinct(F.flatten(F.transform(level, shorter)))
+        every = F.concat(every, level)
+    n = F.length(digits)
+    mark = F.array(F.lit("*"))
+    return (F.when(n > MOST_DIGITS, mark).when(n > MOST_DIGITS - distance, F.concat(F.array_distinct(every), mark))
+            .otherwise(F.array_distinct(every)))
+
+
 def within_distance(pairs: DataFrame, distance: int) -> DataFrame:
     """``pairs`` without their texts x and y, of which those stay whose edit distance is at most ``distance``."""
     longer = F.char_length("x") >= F.char_length("y")
@@ -215,12 +241,16 @@ def line_classes(docs: DataFrame, distance: int = 2, min_chars: int = 20, short:
                   .select(F.posexplode(_split()).alias("pos", "line"), "want")
                   .where(F.array_contains("want", F.col("pos")))
                   .select(F.xxhash64("line").alias("id"), "line").distinct()
-                  .select("id", "line", *[letter_counts(F.col("line"), x).alias(f"c{i}") for i, x in enumerate(LETTERS)]),
+                  .select("id", "line", F.regexp_replace("line", "[^0-9]", "").alias("digits"), *[letter_counts(F.col("line"), x).alias(f"c{i}") for i, x in enumerate(LETTERS)]),
                   "line_texts")
-    counted = entries.join(texts.drop("line"), "id")
-    index = counted.where("not probe").select("key", F.col("id").alias("u"), F.col("c0").alias("u0"), F.col("c1").alias("u1"))
-    probe = counted.where("probe").select("key", F.col("id").alias("v"), F.col("c0").alias("v0"), F.col("c1").alias("v1"))
-    meet = ((index["key"] == probe["key"]) & (F.col("u") != F.col("v"))
+    crowded = stage(entries.groupBy("key").agg(F.count_if("probe").alias("a"), F.count_if(~F.col("probe")).alias("b"))
+                    .where(F.col("a") * F.col("b") > CROWDED).select("key", F.lit(True).alias("crowded")), "crowded_keys")
+    counted = entries.join(texts.drop("line"), "id").join(small_or_plain(crowded, 16), "key", "left")
+    part = F.when(F.col("crowded"), digits_left(F.col("digits"), distance)).otherwise(F.array(F.lit("")))
+    counted = counted.select("key", "id", "probe", "c0", "c1", F.explode_outer(part).alias("part"))
+    index = counted.where("not probe").select("key", "part", F.col("id").alias("u"), F.col("c0").alias("u0"), F.col("c1").alias("u1"))
+    probe = counted.where("probe").select("key", "part", F.col("id").alias("v"), F.col("c0").alias("v0"), F.col("c1").alias("v1"))
+    meet = ((index["key"] == probe["key"]) & (index["part"] == probe["part"]) & (F.col("u") != F.col("v"))
             & alike([(F.col("u0"), F.col("v0")), (F.col("u1"), F.col("v1"))], distance))
     pairs = stage(index.join(probe, meet).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
                   .distinct(), "line_pairs")
