@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 # A table is broadcast only when it has been written, counted and found at most this large.
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 << 20
+#: bytes in memory for a written byte, at most
+UNPACKED = 8
 
 
 def ship(spark: SparkSession) -> None:
@@ -92,11 +94,20 @@ def unstage(df: DataFrame) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def written_bytes(staged: DataFrame) -> int:
+    """Bytes of the files of a staged table."""
+    spark = staged.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged._staged_path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def small_or_plain(staged: DataFrame, row_bytes: int) -> DataFrame:
-    """``staged`` with a broadcast hint if its counted rows, at ``row_bytes`` each, stay under the
-    bound; otherwise as it is, so that the join shuffles."""
+    """``staged`` with a broadcast hint if its counted rows, at ``row_bytes`` each, and its written bytes, unpacked,
+    both stay under the bound; otherwise as it is, so that the join shuffles. The bytes hold for rows with arrays,
+    which have no fixed size. A frame derived from a staged table is held to its rows alone."""
     n = staged.count()
-    return F.broadcast(staged) if n <= BROADCAST_ROWS and n * row_bytes <= BROADCAST_BYTES else staged
+    unpacked = written_bytes(staged) * UNPACKED if hasattr(staged, "_staged_path") else 0
+    return F.broadcast(staged) if n <= BROADCAST_ROWS and max(n * row_bytes, unpacked) <= BROADCAST_BYTES else staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
