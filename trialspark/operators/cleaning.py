@@ -5,6 +5,7 @@ bad lists -> allow-list -> recall order and lags -> recombine in log order).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trialspark.functions.nulls import eq_false, nan_to_null, ne_true, strip_lower
 from trialspark.operators import ordered, quality
+from trialspark.session import broadcast_if_small, stage_table
 from trialspark.sources.tables import union_all
 
 LIST_KEYS = ["subject", "session", "list"]
@@ -139,7 +141,12 @@ def clean_log(log: DataFrame, order_by: Sequence[str], word_type: str, recall_ty
     position of their first recall and the previous item's values; recall rows get their
     output position and repeat flag; ``lagged`` names the columns taken from the previous item. Returns all rows (presented, recalled, other) with the
     derived columns, NULL where they do not apply.
+
+    Every step that several later ones read - the bad subjects, the log without them, the bad lists, the log without
+    those - is a written table, so that no check runs the steps before it again.
     """
+    def written(df: DataFrame, what: str) -> DataFrame:
+        return stage_table(df, f"clean-{what}-{uuid.uuid4().hex}")
     x = drop_practice(log)
     bad_subjects = quality.subjects_missing_types(x, [word_type, recall_type], ["subject"]).select("subject")
     if min_subjects is not None:
@@ -147,7 +154,9 @@ def clean_log(log: DataFrame, order_by: Sequence[str], word_type: str, recall_ty
             quality.rare_item_subjects(x.where(F.col("type") == word_type), min_subjects))
     if excluded_subjects is not None:
         bad_subjects = bad_subjects.unionByName(excluded_subjects.select("subject"))
-    x = exclude_ids(x, bad_subjects)
+    bad_subjects = written(bad_subjects.distinct(), "subjects")
+    small = broadcast_if_small(bad_subjects, 16)
+    x = written(exclude_ids(x, bad_subjects) if small is None else x.join(small, ["subject"], "left_anti"), "log")
     words = x.where(F.col("type") == word_type)
     bad = [quality.repeated_presentations(words, order_by),
            quality.timing_issue_lists(words, order_by, gap_min, gap_max)]
@@ -162,10 +171,12 @@ def clean_log(log: DataFrame, order_by: Sequence[str], word_type: str, recall_ty
     x, _ = quality.remove_bad_lists(x, bad)
     if allowed is not None:
         x = keep_allow_list(x, allowed)
+    x = written(x, "kept")
     words = x.where(F.col("type") == word_type)
     rec = x.where(F.col("type") == recall_type)
-    rec = ordered.mark_later_duplicates(rec, [*LIST_KEYS, "item"], order_by, "recall_repeat")
+    # by list first: the window by list and item finds its rows together
     rec = ordered.running_position(rec, LIST_KEYS, order_by, "outpos")
+    rec = ordered.mark_later_duplicates(rec, [*LIST_KEYS, "item"], order_by, "recall_repeat")
     first = rec.where(~F.col("recall_repeat")).select(*LIST_KEYS, "item", F.col("outpos").alias("_op"))
     words = words.join(first, [*LIST_KEYS, "item"], "left").withColumnRenamed("_op", "outpos")
     words = words.withColumn("first_recalled", eq_false("outpos", 1))

@@ -121,12 +121,24 @@ def backward_fill(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], c
     if bucket is None:
         filled = fill(col, _w(keys, rev).rowsBetween(Window.unboundedPreceding, Window.currentRow))
         return df.withColumn(name or col, F.when(_keys_present(keys), filled).otherwise(F.col(col)))
-    known = F.when(F.col(col).isNotNull(), F.struct(*order_by))
-    x = _carried(df, keys, bucket, F.min_by(col, known),
-                 lambda c, w: fill(c, w.orderBy(F.col("_bucket").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)))
-    own = fill(col, _w([*keys, "_bucket"], rev).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    filled = F.coalesce(own, "_in")
-    return x.withColumn(name or col, F.when(_keys_present(keys), filled).otherwise(F.col(col))).drop("_bucket", "_in")
+    # rows that have a value pass as they are; only the open rows meet a narrow table (keys, order, value) of the known
+    out, by = name or col, [*keys, "_bucket"]
+    is_open = F.col(col).isNull() & _keys_present(keys)
+    rest = df.where(~is_open).withColumn(out, F.col(col))
+    named = list(dict.fromkeys([*keys, *order_by, col]))
+    known = df.where(F.col(col).isNotNull() & _keys_present(keys)).withColumn("_bucket", bucket).select(*named, "_bucket", F.lit(False).alias("_open"))
+    open_rows = df.where(is_open).withColumn("_bucket", bucket).withColumn("_open", F.lit(True))
+    x = open_rows.unionByName(known, allowMissingColumns=True)
+    x = x.withColumn("_own", fill(col, _w(by, rev).rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("_open").drop("_open")
+    # what enters a bucket: the first known value of the buckets behind it
+    per = known.groupBy(*by).agg(F.min_by(col, F.struct(*order_by)).alias("_carry")).unionByName(
+        open_rows.select(*by).distinct(), allowMissingColumns=True).groupBy(*by).agg(
+        F.max("_carry").alias("_carry"), F.max(F.col("_carry").isNull()).alias("_asked"))
+    behind = Window.partitionBy(*keys).orderBy(F.col("_bucket").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_in", fill("_carry", behind)).where("_asked").select(*[F.col(c).alias(f"_c_{c}") for c in by], "_in")
+    x = x.join(per, [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in by], "left")
+    filled = x.withColumn(out, F.coalesce("_own", "_in")).drop("_own", "_in", "_bucket", *[f"_c_{c}" for c in by])
+    return rest.unionByName(filled)
 
 
 def duplicate_flags(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], every: str, later: str) -> DataFrame:

@@ -104,26 +104,32 @@ def word_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     trial = F.col("o_orderkey")
     file = F.when(F.year("o_orderdate") % 5 == 0, "").otherwise(F.concat_ws("_", "o_custkey", F.year("o_orderdate")))
     number = F.when(F.col("o_orderpriority") == "5-LOW", -1).otherwise(trial + 1)
-    lines = li.join(p, li.l_partkey == p.p_partkey, "left").join(o, li.l_orderkey == o.o_orderkey)
+    # order by order first: what the position needs of a line is not carried to the item lookup
     w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", *LINE_ORDER[:-1])
     ship = _ms(F.col("l_shipdate"))
     back = (F.round("l_discount", 2) == MAX_DISCOUNT) & (F.round("l_tax", 2) == MAX_TAX)
-    lines = lines.select(
+    recalled = F.col("l_returnflag") == "R"
+    lines = li.join(o, li.l_orderkey == o.o_orderkey).select(
         F.col("o_custkey").alias("subject"), F.year("o_orderdate").cast("bigint").alias("session"), trial.alias("trial"), number.alias("list"),
-        F.concat(F.lit(" "), F.upper("p_brand"), F.lit(" "), F.col("l_partkey").cast("string"), F.lit("\t")).alias("item_name"),
-        F.concat(F.lower("p_type"), F.lit(" ")).alias("category"), F.row_number().over(w).cast("bigint").alias("serialpos"),
-        (F.col("l_returnflag") == "R").cast("bigint").cast("string").alias("recalled"), ship.alias("mstime"), file.alias("eegfile"),
-        (F.floor(ship / 1000) - F.when(back, SET_BACK_DAYS * DAY_MS // 1000).otherwise(0)).alias("eegoffset"), "l_quantity")
-    words = lines.drop("l_quantity").withColumn("type", F.lit("WORD"))
-    later = F.lit(RECALL_DELAY_DAYS * DAY_MS)
-    recalls = lines.where((F.col("recalled") == "1") & (F.col("l_quantity") < MAX_QUANTITY)).drop("l_quantity").withColumns(
-        {"type": F.lit("REC_WORD"), "mstime": F.col("mstime") + later, "eegoffset": F.col("eegoffset") + F.floor(later / 1000)})
+        "l_partkey", F.row_number().over(w).cast("bigint").alias("serialpos"), recalled.cast("bigint").cast("string").alias("recalled"),
+        ship.alias("mstime"), file.alias("eegfile"),
+        (F.floor(ship / 1000) - F.when(back, SET_BACK_DAYS * DAY_MS // 1000).otherwise(0)).alias("eegoffset"),
+        (recalled & (F.col("l_quantity") < MAX_QUANTITY)).alias("_recall"))
+    lines = lines.join(p, F.col("l_partkey") == p.p_partkey, "left").withColumns({
+        "item_name": F.concat(F.lit(" "), F.upper("p_brand"), F.lit(" "), F.col("l_partkey").cast("string"), F.lit("\t")),
+        "category": F.concat(F.lower("p_type"), F.lit(" "))}).drop("l_partkey", "p_partkey", "p_brand", "p_type")
+    # a line gives its word row and, if recalled, its recall row: the joins run once for both
+    word, recall = (F.struct(F.lit(t).alias("type"), F.lit(d * DAY_MS).cast("bigint").alias("later"))
+                    for t, d in (("WORD", 0), ("REC_WORD", RECALL_DELAY_DAYS)))
+    lines = lines.withColumn("_as", F.explode(F.when(F.col("_recall"), F.array(word, recall)).otherwise(F.array(word))))
+    lines = lines.withColumns({"type": F.col("_as.type"), "mstime": F.col("mstime") + F.col("_as.later"),
+                               "eegoffset": F.col("eegoffset") + F.floor(F.col("_as.later") / 1000)}).drop("_as", "_recall")
     start = _ms(F.col("o_orderdate"))
     starts = o.select(F.col("o_custkey").alias("subject"), F.year("o_orderdate").cast("bigint").alias("session"), trial.alias("trial"),
                       F.when(F.col("o_orderstatus") == "P", NO_LIST).otherwise(number).alias("list"),
                       F.when(F.col("o_orderstatus") == "F", "REC_START").when(F.col("o_orderstatus") == "P", "REC_START").otherwise("ORIENT").alias("type"),
                       start.alias("mstime"), file.alias("eegfile"), F.floor(start / 1000).alias("eegoffset"))
-    return words.unionByName(recalls).unionByName(starts, allowMissingColumns=True)
+    return lines.unionByName(starts, allowMissingColumns=True)
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
