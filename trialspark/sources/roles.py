@@ -32,6 +32,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trialspark.session import deal, file_bytes, initial_shuffle_partitions
 from trialspark.sources.tables import read_table  # noqa: F401 (re-exported)
 
 # Fixed values of the role mapping.
@@ -50,6 +51,9 @@ MAX_QUANTITY, MAX_DISCOUNT, MAX_TAX = 50, 0.10, 0.08
 DAY_MS, RECALL_DELAY_DAYS, SET_BACK_DAYS = 86_400_000, 3000, 4000
 NO_LIST = -999
 
+#: bytes of the lineitem files whose trial words one task sorts, whatever the table's size
+WORD_BYTES = 4 << 20
+
 # total order of lines inside an order ((l_orderkey, l_linenumber) is not unique)
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 
@@ -76,7 +80,9 @@ def trial_words(spark: SparkSession, sf_dir: str, with_category: bool = True) ->
         li = li.join(p, li.l_partkey == p.p_partkey, "left")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate",
                                                    "o_orderpriority")
-    df = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
+    # every list-level sort and window runs in the tasks of this deal
+    parts = initial_shuffle_partitions(file_bytes(spark, f"{sf_dir}/lineitem.parquet"), WORD_BYTES, 2)
+    df = deal(li, "l_orderkey", parts).join(deal(o, "o_orderkey", parts), li.l_orderkey == o.o_orderkey, "inner")
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     cols = [
         F.col("o_custkey").alias("subject"),
