@@ -74,32 +74,36 @@ def binned_mean(ep: DataFrame, value: str, keys: list[str], time_col: str = "tim
 # ---------------------------------------------------------------------------
 
 def epochs_by_period(onsets: DataFrame, samples: DataFrame, periods: DataFrame, keys: list[str], longest_ms: int,
-                     onset_time: str = "mstime", sample_time: str = "mstime") -> DataFrame:
+                     onset_time: str = "mstime", sample_time: str = "mstime", parts: int | None = None) -> DataFrame:
     """J13 with windows from a parameter table: (onset, period, sample) rows with ``rel`` and the period's columns.
 
     ``onsets`` (onset_id, type, keys, time) meet their periods by event type, so every row has a window of its own;
-    buckets are as wide as the longest epoch, so a window touches at most two of them and the join with the samples
-    is an equi-join on keys and bucket. Samples are cut once for each onset and period, whatever channels are
-    formed of them later.
+    buckets are as wide as the longest epoch, so a window touches at most two of them. An onset goes to the first of
+    its two (``bucket``), a sample to its own and the one before, so an equi-join on keys and bucket brings a whole
+    epoch together; steps that group by keys, ``bucket`` and more then move no row again. ``parts`` sets the number
+    of tasks, which a join of small sides into many rows would else leave too low.
     """
     o = onsets.join(F.broadcast(periods), "type").withColumn("_t0", F.col(onset_time)).drop(onset_time, "type")
     lo, hi = F.col("_t0") + F.col("start_ms") - F.col("buffer_ms"), F.col("_t0") + F.col("end_ms") + F.col("buffer_ms")
-    o = o.withColumns({"_lo": lo, "_hi": hi}).withColumn(
-        "_bucket", F.explode(F.sequence(F.floor(F.col("_lo") / longest_ms), F.floor(F.col("_hi") / longest_ms))))
-    s = samples.withColumn("_bucket", F.floor(F.col(sample_time) / longest_ms)).withColumnRenamed(sample_time, "_ts")
-    j = o.join(s, [*keys, "_bucket"]).where(F.col("_ts").between(F.col("_lo"), F.col("_hi")))
-    return j.withColumn("rel", F.col("_ts") - F.col("_t0")).drop("_bucket", "_lo", "_hi", "_t0", "_ts")
-
-
-def pair_difference(ep: DataFrame, pairs: DataFrame, epoch: list[str], contact: str = "contact", value: str = "value") -> DataFrame:
-    """T1 with channels: value of ``contact_1`` minus value of ``contact_2`` at the sample times of an epoch that both
-    have. Every epoch sample goes once, signed, to each pair that its contact belongs to, and a pair's two samples
+    o = o.withColumns({"_lo": lo, "_hi": hi}).withColumn("bucket", F.floor(F.col("_lo") / longest_ms))
+    own = F.floor(F.col(sample_time) / longest_ms)
+    s = samples.withColumn("bucket", F.explode(F.array(own - 1, own))).withColumnRenamed(sample_time, "_ts")
+    if parts:
+        o, s = o.repartition(parts, *keys, "bucket"), s.repartition(parts, *keys, "bucket")
+    j = o.join(s, [*keys, "bucket"]).where(F.col("_ts").between(F.col("_lo"), F.col("_hi")))
+    return j.withColumn("rel", F.col("_ts") - F.col("_t0")).drop("_lo", "_hi", "_t0", "_ts")
+
+
+def pair_difference(ep: DataFrame, pairs: DataFrame, epoch: list[str], contact: str = "contact", value: str = "value",
+                    at: str = "rel") -> DataFrame:
+    """T1 with channels: value of ``contact_1`` minus value of ``contact_2`` at the sample times of an epoch (or, with
+    ``at`` the time, of a whole recording before it is cut) that both have. Every epoch sample goes once, signed, to each pair that its contact belongs to, and a pair's two samples
     meet in one aggregation; the epochs are not joined with themselves and not cut again for each pair."""
     ends = pairs.select("contact_1", "contact_2", F.explode(F.array(
         F.struct(F.col("contact_1").alias(contact), F.lit(1).alias("_sign")),
         F.struct(F.col("contact_2").alias(contact), F.lit(-1).alias("_sign")))).alias("_e")).select("contact_1", "contact_2", "_e.*")
     signed = ep.join(F.broadcast(ends), contact).where(F.col(value).isNotNull())
-    return (signed.groupBy(*epoch, "contact_1", "contact_2", "rel")
+    return (signed.groupBy(*epoch, "contact_1", "contact_2", at)
             .agg(F.sum(F.col("_sign") * F.col(value)).alias(value), F.sum(F.abs("_sign")).alias("_n"), F.sum("_sign").alias("_both"))
             .where("_n = 2 and _both = 0").drop("_n", "_both"))
 
