@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: epochs of one batch that are transformed together
+EPOCHS_AT_ONCE = 256
+
+
 @lru_cache(maxsize=64)
 def butterworth_stop(fs: float, lo: float, hi: float, order: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Second-order sections (numerators, denominators; rows of three) of a Butterworth band stop of ``order``.
@@ -161,21 +165,26 @@ def epoch_power(epochs: DataFrame, keys: list[str], idx_col: str, val_col: str,
     freqs = np.asarray(freqs, dtype=float)
     schema = ", ".join(f"`{k}` {epochs.schema[k].dataType.simpleString()}" for k in keys) + ", freq_index long, frequency double, power double"
 
+    def transformed(pdf, fs):
+        x = np.zeros((len(pdf), round(length_s * fs) + 1))
+        for r, (ix, vs) in enumerate(zip(pdf[idx_col], pdf[val_col])):
+            x[r, np.asarray(ix, dtype=np.int64)] = np.asarray(vs, dtype=float)
+        pw = epoch_log_power(x, fs, freqs, buffer_s, width, stop, fs_out)
+        n_e, n_f = pw.shape
+        out = pd.DataFrame({k: np.repeat(pdf[k].to_numpy(), n_f) for k in keys} | {
+            "freq_index": np.tile(np.arange(n_f, dtype=np.int64), n_e),
+            "frequency": np.tile(freqs, n_e),
+            "power": pw.reshape(-1),
+        })
+        out.loc[~np.isfinite(out["power"]), "power"] = np.nan
+        return out
+
     def body(batches):
         for whole in batches:
             for fs, pdf in whole.groupby(rate_col):
-                x = np.zeros((len(pdf), round(length_s * fs) + 1))
-                for r, (ix, vs) in enumerate(zip(pdf[idx_col], pdf[val_col])):
-                    x[r, np.asarray(ix, dtype=np.int64)] = np.asarray(vs, dtype=float)
-                pw = epoch_log_power(x, float(fs), freqs, buffer_s, width, stop, fs_out)
-                n_e, n_f = pw.shape
-                out = pd.DataFrame({k: np.repeat(pdf[k].to_numpy(), n_f) for k in keys} | {
-                    "freq_index": np.tile(np.arange(n_f, dtype=np.int64), n_e),
-                    "frequency": np.tile(freqs, n_e),
-                    "power": pw.reshape(-1),
-                })
-                out.loc[~np.isfinite(out["power"]), "power"] = np.nan
-                yield out
+                # a few epochs at a time: the power of all of a batch at every frequency and time would be gigabytes
+                for at in range(0, len(pdf), EPOCHS_AT_ONCE):
+                    yield transformed(pdf.iloc[at:at + EPOCHS_AT_ONCE], float(fs))
 
     # the body is CPU-heavy per row while its input is small in bytes, so AQE would pack it into very few partitions;
     # a round-robin deal of the configured count keeps epochs, which are independent, apart
