@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
 from corpus_fixture import alnum, collect, prose
 
 from trialspark.llm import decontaminate
+from trialspark.llm.text import hash_of
 
 
 def brute(rows, items, window=10):
@@ -75,3 +77,19 @@ def test_hard_cases(spark, docs, rows, no_docs):
     assert {r["doc_id"] for r in out if r["contaminated"]} >= {5, 65}
     assert collect(decontaminate.decontaminate(no_docs, bench)) == []
     assert all(not r["contaminated"] for r in collect(decontaminate.decontaminate(docs, bench.limit(0))))
+
+
+def test_postings_leave_the_worker_in_slices():
+    """A run of 2^20 postings left in one batch before, 21 MB at once in the executor's native memory."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(5000)}" for _ in range(150_000)]
+    texts = [" ".join(words[a:a + 50_000]) for a in (0, 50_000, 100_000)] + [None]
+    out = list(decontaminate._postings([pa.RecordBatch.from_arrays([pa.array([7, 8, 9, None]), pa.array(texts)], names=["doc_id", "text"])]))
+    assert max(b.num_rows for b in out) <= decontaminate.SLICE_WORDS < len(words) // 2
+    lengths = [r for b in out for r in b.to_pylist() if r["term"] is None]
+    assert [r["pos"] for r in lengths] == [50_000] * 3 + [0] and [r["named"] for r in lengths] == [True] * 3 + [False]
+    run = [r for b in out for r in b.to_pylist() if r["term"] is not None]
+    assert [r["term"] for r in run] == sorted(r["term"] for r in run)
+    want = {w: hash_of(w) for w in set(words)}
+    assert sorted((r["doc"], r["pos"], r["term"]) for r in run) == [
+        (7 + i // 50_000, i % 50_000, want[w]) for i, w in enumerate(words)]

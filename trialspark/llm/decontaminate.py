@@ -27,8 +27,9 @@ from trialspark.llm import text as T
 from trialspark.llm.staging import arrow_map, small_or_plain, stage
 
 
-#: postings that are sorted into one run
+#: postings that are sorted into one run, and those of a run that leave the worker at once
 RUN_WORDS = 1 << 20
+SLICE_WORDS = 1 << 16
 
 
 def _names(ids: pa.Array, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,13 +45,23 @@ def _names(ids: pa.Array, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
     return key, named
 
 
-def _run(terms: list[np.ndarray], docs: list[np.ndarray], places: list[np.ndarray]) -> pa.RecordBatch:
-    """The postings of some texts in term order."""
-    h = np.concatenate(terms).view(np.int64)
-    order = np.argsort(h, kind="stable")
-    return pa.RecordBatch.from_arrays(
-        [pa.array(h[order]), pa.array(np.concatenate(docs)[order]), pa.array(np.concatenate(places)[order]), pa.nulls(len(h), pa.bool_())],
-        names=["term", "doc", "pos", "named"])
+def _joined(lane: list[np.ndarray]) -> np.ndarray:
+    """The arrays of ``lane`` as one; the lane is emptied."""
+    out = np.concatenate(lane)
+    lane.clear()
+    return out
+
+
+def _run(held: tuple[list, list, list]):
+    """The postings of some texts in term order, in batches of ``SLICE_WORDS``; ``held`` is emptied."""
+    terms, docs, places = map(_joined, held)
+    terms = terms.view(np.int64)
+    order = np.argsort(terms, kind="stable")
+    for a in range(0, len(order), SLICE_WORDS):
+        at = order[a:a + SLICE_WORDS]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(terms[at]), pa.array(docs[at]), pa.array(places[at]), pa.nulls(len(at), pa.bool_())],
+            names=["term", "doc", "pos", "named"])
 
 
 def _postings(batches):
@@ -71,10 +82,10 @@ def _postings(batches):
                 lane.append(values)
             n_held += len(h)
             if n_held >= RUN_WORDS:
-                yield _run(*held)
-                held, n_held = ([], [], []), 0
+                yield from _run(held)
+                n_held = 0
     if n_held:
-        yield _run(*held)
+        yield from _run(held)
 
 
 def _item_words(batches):
