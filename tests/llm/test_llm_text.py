@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -45,3 +46,14 @@ def test_long_texts_hash_as_short_ones():
     (_, _, data, offsets), = T.texts(pa.array([" ".join(words)]))
     h = T.words(data, offsets, T.ALNUM)[0].tolist()
     assert h[0] == h[3] != h[2] and h[1] == np.int64(T.hash_of("x")).view(np.uint64)
+
+
+def test_a_chunk_takes_a_few_megabytes():
+    """Hashing a chunk took 40 MB in every worker before, next to an executor whose limit counts them."""
+    data = pa.array(["word " * 200] * 3000)
+    tracemalloc.start()
+    for _, _, chunk, offsets in T.texts(data):
+        T.words(chunk, offsets, T.ALNUM)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 << 20

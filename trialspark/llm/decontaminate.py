@@ -28,7 +28,7 @@ from trialspark.llm.staging import arrow_map, small_or_plain, stage
 
 
 #: postings that are sorted into one run, and those of a run that leave the worker at once
-RUN_WORDS = 1 << 20
+RUN_WORDS = 1 << 19
 SLICE_WORDS = 1 << 16
 
 
